@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import langid, mixing, packing, quality
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -19,6 +20,13 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(langid.remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    held_out = (langid.remainder("doc_id", 4) == 2).alias("held_out")
+    return langid.predict(documents, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
@@ -27,8 +35,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = quality.fit(documents, read(spark, sf_dir, "labels").where(langid.remainder("doc_id", 3) != 1))
+    held_out = (langid.remainder("doc_id", 3) == 1).alias("held_out")
+    return quality.score(documents, model).select("doc_id", held_out, "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.oracle()}
