@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality
+from . import langid, minhash, mixing, packing, quality
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -35,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = quality.fit(documents, read(spark, sf_dir, "labels").where(langid.remainder("doc_id", 3) != 1))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op8_minhash_neardup": op8_minhash_neardup,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.oracle()}
