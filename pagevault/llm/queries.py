@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality
+from . import langid, minhash, mixing, packing, phrases, quality
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -46,11 +46,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.deduplicate(read(spark, sf_dir, "documents"), size=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.oracle()}
