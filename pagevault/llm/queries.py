@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, phrases, quality
+from . import langid, minhash, mixing, packing, phrases, quality, vecdedup
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -35,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op7_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_vector_neardup": op7_vector_neardup,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
