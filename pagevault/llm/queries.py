@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, phrases, quality, vecdedup
+from . import langid, minhash, mixing, packing, phrases, quality, urlfilter, vecdedup
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -31,6 +31,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+#: The rules of the url filter: action, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    model, rates = urlfilter.fit(urlfilter.labelled_by_rules(pages, URL_RULES))
+    return urlfilter.judge(pages, URL_RULES, model, rates)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
@@ -57,6 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op7_vector_neardup": op7_vector_neardup,
     "op8_minhash_neardup": op8_minhash_neardup,
