@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, minhash, mixing, packing, phrases, quality, urlfilter, vecdedup
+from . import langid, media, minhash, mixing, packing, phrases, pii, quality, urlfilter, vecdedup
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -24,6 +24,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(read(spark, sf_dir, "documents"))
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = langid.fit(documents.where(langid.remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
@@ -76,6 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_private_data": op2_private_data,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_url_filter": op5_url_filter,
