@@ -113,28 +113,46 @@ def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, roun
     return Model(names, np.array(owner), np.concatenate(centroids).astype(np.float32), idf, np.array(least))
 
 
+def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and whether it is rejected, for each text."""
+    langs, scores, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    known = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+    for part in range(0, len(known), 512):
+        these = known[part : part + 512]
+        cosine = vectors([texts[i] for i in these], model.idf) @ model.centroids.T
+        best = cosine.argmax(axis=1)
+        top = np.clip(cosine[np.arange(len(these)), best], 0, 1).astype(float)
+        for i, b in zip(these, model.owner[best].tolist(), strict=True):
+            langs[i] = model.languages[b]
+        scores[these], rejected[these] = np.round(top, 4), top < model.least[model.owner[best]]
+    return langs, scores, rejected
+
+
 def predict(df: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of df: doc_id, lang_pred, score (the cosine), rejected."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 << 20):
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            langs, scores, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            known = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-            for part in range(0, len(known), 512):
-                these = known[part : part + 512]
-                cosine = vectors([texts[i] for i in these], model.idf) @ model.centroids.T
-                best = cosine.argmax(axis=1)
-                top = np.clip(cosine[np.arange(len(these)), best], 0, 1).astype(float)
-                for i, b in zip(these, model.owner[best].tolist(), strict=True):
-                    langs[i] = model.languages[b]
-                scores[these], rejected[these] = np.round(top, 4), top < model.least[model.owner[best]]
+            langs, scores, rejected = judged([t or b"" for t in batch.column("text").to_pylist()], model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, PREDICTED)
 
 
+def accepted_rows(df: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
+    """The rows of df whose text is not rejected, as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 2 << 20):
+            _, _, rejected = judged([t or b"" for t in batch.column("text").to_pylist()], model)
+            yield batch.select(["whole"]).filter(pa.array(~rejected))
+
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text_column).cast("string").cast("binary").alias("text"))
+    out = rows.mapInArrow(run, f"whole {rows.schema['whole'].dataType.simpleString()}")
+    return out.select(*[F.col("whole").getField(c).alias(c) for c in df.columns])
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
