@@ -1,10 +1,5 @@
 """Queries by name, each with the SQL that it is compared with."""
 
-from __future__ import annotations
+from .pages import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
