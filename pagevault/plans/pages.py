@@ -100,7 +100,7 @@ def fetched_at_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     ts = F.col("ts").cast("timestamp_ntz")
     whole = F.date_trunc("second", ts).cast("timestamp_ntz")
-    return events.select("event_id", iso_utc(ts, instant=False).alias("at"), iso_utc(whole, instant=False).alias("at_second"))
+    return events.select("event_id", iso_utc(ts, instant=False).alias("iso"), iso_utc(whole, instant=False).alias("iso_second"))
 
 
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ ORACLES = {
     "output_path": f"select page_id, '{ROOT}/' || patch || '/' || locale || '/page.html' as html_path, '{ROOT}/' || patch || '/' || locale || '/metadata.json' as metadata_path from ({_METADATA})",
     "last_write_wins": f"select page_id, patch, locale, source_url from ({_LAST % _METADATA})",
     "header_lookup": "select page_id, case when page_id % 3 < 2 then 'v' || page_id end as etag from pages",
-    "fetched_at_iso": f"select event_id, {_ISO.format('ts')} as at, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as at_second from events",
+    "fetched_at_iso": f"select event_id, {_ISO.format('ts')} as iso, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso_second from events",
     "integrity_check": "select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes, true as hash_ok, true as size_ok from pages",
     "health_status": "select * from (values ('live', 'ok'), ('ready', 'ok')) as t(endpoint, status)",
     "raw_store_roundtrip": f"select patch, locale, source_url, sha256, size_bytes, true as hash_ok, true as size_ok from ({_LAST % _METADATA})",
