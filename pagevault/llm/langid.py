@@ -48,16 +48,16 @@ def has_letter(text: bytes) -> bool:
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed n-grams, one row per text. Each text is followed by blanks, so none reaches into the next."""
-    padded = [b" " + t.translate(_LETTERS) + b"  " for t in texts]
+    """Counts of hashed n-grams, one row per text. Blanks around each text keep its n-grams from reaching into the next."""
+    padded = [b"  " + t.translate(_LETTERS) + b"  " for t in texts]
     rows = np.repeat(np.arange(len(texts), dtype=np.int64) * WIDTH, [len(t) for t in padded])
-    data = np.frombuffer(b"".join(padded), dtype=np.uint8).astype(np.uint32)
+    data = np.frombuffer(b"".join([*padded, b"  "]), dtype=np.uint8).astype(np.uint32)
     out = np.zeros(len(texts) * WIDTH, dtype=np.int64)
     two = data[:-1] * np.uint32(0x9E3779B1) + data[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] + data[2:] * np.uint32(0xC2B2AE3D)
     for gram, salt in ((two, 0x27D4EB2F), (three, 0x165667B1)):
         gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(salt)
-        out += np.bincount(rows[: len(gram)] + (gram >> np.uint32(20)), minlength=len(out))
+        out += np.bincount(rows + (gram[: len(rows)] >> np.uint32(20)), minlength=len(out))
     return out.reshape(len(texts), WIDTH)
 
 

@@ -1,0 +1,265 @@
+"""Private data, languages, quality, url rules, mixing and packing."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagevault.llm import langid, mixing, packing, pii, quality, queries, urlfilter
+
+from cases import clashing, documents, odd_texts, words
+from conftest import SF
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.group().split(".")), "card": 13 <= len(digits) <= 19 and sum(v - 9 * (v > 9) for v in doubled) % 10 == 0, "phone": 9 <= len(digits) <= 15}
+            if good[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(1)
+    pieces = ["a@b.c", "@", ".", "-", "+1 (555) 010-", "4111 1111 1111 1111", "127.0.0.1", "256.1.1.1", "1.2.3.4.5.6.7.8", " ", "é", "x_%", "b@c", "00001.2.3.4", "\n", "7", "5500-0000-0000-0004", "+", "٣"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        got = pii.base_spans(text)
+        assert [(k, s, e) for k in pii.KINDS for s, e in got[k]] == plain_spans(text), text
+    assert pii.base_spans("1" * 30_000)["ip"] == [] and pii.base_spans("a" * 50_000 + "@")["email"] == []
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    rng = random.Random(2)
+    texts = odd_texts()
+    for i in range(12):
+        texts.append(f"{words(rng, 9)} please write to user{i}@mail.example.org {words(rng, 9)}")
+    texts += [f"{words(rng, 9)} please write to hidden{i}#at#mail {words(rng, 9)}" for i in range(3)]
+    texts += [f"{words(rng, 5)} version 10{i}.4 {words(rng, 5)}" for i in range(9)]
+    frame = clashing(documents(spark, texts))
+    rows = {r.doc_id: r for r in pii.detect(frame).collect()}
+    found = set()
+    for i, t in enumerate(texts):
+        base = plain_spans(t)
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert rows[i].base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        extra = rows[i].spans[len(joined(base)) :].strip(",")
+        assert rows[i].spans.startswith(joined(base)) and rows[i].n_found == (extra.count(":") // 2)
+        if extra:
+            _, s, e = extra.split(":")
+            found.add(t[int(s) : int(e)])
+    assert found == {"hidden0#at#mail", "hidden1#at#mail", "hidden2#at#mail"}
+    clean = {r.doc_id: r for r in pii.redact(frame).collect()}
+    assert clean[0].text is None and clean[6].text == texts[6] and clean[11].text.count("[EMAIL]") == 1 and "[FOUND]" in clean[23].text
+    assert clean[1].z == "7" and pii.redact(frame).columns == frame.columns
+    held, pii.PATTERNS_HELD = pii.PATTERNS_HELD, 0  # more patterns than workers hold: spans are joined
+    try:
+        assert {r.doc_id: r.text for r in pii.redact(frame).collect()} == {i: r.text for i, r in clean.items()}
+    finally:
+        pii.PATTERNS_HELD = held
+    assert pii.detect(frame.limit(0)).count() == 0
+
+
+def test_languages(spark):
+    documents_ = spark.read.parquet(f"{SF}/documents.parquet")
+    frame = clashing(documents_)
+    model = langid.fit(frame.where(langid.remainder("doc_id", 4) != 2))
+    got = {r.doc_id: r for r in langid.predict(frame, model).collect()}
+    rows = documents_.where(langid.remainder("doc_id", 4) == 2).collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in rows]) > 0.95
+    assert np.mean([got[r.doc_id].rejected for r in rows]) < 0.02
+    odd = documents(spark, [*odd_texts(), "123 456 !!", "漢字漢字漢字漢字漢字漢字"])
+    seen = {r.doc_id: r for r in langid.predict(odd, model).collect()}
+    assert [seen[i].lang_pred for i in (0, 1, 2, 11)] == ["und"] * 4 and all(0 <= r.score <= 1 for r in seen.values())
+    assert seen[9].lang_pred == seen[10].lang_pred and seen[9].score == seen[10].score
+    kept = {r.doc_id for r in langid.accepted_rows(odd, model).collect()}
+    assert kept == {i for i, r in seen.items() if not r.rejected} and not kept & {0, 1, 2, 11}
+    nothing = langid.fit(documents(spark, ["x"], langs=[None]))
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+    assert langid.predict(odd.limit(0), model).count() == 0
+
+
+def test_nearest_centroid_by_hand(spark):
+    texts = ["aaaa bbbb aaaa", "cccc dddd cccc", "aaaa", "cccc zz"]
+    model = langid.fit(documents(spark, texts[:2], langs=["x", "y"]), clusters=1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(documents(spark, texts), model).collect()}
+    assert got == {0: "x", 1: "y", 2: "x", 3: "y"}
+    counts = langid.counts([b"ab", b"AB"])
+    assert (counts[0] == counts[1]).all() and counts[0].sum() == langid.counts([b"ab", b"x"])[0].sum()
+
+
+def test_quality(spark):
+    frame = clashing(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
+    labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
+    model = quality.fit(frame, labels.where(langid.remainder("doc_id", 3) != 1))
+    got = {r.doc_id: r for r in quality.score(frame, model).collect()}
+    held = labels.where(langid.remainder("doc_id", 3) == 1).collect()
+    assert np.mean([got[r.doc_id].predicted == r.quality for r in held]) > 0.93
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    odd = {r.doc_id: r for r in quality.score(documents(spark, odd_texts()), model).collect()}
+    assert odd[0].score == odd[1].score == odd[2].score and odd[9].score == odd[10].score and len(odd) == 11
+    none = quality.fit(frame, labels.limit(0))
+    assert {r.score for r in quality.score(documents(spark, ["a b"]), none).collect()} == {0.5}
+    assert quality.score(frame.limit(0), model).count() == 0
+
+
+def test_ftrl_updates_by_hand():
+    model = quality.Ftrl(alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
+    at, x = np.array([3]), np.array([2.0])
+    model.learn(at, x, 1, 1.0)
+    assert model.z[3] == pytest.approx(-1.0) and model.n[3] == pytest.approx(1.0)
+    assert model.weights(at)[0] == pytest.approx((1.0 - 0.1) / ((1 + 1) / 0.5 + 0.2))
+
+
+RULES = queries.URL_RULES
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest).group()
+    path = re.match("[^?#]*", rest[len(host) :]).group()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+    return host, path, best and best[1] + best[2], best and best[0]
+
+
+def test_url_rules_and_trees(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7?x", "http://com/en/", "http://xcom/en/1", "http://example.com/en/8#a://b", "https://example.net/de/81", "https://a.net/de/9", "http://a.org?/es/", "http://a.org/es/", "x://ÄÖ.org/es/é", "http://" + "a" * 5000, "http://q.info/a%20b?x=1&y=2#z"] * 2
+    frame = clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    labelled = urlfilter.labelled_by_rules(frame, RULES)
+    model, rates = urlfilter.fit(labelled)
+    got = {r.page_id: r for r in urlfilter.judge(frame, RULES, model, rates).collect()}
+    for i, u in enumerate(urls):
+        host, path, rule, action = plain_url(u)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert got[i].verdict == (action or ("block" if got[i].score >= 0.5 else "allow"))
+    assert urlfilter.judge(frame.limit(0), RULES, model, rates).count() == 0
+    model, rates = urlfilter.fit(labelled.limit(0))
+    assert {r.verdict for r in urlfilter.judge(frame.where("page_id = 14"), RULES, model, rates).collect()} == {"allow"}
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1500, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    model = urlfilter.boost(x[:1000], y[:1000])
+    assert ((model.score(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
+
+
+def test_mixing_equals_sql_and_meets_targets(spark, duck):
+    frame = queries.op6_source_mixing(spark, SF)
+    want = duck.sql(mixing.oracle())
+    columns = sorted(frame.columns)
+    assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(want.project(", ".join(columns)).fetchall())
+
+
+def test_mixing_rows_and_targets(spark):
+    rng = random.Random(3)
+    texts = odd_texts() + [words(rng, rng.randrange(1, 60)) for _ in range(900)]
+    sources = [rng.choice(["a"] * 12 + ["b", "b", "c", "é", None]) for _ in texts]
+    sources[:3] = ["empty"] * 3
+    frame = clashing(documents(spark, texts, sources=sources))
+    rows = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    sizes = {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
+    names = sorted({s for s in sources if s is not None}) + [None]
+    total = collections.Counter()
+    for i, s in enumerate(sources):
+        total[s] += sizes[i]
+    weight, target, open_ = {s: n % 3 + 1 for n, s in enumerate(names)}, {}, set(names)
+    left = sum(sizes.values())
+    while True:  # water-filling, a source at a time
+        full = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * total[s]]
+        if not full:
+            break
+        for s in full:
+            open_.discard(s)
+            target[s] = 3 * total[s]
+        left = sum(sizes.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    taken = collections.Counter()
+    for i, s in enumerate(sources):
+        assert (rows[i].size, rows[i].source_size) == (sizes[i], total[s]) and rows[i].target == pytest.approx(target[s])
+        assert rows[i].taken <= 3 * sizes[i] and rows[i].taken % max(1, sizes[i]) == 0
+        assert sizes[i] == 0 or len([x for x in rows[i].shards.split(",") if x]) == rows[i].taken // sizes[i]
+        taken[s] += rows[i].taken
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max([sizes[i] for i, x in enumerate(sources) if x == s and sizes[i] < 5000], default=0), s
+    again = {r.doc_id: r.taken for r in mixing.mix(frame.repartition(7)).collect()}
+    assert again == {i: r.taken for i, r in rows.items()}
+    copies = collections.Counter(r.doc_id for r in mixing.mixed_rows(frame).collect())
+    assert all(copies[i] == rows[i].taken // sizes[i] for i in rows if sizes[i]) and mixing.mixed_rows(frame).columns == frame.columns
+    assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mixing_runs_no_python(spark):
+    plan = queries.op6_source_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_packing_equals_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    texts = odd_texts() + ["don't STOP we'll", "a\x1cb\u00a0c\u2003d", "<|endoftext|> x", "ΑΣ İ ﬁ e\u0301", "1,234.5% (a)b_c", "!!", "Ǆ ǅ ß ſ"]
+    rows = packing.pack(clashing(documents(spark, texts)), path).collect()
+    by_doc = collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        parts = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in parts] == [(n, a, min(4096, len(ids) - a)) for n, a in enumerate(range(0, len(ids), 4096))]
+        assert [r.ids_crc32 for r in parts] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in parts]
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack(documents(spark, texts).limit(0), path).count() == 0
+
+
+def test_open_bins_are_bounded_and_best():
+    rng = random.Random(5)
+    bins, free, spaces = packing.OpenBins(100, 4), {}, []  # spaces: free space of the open bins
+    for _ in range(3000):
+        length = rng.randrange(1, 101)
+        number, offset = bins.put(length)
+        best = min((f for f in spaces if f >= length), default=None)
+        if best is None:
+            assert number not in free
+            free[number] = 100
+        else:
+            assert free[number] == best
+            spaces.remove(best)
+        assert offset == 100 - free[number]
+        free[number] -= length
+        if free[number]:
+            spaces.append(free[number])
+        if len(spaces) > 4:  # the fullest closes
+            spaces.remove(min(spaces))
+        assert bins.open == len(spaces) <= 4 and sorted(spaces) == sorted(f for f, x in bins.by_free.items() for _ in x)
