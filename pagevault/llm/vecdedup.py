@@ -3,14 +3,15 @@
 Vectors are normalised in double precision and rotated; the rotation's coordinates are split into blocks. Unit vectors
 with cosine c are at squared distance 2 - 2c, so two vectors above the threshold are, in some block, within that block's
 proportional share of the squared-distance budget. Each block is range-joined: its first coordinates are cut into cells
-of twice the block's radius, a vector is stored in its own cell and asks at every cell that its ball reaches. The number
-of gridded coordinates follows the size of the largest label. What meets in a cell is tested against the block's budget,
+of twice the block's radius, a vector is stored in its own cell and asks at every later cell that its ball reaches (the
+earlier ones ask at its own). The number of gridded coordinates follows the size of the largest label. What meets in a cell is tested against the block's budget,
 and what passes is verified exactly, on the vectors as given; a pair belongs to the first block whose budget it keeps,
 so the union of the blocks counts each pair once.
 
-Scale: equal vectors of a label are one class first. Only labels and cells are joined; stored vectors of a large cell are
-dealt to several tasks, each asked by all of that cell's askers, and compared in small matrices. Tasks emit a count for
-each asker and the links that join components within the task, never pairs. Nothing is broadcast or collected.
+Scale: equal vectors of a label are one class first. Vectors travel once, to the tasks of their cells, in the precision
+they are given in; stored vectors of a large cell are dealt to several tasks, each asked by all of that cell's askers, and
+compared in small matrices. Tasks emit a count for each vector and the links that join components within the task, never
+pairs. The list of large cells is broadcast if it has at most LARGE_CELLS rows and joined by shuffling otherwise.
 
 Defined results: null labels and vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own components; vectors of different lengths do not link; rows that share an id are told apart in
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Coordinates of a block, stored vectors of a cell in one task, vectors of a cell that the grid aims at.
-BLOCK_WIDTH, STORED, AIM = 8, 1500, 200
+BLOCK_WIDTH, STORED, AIM = 8, 1500, 1000
+LARGE_CELLS = 50_000
 #: Room for rounding in the tests that come before the exact one.
 SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -42,8 +44,9 @@ def rotation(width: int) -> np.ndarray:
     return _ROTATIONS[width]
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes], width: int) -> np.ndarray:
+    """Normalised vectors from packed components of 4 or 8 bytes."""
+    x = np.frombuffer(b"".join(raw), dtype="<f4" if len(raw[0]) == 4 * width else "<f8").astype(np.float64).reshape(len(raw), width)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of large or tiny components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -53,12 +56,13 @@ def spans(width: int) -> list[tuple[int, int]]:
 
 
 def reached(near: np.ndarray, gap: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows, and the cells that their balls reach. A ball of half a cell's width reaches, in each coordinate, the own
-    cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
+    """Rows, and the steps to later cells that their balls reach. A ball of half a cell's width reaches, in each coordinate,
+    the own cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
     n, g = near.shape
-    for choice in range(1 << g):
+    for choice in range(1, 1 << g):
         step = np.array([(choice >> i) & 1 for i in range(g)], dtype=bool)
-        rows = np.flatnonzero((gap[:, step] ** 2).sum(axis=1) <= budget + SLACK)
+        later = near[:, int(step.argmax())] > 0
+        rows = np.flatnonzero(later & ((gap[:, step] ** 2).sum(axis=1) <= budget + SLACK))
         yield rows, near[rows] * step
 
 
@@ -67,22 +71,18 @@ def cells(rows: DataFrame, budget: float, grid: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lengths = np.array(batch.column("width").to_pylist())
-            for width in np.unique(lengths):
+            lengths = np.array(batch.column("width").to_pylist(), dtype=np.int64)
+            for width in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == width))
-                turned = unit(part.column("v").to_pylist()) @ rotation(int(width))
-                own_spans = spans(int(width))
-                for b, (lo, hi) in enumerate(own_spans):
-                    share = budget * (hi - lo) / int(width)
+                turned = unit(part.column("v").to_pylist(), width) @ rotation(width)
+                for b, (lo, hi) in enumerate(spans(width)):
+                    share = budget * (hi - lo) / width
                     g, side = min(grid, hi - lo), 2 * np.sqrt(share)
                     at = turned[:, lo : lo + g] / side
                     cell = np.floor(at).astype(np.int64)
                     within = at - cell
                     near, gap = np.where(within < 0.5, -1, 1), np.minimum(within, 1 - within) * side
-                    found = [(np.arange(len(at)), cell, 0), *((r, cell[r] + step, 1) for r, step in reached(near, gap, share))]
-                    for r, c, role in found:
+                    for r, c, role in [(np.arange(len(at)), cell, 0), *((r, cell[r] + step, 1) for r, step in reached(near, gap, share))]:
                         key = np.zeros(len(r), dtype=np.int64)
                         for i in range(g):
                             key = key * 1_000_003 + c[:, i]
@@ -96,13 +96,14 @@ def cells(rows: DataFrame, budget: float, grid: int) -> DataFrame:
 
 
 class Cell:
-    """The vectors stored in one cell, or a share of them, asked in small parts."""
+    """The vectors stored in one cell, or a share of them: compared with each other, and asked in small parts."""
 
     def __init__(self, block: int, width: int, threshold: float, reps: list[int], copies: list[int], raw: list[bytes]) -> None:
         self.block, self.threshold, self.budget = block, threshold, 2 - 2 * threshold
         self.reps, self.copies = np.array(reps), np.array(copies)
-        self.x, self.spans, self.width = unit(raw), spans(width), width
+        self.x, self.spans, self.width = unit(raw, width), spans(width), width
         self.turned = self.x @ rotation(width)
+        self.found = np.zeros(len(reps), dtype=np.int64)
         self.up: dict[int, int] = {}
 
     def top(self, x: int) -> int:
@@ -110,41 +111,76 @@ class Cell:
             x = self.up[x]
         return x
 
-    def ask(self, reps: list[int], raw: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """How many vectors (copies counted) each asker links with here, and links that join components."""
-        reps_a, x = np.array(reps), unit(raw)
+    def within(self, p: np.ndarray, q: np.ndarray, b: int) -> np.ndarray:
+        """Whether rows of p and q keep block b's share of the budget."""
+        lo, hi = self.spans[b]
+        d = p[:, lo:hi] - q[:, lo:hi]
+        return (d * d).sum(axis=1) <= self.budget * (hi - lo) / self.width + SLACK
+
+    def ask(self, reps: np.ndarray, copies: np.ndarray, x: np.ndarray, after: int | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """How many vectors (copies counted) each asker links with here, and links that join components. Stored vectors
+        count their askers. after: the askers are stored themselves, from this place on, and ask those behind them."""
         turned = x @ rotation(self.width)
-        first = np.ones((len(x), len(self.x)), dtype=bool)
-        for b, (lo, hi) in enumerate(self.spans[: self.block + 1]):
-            p, q = turned[:, lo:hi], self.turned[:, lo:hi]
-            apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
-            inside = apart <= self.budget * (hi - lo) / self.width + SLACK
-            first &= inside if b == self.block else ~inside
-        i, j = np.nonzero(first & (reps_a[:, None] != self.reps[None, :]))
+        lo, hi = self.spans[self.block]
+        p, q = turned[:, lo:hi], self.turned[:, lo:hi]
+        apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
+        i, j = np.nonzero(apart <= self.budget * (hi - lo) / self.width + 2 * SLACK)
+        if after is not None:
+            i, j = i[j > i + after], j[j > i + after]
+        good = self.within(turned[i], self.turned[j], self.block)
+        i, j = i[good], j[good]
+        for b in range(self.block):  # else an earlier block has the pair
+            good = ~self.within(turned[i], self.turned[j], b)
+            i, j = i[good], j[good]
         good = np.einsum("ij,ij->i", x[i], self.x[j]) >= self.threshold
         i, j = i[good], j[good]
         links = []
-        for a, b in zip(reps_a[i].tolist(), self.reps[j].tolist(), strict=True):
+        for a, b in zip(reps[i].tolist(), self.reps[j].tolist(), strict=True):
             ta, tb = self.top(a), self.top(b)
             if ta != tb:
                 self.up[max(ta, tb)] = min(ta, tb)
                 links.append((a, b))
+        self.found += np.bincount(j, weights=copies[i], minlength=len(self.x)).astype(np.int64)
         return np.bincount(i, weights=self.copies[j], minlength=len(x)).astype(np.int64), links
 
 
 def asked(rows: DataFrame, threshold: float) -> DataFrame:
-    """rep, n, a, b: what each asker found in a cell, and links (a, b) with rep null."""
+    """rep, n, a, b: what vectors found in a cell, and links (a, b) with rep null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stored, cell = None, [], None
         names = ["rep", "n", "a", "b"]
+
+        def emitted(reps: np.ndarray, counts: np.ndarray, links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(counts[some]), *[pa.nulls(len(some), pa.int64())] * 2], names=names)
+            if links:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(links), pa.int64())] * 2, *(pa.array(x, pa.int64()) for x in zip(*links, strict=True))], names=names)
+
+        def opened(at: tuple, stored: list[tuple]) -> Iterator[pa.RecordBatch]:
+            cell = Cell(at[2], at[1], threshold, *map(list, zip(*stored, strict=True)))
+            cells_held.append(cell)
+            for start in range(0, len(cell.x), 256):
+                part = slice(start, start + 256)
+                yield from emitted(cell.reps[part], *cell.ask(cell.reps[part], cell.copies[part], cell.x[part], after=start))
+
+        at, stored, cells_held = None, [], []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if stored and not cells_held:
+                yield from opened(at, stored)
+            if cells_held:
+                yield from emitted(cells_held[0].reps, cells_held[0].found, [])
+            stored.clear()
+            cells_held.clear()
+
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("label", "width", "block", "cell", "part", "role", "rep", "copies", "v")]
             i, n = 0, batch.num_rows
             while i < n:
                 now = tuple(c[i] for c in cols[:5])
                 if now != at:
-                    at, stored, cell = now, [], None
+                    yield from closed()
+                    at = now
                 stop = i
                 while stop < n and stop < i + 256 and cols[5][stop] == cols[5][i] and tuple(c[stop] for c in cols[:5]) == now:
                     stop += 1
@@ -152,21 +188,18 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
                 if cols[5][i] == 0:
                     stored += zip(reps, copies, raw, strict=True)
                 elif stored:
-                    if cell is None:
-                        cell = Cell(now[2], now[1], threshold, *map(list, zip(*stored, strict=True)))
-                    counts, links = cell.ask(reps, raw)
-                    some = np.flatnonzero(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(reps)[some], pa.int64()), pa.array(counts[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names=names)
-                    if links:
-                        a, b = zip(*links, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+                    if not cells_held:
+                        yield from opened(at, stored)
+                    yield from emitted(np.array(reps), *cells_held[0].ask(np.array(reps), np.array(copies), unit(raw, now[1])))
                 i = stop
+        yield from closed()
 
     return rows.mapInArrow(run, "rep long, n long, a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id (the smallest id reachable over links), kept (it is its own)."""
+    kind = "<f4" if df.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"
     vector = F.col(vector_column).cast("array<double>")
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("long").alias("label"), vector.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -179,7 +212,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str =
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([len(v) for v in vectors], pa.int32()), batch.column("rep"), batch.column("copies"), pa.array([np.array(v, dtype="<f8").tobytes() for v in vectors], pa.binary())], names=["label", "width", "rep", "copies", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([len(v) for v in vectors], pa.int32()), batch.column("rep"), batch.column("copies"), pa.array([np.array(v, dtype=kind).tobytes() for v in vectors], pa.binary())], names=["label", "width", "rep", "copies", "v"])
 
     packed = classes.select("label", "vector", "rep", "copies").mapInArrow(pack, "label long, width int, rep long, copies long, v binary")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
@@ -188,10 +221,16 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str =
         grid += 1
     placed = cells(packed, 2 - 2 * threshold, grid)
     key = ["label", "width", "block", "cell"]
-    parts = cut(placed.where("role = 0").groupBy(*key).agg(F.ceil(F.count("*") / STORED).cast("int").alias("parts")))
-    placed = placed.join(parts, key)
-    part = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("part", F.explode(part)).repartition(*key, "part").sortWithinPartitions(*key, "part", "role", "rep")
+    large = cut(placed.where("role = 0").groupBy(*key).agg(F.ceil(F.count("*") / STORED).cast("int").alias("parts")).where("parts > 1"))
+    if large.count() <= LARGE_CELLS:
+        large = F.broadcast(large)
+    placed = placed.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # a stored vector also asks in the later shares of its own cell; others ask in all
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when((F.col("role") == 0) & (p == own), 0).otherwise(1).alias("as")))
+    places = F.filter(places, lambda x: (F.col("role") == 1) | (x["part"] >= own))
+    placed = placed.select(*key, "rep", "copies", "v", F.explode(places).alias("at")).select(*key, "at.part", F.col("at.as").alias("role"), "rep", "copies", "v")
+    placed = placed.repartition(*key, "part").sortWithinPartitions(*key, "part", "role", "rep")
     found = cut(asked(placed.select(*key, "part", "role", "rep", "copies", "v"), threshold))
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     names = classes.select("rep", "least")
