@@ -3,7 +3,8 @@
 Every source is hashed into blocks of documents. Targets are shares of all words by weight, held at `most` times a
 source's size, the excess reshared among the others (water-filling, in closed form over sources sorted by the share at
 which each is full). A source takes whole passes over its blocks and, for the rest, permuted blocks up to its target;
-the block that the target cuts gives a share of its sub-blocks, so the error is about one document.
+the block that the target cuts gives a share of its sub-blocks, so the error is about one document, and one more block is
+taken where that comes nearer.
 
 That makes an exact quota of blocks for each source. A binary tree splits the quotas among the output shards: at each
 node a random half of the node's tickets goes left, which draws the sources' counts from the multivariate
@@ -76,10 +77,20 @@ def plan(documents: DataFrame, seed: int, weights: tuple[int, ...], most: int, l
     blocks = cut(blocks.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words"))))
     split = blocks.where("rest > 0 and left > 0 and upto > rest").select("k", "block", "left")
     subs = documents.join(split, ["k", "block"]).groupBy("k", "block", "left", "sub").agg(F.sum("size").alias("words"))
-    middle = F.sum("words").over(Window.partitionBy("k").orderBy("sub")) - F.col("words") / 2
-    subs = subs.withColumn("middle", middle).groupBy("k", "block").agg(F.max(F.when(F.col("middle") <= F.col("left"), F.col("sub") + 1)).alias("upto_sub"))
-    below = F.when((F.col("rest") > 0) & (F.col("upto") <= F.col("rest")), F.lit(SUBBLOCKS)).otherwise(F.coalesce("upto_sub", F.lit(0)))
-    blocks = blocks.join(subs, ["k", "block"], "left").select("k", "block", "source_size", "target", "passes", below.alias("below"))
+    reached = F.sum("words").over(Window.partitionBy("k").orderBy("sub"))
+    inside = F.col("reached") <= F.col("left")
+    subs = subs.withColumn("reached", reached).groupBy("k", "block").agg(F.max(F.when(inside, F.col("sub") + 1)).alias("upto_sub"), F.sum(F.when(inside, F.col("words"))).alias("some"))
+    whole = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
+    below = F.when(whole, F.lit(SUBBLOCKS)).otherwise(F.coalesce("upto_sub", F.lit(0)))
+    more = F.when(whole, F.col("words")).otherwise(F.coalesce("some", F.lit(0)))
+    blocks = blocks.join(subs, ["k", "block"], "left").withColumn("below", below).withColumn("more", more)
+    # where a few long documents make up a source, another block may come nearer to what is still missing
+    source = Window.partitionBy("k")
+    blocks = blocks.withColumn("missing", F.col("rest") - F.sum("more").over(source))
+    spare = (F.col("below") == 0) & (F.col("words") > 0) & (F.col("rest") > 0)
+    blocks = blocks.withColumn("miss", F.when(spare, F.abs(F.col("missing") - F.col("words"))).otherwise(F.lit(float("inf"))))
+    fills = (F.min(F.struct("miss", "block")).over(source)["block"] == F.col("block")) & (F.col("miss") < F.abs("missing"))
+    blocks = blocks.select("k", "block", "source_size", "target", "passes", F.when(fills, F.lit(SUBBLOCKS)).otherwise(F.col("below")).alias("below"))
     blocks = cut(blocks.withColumn("copies", F.col("passes") + (F.col("below") > 0).cast("int")))
     units = blocks.where("copies > 0").select("k", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"))
     run = Window.partitionBy("k").orderBy("pass", number(F.lit(seed), F.col("pass"), F.col("k"), F.col("block")), "block")
@@ -148,10 +159,14 @@ sources as (select k, source_size, target, passes, target - passes * source_size
 b1 as (select *, sum(words) over (partition by k order by {n(str(seed), "'rest'", "k", "block")}, block rows unbounded preceding) as upto from by_block join sources using (k)),
 b2 as (select *, rest - (upto - words) as "left" from b1),
 subs as (select k, block, "left", sub, sum(size) as words from documents2 join (select k, block, "left" from b2 where rest > 0 and "left" > 0 and upto > rest) using (k, block) group by all),
-mids as (select *, sum(words) over (partition by k order by sub) - words / 2 as middle from subs),
-cuts as (select k, block, max(case when middle <= "left" then sub + 1 end) as upto_sub from mids group by all),
-b3 as (select k, block, source_size, target, passes, case when rest > 0 and upto <= rest then {SUBBLOCKS} else coalesce(upto_sub, 0) end as below from b2 left join cuts using (k, block)),
-blocks as (select *, passes + cast(below > 0 as int) as copies from b3),
+mids as (select *, sum(words) over (partition by k order by sub) as reached from subs),
+cuts as (select k, block, max(case when reached <= "left" then sub + 1 end) as upto_sub, sum(case when reached <= "left" then words end) as some_words from mids group by all),
+b3 as (select *, case when rest > 0 and upto <= rest then {SUBBLOCKS} else coalesce(upto_sub, 0) end as below,
+  case when rest > 0 and upto <= rest then words else coalesce(some_words, 0) end as more from b2 left join cuts using (k, block)),
+b4 as (select *, rest - cast(sum(more) over (partition by k) as bigint) as missing from b3),
+b5 as (select *, case when below = 0 and words > 0 and rest > 0 then abs(missing - words) else 'infinity'::double end as miss from b4),
+b6 as (select * exclude (below), case when miss < abs(missing) and row_number() over (partition by k order by miss, block) = 1 then {SUBBLOCKS} else below end as below from b5),
+blocks as (select k, block, source_size, target, passes, below, passes + cast(below > 0 as int) as copies from b6),
 units as (select *, row_number() over (partition by k order by pass, {n(str(seed), "pass", "k", "block")}, block) as unit from (select k, block, unnest(range(copies)) as pass from blocks where copies > 0)),
 node0 as (select k, unit, 0 as node from units){tree},
 drawn as (select k, row_number() over (partition by k order by node, unit) as unit, node as shard from node{levels}),
