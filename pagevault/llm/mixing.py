@@ -131,8 +131,8 @@ def mixed_rows(df: DataFrame, *, seed: int = 7, weights: tuple[int, ...] = (1, 2
         chosen = F.broadcast(chosen)
     n, shards = _copies()
     copies = rows.join(chosen, ["k", "block"]).select("whole", "at", F.posexplode(shards).alias("pass", "shard"))
-    # a shard is several tasks: more rows than one task should hold, and no order across them
-    dealt = copies.repartition(F.col("shard"), F.col("at") % 16).sortWithinPartitions("shard", F.xxhash64("at", "pass", F.lit(seed)))
+    # a shard has more rows than one task should hold: each task shuffles its share of every shard
+    dealt = copies.repartition("shard", "at").sortWithinPartitions("shard", F.xxhash64("at", "pass", F.lit(seed)))
     return dealt.select(*[F.col("whole").getField(c).alias(c) for c in df.columns])
 
 
