@@ -8,9 +8,9 @@ occurrence. Windows whose selected phrase recurs are confirmed by the 64-bit has
 go if the same window starts in a document with a smaller id.
 
 Scale: documents select about one phrase in 22 words; the phrases' first and last documents are aggregated with partial
-sums, so a phrase of a third of all documents is no hot key. A task keeps its shard's automaton and one flush of windows,
+sums, so a phrase of a third of all documents is no hot key. A task keeps one shard's automaton and one flush of windows,
 not its documents. Of equal windows in a flush only the first leaves the task, so a hot window makes as many rows as
-there are shards. Texts are compressed before they are dealt out. The number of shards follows the number of rows.
+there are flushes. Texts are compressed before they are dealt out. The number of shards follows the number of rows.
 
 Defined results: null text has no words; texts below 50 words lose none; rows that share an id do not count as smaller
 than each other, and each loses what either would; rows with a null id lose nothing and take nothing from others; an
@@ -33,8 +33,9 @@ from .common import WordHashes, blocks, cut, grams, utf8
 
 #: Words of a phrase. Its words are 16-bit ids, so it is two longs, and 32 letters of an automaton.
 PHRASE = 8
-#: Rows of a shard, and windows that a task holds before it sends the first of each.
-SHARD_ROWS, FLUSH = 4000, 2_000_000
+#: Rows of a shard, shards of a task (several, so that tasks are alike), and windows that a task holds before it sends the
+#: first of each.
+SHARD_ROWS, TASK_SHARDS, FLUSH = 500, 8, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 28) - 1)
@@ -107,7 +108,7 @@ def shard(n: int) -> Column:
 
 
 class Held:
-    """Windows of a shard until they are sent: the first of each, and what is repeated in later documents."""
+    """Windows of a task until they are sent: the first of each, and what is repeated in later documents."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -129,6 +130,7 @@ class Held:
         of = np.cumsum(new) - 1
         repeated = doc > doc[first][of]
         rest = np.flatnonzero(~repeated)  # the first document's windows; each of its starts counts
+        rest = rest[np.lexsort((start[rest], doc[rest]))]  # neighbours alike: they compress better in the shuffle
         yield pa.RecordBatch.from_arrays([pa.array(w[rest].view(np.int64)), pa.array(doc[rest]), pa.array(start[rest].astype(np.int32)), pa.nulls(len(rest), pa.binary())], names=["w", "doc_id", "start", "starts"])
         w, doc, start = w[repeated], doc[repeated], start[repeated]
         order = np.lexsort((start, doc))
@@ -152,7 +154,6 @@ def located(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for at, doc_id, p, q, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "p", "q", "z")), strict=True):
                 if at != now:
-                    yield from held.flush()
                     now, machine, ready = at, ahocorasick.Automaton(ahocorasick.STORE_INTS), False
                 if doc_id is None:
                     machine.add_word(np.array([p, q], dtype="<i8").tobytes().hex(), 1)
@@ -190,7 +191,7 @@ def repeated(df: DataFrame, size: int, id_column: str, text_column: str) -> Data
     phrases = phrases.select("shard", nothing.cast("long").alias("doc_id"), "p", "q", nothing.cast("binary").alias("z"))
     texts = zipped(df.where(F.col(id_column).isNotNull()), id_column, text_column)
     texts = texts.select(shard(n).alias("shard"), "doc_id", nothing.cast("long").alias("p"), nothing.cast("long").alias("q"), "z")
-    rows = phrases.unionAll(texts).repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "p", "q", "z")
+    rows = phrases.unionAll(texts).repartition(-(-n // TASK_SHARDS), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "p", "q", "z")
     rows = located(rows.select(*columns), size)
     low = F.min(F.when(F.col("start").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("w"))
     rows = rows.withColumn("low", low).where("starts is not null or doc_id > low")
