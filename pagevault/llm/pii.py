@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) seed the search. Every seed, and every other
 instance; the words around it are its lexical patterns (the two words before it; the word before with the word after).
 On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is the smoothed
 mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds stay at 1).
-Patterns that score high and hold several distinct seeds mark the unseen instances beside them as `found`.
+Patterns that score high and hold several distinct seeds mark the unseen instances beside them as `found`. So are cards and
+phones that base matching loses because its match runs on into a neighbouring number: their own groups are tried again.
 
 Scale: texts are read in one narrow pass, whose per-row spans and instances are written to the shared checkpoint folder; the
 graph is aggregated with partial sums and holds each pair once, so copies neither weigh nor crowd. Patterns are joined, not
@@ -32,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
 #: Patterns that redact() keeps in its workers' memory (16 bytes each or so); more are joined.
 PATTERNS_HELD = 100_000
-SCANNED = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<pattern: long, instance: long, kind: string, start: int, stop: int>>"
+SCANNED = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<pattern: long, instance: long, kind: string, start: int, stop: int>>, again array<struct<start: int, stop: int>>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile("[0-9]")
@@ -82,6 +83,35 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def tried_again(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Cards and phones within failing matches: of a match's blank-separated groups, the longest runs that are valid."""
+    out: list[tuple[int, int]] = []
+    if not _DIGIT.search(text):
+        return out
+    have = set(base["card"]) | set(base["phone"])
+    for pattern, least, most in ((_CARD, 13, 19), (_PHONE, 9, 15)):
+        for m in pattern.finditer(text) if pattern is _CARD or "+" in text else ():
+            if m.span() in have or m.end() - m.start() <= least or " " not in m[0]:
+                continue
+            groups = [(m.start() + g.start(), m.start() + g.end(), len(_DIGIT.findall(g[0]))) for g in re.finditer("[^ ]+", m[0])]
+            i = 0
+            while i < len(groups):
+                digits, best = 0, None
+                for j in range(i, len(groups)):
+                    digits += groups[j][2]
+                    if digits > most:
+                        break
+                    if digits >= least and (pattern is _PHONE or luhn("".join(_DIGIT.findall(text[groups[i][0] : groups[j][1]])))):
+                        best = j
+                if best is not None:
+                    out.append((groups[i][0], groups[best][1]))
+                if pattern is _PHONE:  # only the beginning has the sign
+                    break
+                i = i + 1 if best is None else best + 1
+    spans = [x for k in KINDS for x in base[k]]
+    return sorted({x for x in out if not any(s < x[1] and x[0] < e for s, e in spans)})
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode()) - (1 << 63)
 
@@ -123,16 +153,17 @@ def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            counts, base, seen = [], [], []
+            counts, base, seen, again = [], [], [], []
             for raw in batch.column("text").to_pylist():
                 text = raw.decode()
                 spans = base_spans(text)
                 counts.append([len(spans[k]) for k in KINDS])
                 base.append(listed(spans))
                 seen.append([dict(zip(("pattern", "instance", "kind", "start", "stop"), x, strict=True)) for x in instances(text, spans)])
+                again.append([{"start": a, "stop": b} for a, b in tried_again(text, spans)])
             kind = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(-1, 4).T), pa.array(base, pa.string()), pa.array(seen, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base", "seen"])
+            columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(-1, 4).T), pa.array(base, pa.string()), pa.array(seen, kind), pa.array(again, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base", "seen", "again"])
 
     text = utf8(text_column)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, SCANNED)
@@ -169,11 +200,11 @@ def detect(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (kind:start:stop, comma-joined,
     base kinds first), n_found."""
     scanned = cut(scan(df, id_column=id_column, text_column=text_column))
-    extra = found(scanned, accepted(scanned))
-    out = scanned.alias("a").join(extra.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
-    more = F.coalesce(F.array_join(F.transform("b.spans", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
+    out = scanned.alias("a").join(found(scanned, accepted(scanned)).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
+    extra = F.array_sort(F.array_union(F.coalesce("b.spans", F.array().cast("array<struct<start:int,stop:int>>")), F.col("a.again")))
+    more = F.coalesce(F.array_join(F.transform(extra, lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
     spans = F.concat_ws(",", *[F.when(x != "", x) for x in (F.col("a.base"), more)])
-    return out.select("a.doc_id", *[f"a.n_{k}" for k in KINDS], F.sha2(F.col("a.base"), 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("b.spans"), F.lit(0)).cast("long").alias("n_found"))
+    return out.select("a.doc_id", *[f"a.n_{k}" for k in KINDS], F.sha2(F.col("a.base"), 256).alias("base_sha256"), spans.alias("spans"), F.size(extra).cast("long").alias("n_found"))
 
 
 def without(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -202,6 +233,7 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     def clean(text: str, more: list[dict] | None) -> str:
         base = base_spans(text)
         spans = [(s, e, k) for k in KINDS for s, e in base[k]] + [(x["start"], x["stop"], FOUND) for x in more or []]
+        spans += [(s, e, FOUND) for s, e in tried_again(text, base)]
         if held:
             spans += [(s, e, FOUND) for p, _, k, s, e in instances(text, base) if k is None and p in held]
         return without(text, spans) if spans else text

@@ -44,6 +44,14 @@ def test_base_spans_equal_plain_patterns():
     assert pii.base_spans("1" * 30_000)["ip"] == [] and pii.base_spans("a" * 50_000 + "@")["email"] == []
 
 
+def test_numbers_that_run_into_others_are_tried_again():
+    text = "call +1 (826) 555-4081 190.137.223.204 or 4111111111111111 10.1.2.3, not 1234567890123456 99 +12345"
+    base = pii.base_spans(text)
+    assert base["phone"] == [] and base["card"] == [] and len(base["ip"]) == 2
+    assert [text[s:e] for s, e in pii.tried_again(text, base)] == ["+1 (826) 555-4081", "4111111111111111"]
+    assert pii.tried_again("", pii.base_spans("")) == [] and pii.tried_again("+1 (826) 555-4081", pii.base_spans("+1 (826) 555-4081")) == []
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rng = random.Random(2)
     texts = odd_texts()
