@@ -35,7 +35,7 @@ from .common import WordHashes, blocks, cut, grams, utf8
 PHRASE = 8
 #: Rows of a shard, shards of a task (several, so that tasks are alike), and windows that a task holds before it sends the
 #: first of each.
-SHARD_ROWS, TASK_SHARDS, FLUSH = 500, 8, 2_000_000
+SHARD_ROWS, TASK_SHARDS, FLUSH = 500, 8, 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 28) - 1)
