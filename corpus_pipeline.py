@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import langid, minhash, mixing, packing, pii
+from pagevault.llm.common import bounded
 from pagevault.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language's centroids come near, and those without letters."""
+    bounded(spark)
     model = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return langid.accepted_rows(docs, model)
 

@@ -13,11 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word hashes that one Python worker keeps; beyond it the cache starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of an Arrow batch; both sides of a Python worker hold a few.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches small: rows here hold whole documents."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):  # its default; other settings are the session's own
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -26,8 +38,12 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows again, in slices of about most_bytes of a binary column (one row at least)."""
+def blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows again, in slices of about most_bytes of a binary column (one row at least).
+
+    Workers outlive their tasks: what earlier batches took is given back before the next one, and at the end.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
         data = batch.column(column)
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(data), 0), dtype=np.int64))
@@ -37,6 +53,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, data
+        pool.release_unused()
 
 
 class WordHashes(dict):

@@ -117,8 +117,8 @@ def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.
     """Language, cosine and whether it is rejected, for each text."""
     langs, scores, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
     known = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-    for part in range(0, len(known), 512):
-        these = known[part : part + 512]
+    for part in range(0, len(known), 128):
+        these = known[part : part + 128]
         cosine = vectors([texts[i] for i in these], model.idf) @ model.centroids.T
         best = cosine.argmax(axis=1)
         top = np.clip(cosine[np.arange(len(these)), best], 0, 1).astype(float)
@@ -144,13 +144,14 @@ def accepted_rows(df: DataFrame, model: Model, *, text_column: str = "text") ->
     """The rows of df whose text is not rejected, as they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 2 << 20):
-            _, _, rejected = judged([t or b"" for t in batch.column("text").to_pylist()], model)
-            yield batch.select(["whole"]).filter(pa.array(~rejected))
-
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text_column).cast("string").cast("binary").alias("text"))
-    out = rows.mapInArrow(run, f"whole {rows.schema['whole'].dataType.simpleString()}")
-    return out.select(*[F.col("whole").getField(c).alias(c) for c in df.columns])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                _, _, rejected = judged([(t or "").encode() for t in part.column(at).to_pylist()], model)
+                yield part.filter(pa.array(~rejected))
+
+    at = df.columns.index(text_column)
+    return df.mapInArrow(run, df.schema)
 
 
 def remainder(id_column: str, modulus: int) -> Column:

@@ -101,7 +101,7 @@ def pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id:
     """Arrow rows (doc_id, text as bytes) to rows of PIECES."""
     ids, end = Ids.at(path), np.asarray([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", 2 << 20):
         texts = [t.split() for t in batch.column("text").to_pylist()]
         ids.learn(texts)
         rows: list[tuple] = []
@@ -115,6 +115,8 @@ def pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id:
             [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)],
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
+    ids.clear()  # the worker goes on to other work
+    ids.pieces.clear()
 
 
 class OpenBins:

@@ -221,14 +221,14 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     """df with every span of its text replaced; other columns as they are. Null texts stay null."""
     scanned = cut(scan(df, id_column=id_column, text_column=text_column))
     trusted = accepted(scanned).select("pattern").distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("text"))
+    held: frozenset[int] = frozenset()
+    at, rows, names = df.columns.index(text_column), df, list(df.columns)
     if trusted.count() <= PATTERNS_HELD:
         held = frozenset(r.pattern for r in trusted.collect())
-        rows = rows.select("whole", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
-    else:
-        held = frozenset()
-        extra = found(scanned, trusted).withColumnRenamed("doc_id", "e")
-        rows = rows.withColumn("h", F.xxhash64(utf8("text"))).join(extra, F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("th")), "left").select("whole", "text", "spans")
+    else:  # spans come as the last column
+        extra = found(scanned, trusted).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), "spans")
+        extra = extra.select("_pii_id", "_pii_hash", F.col("spans").alias("_pii_spans"))
+        rows = df.join(extra, df[id_column].cast("long").eqNullSafe(extra["_pii_id"]) & (F.xxhash64(utf8(text_column)) == extra["_pii_hash"]), "left").drop("_pii_id", "_pii_hash")
 
     def clean(text: str, more: list[dict] | None) -> str:
         base = base_spans(text)
@@ -240,9 +240,10 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else clean(t, more) for t, more in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(texts, pa.string())], names=["whole", "text"])
+            more = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows
+            texts = [t if t is None else clean(t, x) for t, x in zip(batch.column(at).to_pylist(), more, strict=True)]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = rows.schema["whole"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"whole {kind}, text string")
-    return out.select(*[F.col("text").alias(c) if c == text_column else F.col("whole").getField(c).alias(c) for c in df.columns])
+    return rows.mapInArrow(run, df.schema)
