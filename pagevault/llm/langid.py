@@ -2,8 +2,9 @@
 
 A text is a TF-IDF vector of hashed byte 2-grams and 3-grams (ASCII letters lower-cased; other ASCII is white space),
 normalised to length 1. Fitting clusters a bounded sample of each language's vectors (spherical k-means); prediction
-takes the language of the centroid with the largest cosine. A text whose distance 1 - cosine exceeds its language's
-radius (a multiple of what the sample shows) is marked as rejected.
+takes the language of the centroid with the largest cosine. Junk shares buckets with any centroid, the more the longer it
+is: the cosine that a text's weight would have if it fell on buckets at random is taken off, and a text is rejected if
+what remains is below its language's limit (a fraction of what the sample shows), whatever its length.
 
 Scoring is one narrow pass over whole texts in slices bounded by bytes; what it ships is the centroids, whose size
 depends on the parameters alone. Only the sample's fixed-size vectors reach the driver.
@@ -40,7 +41,8 @@ class Model:
     owner: np.ndarray  # of each centroid, the language's index
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # cosine below which a text is rejected, by language
+    chance: np.ndarray  # of each centroid, the cosine that each unit of a vector's sum has at random buckets
+    least: np.ndarray  # cosine beyond chance below which a text is rejected, by language
 
 
 def has_letter(text: bytes) -> bool:
@@ -66,6 +68,19 @@ def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def by_chance(centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Mean of each centroid over buckets, weighted as the n-grams in them are."""
+    return centroids @ idf / idf.sum()
+
+
+def nearest_centroid(x: np.ndarray, centroids: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each vector: the nearest centroid, its cosine, and the cosine beyond chance."""
+    cosine = x @ centroids.T
+    best = cosine.argmax(axis=1)
+    top = cosine[np.arange(len(x)), best]
+    return best, top, top - x.sum(axis=1) * chance[best]
+
+
 def sample(df: DataFrame, per_language: int, most_languages: int = 64) -> DataFrame:
     """About per_language rows of each language, chosen by a hash of the id; at most per_language * most_languages."""
     sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
@@ -76,7 +91,7 @@ def sample(df: DataFrame, per_language: int, most_languages: int = 64) -> DataFr
     return df.where(F.col("lang").isin(list(sizes)) & drawn).limit(2 * per_language * len(sizes))
 
 
-def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, rounds: int = 8, slack: float = 6.0) -> Model:
+def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, rounds: int = 8, slack: float = 5.0) -> Model:
     """labelled: doc_id, text, lang. Learns from a sample bounded by per_language (expected) rows of each language."""
     rows = sample(labelled.where("lang is not null and text is not null"), per_language)
 
@@ -88,7 +103,7 @@ def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, roun
     got = rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, counts binary").toArrow()
     langs, raw = got.column("lang").to_pylist(), got.column("counts").to_pylist()
     if not langs:
-        return Model([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.ones(WIDTH, np.float32), np.zeros(0))
+        return Model([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.ones(WIDTH, np.float32), np.zeros(0), np.zeros(0))
     order = sorted(range(len(langs)), key=lambda i: (langs[i], raw[i]))  # independent of the order of arrival
     x = np.frombuffer(b"".join(raw[i] for i in order), dtype=np.uint32).reshape(-1, WIDTH)
     langs = np.array([langs[i] for i in order])
@@ -107,10 +122,12 @@ def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, roun
                 if (nearest == i).any():
                     centre[i] = own[nearest == i].mean(axis=0)
             centre /= np.maximum(np.sqrt((centre * centre).sum(axis=1, keepdims=True)), 1e-12)
-        least.append(float(np.quantile((own @ centre.T).max(axis=1), 0.01)) / slack)
+        _, _, beyond = nearest_centroid(own, centre, by_chance(centre, idf))
+        least.append(float(np.quantile(beyond, 0.01)) / slack)
         centroids.append(centre)
         owner += [n] * k
-    return Model(names, np.array(owner), np.concatenate(centroids).astype(np.float32), idf, np.array(least))
+    every = np.concatenate(centroids).astype(np.float32)
+    return Model(names, np.array(owner), every, idf, by_chance(every, idf), np.array(least))
 
 
 def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -119,12 +136,10 @@ def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.
     known = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
     for part in range(0, len(known), 128):
         these = known[part : part + 128]
-        cosine = vectors([texts[i] for i in these], model.idf) @ model.centroids.T
-        best = cosine.argmax(axis=1)
-        top = np.clip(cosine[np.arange(len(these)), best], 0, 1).astype(float)
+        best, top, beyond = nearest_centroid(vectors([texts[i] for i in these], model.idf), model.centroids, model.chance)
         for i, b in zip(these, model.owner[best].tolist(), strict=True):
             langs[i] = model.languages[b]
-        scores[these], rejected[these] = np.round(top, 4), top < model.least[model.owner[best]]
+        scores[these], rejected[these] = np.round(np.clip(top, 0, 1).astype(float), 4), beyond < model.least[model.owner[best]]
     return langs, scores, rejected
 
 

@@ -1,5 +1,6 @@
 """Private data, languages, quality, url rules, mixing and packing."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -103,6 +104,20 @@ def test_languages(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_junk_and_unlearned_scripts_are_rejected_at_any_length(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(frame.where(langid.remainder("doc_id", 4) != 2))
+    rng = random.Random(8)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "han": "".join(map(chr, range(0x4E00, 0x5A00))), "cyrillic": "".join(map(chr, range(0x430, 0x450))) + "  "}
+    for size in (100, 300, 3000, 30_000):
+        junk = {k: [("".join(rng.choices(v, k=size))).encode() for _ in range(30)] for k, v in letters.items()}
+        junk["base64"] = [base64.b64encode(rng.randbytes(size * 3 // 4)) for _ in range(30)]
+        for kind, texts in junk.items():
+            assert langid.judged(texts, model)[2].mean() >= 0.9, (kind, size)
+    texts = [r.text.encode() for r in frame.where("lang is not null").collect() if langid.has_letter((r.text or "").encode())]
+    assert langid.judged(texts, model)[2].mean() < 0.01
+
+
 def test_nearest_centroid_by_hand(spark):
     texts = ["aaaa bbbb aaaa", "cccc dddd cccc", "aaaa", "cccc zz"]
     model = langid.fit(documents(spark, texts[:2], langs=["x", "y"]), clusters=1)
