@@ -7,7 +7,8 @@ is: the cosine that a text's weight would have if it fell on buckets at random i
 what remains is below its language's limit (a fraction of what the sample shows), whatever its length.
 
 Scoring is one narrow pass over whole texts in slices bounded by bytes; what it ships is the centroids, whose size
-depends on the parameters alone. Only the sample's fixed-size vectors reach the driver.
+depends on the parameters and the number of languages alone. All languages of the labels are learned, each by one task;
+only their centroids (64 KB each) and sums over the sample reach the driver.
 
 Defined results: null texts and texts without a letter are `und`, score 0 and rejected; with nothing to learn from,
 every text is; equal texts get equal rows; ties go to the language that sorts first; an empty table gives no rows;
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, cut
 
 #: Buckets of n-grams.
 WIDTH = 4096
@@ -81,53 +82,67 @@ def nearest_centroid(x: np.ndarray, centroids: np.ndarray, chance: np.ndarray) -
     return best, top, top - x.sum(axis=1) * chance[best]
 
 
-def sample(df: DataFrame, per_language: int, most_languages: int = 64) -> DataFrame:
-    """About per_language rows of each language, chosen by a hash of the id; at most per_language * most_languages."""
-    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return df.limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    return df.where(F.col("lang").isin(list(sizes)) & drawn).limit(2 * per_language * len(sizes))
+def sample(df: DataFrame, per_language: int) -> DataFrame:
+    """About per_language rows of each language, chosen by a hash of the id; at most twice as many of any."""
+    sizes = df.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
+    rows = df.join(F.broadcast(sizes), "lang").where(drawn < F.col("share") * (1 << 20)).drop("share")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
+    return rows.withColumn("_drawn", F.row_number().over(order)).where(F.col("_drawn") <= 2 * per_language).drop("_drawn")
+
+
+def clustered(own: np.ndarray, idf: np.ndarray, clusters: int, rounds: int) -> tuple[np.ndarray, float]:
+    """Centroids of one language's counts, and the 1% quantile of their cosines beyond chance."""
+    own = np.log1p(own.astype(np.float32)) * idf
+    own /= np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), 1e-12)
+    k = min(clusters, len(own))
+    centre = own[np.linspace(0, len(own) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        nearest = (own @ centre.T).argmax(axis=1)
+        for i in range(k):
+            if (nearest == i).any():
+                centre[i] = own[nearest == i].mean(axis=0)
+        centre /= np.maximum(np.sqrt((centre * centre).sum(axis=1, keepdims=True)), 1e-12)
+    _, _, beyond = nearest_centroid(own, centre, by_chance(centre, idf))
+    return centre, float(np.quantile(beyond, 0.01))
 
 
 def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, rounds: int = 8, slack: float = 5.0) -> Model:
-    """labelled: doc_id, text, lang. Learns from a sample bounded by per_language (expected) rows of each language."""
-    rows = sample(labelled.where("lang is not null and text is not null"), per_language)
+    """labelled: doc_id, text, lang. Learns every language, from a sample bounded by per_language (expected) rows of each."""
+    rows = sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), per_language)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             found = counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.astype(np.uint32).tobytes() for x in found])], names=["lang", "counts"])
 
-    got = rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, counts binary").toArrow()
-    langs, raw = got.column("lang").to_pylist(), got.column("counts").to_pylist()
-    if not langs:
+    def holding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of_all = np.zeros(WIDTH, dtype=np.int64), 0
+        for batch in blocks(batches, "counts"):
+            x = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+            total += (x > 0).sum(axis=0)
+            of_all += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([of_all]), pa.array([total.tobytes()])], names=["texts", "total"])
+
+    counted = cut(rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, counts binary"))
+    sums = counted.select("counts").mapInArrow(holding, "texts long, total binary").toLocalIterator()
+    texts, total = 0, np.zeros(WIDTH, dtype=np.int64)
+    for r in sums:
+        texts, total = texts + r.texts, total + np.frombuffer(r.total, dtype=np.int64)
+    if not texts:
         return Model([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.ones(WIDTH, np.float32), np.zeros(0), np.zeros(0))
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], raw[i]))  # independent of the order of arrival
-    x = np.frombuffer(b"".join(raw[i] for i in order), dtype=np.uint32).reshape(-1, WIDTH)
-    langs = np.array([langs[i] for i in order])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x = np.log1p(x.astype(np.float32)) * idf
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-    names = sorted(set(langs.tolist()))
-    owner, centroids, least = [], [], []
-    for n, name in enumerate(names):
-        own = x[langs == name]
-        k = min(clusters, len(own))
-        centre = own[np.linspace(0, len(own) - 1, k).astype(int)].copy()
-        for _ in range(rounds):
-            nearest = (own @ centre.T).argmax(axis=1)
-            for i in range(k):
-                if (nearest == i).any():
-                    centre[i] = own[nearest == i].mean(axis=0)
-            centre /= np.maximum(np.sqrt((centre * centre).sum(axis=1, keepdims=True)), 1e-12)
-        _, _, beyond = nearest_centroid(own, centre, by_chance(centre, idf))
-        least.append(float(np.quantile(beyond, 0.01)) / slack)
-        centroids.append(centre)
-        owner += [n] * k
-    every = np.concatenate(centroids).astype(np.float32)
-    return Model(names, np.array(owner), every, idf, by_chance(every, idf), np.array(least))
+    idf = (np.log((1 + texts) / (1 + total)) + 0.1).astype(np.float32)
+
+    def learn(group: pa.Table) -> pa.Table:
+        raw = sorted(group.column("counts").to_pylist())  # independent of the order of arrival
+        centre, quantile = clustered(np.frombuffer(b"".join(raw), dtype=np.uint32).reshape(-1, WIDTH), idf, clusters, rounds)
+        return pa.table({"lang": group.column("lang")[:1], "centroids": pa.array([centre.astype(np.float32).tobytes()]), "quantile": pa.array([quantile])})
+
+    got = counted.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, quantile double").toArrow().sort_by("lang")
+    own = [np.frombuffer(c, dtype=np.float32).reshape(-1, WIDTH) for c in got.column("centroids").to_pylist()]
+    every = np.concatenate(own)
+    owner = np.repeat(np.arange(len(own)), [len(c) for c in own])
+    return Model(got.column("lang").to_pylist(), owner, every, idf, by_chance(every, idf), np.array(got.column("quantile").to_pylist()) / slack)
 
 
 def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -118,6 +118,17 @@ def test_junk_and_unlearned_scripts_are_rejected_at_any_length(spark):
     assert langid.judged(texts, model)[2].mean() < 0.01
 
 
+def test_rare_languages_of_many_are_learned(spark):
+    rng = random.Random(9)
+    names = [f"l{i:02}" for i in range(70)]
+    own = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in names}
+    langs = [k for n, k in enumerate(names) for _ in range(2 if n < 66 else 1)]
+    texts = [" ".join(rng.choices(own[k], k=30)) for k in langs]
+    model = langid.fit(documents(spark, texts, langs=langs))
+    assert model.languages == names
+    assert langid.judged([t.encode() for t in texts], model)[0] == langs
+
+
 def test_nearest_centroid_by_hand(spark):
     texts = ["aaaa bbbb aaaa", "cccc dddd cccc", "aaaa", "cccc zz"]
     model = langid.fit(documents(spark, texts[:2], langs=["x", "y"]), clusters=1)
