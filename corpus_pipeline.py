@@ -18,7 +18,8 @@ from pagevault.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no language's centroids come near, and those without letters."""
+    """Drops documents that no language's centroids come near, and those without letters; only these if no document tells
+    its language."""
     bounded(spark)
     model = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return langid.accepted_rows(docs, model)

@@ -83,9 +83,9 @@ def nearest_centroid(x: np.ndarray, centroids: np.ndarray, chance: np.ndarray) -
 
 
 def sample(df: DataFrame, per_language: int) -> DataFrame:
-    """About per_language rows of each language, chosen by a hash of the id; at most twice as many of any."""
+    """About per_language rows of each language, chosen by a hash of id and text; at most twice as many of any."""
     sizes = df.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20))
     rows = df.join(F.broadcast(sizes), "lang").where(drawn < F.col("share") * (1 << 20)).drop("share")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
     return rows.withColumn("_drawn", F.row_number().over(order)).where(F.col("_drawn") <= 2 * per_language).drop("_drawn")
@@ -171,14 +171,15 @@ def predict(df: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
 
 
 def accepted_rows(df: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
-    """The rows of df whose text is not rejected, as they are."""
+    """The rows of df whose text is not rejected, as they are; with nothing to learn from, those with a letter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                _, _, rejected = judged([(t or "").encode() for t in part.column(at).to_pylist()], model)
-                yield part.filter(pa.array(~rejected))
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                kept = ~judged(texts, model)[2] if model.languages else np.array([has_letter(t) for t in texts], dtype=bool)
+                yield part.filter(pa.array(kept))
 
     at = df.columns.index(text_column)
     return df.mapInArrow(run, df.schema)

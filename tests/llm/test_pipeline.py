@@ -85,5 +85,10 @@ def test_run_writes_every_stage(spark, fixture_dir):
     assert out.columns[:2] == ["doc_id", "piece"] and out.count() > 0
 
 
+def test_languages_without_labels_keep_documents(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (None, "other words", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, "").collect()) == ["other words", "some words"]
+
+
 def test_no_letters_means_undetermined():
     assert not langid.has_letter(b"12 34 !") and langid.has_letter("漢".encode()) and not langid.has_letter("٣ ́".encode())

@@ -129,6 +129,12 @@ def test_rare_languages_of_many_are_learned(spark):
     assert langid.judged([t.encode() for t in texts], model)[0] == langs
 
 
+def test_null_ids_are_sampled_by_text(spark):
+    rng = random.Random(12)
+    rows = [(None, words(rng, 20), "en") for _ in range(400)]
+    assert 60 < langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100).count() < 150
+
+
 def test_nearest_centroid_by_hand(spark):
     texts = ["aaaa bbbb aaaa", "cccc dddd cccc", "aaaa", "cccc zz"]
     model = langid.fit(documents(spark, texts[:2], langs=["x", "y"]), clusters=1)
