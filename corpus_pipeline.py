@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies."""
-    dropped = minhash.near_duplicates(docs, shingle=5, percent=85).where("not kept").select("doc_id").distinct()
+    """Keeps the smallest id of each group of near copies: similarity 0.80 or more over five-word shingles."""
+    dropped = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

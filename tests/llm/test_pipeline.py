@@ -90,5 +90,12 @@ def test_languages_without_labels_keep_documents(spark):
     assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, "").collect()) == ["other words", "some words"]
 
 
+def test_near_copies_at_four_fifths_are_dropped(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:91], *(f"x{i}" for i in range(9))]), " ".join([*base[12:], *(f"y{i}" for i in range(12))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")  # 87 of 105 shingles: 0.829; 84 of 108: 0.778
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
 def test_no_letters_means_undetermined():
     assert not langid.has_letter(b"12 34 !") and langid.has_letter("漢".encode()) and not langid.has_letter("٣ ́".encode())
