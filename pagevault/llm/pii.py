@@ -1,7 +1,7 @@
 """Personal data: exact base kinds, and identifiers found by bootstrapped contextual extraction.
 
 Base spans (email, ip, card, phone) seed the search. Every seed, and every other string that holds a digit or an @, is an
-instance; the words around it are its lexical patterns (the two words before it; the word before with the word after).
+instance (neighbouring groups of digits are one); the words around it are its lexical patterns (the two words before it; the word before with the word after).
 On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is the smoothed
 mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds stay at 1).
 Patterns that score high and hold several distinct seeds mark the unseen instances beside them as `found`. So are cards and
@@ -42,6 +42,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _STRING = re.compile(r"\S+")
+# groups of one number: after at most three letters, or without small letters; between them blanks, also in brackets
+_GROUP = re.compile(r"[A-Za-z]{0,3}[0-9][0-9/().-]*")
+_GAP = re.compile(r"[()]?[ \t\u00a0]+[()]?")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~"
 
 
@@ -133,14 +136,24 @@ def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[i
     spans = [(s, e, k) for k in KINDS for s, e in base[k]]
     if "@" in text or _DIGIT.search(text):
         taken = sorted((s, e) for s, e, _ in spans)
+        runs: list[list[int]] = []
+        open_ = False  # whether the last run can go on
         for m in _STRING.finditer(text):
             word = m[0]
-            if len(word) < 5 or not ("@" in word or _DIGIT.search(word)):
-                continue
             core = word.strip(_EDGE)
-            start = m.start() + word.find(core) if core else m.start()
-            if len(core) >= 5 and not any(s < start + len(core) and start < e for s, e in taken):
-                spans.append((start, start + len(core), None))
+            start = m.start() + word.find(core)
+            stop = start + len(core)
+            number = bool(_DIGIT.search(core))
+            if not (number or "@" in core.strip("@")) or any(s < stop and start < e for s, e in taken):
+                open_ = False
+                continue
+            joins = number and (bool(_GROUP.fullmatch(core)) or core == core.upper())
+            if open_ and joins and _GAP.fullmatch(text, runs[-1][1], start):
+                runs[-1][1] = stop
+            else:
+                runs.append([start, stop])
+            open_ = joins
+        spans += [(s, e, None) for s, e in runs]
     return [(p, _hash("instance", text[s:e].lower()), k, s, e) for s, e, k in spans for p in patterns(text, s, e)]
 
 

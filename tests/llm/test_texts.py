@@ -84,6 +84,20 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.detect(frame.limit(0)).count() == 0
 
 
+def test_numbers_in_groups_are_found_whole(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(9))
+    hidden = ["0170 123 456", "826 555 4081", "(826) 555 4082", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1112", "7731"]
+    texts = [f"{prose()} call me at +1 (826) 555-{4000 + i} {prose()}" for i in range(30)] + [f"{prose()} call me at {h}, {prose()} in 12 34 {prose()}" for h in hidden]
+    frame = documents(spark, texts)
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    for i, h in enumerate(hidden, 30):
+        assert clean[i] == texts[i].replace(h.strip("("), "[FOUND]"), clean[i]
+        assert pii.instances(texts[i], pii.base_spans(texts[i]))[-1][3:] == (texts[i].index("12 34"), texts[i].index("12 34") + 5)
+    spans = {r.doc_id: r.spans for r in pii.detect(frame).collect()}
+    assert all(spans[i].count(":") == 2 for i in range(len(texts)))
+
+
 def test_languages(spark):
     documents_ = spark.read.parquet(f"{SF}/documents.parquet")
     frame = clashing(documents_)
