@@ -4,12 +4,13 @@ Base spans (email, ip, card, phone) seed the search. Every seed, and every other
 instance (neighbouring groups of digits are one); the words around it are its lexical patterns (the two words before it; the word before with the word after).
 On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is the smoothed
 mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds stay at 1).
-Patterns that score high and hold several distinct seeds mark the unseen instances beside them as `found`. So are cards and
+Patterns that score high and hold several distinct seeds, or instances as sure, mark the unseen instances beside them as
+`found`; instances that score high are marked wherever they occur, unless they are shorter than DISTINCT. So are cards and
 phones that base matching loses because its match runs on into a neighbouring number: their own groups are tried again.
 
 Scale: texts are read in one narrow pass, whose per-row spans and instances are written to the shared checkpoint folder; the
 graph is aggregated with partial sums and holds each pair once, so copies neither weigh nor crowd. Patterns are joined, not
-broadcast, except that redact() hands at most PATTERNS_HELD of them to its workers and otherwise joins spans to texts.
+broadcast, except that redact() hands at most PATTERNS_HELD of them, and of instances, to its workers and otherwise joins spans to texts.
 
 Defined results: null text is empty and has no spans; base spans may overlap between kinds; found spans never overlap base
 spans; equal rows get equal spans; an empty table gives no rows; further columns are ignored or, in redact, kept.
@@ -31,7 +32,9 @@ from .common import blocks, cut, utf8
 #: Kinds in the order of results; what patterns find comes last.
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
-#: Patterns that redact() keeps in its workers' memory (16 bytes each or so); more are joined.
+#: Characters from which on an instance is taken for the same identifier in any context.
+DISTINCT = 5
+#: Patterns and instances that redact() keeps in its workers' memory (16 bytes each or so); more are joined.
 PATTERNS_HELD = 100_000
 SCANNED = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<pattern: long, instance: long, kind: string, start: int, stop: int>>, again array<struct<start: int, stop: int>>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -131,8 +134,8 @@ def patterns(text: str, start: int, stop: int) -> list[int]:
     return out
 
 
-def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str | None, int, int]]:
-    """pattern, instance, kind (of seeds), start, stop."""
+def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int | None, int, str | None, int, int]]:
+    """pattern, instance, kind (of seeds), start, stop; without words around it, an instance has the pattern None."""
     spans = [(s, e, k) for k in KINDS for s, e in base[k]]
     if "@" in text or _DIGIT.search(text):
         taken = sorted((s, e) for s, e, _ in spans)
@@ -154,7 +157,7 @@ def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[i
                 runs.append([start, stop])
             open_ = joins
         spans += [(s, e, None) for s, e in runs]
-    return [(p, _hash("instance", text[s:e].lower()), k, s, e) for s, e, k in spans for p in patterns(text, s, e)]
+    return [(p, _hash("instance", " ".join(text[s:e].lower().split())), k, s, e) for s, e, k in spans for p in patterns(text, s, e) or [None]]
 
 
 def listed(base: dict[str, list[tuple[int, int]]]) -> str:
@@ -182,38 +185,39 @@ def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text")
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, SCANNED)
 
 
-def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, least_score: float = 0.7, least_seeds: int = 3) -> DataFrame:
-    """pattern, kind: the patterns that are trusted after some rounds of scoring."""
-    edges = scanned.select(F.explode("seen").alias("s")).select("s.pattern", "s.instance", "s.kind").distinct()
-    edges = cut(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count("kind").alias("seeds")).where(F.col("size") >= least_seeds)
-    scores = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, least_score: float = 0.7, least_seeds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The patterns that are trusted after some rounds of scoring, and the unseen instances that are as sure."""
+    seen = scanned.select(F.explode("seen").alias("s")).where("s.pattern is not null")
+    edges = seen.select("s.pattern", "s.instance", "s.kind", (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct")).distinct()
+    edges = cut(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("distinct").alias("distinct")))
+    size = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_seeds)
     seeds = edges.where("kind is not null").select("instance").distinct()
-    for n in range(rounds):
-        told = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum((F.col("score") >= 1).cast("int")).alias("own"))
+    unseen = edges.where("kind is null and distinct").select("pattern", "instance").join(seeds, "instance", "left_anti")
+    first = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    scores = first
+    for _ in range(rounds):
+        told = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum((F.col("score") >= least_score).cast("int")).alias("own"))
         told = told.join(size, "pattern").select("pattern", "kind", "own", (F.col("sum") / (F.col("size") + smoothing)).alias("score"))
         told = cut(told.where(F.col("own") >= least_seeds))
-        if n + 1 < rounds:
-            trusted = told.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
-            unseen = edges.where("kind is null").select("pattern", "instance").join(seeds, "instance", "left_anti")
-            new = unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
-            scores = scores.unionAll(new.select("instance", "kind", "score"))
-            scores = scores.groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    return cut(told.where(F.col("score") >= least_score).select("pattern", "kind"))
+        trusted = told.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
+        new = cut(unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")))
+        scores = first.unionAll(new)
+    return cut(told.where(F.col("score") >= least_score).select("pattern").distinct()), cut(new.where(F.col("score") >= least_score).select("instance").distinct())
 
 
-def found(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, th, spans: sorted distinct (start, stop) of unseen instances beside trusted patterns."""
-    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where("s.kind is null").select("doc_id", "th", "s.pattern", "s.start", "s.stop")
-    seen = seen.join(trusted.select("pattern").distinct(), "pattern").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return seen.select("doc_id", "th", F.array_sort("spans").alias("spans"))
+def found(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, th, spans: sorted distinct (start, stop) of unseen instances that are beside trusted patterns or known."""
+    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where("s.kind is null").select("doc_id", "th", "s.pattern", "s.instance", "s.start", "s.stop")
+    marked = seen.join(trusted, "pattern", "left_semi").unionByName(seen.join(known, "instance", "left_semi"))
+    marked = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return marked.select("doc_id", "th", F.array_sort("spans").alias("spans"))
 
 
 def detect(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (kind:start:stop, comma-joined,
     base kinds first), n_found."""
     scanned = cut(scan(df, id_column=id_column, text_column=text_column))
-    out = scanned.alias("a").join(found(scanned, accepted(scanned)).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
+    out = scanned.alias("a").join(found(scanned, *accepted(scanned)).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     extra = F.array_sort(F.array_union(F.coalesce("b.spans", F.array().cast("array<struct<start:int,stop:int>>")), F.col("a.again")))
     more = F.coalesce(F.array_join(F.transform(extra, lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
     spans = F.concat_ws(",", *[F.when(x != "", x) for x in (F.col("a.base"), more)])
@@ -233,13 +237,15 @@ def without(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """df with every span of its text replaced; other columns as they are. Null texts stay null."""
     scanned = cut(scan(df, id_column=id_column, text_column=text_column))
-    trusted = accepted(scanned).select("pattern").distinct()
+    trusted, known = accepted(scanned)
     held: frozenset[int] = frozenset()
+    instances_held: frozenset[int] = frozenset()
     at, rows, names = df.columns.index(text_column), df, list(df.columns)
-    if trusted.count() <= PATTERNS_HELD:
+    if trusted.count() + known.count() <= PATTERNS_HELD:
         held = frozenset(r.pattern for r in trusted.collect())
+        instances_held = frozenset(r.instance for r in known.collect())
     else:  # spans come as the last column
-        extra = found(scanned, trusted).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), "spans")
+        extra = found(scanned, trusted, known).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), "spans")
         extra = extra.select("_pii_id", "_pii_hash", F.col("spans").alias("_pii_spans"))
         rows = df.join(extra, df[id_column].cast("long").eqNullSafe(extra["_pii_id"]) & (F.xxhash64(utf8(text_column)) == extra["_pii_hash"]), "left").drop("_pii_id", "_pii_hash")
 
@@ -247,8 +253,8 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
         base = base_spans(text)
         spans = [(s, e, k) for k in KINDS for s, e in base[k]] + [(x["start"], x["stop"], FOUND) for x in more or []]
         spans += [(s, e, FOUND) for s, e in tried_again(text, base)]
-        if held:
-            spans += [(s, e, FOUND) for p, _, k, s, e in instances(text, base) if k is None and p in held]
+        if held or instances_held:
+            spans += [(s, e, FOUND) for p, i, k, s, e in instances(text, base) if k is None and (p in held or i in instances_held)]
         return without(text, spans) if spans else text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,29 @@ def test_numbers_in_groups_are_found_whole(spark):
     assert all(spans[i].count(":") == 2 for i in range(len(texts)))
 
 
+def test_found_identifiers_count_elsewhere_and_induce_patterns(spark):
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(9))
+    texts = [f"{prose()} write to user{i}@mail.example.org {prose()}" for i in range(20)]
+    texts += [f"{prose()} write to hidden{i}#at#mail {prose()}" for i in range(4)]
+    texts += [f"{prose()} known as hidden{i}#at#mail {prose()}" for i in range(4)] + [f"{prose()} known as second0#at#mail {prose()}"]
+    texts += [f"{prose()} second0#at#mail {prose()}", "hidden2#at#mail", f"{prose()} other4#at#mail {prose()}", f"{prose()} write to 7731 {prose()}", f"{prose()} 7731 {prose()}"]
+    frame = documents(spark, texts)
+    want = {i: re.findall(r"(?:hidden|second)[0-9]#at#mail", t) for i, t in enumerate(texts)} | {32: ["7731"]}
+    got = {}
+    for r in pii.detect(frame).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("found")]
+        got[r.doc_id] = [texts[r.doc_id][int(s) : int(e)] for _, s, e in spans]
+    assert got == want
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert all(t.count("[FOUND]") == len(want[i]) and not re.search("hidden|second", t) for i, t in clean.items())
+    held, pii.PATTERNS_HELD = pii.PATTERNS_HELD, 0
+    try:
+        assert {r.doc_id: r.text for r in pii.redact(frame).collect()} == clean
+    finally:
+        pii.PATTERNS_HELD = held
+
+
 def test_languages(spark):
     documents_ = spark.read.parquet(f"{SF}/documents.parquet")
     frame = clashing(documents_)
