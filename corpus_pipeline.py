@@ -6,14 +6,15 @@ the shared folder and read again. All but the last return the columns of documen
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import langid, minhash, mixing, packing, pii
-from pagevault.llm.common import bounded
+from pagevault.llm.common import bounded, cut
 from pagevault.llm.queries import vocabulary
 
 
@@ -26,9 +27,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies: similarity 0.80 or more over five-word shingles."""
+    """Keeps the smallest id of each group of near copies: similarity 0.80 or more over five-word shingles.
+
+    Of rows with the same id and text, or the same text and no id, one stays. Different texts with one id are one document,
+    and all stay; rows without id are not compared with others further than that.
+    """
     dropped = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    key = ["_id", "_text", "_text_2"]
+    keyed = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64("text", F.lit(2)).alias("_text_2")]
+    repeated = cut(docs.select(*keyed).groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in key]))
+    if repeated.isEmpty():
+        return rest
+    rest = rest.select("*", *keyed)
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in key])
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))
+    one = rest.join(repeated, same, "left_semi").withColumn("_first", first).where("_first = 1")
+    return rest.join(repeated, same, "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,5 +97,12 @@ def test_near_copies_at_four_fifths_are_dropped(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "A b c d e f"), (None, "x y z"), (None, "x y z"), (None, "other"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (None, "x y z"), (None, "other"), (3, None)], key=repr)
+
+
 def test_no_letters_means_undetermined():
     assert not langid.has_letter(b"12 34 !") and langid.has_letter("漢".encode()) and not langid.has_letter("٣ ́".encode())
