@@ -1,19 +1,25 @@
-"""Substring deduplication with repeated-phrase automata.
-
-A window of 50 words that occurs in two documents holds the same smallest 8-word phrase in both (winnowing: the phrase
-with the least hash among the window's 43). So the phrases that documents select are their candidates, and those that
-two documents select recur. Recurring phrases are compiled into Aho-Corasick automata, one for each shard of documents
-with the phrases of its own documents, and all documents stream through their shard's automaton, which locates every
-occurrence. Windows whose selected phrase recurs are confirmed by the 64-bit hash of all their words: a window's words
-go if the same window starts in a document with a smaller id.
-
-Scale: documents select about one phrase in 22 words; the phrases' first and last documents are aggregated with partial
-sums, so a phrase of a third of all documents is no hot key. A task keeps one shard's automaton and one flush of windows,
-not its documents. Of equal windows in a flush only the first leaves the task, so a hot window makes as many rows as
-there are flushes. Texts are compressed before they are dealt out. The number of shards follows the number of rows.
+"""Substring deduplication with repeated-phrase automata: passages are confirmed, compiled, then located everywhere.
+
+Each window of 50 words chooses the 8-word phrase in it that has the least hash (winnowing), so equal windows choose equal
+phrases. Neighbouring windows that choose the same phrase are a run, and a run's words are a passage of 50 to 92 words.
+
+1. Confirm. Passages are told apart by their phrase's letters (64 bits) and a hash of all their words (64 bits). A passage
+   whose phrase and hash occur in two documents recurs with all its windows. Passages that share the phrase but not the
+   hash may still share some windows: each distinct one is cut into its windows, in the smallest document that has it, and
+   windows are compared by the same 128 bits.
+2. Compile. What recurs is dealt to the shards of documents it was confirmed for. The phrases of a shard's confirmed passages
+   become an Aho-Corasick automaton, a word being one of 256 letters.
+3. Stream. All documents run through their shard's automaton, which locates every occurrence of the phrases; where it finds
+   nothing, nothing else is computed. The passages around the occurrences are looked up among the confirmed ones, and words go
+   if the passage or window is known from a document with a smaller id.
+
+Scale: a document has about one run in 17 words. Recurring phrases are found by partial sums, and joined by shuffles whose hot
+keys Spark can split; a passage of a third of all documents is one row for each task after that. Only distinct passages whose
+phrase has several are cut into windows, and of equal windows in a task only the first leaves it unresolved. A task keeps one
+shard's automaton, whose size is bounded by the shard's text. Texts are compressed before they are dealt out.
 
 Defined results: null text has no words; texts below 50 words lose none; rows that share an id do not count as smaller
-than each other, and each loses what either would; rows with a null id lose nothing and take nothing from others; an
+than each other, and each loses what its own text repeats; rows with a null id lose nothing and take nothing from others; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -25,30 +31,45 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
-from pyspark.sql.column import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, cut, grams, utf8
+from .common import WordHashes, blocks, cut, grams, mix, utf8
 
-#: Words of a phrase. Its words are 16-bit ids, so it is two longs, and 32 letters of an automaton.
+#: Words of a phrase: with a letter of 8 bits for each, it is one long.
 PHRASE = 8
-#: Rows of a shard, shards of a task (several, so that tasks are alike), and windows that a task holds before it sends the
-#: first of each.
-SHARD_ROWS, TASK_SHARDS, FLUSH = 500, 8, 500_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of a shard's texts, shards of a task (several, so that tasks are alike), and windows that a task holds before it
+#: sends the first of each.
+SHARD_BYTES, TASK_SHARDS, FLUSH = 1_500_000, 8, 200_000
+_BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` consecutive words: a polynomial over 64-bit word hashes, by differences of prefix sums."""
-    if len(hashes) < size:
-        return np.zeros(0, dtype=np.uint64)
-    powers, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers, dtype=np.uint64)])
-    out = (sums[size:] - sums[:-size]) * back[: len(hashes) - size + 1]
-    return (out ^ (out >> np.uint64(32))) * _BASE
+class Powers:
+    """Powers of an odd number and of its inverse, as far as they were needed."""
+
+    def __init__(self) -> None:
+        self.up = self.back = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.up):
+            n = 1 << n.bit_length()
+            self.up, self.back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+_POWERS = Powers()
+
+
+class Spans:
+    """Hashes of any spans of a document's words: a polynomial over 64-bit word hashes, by differences of prefix sums."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        _POWERS.grow(len(hashes))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _POWERS.up[: len(hashes)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        total = (self.sums[stop] - self.sums[start]) * _POWERS.back[start]
+        return mix(total + (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
 def selected(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -65,8 +86,34 @@ def selected(hashes: np.ndarray, size: int) -> np.ndarray:
     return (least & _PLACE).astype(np.int64)
 
 
-def ids16(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype("<u2")
+def letters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(56)).astype(np.uint8)
+
+
+class Runs:
+    """A document's runs: where the phrase starts, the first window, and the end of the last one."""
+
+    def __init__(self, hashes: np.ndarray, size: int) -> None:
+        chosen = selected(hashes, size)
+        new = np.concatenate([[True], chosen[1:] != chosen[:-1]]) if len(chosen) else np.zeros(0, dtype=bool)
+        self.size, self.hashes = size, hashes
+        self.first = np.flatnonzero(new)
+        self.at = chosen[self.first]
+        self.stop = np.append(self.first[1:], len(chosen)) - 1 + size if len(chosen) else self.first
+
+    def phrases(self) -> np.ndarray:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters(self.hashes), PHRASE)[self.at]).view("<i8").ravel()
+
+    def take(self, which: np.ndarray) -> Runs:
+        out = object.__new__(Runs)
+        out.size, out.hashes, out.first, out.at, out.stop = self.size, self.hashes, self.first[which], self.at[which], self.stop[which]
+        return out
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' starts, and the run that each is in."""
+        n = self.stop - self.size + 1 - self.first
+        run = np.repeat(np.arange(len(n)), n)
+        return np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.first[run], run
 
 
 def zipped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -80,150 +127,180 @@ def zipped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, z binary")
 
 
-def anchors(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """p, q, doc_id: the phrases that each document selects, once each."""
+def passages(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, p, b: the phrase and the hash of each distinct passage of a document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in blocks(batches, "text"):
-            found, ids = [], []
+            ids, ends, ps, bs = [], [0], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hashes = known.of(text.split())
-                at = selected(hashes, size)
-                if len(at):
-                    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                    two = np.lib.stride_tricks.sliding_window_view(ids16(hashes), PHRASE)[at]
-                    found.append(np.unique(np.ascontiguousarray(two).view("<i8"), axis=0))
-                    ids.append(np.full(len(found[-1]), doc_id))
-            if found:
-                two = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(np.concatenate(ids))], names=["p", "q", "doc_id"])
+                runs = Runs(hashes, size)
+                if len(runs.at):
+                    p, b = runs.phrases(), Spans(hashes).of(runs.first, runs.stop)
+                    order = np.lexsort((p, b))
+                    p, b = p[order], b[order]
+                    new = np.concatenate([[True], (p[1:] != p[:-1]) | (b[1:] != b[:-1])])
+                    ids.append(doc_id)
+                    ps.append(p[new])
+                    bs.append(b[new])
+                    ends.append(ends[-1] + len(ps[-1]))
+            if ids:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (ps, bs)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "p", "b"])
 
     rows = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
-    return rows.mapInArrow(run, "p long, q long, doc_id long")
-
-
-def shard(n: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    lists = cut(rows.mapInArrow(run, "doc_id long, p array<long>, b array<long>"))  # the texts are read once, and rows are made from it as often as needed
+    return lists.select("doc_id", F.explode(F.arrays_zip("p", "b")).alias("x")).select("doc_id", "x.p", "x.b")
 
 
 class Held:
-    """Windows of a task until they are sent: the first of each, and what is repeated in later documents."""
+    """Windows of a task until they are sent: of each, its first document without, and later ones with a smaller id."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
-    def add(self, hashes: np.ndarray, doc_id: int, starts: np.ndarray) -> None:
-        self.parts.append((hashes, np.full(len(hashes), doc_id), starts))
-        self.n += len(hashes)
+    def add(self, p: np.ndarray, w: np.ndarray, doc_id: int) -> None:
+        self.parts.append((p, w, np.full(len(w), doc_id)))
+        self.n += len(w)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        w, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.n = [], 0
-        order = np.lexsort((start, doc, w))
-        w, doc, start = w[order], doc[order], start[order]
-        new = np.concatenate([[True], w[1:] != w[:-1]])
-        first = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        repeated = doc > doc[first][of]
-        rest = np.flatnonzero(~repeated)  # the first document's windows; each of its starts counts
-        rest = rest[np.lexsort((start[rest], doc[rest]))]  # neighbours alike: they compress better in the shuffle
-        yield pa.RecordBatch.from_arrays([pa.array(w[rest].view(np.int64)), pa.array(doc[rest]), pa.array(start[rest].astype(np.int32)), pa.nulls(len(rest), pa.binary())], names=["w", "doc_id", "start", "starts"])
-        w, doc, start = w[repeated], doc[repeated], start[repeated]
-        order = np.lexsort((start, doc))
-        w, doc, start = w[order], doc[order], start[order]
-        bounds = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        packed = [x.astype("<i4").tobytes() for x in np.split(start, bounds[1:])] if len(doc) else []
-        yield pa.RecordBatch.from_arrays([pa.array(w[bounds].view(np.int64)), pa.array(doc[bounds]), pa.nulls(len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["w", "doc_id", "start", "starts"])
-
-
-def located(rows: DataFrame, size: int) -> DataFrame:
-    """From phrases and texts of each shard: w, doc_id, start of windows to confirm, or doc_id, starts of repeated ones.
-
-    Repeated ones have some w as well, so that no later grouping by w gathers them.
-    """
+        if self.n:
+            p, w, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.n = [], 0
+            order = np.lexsort((doc, w, p))
+            p, w, doc = p[order], w[order], doc[order]
+            new = np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
+            low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            some = new | (doc > low) & np.concatenate([[True], doc[1:] != doc[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(w[some]), pa.array(doc[some]), pa.array(low[some], mask=new[some])], names=["p", "w", "doc_id", "low"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
+def windows(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """p, w, doc_id, low: the windows of the wanted passages (doc_id, list b) of documents; low if a smaller id is known."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack, held = WordHashes(), zstandard.ZstdDecompressor(), Held()
-        now, machine, ready = None, None, False
         for batch in batches:
-            for at, doc_id, p, q, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "p", "q", "z")), strict=True):
-                if at != now:
-                    now, machine, ready = at, ahocorasick.Automaton(ahocorasick.STORE_INTS), False
-                if doc_id is None:
-                    machine.add_word(np.array([p, q], dtype="<i8").tobytes().hex(), 1)
-                    continue
-                if not ready:
-                    machine.make_automaton()
-                    ready = True
-                if not len(machine):
-                    continue
-                hashes = known.of(unpack.decompress(data).split())
-                if len(hashes) < size:
-                    continue
-                ends = np.array([e for e, _ in machine.iter(ids16(hashes).tobytes().hex())], dtype=np.int64)
-                ends = ends[ends % 4 == 3]  # others straddle words
-                if len(ends):
-                    there = np.zeros(len(hashes), dtype=bool)
-                    there[ends // 4 - PHRASE + 1] = True
-                    starts = np.flatnonzero(there[selected(hashes, size)])
-                    held.add(windows(hashes, size)[starts], doc_id, starts)
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                hashes = known.of(unpack.decompress(batch.column("z")[i].as_py()).split())
+                runs, spans = Runs(hashes, size), Spans(hashes)
+                runs = runs.take(np.isin(spans.of(runs.first, runs.stop), batch.column("b")[i].values.to_numpy()))
+                if len(runs.at):
+                    start, of = runs.windows()
+                    held.add(runs.phrases()[of], spans.of(start, start + size), doc_id)
                     if held.n >= FLUSH:
                         yield from held.flush()
         yield from held.flush()
 
-    return rows.mapInArrow(run, "w long, doc_id long, start int, starts binary")
+    return texts.join(wanted, "doc_id").select("doc_id", "z", "b").mapInArrow(run, "p long, w long, doc_id long, low long")
 
 
-def repeated(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, single, packed: where repeated windows start, as numbers and as lists of packed 32-bit numbers."""
-    n = max(1, -(-df.count() // SHARD_ROWS))
-    found = cut(anchors(df, size, id_column, text_column))
-    recurring = found.groupBy("p", "q").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("p", "q")
-    phrases = found.join(recurring, ["p", "q"]).select(shard(n).alias("shard"), "p", "q").distinct()
-    columns = ["shard", "doc_id", "p", "q", "z"]
-    nothing = F.lit(None)
-    phrases = phrases.select("shard", nothing.cast("long").alias("doc_id"), "p", "q", nothing.cast("binary").alias("z"))
+def confirmed(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, p, h, low: document doc_id holds a passage or window that the smaller document low holds."""
+    every = passages(df, size, id_column, text_column)
+    recurring = every.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("p")
+    every = every.join(recurring, "p")
+    distinct = cut(every.groupBy("p", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    whole = every.join(distinct.where("low < high").select("p", "b", "low"), ["p", "b"]).where("doc_id > low").select("doc_id", "p", F.col("b").alias("h"), "low")
+    several = distinct.groupBy("p").count().where("count > 1").select("p")
+    wanted = distinct.join(several, "p", "left_semi").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("b").alias("b"))
     texts = zipped(df.where(F.col(id_column).isNotNull()), id_column, text_column)
-    texts = texts.select(shard(n).alias("shard"), "doc_id", nothing.cast("long").alias("p"), nothing.cast("long").alias("q"), "z")
-    rows = phrases.unionAll(texts).repartition(-(-n // TASK_SHARDS), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "p", "q", "z")
-    rows = located(rows.select(*columns), size)
-    low = F.min(F.when(F.col("start").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("w"))
-    rows = rows.withColumn("low", low).where("starts is not null or doc_id > low")
-    return rows.groupBy("doc_id").agg(F.collect_list("start").alias("single"), F.collect_list("starts").alias("packed"))
+    parts = windows(texts, wanted, size)
+    # what is resolved already is spread by its document, so that a hot window gathers only what isn't
+    parts = parts.withColumn("at", F.when(F.col("low").isNull(), F.col("w")).otherwise(F.col("w").bitwiseXOR(F.xxhash64("doc_id"))))
+    least = F.min(F.when(F.col("low").isNull(), F.col("doc_id"))).over(Window.partitionBy("p", "at"))
+    parts = parts.withColumn("low", F.coalesce("low", least)).where("doc_id > low").select("doc_id", "p", F.col("w").alias("h"), "low")
+    return whole.unionAll(parts)
+
+
+class Shard:
+    """The confirmed passages of a shard, their phrases compiled into an automaton."""
+
+    def __init__(self, p: np.ndarray, h: np.ndarray, low: np.ndarray) -> None:
+        import ahocorasick
+
+        order = np.argsort(-low, kind="stable")  # the least one stays
+        self.low = dict(zip(zip(p[order].tolist(), h[order].tolist(), strict=True), low[order].tolist(), strict=True))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        data = np.unique(p).astype("<i8").tobytes().decode("latin-1")
+        for i in range(0, len(data), PHRASE):
+            self.machine.add_word(data[i : i + PHRASE], 1)
+        if data:
+            self.machine.make_automaton()
+
+    def removed(self, hashes: np.ndarray, doc_id: int, size: int) -> np.ndarray | None:
+        """Which words go; None if none does."""
+        if not self.low or len(hashes) < size:
+            return None
+        ends = np.array([e for e, _ in self.machine.iter(letters(hashes).tobytes().decode("latin-1"))], dtype=np.int64)
+        if not len(ends):
+            return None
+        there = np.zeros(len(hashes), dtype=bool)
+        there[ends - PHRASE + 1] = True
+        runs = Runs(hashes, size)
+        runs, spans = runs.take(there[runs.at]), Spans(hashes)
+        p = runs.phrases()
+        whole = self.smaller(p, spans.of(runs.first, runs.stop), doc_id)
+        rest = runs.take(~whole)
+        start, of = rest.windows()
+        start = start[self.smaller(p[~whole][of], spans.of(start, start + size), doc_id)]
+        edge = np.zeros(len(hashes) + 1, dtype=np.int64)
+        for places, step in ((runs.first[whole], 1), (runs.stop[whole], -1), (start, 1), (start + size, -1)):
+            np.add.at(edge, places, step)
+        gone = np.cumsum(edge)[:-1] > 0
+        return gone if gone.any() else None
+
+    def smaller(self, p: np.ndarray, h: np.ndarray, doc_id: int) -> np.ndarray:
+        """Whether a smaller document is known to hold it."""
+        return np.fromiter((self.low.get(x, doc_id) < doc_id for x in zip(p.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(p))
 
 
 def deduplicate(df: DataFrame, *, size: int = 50, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            counts, removed, digests, texts = [], [], [], []
-            for z, single, packed in zip(*(batch.column(c).to_pylist() for c in ("z", "single", "packed")), strict=True):
-                words = unpack.decompress(z).split()
-                counts.append(len(words))
-                if single or packed:
-                    starts = np.concatenate([np.array(single or [], dtype=np.int64), *(np.frombuffer(x, dtype="<i4") for x in packed or [])]).astype(np.int64)
-                    starts = starts[starts + size <= len(words)]  # rows that share an id differ in length
-                    edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + size, minlength=len(words) + 1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
-                kept = b" ".join(words)
-                removed.append(counts[-1] - len(words))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array([t.decode() for t in texts], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    rows = zipped(df, id_column, text_column).join(repeated(df, size, id_column, text_column), "doc_id", "left")
-    return rows.select("doc_id", "z", "single", "packed").mapInArrow(run, schema)
+        known, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        now, held, machine = None, [], None
+        for batch in blocks(batches, "z", 1 << 20):
+            shards, data = batch.column("shard").to_numpy(), batch.column("z")
+            is_text = np.asarray(data.is_valid())
+            bounds = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (is_text[1:] != is_text[:-1])])) if len(shards) else []
+            out: list[tuple] = []
+            for start, stop in zip(bounds, [*bounds[1:], len(shards)], strict=True):
+                if shards[start] != now:
+                    now, held, machine = shards[start], [], None
+                part = batch.slice(start, stop - start)
+                if not is_text[start]:
+                    held.append([part.column(c).to_numpy() for c in ("p", "h", "low")])
+                    continue
+                if machine is None:
+                    machine = Shard(*(np.concatenate([x[i] for x in held]) if held else np.zeros(0, dtype=np.int64) for i in range(3)))
+                    held = []
+                for doc_id, z in zip(part.column("doc_id").to_pylist(), part.column("z").to_pylist(), strict=True):
+                    words = unpack.decompress(z).split()
+                    n = len(words)
+                    gone = machine.removed(known.of(words), doc_id, size) if doc_id is not None else None
+                    if gone is not None:
+                        words = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                    kept = b" ".join(words)
+                    out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), *[kept.decode()] * with_text))
+            if out:
+                kinds = [*[pa.int64()] * 3, pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)], names=names)
+
+    n = -(-(df.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 1) // SHARD_BYTES)
+
+    def shard(key: Column) -> Column:
+        return F.pmod(key, F.lit(n)).cast("int").alias("shard")
+
+    found = confirmed(df, size, id_column, text_column).select(shard(F.xxhash64("doc_id")), F.lit(None).cast("long").alias("doc_id"), "p", "h", "low", F.lit(None).cast("binary").alias("z"))
+    texts = zipped(df, id_column, text_column)
+    nothing = F.lit(None).cast("long")
+    texts = texts.select(shard(F.when(F.col("doc_id").isNull(), F.xxhash64("z")).otherwise(F.xxhash64("doc_id"))), "doc_id", nothing.alias("p"), nothing.alias("h"), nothing.alias("low"), "z")
+    rows = found.unionAll(texts).repartition(-(-n // TASK_SHARDS), "shard").sortWithinPartitions("shard", F.col("z").isNotNull())
+    return rows.mapInArrow(run, schema)

@@ -181,8 +181,8 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch):
     texts = passages()
     rows = list(enumerate(texts))
     frame = clashing(documents(spark, texts))
-    for shard_rows, flush in ((500, 2_000_000), (7, 300)):
-        monkeypatch.setattr(phrases, "SHARD_ROWS", shard_rows)
+    for shard_bytes, flush in ((1_500_000, 200_000), (4_000, 300)):
+        monkeypatch.setattr(phrases, "SHARD_BYTES", shard_bytes)
         monkeypatch.setattr(phrases, "FLUSH", flush)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.deduplicate(frame, with_text=True).drop("kept_text").collect()}
         assert got == brute_phrases(rows)
@@ -201,6 +201,10 @@ def test_selected_phrases_are_a_function_of_the_window():
     other = np.concatenate([rng.integers(0, 1 << 63, 33).astype(np.uint64), h[100:180], rng.integers(0, 1 << 63, 9).astype(np.uint64)])
     a, b = phrases.selected(h, 50), phrases.selected(other, 50)
     assert [x - 100 for x in a[100:131]] == [x - 33 for x in b[33:64]]
-    assert (phrases.windows(h, 50)[100:131] == phrases.windows(other, 50)[33:64]).all()
+    spans = [phrases.Spans(x).of(np.arange(at, at + 31), np.arange(at + 50, at + 81)) for x, at in ((h, 100), (other, 33))]
+    assert (spans[0] == spans[1]).all() and len(set(spans[0].tolist())) == 31
+    runs = phrases.Runs(h, 50)
+    start, run = runs.windows()
+    assert start.tolist() == list(range(len(a))) and (runs.at[run] == a).all() and runs.stop[-1] == len(h)
     naive = [k + int(np.argmin(phrases.grams(h, 8)[k : k + 43] & ~phrases._PLACE)) for k in range(len(a))]
     assert a.tolist() == naive
