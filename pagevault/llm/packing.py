@@ -6,7 +6,7 @@ their free space keys a bitset (one Python integer), so the best bin is the lowe
 length. When one bin too many is open, the fullest closes first.
 
 Tokenising is a narrow pass over the texts, whose Arrow slices are bounded by bytes. Only (id, piece, length) rows are
-dealt out by a hash of the document, so no source or group of copies is hot, and each task packs its share with its own
+dealt out by a hash of the row, so no source or group of copies is hot, and each task packs its share with its own
 bins: a task's unfinished bins are the only loss against one global packing. Nothing is broadcast or collected, and a
 lost task is redone from the same sorted rows.
 
@@ -17,12 +17,14 @@ are ignored.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,83 +32,105 @@ from .common import blocks, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: Strings between white space, and pieces that merge on their own, whose ids one worker keeps.
-STRINGS_KEPT, PIECES_KEPT = 250_000, 500_000
-#: Latin letters, which neither NFC nor lower-casing treats by context, then perhaps ASCII signs but the apostrophe.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Runs of letters or signs whose ids one worker keeps; beyond it, what the slice at hand lacks is forgotten.
+RUNS_KEPT = 400_000
+#: A string that is Latin letters, which neither NFC nor lower-casing treats by context, then perhaps ASCII signs but the
+#: apostrophe.
+PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)$"
+#: Runs that the tokenizer gets in one line, and bytes of a slice of texts.
+TOGETHER, SLICE = 200, 4 << 20
+#: How a vocabulary must treat texts for its strings to be tokenized one by one (fixed values of the file format).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 _LOADED: dict[str, Ids] = {}
 
 
-class Ids(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of strings without ASCII white space.
+class Ids:
+    """Token ids, as little-endian unsigned 32-bit bytes, of texts.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its strings in
-    order. A plain string is one or two pieces, whose ids are kept by themselves: far fewer pieces than strings differ.
-    Strings that name a special token are ordinary text.
+    A tokenizer that drops white space never joins what it separates, so a text's ids are those of its strings in order, and
+    those of a plain string are the ids of its letters, lower-cased, and of its signs. Arrow splits the texts and finds the
+    distinct strings and runs of a slice; unknown runs are tokenized many in a line, without the steps that leave them as they
+    are, the end of each told by its last id. Any other tokenizer gets whole texts. Strings that name a special token become
+    that token, as the tokenizer has it by default.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        steps = (kind["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_string = kind["normalizer"] == NORMALIZER and steps[0] == SPLITS and [x["type"] for x in steps[1:]] == ["ByteLevel"] and kind["model"].get("end_of_word_suffix") == "</w>"
+        self.runs.normalizer = None
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Ids:
         """The same object for all tasks of a worker."""
         if path not in _LOADED:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def encode(self, strings: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Adds what the texts hold and the dictionary doesn't."""
-        if len(self) > STRINGS_KEPT:
-            self.clear()
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-        plain, other = [], []
-        for word in set().union(*texts):
-            if word not in self:
-                text = word.decode()
-                found = PLAIN.fullmatch(text)
-                if found:
-                    plain.append((word, found[1].lower(), found[2]))
-                else:
-                    other.append((word, text))
-        new = list({x for _, letters, signs in plain for x in (letters, signs) if x and x not in self.pieces})
-        lines = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for line, ids in zip(lines, self.encode([" ".join(x) for x in lines]), strict=True):
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(line):
-                data, start = ids.tobytes(), 0
-                for piece, end in zip(line, ends.tolist(), strict=True):
-                    self.pieces[piece] = data[4 * start : 4 * end]
-                    start = end
-            else:  # a vocabulary without marks at the ends of pieces
-                self.pieces.update((x, y.tobytes()) for x, y in zip(line, self.encode(line), strict=True))
-        self.pieces[""] = b""
-        self.update((word, self.pieces[letters] + self.pieces[signs]) for word, letters, signs in plain)
-        self.update((word, ids.tobytes()) for (word, _), ids in zip(other, self.encode([t for _, t in other]), strict=True))
+    def encode(self, strings: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.string())
+        if not self.by_string:
+            return self.encode(texts.to_pylist())
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(texts)
+        strings = split.flatten().dictionary_encode()
+        ids = self.of_strings(strings.dictionary).take(strings.indices)
+        offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        ends = offsets[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+        data = ids.buffers()[2]
+        return [data[a:b].to_pybytes() for a, b in zip([int(offsets[0]), *ends[:-1]], ends, strict=True)]
+
+    def of_strings(self, strings: pa.Array) -> pa.Array:
+        """The ids of distinct strings without white space."""
+        parts = pc.extract_regex(strings, PLAIN)
+        plain = parts.is_valid()
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters").filter(plain)).dictionary_encode()
+        signs = pc.struct_field(parts, "signs").filter(plain).dictionary_encode()
+        found = [self.of_runs(x.dictionary.to_pylist()).take(x.indices) for x in (letters, signs)]
+        other = strings.filter(pc.invert(plain)).to_pylist()
+        every = pa.concat_arrays([pc.binary_join_element_wise(*found, b""), pa.array(self.encode(other), pa.binary())])
+        which = np.asarray(plain)
+        place = np.empty(len(strings), dtype=np.int64)
+        place[which], place[~which] = np.arange(which.sum()), np.arange(which.sum(), len(strings))
+        return every.take(pa.array(place))
+
+    def of_runs(self, runs: list[str]) -> pa.Array:
+        """The ids of distinct runs of letters in lower case, or of signs."""
+        new = [x for x in runs if x and x not in self.known]
+        if len(self.known) + len(new) > RUNS_KEPT:
+            self.known = {x: self.known[x] for x in runs if x in self.known}
+        for at in range(0, len(new), 100 * TOGETHER):
+            lines = [new[i : i + TOGETHER] for i in range(at, min(at + 100 * TOGETHER, len(new)), TOGETHER)]
+            for line, e in zip(lines, self.runs.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, dtype="<u4")
+                data, stops = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                self.known.update(zip(line, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        self.known[""] = b""
+        return pa.array([self.known[x] for x in runs], pa.binary())
 
 
 def pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Arrow rows (doc_id, text as bytes) to rows of PIECES."""
     ids, end = Ids.at(path), np.asarray([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
-    for batch in blocks(batches, "text", 2 << 20):
-        texts = [t.split() for t in batch.column("text").to_pylist()]
-        ids.learn(texts)
+    for batch in blocks(batches, "text", SLICE):
         rows: list[tuple] = []
-        for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            data = b"".join(map(ids.__getitem__, words)) + end
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids.of(batch.column("text")), strict=True):
+            data += end
             for n, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -115,8 +139,6 @@ def pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id:
             [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)],
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
-    ids.clear()  # the worker goes on to other work
-    ids.pieces.clear()
 
 
 class OpenBins:
@@ -179,5 +201,5 @@ def pack(df: DataFrame, path: str, *, capacity: int = 4096, end_id: int = 1, ope
     """
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
     cut_up = texts.mapInArrow(lambda batches: pieces(batches, path, capacity, end_id), PIECES)
-    dealt = cut_up.repartition(F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "ids_crc32")
+    dealt = cut_up.repartition(F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(lambda batches: place(batches, capacity, open_bins), PACKED)

@@ -297,8 +297,7 @@ def test_packing_equals_the_tokenizer(spark):
 
     path = queries.vocabulary()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts() + ["don't STOP we'll", "a\x1cb\u00a0c\u2003d", "<|endoftext|> x", "ΑΣ İ ﬁ e\u0301", "1,234.5% (a)b_c", "!!", "Ǆ ǅ ß ſ"]
+    texts = odd_texts() + ["hello <|endoftext|> world", "a<|startoftext|>b", "<|ENDOFTEXT|>", "zero\x00byte \x00", "\ta b\x0b\x0cc\x1dd ", "don't STOP we'll", "a\x1cb\u00a0c\u2003d", "<|endoftext|> x", "ΑΣ İ ﬁ e\u0301", "1,234.5% (a)b_c", "!!", "Ǆ ǅ ß ſ"]
     rows = packing.pack(clashing(documents(spark, texts)), path).collect()
     by_doc = collections.defaultdict(list)
     for r in rows:
@@ -320,6 +319,33 @@ def test_packing_equals_the_tokenizer(spark):
     assert packing.pack(documents(spark, texts).limit(0), path).count() == 0
 
 
+def test_token_ids_of_any_vocabulary_and_with_little_memory(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RUNS_KEPT", 300)
+    rng = random.Random(12)
+    texts = [words(rng, 200, 3000) for _ in range(20)] + ["".join(chr(c) * k + "x" for k in (1, 2)) + f" {chr(c)}y" for c in range(1, 0x600)]
+    for name, by_string in ((queries.VOCABULARY, True), ("byte_bpe_50k.json", False)):
+        path = queries.vocabulary(name)
+        tokenizer, ids = Tokenizer.from_file(path), packing.Ids(path)
+        assert ids.by_string is by_string
+        for part in (texts[:10], texts[10:20], texts[20:], ["", " "], []):
+            want = [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            assert ids.of(pa.array([t.encode() for t in part], pa.binary())) == want
+
+
+def test_packing_without_ids(spark):
+    texts = [f"word{i} and more" for i in range(300)]
+    frame = documents(spark, texts).selectExpr("cast(null as long) doc_id", "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = packing.pack(frame, queries.vocabulary())
+        assert packed.count() == 300 and packed.selectExpr("sequence_id >> 40 as task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_open_bins_are_bounded_and_best():
     rng = random.Random(5)
     bins, free, spaces = packing.OpenBins(100, 4), {}, []  # spaces: free space of the open bins
