@@ -1,24 +1,27 @@
 """Personal data: exact base kinds, and identifiers found by bootstrapped contextual extraction.
 
-Base spans (email, ip, card, phone) seed the search. Every seed, and every other string that holds a digit or an @, is an
-instance (neighbouring groups of digits are one); the words around it are its lexical patterns (the two words before it; the word before with the word after).
-On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is the smoothed
-mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds stay at 1).
-Patterns that score high and hold several distinct seeds, or instances as sure, mark the unseen instances beside them as
-`found`; instances that score high are marked wherever they occur, unless they are shorter than DISTINCT. So are cards and
-phones that base matching loses because its match runs on into a neighbouring number: their own groups are tried again.
-
-Scale: texts are read in one narrow pass, whose per-row spans and instances are written to the shared checkpoint folder; the
-graph is aggregated with partial sums and holds each pair once, so copies neither weigh nor crowd. Patterns are joined, not
-broadcast, except that redact() hands at most PATTERNS_HELD of them, and of instances, to its workers and otherwise joins spans to texts.
-
-Defined results: null text is empty and has no spans; base spans may overlap between kinds; found spans never overlap base
-spans; equal rows get equal spans; an empty table gives no rows; further columns are ignored or, in redact, kept.
+Base spans (email, ip, card, phone) and strings that look like credentials seed the search. Every seed, and every other string
+that holds a digit or an @, is an instance (neighbouring groups of digits are one). Its lexical patterns are the two words
+before it; the word before with the word after; and the word before with the signs between and the instance's shape, which
+generalises most. On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is
+the smoothed mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds
+stay at 1). Patterns that score high and hold several distinct seeds, or instances as sure, mark what stands beside them and is
+no base span as `found`; unseen instances that score high are marked wherever they occur, unless they are shorter than DISTINCT.
+
+Scale: texts are read in one narrow pass in slices bounded by bytes; the graph is aggregated with partial sums and holds each
+pair once, so copies neither weigh nor crowd. Patterns are joined, not broadcast, except that redact() hands at most
+PATTERNS_HELD of them, and of instances, to its workers and otherwise joins spans to texts.
+
+Defined results: null text is empty and has no spans; very long texts are searched whole, in time that grows with their length;
+base spans may overlap between kinds; found spans never overlap base spans; equal rows get equal spans; rows without id or with
+a repeated one are judged by their own text; an empty table gives no rows; further columns are ignored or, in redact, kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,11 +35,14 @@ from .common import blocks, cut, utf8
 #: Kinds in the order of results; what patterns find comes last.
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
+#: The kind of seeds that look like credentials; they are no base spans, and are marked only beside trusted patterns.
+SECRET = "secret"
 #: Characters from which on an instance is taken for the same identifier in any context.
 DISTINCT = 5
 #: Patterns and instances that redact() keeps in its workers' memory (16 bytes each or so); more are joined.
 PATTERNS_HELD = 100_000
-SCANNED = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<pattern: long, instance: long, kind: string, start: int, stop: int>>, again array<struct<start: int, stop: int>>"
+SEEN = "array<struct<pattern: long, instance: long, kind: string, start: int, stop: int>>"
+SCANNED = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, seen {SEEN}"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile("[0-9]")
@@ -44,7 +50,11 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_STRING = re.compile(r"\S+")
+_STRING = re.compile(r"[^\s\"'`<>=|{}\[\]]+")
+_TOKEN = re.compile(r"\w+")
+_CREDENTIAL = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
 # groups of one number: after at most three letters, or without small letters; between them blanks, also in brackets
 _GROUP = re.compile(r"[A-Za-z]{0,3}[0-9][0-9/().-]*")
 _GAP = re.compile(r"[()]?[ \t\u00a0]+[()]?")
@@ -75,7 +85,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out["email"] = emails(text)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in (m[0].partition(".")[0], *m.groups())):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in (m[0].partition(".")[0], *m.groups())):
                 out["ip"].append(m.span())
         for m in _CARD.finditer(text):
             if 13 <= m.end() - m.start():
@@ -89,97 +99,110 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def tried_again(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Cards and phones within failing matches: of a match's blank-separated groups, the longest runs that are valid."""
-    out: list[tuple[int, int]] = []
-    if not _DIGIT.search(text):
-        return out
-    have = set(base["card"]) | set(base["phone"])
-    for pattern, least, most in ((_CARD, 13, 19), (_PHONE, 9, 15)):
-        for m in pattern.finditer(text) if pattern is _CARD or "+" in text else ():
-            if m.span() in have or m.end() - m.start() <= least or " " not in m[0]:
-                continue
-            groups = [(m.start() + g.start(), m.start() + g.end(), len(_DIGIT.findall(g[0]))) for g in re.finditer("[^ ]+", m[0])]
-            i = 0
-            while i < len(groups):
-                digits, best = 0, None
-                for j in range(i, len(groups)):
-                    digits += groups[j][2]
-                    if digits > most:
-                        break
-                    if digits >= least and (pattern is _PHONE or luhn("".join(_DIGIT.findall(text[groups[i][0] : groups[j][1]])))):
-                        best = j
-                if best is not None:
-                    out.append((groups[i][0], groups[best][1]))
-                if pattern is _PHONE:  # only the beginning has the sign
-                    break
-                i = i + 1 if best is None else best + 1
-    spans = [x for k in KINDS for x in base[k]]
-    return sorted({x for x in out if not any(s < x[1] and x[0] < e for s, e in spans)})
-
-
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode()) - (1 << 63)
 
 
-def patterns(text: str, start: int, stop: int) -> list[int]:
-    """Hashes of the lexical patterns around a span; fewer when words are missing."""
-    before = [w for w in (x.strip(_EDGE).lower() for x in text[max(0, start - 96) : start].split()) if w][-2:]
-    after = [w for w in (x.strip(_EDGE).lower() for x in text[stop : stop + 48].split()[:2]) if w][:1]
-    out = []
-    if len(before) == 2:
-        out.append(_hash("before", *before))
-    if before and after:
-        out.append(_hash("around", before[-1], after[0]))
-    return out
+def shape(instance: str) -> str:
+    """Runs of digits by their number, runs of letters as one; a long string of both by its length."""
+    if _MIXED.fullmatch(instance):
+        return f"x{len(instance)}"
+    return _RUN.sub(lambda m: f"{len(m[0])}d" if m[0][0] in "0123456789" else " " if m[0].isspace() else "a", instance)
+
+
+class Context:
+    """The words of a text, by place."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.starts, self.ends = text, array("q"), array("q")
+        for m in _TOKEN.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def patterns(self, start: int, stop: int) -> list[int]:
+        """Hashes of the lexical patterns around a span, of whole words; fewer when words are missing."""
+        i, out = bisect.bisect_left(self.starts, start) - 1, []
+        if i < 0:
+            return out
+        end = min(self.ends[i], start)
+        before = self.text[self.starts[i] : end].lower()
+        gap = re.sub(r"\s+", " ", self.text[end:start])
+        if i:
+            out.append(_hash("before", self.text[self.starts[i - 1] : self.ends[i - 1]].lower(), before))
+        j = bisect.bisect_left(self.starts, stop)
+        after = self.text[stop : self.ends[j - 1]] if self.ends[j - 1] > stop else self.text[self.starts[j] : self.ends[j]] if j < len(self.starts) else ""
+        if after:
+            out.append(_hash("around", before, after.lower()))
+        out.append(_hash("shaped", before, gap, shape(self.text[start:stop])))
+        return out
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Strings with a digit or an @ that overlap nothing taken (sorted spans); neighbouring groups of digits are one."""
+    runs: list[tuple[int, int]] = []
+    open_, at, reach = False, 0, 0  # whether the last run can go on; spans of taken that begin before, and how far they reach
+    for m in _STRING.finditer(text):
+        core = m[0].strip(_EDGE)
+        start = m.start() + m[0].find(core)
+        stop = start + len(core)
+        while at < len(taken) and taken[at][0] < stop:
+            reach = max(reach, taken[at][1])
+            at += 1
+        number = bool(_DIGIT.search(core))
+        if not (number or "@" in core.strip("@")) or reach > start:
+            open_ = False
+            continue
+        joins = number and (bool(_GROUP.fullmatch(core)) or core == core.upper())
+        if open_ and joins and _GAP.fullmatch(text, runs[-1][1], start):
+            runs[-1] = runs[-1][0], stop
+        else:
+            runs.append((start, stop))
+        open_ = joins
+    return runs
+
+
+def kind_of(instance: str) -> str | None:
+    if _CREDENTIAL.fullmatch(instance) and min(len(_DIGIT.findall(instance)), len(re.findall("[A-Za-z]", instance))) >= 6:
+        return SECRET
+    return None
 
 
 def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int | None, int, str | None, int, int]]:
-    """pattern, instance, kind (of seeds), start, stop; without words around it, an instance has the pattern None."""
+    """pattern, instance, kind (of seeds), start, stop; without words before it, an instance has the pattern None."""
+    if "@" not in text and not _DIGIT.search(text):
+        return []
     spans = [(s, e, k) for k in KINDS for s, e in base[k]]
-    if "@" in text or _DIGIT.search(text):
-        taken = sorted((s, e) for s, e, _ in spans)
-        runs: list[list[int]] = []
-        open_ = False  # whether the last run can go on
-        for m in _STRING.finditer(text):
-            word = m[0]
-            core = word.strip(_EDGE)
-            start = m.start() + word.find(core)
-            stop = start + len(core)
-            number = bool(_DIGIT.search(core))
-            if not (number or "@" in core.strip("@")) or any(s < stop and start < e for s, e in taken):
-                open_ = False
-                continue
-            joins = number and (bool(_GROUP.fullmatch(core)) or core == core.upper())
-            if open_ and joins and _GAP.fullmatch(text, runs[-1][1], start):
-                runs[-1][1] = stop
-            else:
-                runs.append([start, stop])
-            open_ = joins
-        spans += [(s, e, None) for s, e in runs]
-    return [(p, _hash("instance", " ".join(text[s:e].lower().split())), k, s, e) for s, e, k in spans for p in patterns(text, s, e) or [None]]
+    spans += [(s, e, kind_of(text[s:e])) for s, e in candidates(text, sorted((s, e) for s, e, _ in spans))]
+    context = Context(text) if spans else None
+    return [(p, _hash("instance", " ".join(text[s:e].lower().split())), k, s, e) for s, e, k in spans for p in context.patterns(s, e) or [None]]
 
 
 def listed(base: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in base[k])
 
 
+def lists(rows: list[list[tuple]]) -> pa.Array:
+    """A column of the type SEEN."""
+    flat = list(zip(*[x for row in rows for x in row], strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+    items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds, strict=True)], names=["pattern", "instance", "kind", "start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
+
+
 def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of SCANNED; th is the text's hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            counts, base, seen, again = [], [], [], []
+        for batch in blocks(batches, "text", 1 << 20):
+            counts, base, seen = [], [], []
             for raw in batch.column("text").to_pylist():
-                text = raw.decode()
+                text = raw.decode("utf-8", "replace")
                 spans = base_spans(text)
                 counts.append([len(spans[k]) for k in KINDS])
                 base.append(listed(spans))
-                seen.append([dict(zip(("pattern", "instance", "kind", "start", "stop"), x, strict=True)) for x in instances(text, spans)])
-                again.append([{"start": a, "stop": b} for a, b in tried_again(text, spans)])
-            kind = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(-1, 4).T), pa.array(base, pa.string()), pa.array(seen, kind), pa.array(again, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base", "seen", "again"])
+                seen.append(instances(text, spans))
+            columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(-1, 4).T), pa.array(base, pa.string()), lists(seen)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base", "seen"])
 
     text = utf8(text_column)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, SCANNED)
@@ -188,26 +211,33 @@ def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text")
 def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, least_score: float = 0.7, least_seeds: int = 3) -> tuple[DataFrame, DataFrame]:
     """The patterns that are trusted after some rounds of scoring, and the unseen instances that are as sure."""
     seen = scanned.select(F.explode("seen").alias("s")).where("s.pattern is not null")
-    edges = seen.select("s.pattern", "s.instance", "s.kind", (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct")).distinct()
+    edges = seen.select("s.pattern", "s.instance", "s.kind", (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("distinct").alias("distinct")))
     size = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_seeds)
-    seeds = edges.where("kind is not null").select("instance").distinct()
-    unseen = edges.where("kind is null and distinct").select("pattern", "instance").join(seeds, "instance", "left_anti")
-    first = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    first = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
+    unseen = edges.where("kind is null and distinct").select("pattern", "instance").join(first.select("instance"), "instance", "left_anti")
+
+    def told(scores: DataFrame) -> DataFrame:
+        sums = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum((F.col("score") >= least_score).cast("int")).alias("own"))
+        return sums.where(F.col("own") >= least_seeds).join(size, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("size") + smoothing)).alias("score"))
+
     scores = first
-    for _ in range(rounds):
-        told = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum((F.col("score") >= least_score).cast("int")).alias("own"))
-        told = told.join(size, "pattern").select("pattern", "kind", "own", (F.col("sum") / (F.col("size") + smoothing)).alias("score"))
-        told = cut(told.where(F.col("own") >= least_seeds))
-        trusted = told.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
+    for i in range(rounds):
+        patterns = cut(told(scores)) if i == rounds - 1 else told(scores)
+        trusted = patterns.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
         new = cut(unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")))
         scores = first.unionAll(new)
-    return cut(told.where(F.col("score") >= least_score).select("pattern").distinct()), cut(new.where(F.col("score") >= least_score).select("instance").distinct())
+    return patterns.where(F.col("score") >= least_score).select("pattern").distinct(), new.where(F.col("score") >= least_score).select("instance").distinct()
+
+
+def markable(kind: str | None) -> bool:
+    return kind is None or kind == SECRET
 
 
 def found(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, th, spans: sorted distinct (start, stop) of unseen instances that are beside trusted patterns or known."""
-    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where("s.kind is null").select("doc_id", "th", "s.pattern", "s.instance", "s.start", "s.stop")
+    """doc_id, th, spans: sorted distinct (start, stop) of instances beside trusted patterns, and of known unseen ones."""
+    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where(F.col("s.kind").isNull() | (F.col("s.kind") == SECRET))
+    seen = seen.select("doc_id", "th", "s.pattern", "s.instance", "s.start", "s.stop")
     marked = seen.join(trusted, "pattern", "left_semi").unionByName(seen.join(known, "instance", "left_semi"))
     marked = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return marked.select("doc_id", "th", F.array_sort("spans").alias("spans"))
@@ -215,13 +245,15 @@ def found(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame
 
 def detect(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (kind:start:stop, comma-joined,
-    base kinds first), n_found."""
+    base kinds first), n_found, n_spans (base and found)."""
     scanned = cut(scan(df, id_column=id_column, text_column=text_column))
     out = scanned.alias("a").join(found(scanned, *accepted(scanned)).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
-    extra = F.array_sort(F.array_union(F.coalesce("b.spans", F.array().cast("array<struct<start:int,stop:int>>")), F.col("a.again")))
-    more = F.coalesce(F.array_join(F.transform(extra, lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
+    extra = F.coalesce("b.spans", F.array().cast("array<struct<start:int,stop:int>>"))
+    more = F.array_join(F.transform(extra, lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     spans = F.concat_ws(",", *[F.when(x != "", x) for x in (F.col("a.base"), more)])
-    return out.select("a.doc_id", *[f"a.n_{k}" for k in KINDS], F.sha2(F.col("a.base"), 256).alias("base_sha256"), spans.alias("spans"), F.size(extra).cast("long").alias("n_found"))
+    n_found = F.size(extra).cast("long")
+    n_spans = F.col("a.n_email") + F.col("a.n_ip") + F.col("a.n_card") + F.col("a.n_phone") + n_found
+    return out.select("a.doc_id", *[f"a.n_{k}" for k in KINDS], F.sha2(F.col("a.base"), 256).alias("base_sha256"), spans.alias("spans"), n_found.alias("n_found"), n_spans.alias("n_spans"))
 
 
 def without(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -236,7 +268,7 @@ def without(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """df with every span of its text replaced; other columns as they are. Null texts stay null."""
-    scanned = cut(scan(df, id_column=id_column, text_column=text_column))
+    scanned = scan(df, id_column=id_column, text_column=text_column)
     trusted, known = accepted(scanned)
     held: frozenset[int] = frozenset()
     instances_held: frozenset[int] = frozenset()
@@ -245,20 +277,18 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
         held = frozenset(r.pattern for r in trusted.collect())
         instances_held = frozenset(r.instance for r in known.collect())
     else:  # spans come as the last column
-        extra = found(scanned, trusted, known).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), "spans")
-        extra = extra.select("_pii_id", "_pii_hash", F.col("spans").alias("_pii_spans"))
+        extra = found(scanned, trusted, known).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), F.col("spans").alias("_pii_spans"))
         rows = df.join(extra, df[id_column].cast("long").eqNullSafe(extra["_pii_id"]) & (F.xxhash64(utf8(text_column)) == extra["_pii_hash"]), "left").drop("_pii_id", "_pii_hash")
 
     def clean(text: str, more: list[dict] | None) -> str:
         base = base_spans(text)
         spans = [(s, e, k) for k in KINDS for s, e in base[k]] + [(x["start"], x["stop"], FOUND) for x in more or []]
-        spans += [(s, e, FOUND) for s, e in tried_again(text, base)]
         if held or instances_held:
-            spans += [(s, e, FOUND) for p, i, k, s, e in instances(text, base) if k is None and (p in held or i in instances_held)]
+            spans += [(s, e, FOUND) for p, i, k, s, e in instances(text, base) if markable(k) and (p in held or i in instances_held)]
         return without(text, spans) if spans else text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, at, 1 << 20):
             more = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows
             texts = [t if t is None else clean(t, x) for t, x in zip(batch.column(at).to_pylist(), more, strict=True)]
             columns = list(batch.columns[: len(names)])
