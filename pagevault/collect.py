@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
+from pagevault.operators import report_lines
 from pagevault.service import session
+from pagevault.shared import use_checkpoints
 from pagevault.sinks import save_pages
 from pagevault.sources import fetch_pages, targets
 
 
-def report(receipts: list) -> list[str]:
-    return [line for r in receipts for line in (f"HTML saved: {r.html_path}", f"Metadata saved: {r.metadata_path}", f"SHA-256: {r.sha256}")]
-
-
 def main(args: list[str]) -> int:
     root, patch, locale, url = args
     spark = session("pagevault.collect")
-    with tempfile.TemporaryDirectory() as own:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-        pages = fetch_pages(targets(spark, [(patch, locale, url)])).checkpoint()  # one fetch, however often it is read
-        print("\n".join(report(save_pages(pages, root).collect())))
+    use_checkpoints(spark)
+    pages = fetch_pages(targets(spark, [(patch, locale, url)])).checkpoint()  # one fetch, however often it is read
+    print("\n".join(r.line for r in report_lines(save_pages(pages, root)).sort("n").collect()))
     return 0
 
 

@@ -74,12 +74,23 @@ def last_write_wins(pages: DataFrame, keys: list[str], order: list[Column]) -> D
     return best.select("row.*")
 
 
-def last_write_wins_window(pages: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The same by row_number, for rows with columns that max_by cannot hold."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))
-    return pages.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def last_write_wins_wide(pages: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The same for rows with bodies, or with columns that max_by cannot hold. Only keys and order are aggregated; the rows
+    that are last by order are joined to them, and of equal last rows of a key one stays."""
+    ranked = pages.withColumn("_order", F.struct(*order))
+    best = ranked.groupBy(*keys).agg(F.max("_order").alias("_order"))
+    last = ranked.join(best, [ranked[k] == best[k] for k in keys] + [ranked["_order"] == best["_order"]], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
+    return last.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_order")
 
 
 def integrity(pages: DataFrame) -> DataFrame:
     """pages (content, sha256, size_bytes) with hash_ok and size_ok, both recomputed from the bytes."""
     return pages.withColumns({"hash_ok": digest(F.col("content")) == F.col("sha256"), "size_ok": size_bytes(F.col("content")) == F.col("size_bytes")})
+
+
+def report_lines(receipts: DataFrame, *keep: str) -> DataFrame:
+    """Three lines for each receipt (html_path, metadata_path, sha256), after any columns to keep: n (0 to 2), line."""
+    named = (("HTML saved", "html_path"), ("Metadata saved", "metadata_path"), ("SHA-256", "sha256"))
+    lines = F.array(*[F.concat(F.lit(f"{label}: "), F.col(column)) for label, column in named])
+    return receipts.select(*keep, F.posexplode(lines).alias("n", "line"))

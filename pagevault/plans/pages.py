@@ -1,25 +1,26 @@
 """Queries over the table `pages`, which stands in for the network: its html is the fetched body, its url the target's.
 
-The table holds no HTTP facts. They are fixture constants here, as is the rule that the url's path names locale and
-version (`/fr/825`).
+The table holds no HTTP facts. They are made from page_id here, as is the rule that the url's path names locale and version
+(`/fr/825`).
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagevault.functions import digest, header, iso_utc, metadata_json, parse_metadata, size_bytes, store_path
-from pagevault.operators import integrity, last_write_wins, metadata, raw_pages, successful
+from pagevault.functions import digest, header, iso_utc, metadata_json, metadata_line, parse_metadata, size_bytes, store_path
+from pagevault.operators import integrity, last_write_wins, metadata, quarantined, raw_pages, report_lines, require_success, successful
 from pagevault.schemas import METADATA
 from pagevault.service import create_engine
+from pagevault.shared import own_folder
 from pagevault.sinks import save_pages
-from pagevault.sources import read_store
-from pagevault.sources.table import url_path
+from pagevault.sources import read_store, through_table
+from pagevault.sources.table import KEEP, url_path
 
-STATUS, CONTENT_TYPE, ETAG, FETCHED_AT = 200, "text/html; charset=utf-8", '"test-etag"', "2026-01-07T19:00:00+00:00"
+CONTENT_TYPE, MODIFIED = "text/html; charset=UTF-8", "Sat, 01 Mar 2025 06:30:00 GMT"
+#: Microseconds since 1970 at which page 0 is fetched; each later page a second and a half after the one before.
+FETCHED_FROM, FETCHED_STEP = 1_740_810_600_000_000, 1_500_000
 PATH_KEYS = "^/([a-z]{2})/([0-9]+)"
 ROOT = "data/raw/pages"
 
@@ -36,19 +37,22 @@ def targets_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _key(2).alias("patch"), _key(1).alias("locale"), F.col("url").alias("source_url"))
 
 
+def _fetched_at() -> Column:
+    return F.timestamp_micros(F.lit(FETCHED_FROM) + F.col("page_id") * FETCHED_STEP)
+
+
+def _headers() -> Column:
+    """An entity tag that names the page; every third page tells no time of change."""
+    etag = F.concat(F.lit('W/"'), F.col("page_id").cast("string"), F.lit('"'))
+    known = F.create_map(F.lit("Content-Type"), F.lit(CONTENT_TYPE), F.lit("ETag"), etag)
+    return F.when(F.col("page_id") % 3 == 0, known).otherwise(F.map_concat(known, F.create_map(F.lit("Last-Modified"), F.lit(MODIFIED))))
+
+
 def responses_of(pages: DataFrame) -> DataFrame:
     """Every page as the response to its own target."""
-    headers = F.create_map(F.lit("Content-Type"), F.lit(CONTENT_TYPE), F.lit("ETag"), F.lit(ETAG))
-    return pages.select(
-        "page_id",
-        _key(2).alias("patch"),
-        _key(1).alias("locale"),
-        F.col("url").alias("source_url"),
-        F.lit(FETCHED_AT).cast("timestamp").alias("fetched_at"),
-        F.lit(STATUS).alias("status_code"),
-        headers.alias("headers"),
-        F.encode("html", "UTF-8").alias("content"),
-    )
+    url, status = F.col("url").alias("source_url"), F.lit(200).alias("status_code")
+    facts = [_fetched_at().alias("fetched_at"), status, _headers().alias("headers"), F.encode("html", "UTF-8").alias("content")]
+    return pages.select("page_id", _key(2).alias("patch"), _key(1).alias("locale"), url, *facts)
 
 
 def target_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +76,41 @@ def metadata_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata_as_json(spark, sf_dir).select("page_id", parse_metadata(F.col("metadata")).alias("m")).select("page_id", "m.*")
 
 
+def metadata_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newline-terminated bytes that a file of metadata holds, by hash and size."""
+    line = metadata_projection(spark, sf_dir).select("page_id", metadata_line().alias("line"))
+    return line.select("page_id", digest(F.col("line")).alias("line_sha256"), size_bytes(F.col("line")).alias("line_bytes"))
+
+
+def table_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' targets, some twice and some that nobody serves, answered by a table that has some pages twice."""
+    pages = _pages(spark, sf_dir)
+    wanted = targets_of(pages).drop("page_id")
+    nowhere = F.concat("source_url", F.lit("/nowhere"))
+    wanted = wanted.unionAll(wanted.where("locale = 'fr'").withColumn("source_url", nowhere)).unionAll(wanted.where("locale = 'de'"))
+    served = responses_of(pages).select(F.col("source_url").alias("url"), "fetched_at", "status_code", "headers", "content")
+    older = served.withColumns({"fetched_at": F.col("fetched_at") - F.expr("interval 9 days"), "content": F.lit(b"older")})
+    answered = through_table(wanted, served.unionAll(older), missing=KEEP)
+    return answered.select("patch", "locale", "source_url", iso_utc(F.col("fetched_at")).alias("fetched_at"), "status_code", header(F.col("headers"), "ETAG").alias("etag"), digest(F.col("content")).alias("sha256"))
+
+
+def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 204, 299, 301, 503, None))), (F.col("page_id") % 7 + 1).cast("int"))
+    return _pages(spark, sf_dir).select("page_id", status.cast("int").alias("status_code"), "url")
+
+
+def fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check that fails the query on any other status, over successes of every kind."""
+    status = (200 + F.col("page_id") % 100).cast("int").alias("status_code")
+    return require_success(_pages(spark, sf_dir).select("page_id", status, "url"))
+
+
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("page_id") % 10 == 0, 404).otherwise(200)
-    return successful(_pages(spark, sf_dir).select("page_id", status.cast("int").alias("status_code"), "url"))
+    return successful(_with_status(spark, sf_dir))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantined(_with_status(spark, sf_dir))
 
 
 def output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +133,18 @@ def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetched_at_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times without zone and, from microseconds before and after 1970, instants; some without a fraction."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     ts = F.col("ts").cast("timestamp_ntz")
     whole = F.date_trunc("second", ts).cast("timestamp_ntz")
-    return events.select("event_id", iso_utc(ts, instant=False).alias("iso"), iso_utc(whole, instant=False).alias("iso_second"))
+    instant = F.timestamp_micros(F.when(F.col("event_id") % 4 == 0, F.col("event_id") * 86_400_000_000).otherwise((F.col("event_id") - 500) * 61_000_000_007))
+    return events.select("event_id", iso_utc(ts, instant=False).alias("iso"), iso_utc(whole, instant=False).alias("iso_second"), iso_utc(instant).alias("iso_instant"))
 
 
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored hashes and sizes against the bytes that are there now."""
-    pages = _pages(spark, sf_dir).select("page_id", F.encode("html", "UTF-8").alias("content"))
+    """Stored hashes and sizes against bytes of which some have changed since, some by a byte more and some in place."""
+    changed = F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("x"))).when(F.col("page_id") % 11 == 0, F.translate("html", "aeiou", "AEIOU")).otherwise(F.col("html"))
+    pages = _pages(spark, sf_dir).select("page_id", F.encode(changed, "UTF-8").alias("content"))
     stored = metadata_projection(spark, sf_dir).select("page_id", "sha256", "size_bytes")
     return integrity(stored.join(pages, "page_id")).select("page_id", "sha256", "size_bytes", "hash_ok", "size_ok")
 
@@ -118,24 +157,40 @@ def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores all pages, one folder for each target, reads them back and compares."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    root = tempfile.mkdtemp(prefix="pages-", dir=shared if shared.startswith("/") and "://" not in shared else None)
-    rows = last_write_wins(responses_of(_pages(spark, sf_dir)).drop("headers"), ["patch", "locale"], [F.col("page_id")])
-    rows = rows.withColumn("headers", F.create_map(F.lit("Content-Type"), F.lit(CONTENT_TYPE), F.lit("ETag"), F.lit(ETAG)))
-    save_pages(raw_pages(rows), root)
+    root = own_folder(spark, "pages")
+    save_pages(raw_pages(responses_of(_pages(spark, sf_dir))), root)
     back = integrity(read_store(spark, root))
-    return back.select("patch", "locale", "source_url", "sha256", "size_bytes", "hash_ok", "size_ok")
+    return back.select(*METADATA.names, "hash_ok", "size_ok")
+
+
+def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves other bodies to every place, then all pages but those of one locale into the same places: the receipts of the
+    second save, the lines of its report, and what the store holds then."""
+    root = own_folder(spark, "pages")
+    raw = raw_pages(responses_of(_pages(spark, sf_dir)))
+    older = F.encode(F.concat(F.lit("older "), "target.patch"), "UTF-8")
+    save_pages(raw.withColumn("content", older).withColumn("sha256", digest(F.col("content"))), root)
+    receipts = save_pages(raw.where("target.locale != 'es'"), root)
+    lines = report_lines(receipts.select(*[F.replace(c, F.lit(root), F.lit(ROOT)).alias(c) for c in ("html_path", "metadata_path")], "sha256"), "html_path")
+    lines = lines.groupBy("html_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("report"))
+    kept = integrity(read_store(spark, root)).withColumn("html_path", store_path(ROOT, F.col("patch"), F.col("locale"), "page.html"))
+    return kept.join(lines, "html_path", "left").select("html_path", "report", "sha256", "size_bytes", "hash_ok", "size_ok")
 
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 _PATCH, _LOCALE = (f"regexp_extract({_PATH}, '{PATH_KEYS}', {n})" for n in (2, 1))
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || case when extract(microsecond from {0}) % 1000000 = 0 then '' else strftime({0}, '.%f') end || '+00:00'"
+_AT = f"make_timestamp({FETCHED_FROM} + page_id * {FETCHED_STEP})"
 _VALUES = {
-    "schema_version": "cast(1 as integer)", "collector_version": "'0.1.0'", "patch": _PATCH, "locale": _LOCALE, "source_url": "url", "fetched_at": f"'{FETCHED_AT}'",
-    "status_code": f"cast({STATUS} as integer)", "content_type": f"'{CONTENT_TYPE}'", "etag": f"'{ETAG}'", "last_modified": "cast(null as varchar)", "sha256": "sha256(html)", "size_bytes": "cast(strlen(html) as bigint)",
+    "schema_version": "cast(1 as integer)", "collector_version": "'0.1.0'", "patch": _PATCH, "locale": _LOCALE, "source_url": "url", "fetched_at": _ISO.format(_AT),
+    "status_code": "cast(200 as integer)", "content_type": f"'{CONTENT_TYPE}'", "etag": "'W/\"' || page_id || '\"'", "last_modified": f"case when page_id % 3 > 0 then '{MODIFIED}' end", "sha256": "sha256(html)", "size_bytes": "cast(strlen(html) as bigint)",
 }
 _METADATA = f"select page_id, {', '.join(f'{_VALUES[n]} as {n}' for n in METADATA.names)} from pages"
+_JSON = f"select page_id, cast(to_json(struct_pack({', '.join(f'{n} := {n}' for n in sorted(METADATA.names))})) as varchar) as metadata from ({_METADATA})"
 _LAST = "select * from (select *, row_number() over (partition by patch, locale order by page_id desc) as n from (%s)) where n = 1"
-_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || case when extract(microsecond from {0}) % 1000000 = 0 then '' else strftime({0}, '.%f') end || '+00:00'"
+_STATUS = "select page_id, cast([200, 404, 204, 299, 301, 503, null][page_id % 7 + 1] as integer) as status_code, url from pages"
+_CHANGED = "case when page_id % 7 = 0 then html || 'x' when page_id % 11 = 0 then translate(html, 'aeiou', 'AEIOU') else html end"
+_BESIDE = f"'{ROOT}/' || patch || '/' || locale || "
 
 QUERIES = {
     "metadata_projection": metadata_projection,
@@ -143,7 +198,11 @@ QUERIES = {
     "content_digest": content_digest,
     "metadata_json": metadata_as_json,
     "metadata_readback": metadata_readback,
+    "metadata_bytes": metadata_bytes,
+    "table_transport": table_transport,
+    "fail_fast": fail_fast,
     "status_filter": status_filter,
+    "quarantine": quarantine,
     "output_path": output_path,
     "last_write_wins": last_write,
     "header_lookup": header_lookup,
@@ -151,19 +210,28 @@ QUERIES = {
     "integrity_check": integrity_check,
     "health_status": health_status,
     "raw_store_roundtrip": raw_store_roundtrip,
+    "store_overwrite": store_overwrite,
 }
 ORACLES = {
     "metadata_projection": _METADATA,
     "target_scan": f"select page_id, {_PATCH} as patch, {_LOCALE} as locale, url as source_url from pages",
     "content_digest": "select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes from pages",
-    "metadata_json": f"select page_id, cast(to_json(struct_pack({', '.join(f'{n} := {n}' for n in sorted(METADATA.names))})) as varchar) as metadata from ({_METADATA})",
+    "metadata_json": _JSON,
     "metadata_readback": _METADATA,
-    "status_filter": "select * from (select page_id, cast(case when page_id % 10 = 0 then 404 else 200 end as integer) as status_code, url from pages) where status_code between 200 and 299",
+    "metadata_bytes": f"select page_id, sha256(metadata || chr(10)) as line_sha256, cast(strlen(metadata) + 1 as bigint) as line_bytes from ({_JSON})",
+    "table_transport": f"""with p as ({_METADATA}), wanted as (select patch, locale, source_url from p union all select patch, locale, source_url || '/nowhere' from p where locale = 'fr' union all select patch, locale, source_url from p where locale = 'de'),
+answers as (select * from (select *, row_number() over (partition by source_url order by page_id desc) as n from p) where n = 1)
+select w.patch, w.locale, w.source_url, a.fetched_at, a.status_code, a.etag, a.sha256 from wanted w left join answers a using (source_url)""",
+    "fail_fast": "select page_id, cast(200 + page_id % 100 as integer) as status_code, url from pages",
+    "status_filter": f"select * from ({_STATUS}) where status_code between 200 and 299",
+    "quarantine": f"select * from ({_STATUS}) where coalesce(status_code not between 200 and 299, true)",
     "output_path": f"select page_id, '{ROOT}/' || patch || '/' || locale || '/page.html' as html_path, '{ROOT}/' || patch || '/' || locale || '/metadata.json' as metadata_path from ({_METADATA})",
     "last_write_wins": f"select page_id, patch, locale, source_url from ({_LAST % _METADATA})",
     "header_lookup": "select page_id, case when page_id % 3 < 2 then 'v' || page_id end as etag from pages",
-    "fetched_at_iso": f"select event_id, {_ISO.format('ts')} as iso, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso_second from events",
-    "integrity_check": "select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes, true as hash_ok, true as size_ok from pages",
+    "fetched_at_iso": f"select event_id, {_ISO.format('ts')} as iso, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso_second, {_ISO.format('t')} as iso_instant from (select *, make_timestamp(cast(case when event_id % 4 = 0 then event_id * 86400000000 else (event_id - 500) * 61000000007 end as bigint)) as t from events)",
+    "integrity_check": f"select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes, sha256(html) = sha256({_CHANGED}) as hash_ok, strlen(html) = strlen({_CHANGED}) as size_ok from pages",
     "health_status": "select * from (values ('live', 'ok'), ('ready', 'ok')) as t(endpoint, status)",
-    "raw_store_roundtrip": f"select patch, locale, source_url, sha256, size_bytes, true as hash_ok, true as size_ok from ({_LAST % _METADATA})",
+    "raw_store_roundtrip": f"select {', '.join(METADATA.names)}, true as hash_ok, true as size_ok from ({_LAST % _METADATA})",
+    "store_overwrite": f"""select {_BESIDE}'/page.html' as html_path, case when locale != 'es' then 'HTML saved: ' || {_BESIDE}'/page.html' || chr(10) || 'Metadata saved: ' || {_BESIDE}'/metadata.json' || chr(10) || 'SHA-256: ' || sha256 end as report,
+case when locale != 'es' then sha256 else sha256('older ' || patch) end as sha256, case when locale != 'es' then size_bytes else cast(strlen('older ' || patch) as bigint) end as size_bytes, true as hash_ok, true as size_ok from ({_LAST % _METADATA})""",
 }

@@ -1,8 +1,13 @@
 """The raw store: <root>/<patch>/<locale>/ with page.html (the fetched bytes) and metadata.json.
 
-Tasks write to a staging folder of their attempt below the root; the driver moves whole folders into place when all tasks
-are done, so a reader sees both files of a page or neither, and a repeated attempt leaves nothing. root must be a folder that driver
-and executors share. One file for each row is the stored form asked for, not one to query at scale: see table.py.
+A first job stages pages: each task attempt writes to a folder of its own below the root, and a table in the shared folder
+lists what successful attempts have staged. A second job moves the listed pages into place, each task its share, and its rows
+are the receipts. So a failed first job changes nothing, a repeated attempt of either leaves one copy, pages are neither read nor
+listed in the driver, and saving runs the plan above it once. A new page appears as a whole; of a page that is there already each
+file is replaced by one rename, the body first, and the hash in the metadata tells which body it belongs to.
+
+root must be a folder that driver and executors share. One file for each row is the stored form asked for, not one to query at
+scale: see table.py.
 """
 
 from __future__ import annotations
@@ -12,19 +17,21 @@ import os
 import re
 import shutil
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from pagevault.operators.records import last_write_wins_window, metadata
+from pagevault.operators.records import last_write_wins_wide, metadata
 from pagevault.schemas import METADATA
+from pagevault.shared import delete, own_folder
 
 PAGE, META = "page.html", "metadata.json"
 _NAME = re.compile(r"(?!\.{1,2}$)[\w.+ -]{1,128}")
 _STAGING = ".staging-"
+STAGED = "patch string, locale string, place string, sha256 string"
+RECEIPTS = "html_path string, metadata_path string, sha256 string"
 
 
 def pretty(values: dict) -> bytes:
@@ -40,66 +47,61 @@ def folder(root: str, patch: str, locale: str) -> str:
     return os.path.join(root, patch, locale)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    staged: list[tuple[str, str]]  # patch, locale
-    place: str
-
-
-class RawPageStore(DataSource):
-    """df.write.format("raw_page_store").option("path", root): columns of METADATA and content, one row for each target."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "raw_page_store"
-
-    def writer(self, schema, overwrite: bool) -> StoreWriter:  # noqa: ANN001
-        return StoreWriter(dict(self.options)["path"])
-
-
-class StoreWriter(DataSourceWriter):
-    def __init__(self, root: str) -> None:
-        self.root, self.job = root.removeprefix("file://"), uuid.uuid4().hex
-
-    @property
-    def staging(self) -> str:
-        return os.path.join(self.root, _STAGING + self.job)
-
-    def write(self, iterator: Iterator[Row]) -> Written:
-        place = os.path.join(self.staging, uuid.uuid4().hex)
-        staged = []
-        for row in iterator:
-            at = folder(place, row["patch"], row["locale"])
-            os.makedirs(at, exist_ok=True)
-            with open(os.path.join(at, PAGE), "wb") as f:
-                f.write(bytes(row["content"]))
-            with open(os.path.join(at, META), "wb") as f:
-                f.write(pretty({name: row[name] for name in METADATA.names}))
-            staged.append((row["patch"], row["locale"]))
-        return Written(staged, place)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for patch, locale in message.staged if message else []:
-                source, to = folder(message.place, patch, locale), folder(self.root, patch, locale)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                old = os.path.join(self.staging, "old-" + uuid.uuid4().hex)
-                if os.path.isdir(to):
-                    os.rename(to, old)
-                os.rename(source, to)
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+def stage(rows: Iterable[dict], staging: str) -> Iterator[tuple[str, str, str, str]]:
+    """Writes rows of METADATA and content to a new folder below staging; yields rows of STAGED."""
+    place = os.path.join(staging, uuid.uuid4().hex)
+    for row in rows:
+        at = folder(place, row["patch"], row["locale"])
+        os.makedirs(at, exist_ok=True)
+        for name, data in ((PAGE, bytes(row["content"])), (META, pretty({n: row[n] for n in METADATA.names}))):
+            with open(os.path.join(at, name), "wb") as f:
+                f.write(data)
+        yield row["patch"], row["locale"], place, row["sha256"]
+
+
+def move(place: str, root: str, patch: str, locale: str) -> None:
+    """Puts a staged page into its place; does the rest if an earlier attempt did a part."""
+    source, to = folder(place, patch, locale), folder(root, patch, locale)
+    os.makedirs(os.path.dirname(to), exist_ok=True)
+    if not os.path.isdir(to):
+        try:
+            os.rename(source, to)
+        except OSError:  # another attempt was first
+            pass
+    for name in (PAGE, META):
+        if os.path.exists(os.path.join(source, name)):
+            os.replace(os.path.join(source, name), os.path.join(to, name))
+        elif not os.path.exists(os.path.join(to, name)):
+            raise FileNotFoundError(f"{name} of {patch}/{locale} is neither staged nor stored")
 
 
 def save_pages(raw: DataFrame, root: str) -> DataFrame:
     """Stores raw page records; of several for one target the last fetched stays. Returns receipts: html_path,
-    metadata_path, sha256, one row for each target. Records are expected to be written or checkpointed (see sources)."""
-    raw.sparkSession.dataSource.register(RawPageStore)
+    metadata_path, sha256, one row for each target."""
+    spark, local = raw.sparkSession, root.removeprefix("file://").rstrip("/")
+    staging = os.path.join(local, _STAGING + uuid.uuid4().hex)
     order = [F.col("fetched_at"), F.col("status_code"), F.col("sha256")]
-    last = last_write_wins_window(raw.select("*", "target.patch", "target.locale"), ["patch", "locale"], order).drop("patch", "locale")
-    rows = metadata(last, "content")
-    rows.write.format("raw_page_store").option("path", root).mode("append").save()
-    path = lambda name: F.concat_ws("/", F.lit(root.rstrip("/")), "patch", "locale", F.lit(name))
-    return rows.select(path(PAGE).alias("html_path"), path(META).alias("metadata_path"), "sha256")
+    last = last_write_wins_wide(raw.select("*", "target.patch", "target.locale"), ["patch", "locale"], order).drop("patch", "locale")
+    names = [x.split()[0] for x in STAGED.split(", ")]
+
+    def staged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(stage((batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)), staging))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4, names=names)
+
+    def moved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                move(r["place"], local, r["patch"], r["locale"])
+            paths = [[f"{root.rstrip('/')}/{r['patch']}/{r['locale']}/{name}" for r in rows] for name in (PAGE, META)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.string()) for p in paths), batch.column("sha256")], names=["html_path", "metadata_path", "sha256"])
+
+    listed = own_folder(spark, "receipts")
+    try:
+        metadata(last, "content").mapInArrow(staged, STAGED).write.parquet(f"{listed}/staged")
+        spark.read.schema(STAGED).parquet(f"{listed}/staged").mapInArrow(moved, RECEIPTS).write.parquet(f"{listed}/stored")
+        delete(spark, f"{listed}/staged")
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+    return spark.read.schema(RECEIPTS).parquet(f"{listed}/stored")

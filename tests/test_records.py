@@ -28,7 +28,12 @@ def raw(spark):
 def test_raw_pages_from_a_table(spark):
     wanted = targets(spark, [("26.1", "ko_kr", "u1"), ("26.10", "ko_kr", "u2"), ("1", "x", "nowhere")])
     pages = spark.createDataFrame([("u1", AT, 200, {"Content-Type": "text/html", "ETAG": "e"}, BODY), ("u2", AT, 200, {}, b"")], "url string, fetched_at timestamp, status_code int, headers map<string,string>, content binary")
-    got = {r.target.patch: r for r in raw_pages(through_table(wanted, pages)).collect()}
+    with pytest.raises(Exception, match="no answer for nowhere"):
+        through_table(wanted, pages).collect()
+    pages = pages.unionAll(pages.where("url = 'u1'").withColumn("fetched_at", F.col("fetched_at") - F.expr("interval 1 day")).withColumn("content", F.lit(b"older")))
+    kept = through_table(wanted, pages, missing="keep")
+    assert kept.count() == 3 and [r.source_url for r in quarantined(kept).collect()] == ["nowhere"]
+    got = {r.target.patch: r for r in raw_pages(successful(kept)).collect()}
     assert set(got) == {"26.1", "26.10"}
     assert got["26.1"].sha256 == hashlib.sha256(BODY).hexdigest() and got["26.1"].etag == "e" and got["26.1"].content_type == "text/html" and got["26.1"].last_modified is None
     assert got["26.10"].content == b"" and got["26.10"].etag is None

@@ -4,11 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pagevault.collect import report
-from pagevault.operators import integrity, metadata
+from pagevault.operators import integrity, metadata, report_lines
 from pagevault.schemas import METADATA, RAW_PAGE
-from pagevault.sinks import RawPageStore, read_table, save_pages, write_table
-from pagevault.sinks.store import StoreWriter, folder
+from pagevault.sinks import read_table, save_pages, write_table
+from pagevault.sinks.store import folder, move, stage
 from pagevault.sources import read_bodies, read_metadata, read_store
 
 from test_records import AT, BODY, raw_row
@@ -16,12 +15,13 @@ from test_records import AT, BODY, raw_row
 
 def test_save_writes_bytes_and_metadata(spark, tmp_path):
     raw = spark.createDataFrame([raw_row(etag='"ü\x01"')], RAW_PAGE)
-    receipts = save_pages(raw, str(tmp_path)).collect()
+    saved = save_pages(raw, str(tmp_path))
+    receipts = saved.collect()
     assert receipts[0].html_path == f"{tmp_path}/26.1/ko_kr/page.html"
     assert open(receipts[0].html_path, "rb").read() == BODY
     values = {k: v for k, v in metadata(raw).first().asDict().items()}
     assert open(receipts[0].metadata_path, "rb").read() == (json.dumps(values, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()
-    assert report(receipts) == [f"HTML saved: {receipts[0].html_path}", f"Metadata saved: {receipts[0].metadata_path}", f"SHA-256: {receipts[0].sha256}"]
+    assert [r.line for r in report_lines(saved).sort("n").collect()] == [f"HTML saved: {receipts[0].html_path}", f"Metadata saved: {receipts[0].metadata_path}", f"SHA-256: {receipts[0].sha256}"]
     assert sorted(os.listdir(tmp_path)) == ["26.1"]
 
 
@@ -42,20 +42,40 @@ def test_names_cannot_leave_the_root(tmp_path):
 
 
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
-    rows = metadata(spark.createDataFrame([raw_row(), raw_row(patch="..")], RAW_PAGE), "content")
-    spark.dataSource.register(RawPageStore)
+    rows = spark.createDataFrame([raw_row(), raw_row(patch="..")], RAW_PAGE)
     with pytest.raises(Exception, match="not a name"):
-        rows.write.format("raw_page_store").option("path", str(tmp_path)).mode("append").save()
+        save_pages(rows, str(tmp_path))
     assert os.listdir(tmp_path) == []
 
 
 def test_repeated_attempts_leave_one_copy(tmp_path):
     row = {n: None for n in METADATA.names} | {"patch": "1", "locale": "l", "content": b"x"}
-    writer = StoreWriter(str(tmp_path))
-    first, second = writer.write(iter([row])), writer.write(iter([row]))
-    assert first.place != second.place
-    writer.commit([second])
-    assert sorted(os.listdir(tmp_path)) == ["1"] and sorted(os.listdir(tmp_path / "1/l")) == ["metadata.json", "page.html"]
+    staging, root = str(tmp_path / "s"), str(tmp_path / "r")
+    places = [next(stage([row | {"content": data}], staging))[2] for data in (b"x", b"x", b"later", b"last")]
+    assert len(set(places)) == 4
+    move(places[0], root, "1", "l")
+    move(places[0], root, "1", "l")  # the attempt that did it was not heard of
+    move(places[2], root, "1", "l")
+    assert sorted(os.listdir(f"{root}/1/l")) == ["metadata.json", "page.html"] and open(f"{root}/1/l/page.html", "rb").read() == b"later"
+    os.replace(f"{places[3]}/1/l/page.html", f"{root}/1/l/page.html")  # an attempt lost between its two renames
+    move(places[3], root, "1", "l")
+    assert open(f"{root}/1/l/page.html", "rb").read() == b"last" and not os.listdir(f"{places[3]}/1/l")
+    with pytest.raises(FileNotFoundError):
+        move(places[3], root, "2", "l")
+
+
+def test_saving_runs_the_plan_once_and_again_over_a_store(spark, tmp_path):
+    fetched = spark.sparkContext.accumulator(0)
+
+    def fetch(batches):
+        for batch in batches:
+            fetched.add(batch.num_rows)
+            yield batch
+
+    raw = spark.createDataFrame([raw_row(patch=str(i)) for i in range(20)], RAW_PAGE).select("target.patch", "target", *[f.name for f in RAW_PAGE][1:])
+    raw = raw.mapInArrow(fetch, raw.schema).drop("patch").checkpoint()
+    assert save_pages(raw, str(tmp_path)).count() == save_pages(raw, str(tmp_path)).count() == 20
+    assert fetched.value == 20 and len(os.listdir(tmp_path)) == 20
 
 
 def test_partitioned_table(spark, tmp_path):
