@@ -342,6 +342,8 @@ def parse(data: bytes, marks: list[int], offset: int) -> Image:
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             if body[0] != 8:
                 raise ValueError("samples of 8 bits only")
+            if not 0 < 3 * image.width * image.height < 1 << 31:
+                raise ValueError("no pixels, or more than a value of a column can hold")
             image.components = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
             across, down = (max(getattr(c, k) for c in image.components) for k in ("across", "down"))
             units = -(-image.width // (8 * across)), -(-image.height // (8 * down))

@@ -7,9 +7,9 @@ inverse transform in numpy and upsampled chroma, the full-resolution RGB tensor.
 
 Scale: one narrow pass in slices bounded by bytes; images of a slice are coded and decoded together. Nothing is shuffled.
 
-Defined results: null and empty texts are one unit of blanks; equal texts give equal values; a column of media holding
-null gives null tensors; bytes that are no progressive JPEG raise; an empty table gives no rows; further columns are
-ignored.
+Defined results: null and empty texts are one unit of blanks; very long texts are one large image; equal texts give equal
+values; a column of media holding null gives null tensors, and files that are broken or no progressive JPEG give null tensors
+and the reason in a column error; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,17 +100,27 @@ def store_texts(df: DataFrame, *, with_media: bool = False, with_rgb: bool = Fal
     return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, schema)
 
 
+def decoded(files: list[bytes]) -> list[tuple[int | None, int | None, bytes | None, str | None]]:
+    """width, height, rgb, error of each file; all together, or one by one if some cannot be decoded."""
+    try:
+        images, coefficients = jpeg.decode(files)
+        return [(i.width, i.height, jpeg.rgb(i, coefficients).tobytes(), None) for i in images]
+    except Exception as error:  # broken files fail in every way
+        if len(files) == 1:
+            return [(None, None, None, f"{type(error).__name__}: {error}")]
+        return [x for f in files for x in decoded([f])]
+
+
 def decode_column(df: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """doc_id, width, height, rgb (height x width x 3 bytes) of a column of progressive JPEG files."""
+    """doc_id, width, height, rgb (height x width x 3 bytes), error of a column of progressive JPEG files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "media", SLICE):
             files = batch.column("media").to_pylist()
-            images, coefficients = jpeg.decode([f for f in files if f is not None])
-            found = iter([(i.width, i.height, jpeg.rgb(i, coefficients).tobytes()) for i in images])
-            rows = [(None, None, None) if f is None else next(found) for f in files]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "width", "height", "rgb"])
+            found = iter(decoded([f for f in files if f is not None]))
+            rows = [(None, None, None, None) if f is None else next(found) for f in files]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "width", "height", "rgb", "error"])
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(media_column).cast("binary").alias("media"))
-    return rows.mapInArrow(run, "doc_id long, width int, height int, rgb binary")
+    return rows.mapInArrow(run, "doc_id long, width int, height int, rgb binary, error string")

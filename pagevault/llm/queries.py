@@ -21,7 +21,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(read(spark, sf_dir, "documents"))
+    return media.store_texts(read(spark, sf_dir, "documents"), with_rgb=True)
 
 
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

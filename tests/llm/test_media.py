@@ -7,7 +7,7 @@ import pytest
 
 from pagevault.llm import jpeg, media
 
-from cases import clashing, documents, odd_texts
+from cases import clashing, documents, odd_texts, words
 
 
 def scalar_decode(data):
@@ -193,3 +193,22 @@ def test_query_contract(spark):
     column = spark.createDataFrame([(1, bytearray(rows[6].media)), (2, None)], "doc_id long, media binary")
     back = {r.doc_id: r for r in media.decode_column(column).collect()}
     assert back[1].rgb == rows[6].rgb and back[2].rgb is None
+
+
+def test_broken_files_give_errors_beside_whole_ones(spark):
+    rng = random.Random(14)
+    good = media.store([media.filled(words(rng, n).encode()) for n in (20, 400)], [b"bytes=1", b"bytes=2"])
+    bad = [b"", b"\xff\xd8", b"no image", good[0][: len(good[0]) // 2], good[1][:-2], good[1][:30]]
+    for _ in range(25):
+        data = bytearray(good[0])
+        for _ in range(3):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        bad.append(bytes(data))
+    files = [good[0], *bad, good[1], None]
+    rows = {r.doc_id: r for r in media.decode_column(spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary").coalesce(1)).collect()}
+    assert len(rows) == len(files) and rows[len(files) - 1][1:] == (None, None, None, None)
+    for i, f in ((0, good[0]), (len(files) - 2, good[1])):
+        images, coefficients = jpeg.decode([f])
+        assert rows[i].error is None and bytes(rows[i].rgb) == jpeg.rgb(images[0], coefficients).tobytes()
+    assert all((r.error is None) != (r.rgb is None) for i, r in rows.items() if i < len(files) - 1) and all(rows[i].error for i in range(1, 5))
+    assert [bytes(r.rgb or b"") for r in media.store_texts(documents(spark, ["x", "x"]), with_rgb=True).collect()][0]
