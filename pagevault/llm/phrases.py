@@ -128,7 +128,7 @@ def zipped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def passages(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, p, b: the phrase and the hash of each distinct passage of a document."""
+    """doc_id, lists p and b: the phrase and the hash of each distinct passage of a document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -151,8 +151,7 @@ def passages(df: DataFrame, size: int, id_column: str, text_column: str) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "p", "b"])
 
     rows = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
-    lists = cut(rows.mapInArrow(run, "doc_id long, p array<long>, b array<long>"))  # the texts are read once, and rows are made from it as often as needed
-    return lists.select("doc_id", F.explode(F.arrays_zip("p", "b")).alias("x")).select("doc_id", "x.p", "x.b")
+    return cut(rows.mapInArrow(run, "doc_id long, p array<long>, b array<long>"))
 
 
 class Held:
@@ -200,12 +199,14 @@ def windows(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def confirmed(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
     """doc_id, p, h, low: document doc_id holds a passage or window that the smaller document low holds."""
-    every = passages(df, size, id_column, text_column)
+    lists = passages(df, size, id_column, text_column)  # the texts are read once, and rows are made from it as often as needed
+    n = lists.agg(F.sum(F.size("p"))).first()[0] or 0
+    every = lists.select("doc_id", F.explode(F.arrays_zip("p", "b")).alias("x")).select("doc_id", "x.p", "x.b")
     recurring = every.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("p")
-    every = every.join(recurring, "p")
-    distinct = cut(every.groupBy("p", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    every = every.join(cut(recurring, n), "p")  # written, so that both sides are shuffled and a hot phrase is split
+    distinct = cut(every.groupBy("p", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), n)
     whole = every.join(distinct.where("low < high").select("p", "b", "low"), ["p", "b"]).where("doc_id > low").select("doc_id", "p", F.col("b").alias("h"), "low")
-    several = distinct.groupBy("p").count().where("count > 1").select("p")
+    several = cut(distinct.groupBy("p").count().where("count > 1").select("p"), n)
     wanted = distinct.join(several, "p", "left_semi").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("b").alias("b"))
     texts = zipped(df.where(F.col(id_column).isNotNull()), id_column, text_column)
     parts = windows(texts, wanted, size)
