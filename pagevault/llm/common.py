@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagevault.shared import use_checkpoints
+
+#: Rows of a small result that go to one file.
+ROWS_A_FILE = 100_000
 #: Word hashes that one Python worker keeps; beyond it the cache starts anew.
 WORDS_KEPT = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +41,7 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str | int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about most_bytes of a binary column (one row at least).
 
     Workers outlive their tasks: what earlier batches took is given back before the next one, and at the end.
@@ -91,24 +94,26 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder that all executors share, without their lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written to the folder that all executors share, without their lineage.
+
+    rows: how many there are at most, if that is known; a few rows are written to a few files, however wide the shuffle was.
+    """
+    use_checkpoints(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_edges: int | None = None, most_rounds: int = 60) -> DataFrame:
     """The smallest id reachable over undirected edges.
 
-    edges: columns a, b (long). Returns node, root for every node that has an edge to another one. Large-star and
+    edges: columns a, b (long), most_edges of them at most, if that is known. Returns node, root for every node that has an edge to another one. Large-star and
     small-star steps alternate until no edge changes; the state is one edge table, cut each round, and a hot node's
     edges are minimised by partial aggregates before any shuffle.
     """
-    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most_edges)
+    n, seen = edges.count(), None  # no round makes more edges
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -116,7 +121,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = cut(small.where("a != b").distinct())
+        edges = cut(small.where("a != b").distinct(), n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
