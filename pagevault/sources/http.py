@@ -113,7 +113,7 @@ class Share(InputPartition):
 
 
 class HttpPages(DataSource):
-    """spark.read.format("http_pages"): one raw page for each target.
+    """spark.read.format("http_pages"): one raw page for each target of a list; fetch_pages() takes a relation of any size.
 
     Options: targets (JSON list of {patch, locale, source_url}), timeout, connectTimeout, userAgent, onStatus (fail, keep),
     partitions (the most tasks; one target each by default).
@@ -146,13 +146,15 @@ class HttpReader(DataSourceReader):
             yield page(*target, self.limits)
 
 
-def fetch_pages(targets: DataFrame, *, partitions: int | None = None, limits: Limits = Limits()) -> DataFrame:
+def fetch_pages(targets: DataFrame, *, partitions: int | None = None, per_host: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Raw pages of a relation of targets (patch, locale, source_url), fetched where its rows are.
 
-    With partitions, targets are dealt by host, so one host is asked by one task at a time.
+    With partitions, targets are dealt by host, so one host is asked by at most per_host tasks at a time; a host with a large
+    part of the targets needs more than one.
     """
     if partitions:
-        targets = targets.repartition(partitions, F.regexp_extract("source_url", "^[a-z]+://([^/?#]*)", 1))
+        lane = F.pmod(F.xxhash64("source_url"), F.lit(per_host))
+        targets = targets.repartition(partitions, F.regexp_extract("source_url", "^[a-z]+://([^/?#]*)", 1), lane)
     flat = "patch string, locale string, source_url string, fetched_at timestamp, status_code int, content_type string, etag string, last_modified string, content binary, sha256 string"
     kinds = [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int32(), *[pa.string()] * 3, pa.binary(), pa.string()]
     names = [x.split()[0] for x in flat.split(", ")]
