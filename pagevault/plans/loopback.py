@@ -1,0 +1,73 @@
+"""A fetch of every page of the table `pages` over HTTP, from a server in the driver that makes its answers from the path.
+
+Some answers are redirects, some are compressed, some are no success and kept. Bodies name the page and the caller.
+"""
+
+from __future__ import annotations
+
+import gzip
+import threading
+from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagevault.operators import metadata
+from pagevault.schemas import USER_AGENT
+from pagevault.shared import own_folder
+from pagevault.sources import fetch_pages
+from pagevault.sources.http import KEEP, Limits
+
+CONTENT_TYPE, MODIFIED, MOVED = "text/plain; charset=utf-8", "Sun, 02 Mar 2025 10:00:00 GMT", "/moved"
+
+
+class Answers(BaseHTTPRequestHandler):
+    def do_GET(self) -> None:
+        n = int(self.path.rpartition("/")[2])
+        if n % 5 == 0 and not self.path.startswith(MOVED):
+            return self.answer(302, b"", {"Location": MOVED + self.path})
+        body, headers = f"page {n} for {self.headers['User-Agent']}".encode(), {"Content-Type": CONTENT_TYPE, "eTAG": f'"{n}"'}
+        if n % 2:
+            headers["Last-Modified"] = MODIFIED
+        if n % 3 == 0:
+            body, headers["Content-Encoding"] = gzip.compress(body), "gzip"
+        self.answer(404 if n % 7 == 0 else 200, body, headers)
+
+    def answer(self, status: int, body: bytes, headers: dict[str, str]) -> None:
+        self.send_response(status)
+        for name, value in (headers | {"Content-Length": str(len(body))}).items():
+            self.send_header(name, value)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args: object) -> None:
+        pass
+
+
+def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import _pages, targets_of
+
+    folder, began = own_folder(spark, "fetched"), datetime.now(UTC)
+    server = ThreadingHTTPServer(("", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        address = f"http://{spark.conf.get('spark.driver.host', '127.0.0.1')}:{server.server_port}"
+        path = F.concat_ws("/", F.lit(""), "locale", "patch", F.col("page_id").cast("string"))
+        wanted = targets_of(_pages(spark, sf_dir)).withColumn("source_url", F.concat(F.lit(address), path))
+        fetched = fetch_pages(wanted, partitions=8, per_host=8, limits=Limits(on_status=KEEP))
+        fetched.write.mode("overwrite").parquet(folder)  # once: reading is a side effect
+    finally:
+        server.shutdown()
+        server.server_close()
+    rows = spark.read.parquet(folder)
+    in_time = F.col("fetched_at").between(F.lit(began), F.current_timestamp())
+    told = metadata(rows.withColumn("in_time", in_time), "in_time")
+    return told.withColumn("source_url", F.replace("source_url", F.lit(address), F.lit(""))).drop("fetched_at", "schema_version", "collector_version")
+
+
+def oracle(patch: str, locale: str) -> str:
+    """patch, locale: SQL of a page's keys."""
+    body = f"'page ' || page_id || ' for {USER_AGENT}'"
+    return f"""select {patch} as patch, {locale} as locale, '/' || {locale} || '/' || {patch} || '/' || page_id as source_url, cast(case when page_id % 7 = 0 then 404 else 200 end as integer) as status_code,
+'{CONTENT_TYPE}' as content_type, '"' || page_id || '"' as etag, case when page_id % 2 = 1 then '{MODIFIED}' end as last_modified, sha256({body}) as sha256, cast(strlen({body}) as bigint) as size_bytes, true as in_time from pages"""

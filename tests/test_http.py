@@ -1,11 +1,15 @@
 import gzip
+import hashlib
 import json
+import os
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from conftest import ROOT
+from pagevault import collect
 from pagevault.schemas import USER_AGENT
 from pagevault.sources import HttpPages, fetch_pages, targets
 from pagevault.sources.http import KEEP, Limits, StatusError, get
@@ -56,7 +60,7 @@ def base():
 def test_get(base):
     answer = get(base + "/ok")
     assert (answer.status, answer.content, answer.headers["etag"]) == (200, BODY, '"e"')
-    assert Handler.seen[-1][1] == USER_AGENT
+    assert Handler.seen[-1][1] == USER_AGENT and Handler.seen[-1][1].startswith("pagevault/")
     assert get(base + "/moved").content == BODY
     assert get(base + "/zip").content == BODY
     assert get(base + "/empty").content == b""
@@ -96,3 +100,15 @@ def test_relation_of_targets(spark, base):
     rows = fetch_pages(wanted, partitions=2).collect()
     assert len(rows) == 5 and {bytes(r.content) for r in rows} == {BODY}
     assert fetch_pages(wanted.limit(0)).count() == 0
+    assert fetch_pages(wanted, partitions=4, per_host=3).count() == 5
+
+
+def test_collecting_one_page_reports_it(spark, base, tmp_path, capsys, monkeypatch):
+    root = str(tmp_path / "raw")
+    assert collect.main(["26.10", "ko_kr", base + "/ok", root]) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines == [f"HTML saved: {root}/26.10/ko_kr/page.html", f"Metadata saved: {root}/26.10/ko_kr/metadata.json", f"SHA-256: {hashlib.sha256(BODY).hexdigest()}"]
+    monkeypatch.setattr(collect, "default_root", lambda: str(tmp_path / "default"))
+    assert collect.main(["1", "l", base + "/zip"]) == 0 and (tmp_path / "default/1/l/page.html").read_bytes() == BODY
+    monkeypatch.undo()
+    assert collect.default_root() == os.path.join(ROOT, "data", "raw", "pages")
