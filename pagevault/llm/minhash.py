@@ -207,10 +207,10 @@ def compare(rep: np.ndarray, root: list[int], size: np.ndarray, sig: np.ndarray,
     return links
 
 
-def rest_links(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def rest_links(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, most_members: int) -> DataFrame:
     """Links between members of a bucket that the stars left in different components."""
     members = members.where("rep != leader").select("slot", "k", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    members = cut(members.select("slot", "k", "rep", F.coalesce("root", "rep").alias("root")))
+    members = cut(members.select("slot", "k", "rep", F.coalesce("root", "rep").alias("root")), most_members)
     split = members.groupBy("slot", "k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     split = split.where("low != high").select("slot", "k", F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks"))
     rows = members.join(split, ["slot", "k"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
@@ -256,19 +256,21 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 85, id_co
     signed = cut(sign(df, shingle, id_column, text_column))
     real = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["f1", "f2", "n_shingles"]
-    classes = cut(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in CHUNK_COLUMNS]))
-    members = cut(buckets(classes))
+    n = signed.count()
+    classes = cut(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in CHUNK_COLUMNS]), 4 * n)  # wide rows
+    n_keys = SYMBOLS * classes.count()
+    members = cut(buckets(classes), n_keys)
     texts = compressed(df, id_column, text_column).join(members.select("rep").distinct(), "rep", "left_semi")
-    texts = cut(texts.dropDuplicates(["rep", "z"]))
+    texts = cut(texts.dropDuplicates(["rep", "z"]), 10 * n)  # long rows
     star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    placed = cut(signed.join(classes.select(*same, "rep"), same, "left").select("doc_id", "n_shingles", "rep"))
+    placed = signed.join(classes.select(*same, "rep"), same, "left").select("doc_id", "n_shingles", "rep")
     # rows that share an id are one document, whichever class they are in
     shared = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high and doc_id is not null")
     shared = placed.join(shared, "doc_id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     links = cut(star_links(star, classes, texts, shingle, percent))
-    roots = components(links)
-    links = links.unionAll(rest_links(members, roots, classes, texts, shingle, percent))
-    roots = components(links.unionAll(shared))
+    roots = components(links, n_keys)
+    links = links.unionAll(rest_links(members, roots, classes, texts, shingle, percent, n_keys))
+    roots = components(links.unionAll(shared), n_keys + n)
     out = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")
     out = out.select("doc_id", "n_shingles", component)
