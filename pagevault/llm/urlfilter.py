@@ -16,7 +16,6 @@ judged alike; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,9 @@ from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
 BUCKETS = 512
-FEATURES = ["length", "host_length", "host_labels", "longest_label", "hyphens", "depth", "path_length", "digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "fragment_length", "encoded", "rate_last", "rate_last_two"]
+FEATURES = ["length", "host_length", "host_labels", "longest_label", "hyphens", "depth", "path_length", "digit_ratio", "parameters", "query_length", "fragment_length", "encoded", "entropy", "host_entropy", "rate_last", "rate_last_two"]
+#: Shares of the labelled urls, by a hash; a url of one learns with the suffix rates of the others.
+FOLDS = 4
 Rule = tuple[str, str, str]  # action, host, path
 
 
@@ -56,22 +57,38 @@ def _entropy(text: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def buckets(host: str) -> tuple[int, int]:
-    labels = host.rsplit(".", 2)
-    return zlib.crc32(labels[-1].encode()) % BUCKETS, zlib.crc32(".".join(labels[-2:]).encode()) % BUCKETS
+def _count(text: Column, part: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
 
 
-def features(url: str | None, host: str, path: str, rates: np.ndarray) -> list[float]:
-    url = url or ""
-    after, _, fragment = url.partition("#")
-    query = after.partition("?")[2]
-    labels = host.split(".")
-    last, last_two = buckets(host)
-    return [
-        len(url), len(host), len(labels), max(map(len, labels)), host.count("-"), sum(1 for x in path.split("/") if x), len(path),
-        sum(map(str.isdigit, url)) / max(1, len(url)), _entropy(url), _entropy(host), sum(1 for x in query.split("&") if x), len(query), len(fragment), url.count("%"),
-        rates[0, last], rates[1, last_two],
-    ]
+def _filled(text: Column, sign: str) -> Column:
+    """The number of non-empty parts between signs."""
+    return F.size(F.filter(F.split(text, sign), lambda x: x != ""))
+
+
+def lexical(url: Column, host: Column, path: Column) -> Column:
+    """FEATURES as an array, but for the entropies and rates, which come behind."""
+    url = F.coalesce(url, F.lit(""))
+    before = F.substring_index(url, "#", 1)
+    query = F.when(F.instr(before, "?") > 0, F.substring(before, F.instr(before, "?") + 1, F.length(before))).otherwise("")
+    labels = F.split(host, "[.]")
+    fragment = F.greatest(F.length(url) - F.length(before) - 1, F.lit(0))
+    digits = F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.length(url), F.lit(1))
+    values = [F.length(url), F.length(host), F.size(labels), F.array_max(F.transform(labels, F.length)), _count(host, "-"), _filled(path, "/"), F.length(path), digits, _filled(query, "&"), F.length(query), fragment, _count(url, "%")]
+    return F.array(*[v.cast("double") for v in values])
+
+
+def suffix_buckets(host: Column) -> Column:
+    """Buckets of the host's last label and of its last two."""
+    return F.array(*[F.pmod(F.crc32(F.substring_index(host, ".", -k).cast("binary")), F.lit(BUCKETS)).cast("int") for k in (1, 2)])
+
+
+def features(urls: list[str | None], hosts: list[str], lexical_values: np.ndarray, buckets: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each url. rates: of each bucket, or of each url's fold and bucket."""
+    entropies = [[_entropy(u or ""), _entropy(h)] for u, h in zip(urls, hosts, strict=True)]
+    own = rates if rates.ndim == 3 else np.broadcast_to(rates, (len(urls), *rates.shape))
+    at = np.arange(len(urls))
+    return np.column_stack([lexical_values, np.array(entropies).reshape(len(urls), 2), own[at, 0, buckets[:, 0]], own[at, 1, buckets[:, 1]]])
 
 
 @dataclass
@@ -132,26 +149,30 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate
     return model
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def suffix_rates(labelled: DataFrame, prior: float = 20.0) -> np.ndarray:
-    """Smoothed rates of blocked urls by hashed suffix, over all labelled urls: two rows of BUCKETS."""
-    two = [F.pmod(F.crc32(F.substring_index("host", ".", -k).cast("binary")), F.lit(BUCKETS)).cast("int") for k in (1, 2)]
-    rows = labelled.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), b.alias("bucket")) for i, b in enumerate(two)])).alias("at"), "y")
-    seen, blocked = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
-    for r in rows.groupBy("at.k", "at.bucket").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect():
-        seen[r.k, r.bucket], blocked[r.k, r.bucket] = r.n, r.s
-    mean = blocked[0].sum() / max(1, seen[0].sum())
+    """Smoothed rates of blocked urls by hashed suffix, over all labelled urls: for each fold those of the other folds, and at
+    last those of all; each two rows of BUCKETS."""
+    rows = labelled.select(F.posexplode(suffix_buckets(F.col("host"))).alias("k", "bucket"), fold(F.col("url")).alias("fold"), "y")
+    seen, blocked = np.zeros((FOLDS + 1, 2, BUCKETS)), np.zeros((FOLDS + 1, 2, BUCKETS))
+    for r in rows.groupBy("k", "bucket", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect():  # at most 8 x BUCKETS rows
+        for out, v in ((seen, r.n), (blocked, r.s)):
+            out[np.arange(FOLDS + 1) != r.fold, r.k, r.bucket] += v
+    mean = blocked[:, :1].sum(axis=2, keepdims=True) / np.maximum(1, seen[:, :1].sum(axis=2, keepdims=True))
     return (blocked + prior * mean) / (seen + prior)
 
 
 def fit(labelled: DataFrame, *, most: int = 8000) -> tuple[Trees, np.ndarray]:
-    """labelled: url, host, path, y (1: block). Trees learn from at most `most` distinct urls, chosen by a hash."""
+    """labelled: url, host, path, y (1: block). Trees learn from at most `most` distinct urls, those with the least hashes."""
     rates = suffix_rates(labelled)
-    distinct = labelled.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("y").alias("y"))
-    share = min(1.0, most / max(1, distinct.count()))
-    rows = distinct.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).limit(most).collect()
-    rows.sort(key=lambda r: r.url)
-    x = np.array([features(r.url, r.host, r.path, rates) for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    return boost(x, np.array([r.y for r in rows], dtype=float)), rates
+    distinct = labelled.where("url is not null").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("y").alias("y"))
+    rows = distinct.orderBy(F.xxhash64("url"), "url").limit(most)
+    rows = rows.select("url", "host", "y", fold(F.col("url")).alias("fold"), lexical(*map(F.col, ("url", "host", "path"))).alias("x"), suffix_buckets(F.col("host")).alias("buckets")).collect()
+    x = features([r.url for r in rows], [r.host for r in rows], np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES) - 4), np.array([r.buckets for r in rows], dtype=int).reshape(len(rows), 2), rates[[r.fold for r in rows]])
+    return boost(x, np.array([r.y for r in rows], dtype=float)), rates[FOLDS]
 
 
 def judge(df: DataFrame, rules: list[Rule], model: Trees, rates: np.ndarray, *, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -159,14 +180,16 @@ def judge(df: DataFrame, rules: list[Rule], model: Trees, rates: np.ndarray, *,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(*row, rates) for row in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
-            scores = model.score(np.array(x, dtype=float).reshape(len(x), len(FEATURES)))
+            n = batch.num_rows
+            x = batch.column("x").flatten().to_numpy().reshape(n, len(FEATURES) - 4)
+            buckets = batch.column("buckets").flatten().to_numpy().reshape(n, 2)
+            scores = model.score(features(batch.column("url").to_pylist(), batch.column("host").to_pylist(), x, buckets, rates))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "action")), pa.array(np.round(scores, 6))], names=["page_id", "host", "path", "rule", "action", "score"])
 
     host, path = parts(F.col("url"))
     rows = df.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, action = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"), action.alias("action"))
+    rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"), action.alias("action"), lexical(*map(F.col, ("url", "host", "path"))).alias("x"), suffix_buckets(F.col("host")).alias("buckets"))
     out = rows.mapInArrow(run, "page_id long, host string, path string, rule string, action string, score double")
     verdict = F.coalesce("action", F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
