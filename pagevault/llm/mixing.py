@@ -12,7 +12,8 @@ hypergeometric distribution and keeps every quota exact. The leaves' counts then
 permuted blocks. Rows are shuffled within their shard by a hash.
 
 Only per-block sums are shuffled (partial sums first); windows run over blocks, whose number is bounded by the number
-of sources, never over documents, so a hot source is many blocks. All choices hash ids and a seed: reruns agree. Sizes
+of sources, never over documents, so a hot source is many blocks; of many sources' tickets, a node's are ranked in slots of their
+random draws. Sources alone, one row each, are ordered in one task. All choices hash ids and a seed: reruns agree. Sizes
 are written once to the shared checkpoint folder because the texts would otherwise be counted for each pass.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; a source of size 0 takes
@@ -31,6 +32,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS, SUBBLOCKS, LEVELS = 256, 4096, 3
 #: A plan of at most so many rows is broadcast in mixed_rows; a larger one is joined by shuffling.
 BROADCAST_ROWS = 20_000
+#: Tickets that are ranked in one window; more are ranked in slots of their draws, with the same result.
+TICKETS_TOGETHER, SLOT_BITS = 200_000, 10
+SLOTS = 1 << SLOT_BITS
 
 
 def number(*parts: Column) -> Column:
@@ -68,13 +72,26 @@ def sized(df: DataFrame, seed: int, id_column: str, text_column: str, source_col
     return named.select("doc_id", "size", "k", (F.col("at") % BLOCKS).cast("int").alias("block"), (F.floor(F.col("at") / BLOCKS) % SUBBLOCKS).cast("int").alias("sub"))
 
 
+def in_slots(tickets: DataFrame) -> DataFrame:
+    """Tickets (node, draw) with the slot of their draw, the number of tickets of the node in earlier slots and in all, so that
+    they can be ranked slot by slot. Counts have at most SLOTS rows for each node and are broadcast."""
+    slot = F.shiftright("draw", 32 - SLOT_BITS).cast("int").alias("slot")
+    counts = tickets.groupBy(F.col("node").alias("_node"), slot.alias("_slot")).agg(F.count("*").alias("n"))
+    node = Window.partitionBy("_node")
+    before = F.coalesce(F.sum("n").over(node.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_node", "_slot", before.alias("before"), F.sum("n").over(node).alias("tickets"))
+    tickets = tickets.select("*", slot)
+    return tickets.join(F.broadcast(counts), (F.col("node") == F.col("_node")) & (F.col("slot") == F.col("_slot"))).drop("_node", "_slot")
+
+
 def plan(documents: DataFrame, seed: int, weights: tuple[int, ...], most: int, levels: int) -> DataFrame:
     """For each source's block: passes over all of it, sub-blocks below `below` get one more, and each copy's shard."""
-    by_block = cut(documents.groupBy("k", "block").agg(F.sum("size").alias("words")))
+    by_block = cut(documents.groupBy("k", "block").agg(F.sum("size").alias("words")), documents.count())
+    n = by_block.count()
     sources = targets(by_block, weights, most)
     permuted = Window.partitionBy("k").orderBy(number(F.lit(seed), F.lit("rest"), F.col("k"), F.col("block")), "block")
     blocks = by_block.join(sources, "k").withColumn("upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = cut(blocks.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words"))))
+    blocks = cut(blocks.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words"))), n)
     split = blocks.where("rest > 0 and left > 0 and upto > rest").select("k", "block", "left")
     subs = documents.join(split, ["k", "block"]).groupBy("k", "block", "left", "sub").agg(F.sum("size").alias("words"))
     reached = F.sum("words").over(Window.partitionBy("k").orderBy("sub"))
@@ -91,19 +108,20 @@ def plan(documents: DataFrame, seed: int, weights: tuple[int, ...], most: int, l
     blocks = blocks.withColumn("miss", F.when(spare, F.abs(F.col("missing") - F.col("words"))).otherwise(F.lit(float("inf"))))
     fills = (F.min(F.struct("miss", "block")).over(source)["block"] == F.col("block")) & (F.col("miss") < F.abs("missing"))
     blocks = blocks.select("k", "block", "source_size", "target", "passes", F.when(fills, F.lit(SUBBLOCKS)).otherwise(F.col("below")).alias("below"))
-    blocks = cut(blocks.withColumn("copies", F.col("passes") + (F.col("below") > 0).cast("int")))
+    blocks = cut(blocks.withColumn("copies", F.col("passes") + (F.col("below") > 0).cast("int")), n)
     units = blocks.where("copies > 0").select("k", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"))
     run = Window.partitionBy("k").orderBy("pass", number(F.lit(seed), F.col("pass"), F.col("k"), F.col("block")), "block")
     units = units.withColumn("unit", F.row_number().over(run))
     tickets = units.select("k", "unit", F.lit(0).alias("node"))
+    many = (blocks.agg(F.sum("copies")).first()[0] or 0) > TICKETS_TOGETHER
     for level in range(levels):
         tickets = tickets.withColumn("draw", number(F.lit(seed), F.lit(f"level{level}"), F.col("k"), F.col("unit")))
-        node = Window.partitionBy("node")
-        right = F.row_number().over(node.orderBy("draw", "k", "unit")) * 2 > F.count("*").over(node)
+        tickets = in_slots(tickets) if many else tickets.select("*", F.lit(0).alias("slot"), F.lit(0).alias("before"), F.count("*").over(Window.partitionBy("node")).alias("tickets"))
+        right = (F.col("before") + F.row_number().over(Window.partitionBy("node", "slot").orderBy("draw", "k", "unit"))) * 2 > F.col("tickets")
         tickets = tickets.select("k", "unit", (F.col("node") * 2 + right.cast("int")).alias("node"))
     drawn = tickets.select("k", F.row_number().over(Window.partitionBy("k").orderBy("node", "unit")).alias("unit"), F.col("node").alias("shard"))
     shards = units.join(drawn, ["k", "unit"]).groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("shards"))
-    return cut(blocks.join(shards, ["k", "block"], "left").select("k", "block", "source_size", "target", "passes", "below", F.transform("shards", lambda x: x["shard"]).alias("shards")))
+    return cut(blocks.join(shards, ["k", "block"], "left").select("k", "block", "source_size", "target", "passes", "below", F.transform("shards", lambda x: x["shard"]).alias("shards")), n)
 
 
 def _copies() -> tuple[Column, Column]:
