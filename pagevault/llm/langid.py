@@ -30,6 +30,8 @@ from .common import blocks, cut
 
 #: Buckets of n-grams.
 WIDTH = 4096
+#: Clusters with fewer texts than one in so many of a language's sample are dropped.
+RARE = 50
 UNDETERMINED = "und"
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -92,7 +94,7 @@ def sample(df: DataFrame, per_language: int) -> DataFrame:
 
 
 def clustered(own: np.ndarray, idf: np.ndarray, clusters: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Centroids of one language's counts, and the 1% quantile of their cosines beyond chance."""
+    """Centroids of one language's counts, and the median of their cosines beyond chance."""
     own = np.log1p(own.astype(np.float32)) * idf
     own /= np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), 1e-12)
     k = min(clusters, len(own))
@@ -103,11 +105,13 @@ def clustered(own: np.ndarray, idf: np.ndarray, clusters: int, rounds: int) -> t
             if (nearest == i).any():
                 centre[i] = own[nearest == i].mean(axis=0)
         centre /= np.maximum(np.sqrt((centre * centre).sum(axis=1, keepdims=True)), 1e-12)
+    size = np.bincount((own @ centre.T).argmax(axis=1), minlength=k)
+    centre = centre[size * RARE >= len(own)]  # a few texts in several languages are no variety of one
     _, _, beyond = nearest_centroid(own, centre, by_chance(centre, idf))
-    return centre, float(np.quantile(beyond, 0.01))
+    return centre, float(np.median(beyond))
 
 
-def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, rounds: int = 8, slack: float = 5.0) -> Model:
+def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, rounds: int = 8, slack: float = 6.0) -> Model:
     """labelled: doc_id, text, lang. Learns every language, from a sample bounded by per_language (expected) rows of each."""
     rows = sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), per_language)
 
@@ -135,14 +139,14 @@ def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, roun
 
     def learn(group: pa.Table) -> pa.Table:
         raw = sorted(group.column("counts").to_pylist())  # independent of the order of arrival
-        centre, quantile = clustered(np.frombuffer(b"".join(raw), dtype=np.uint32).reshape(-1, WIDTH), idf, clusters, rounds)
-        return pa.table({"lang": group.column("lang")[:1], "centroids": pa.array([centre.astype(np.float32).tobytes()]), "quantile": pa.array([quantile])})
+        centre, median = clustered(np.frombuffer(b"".join(raw), dtype=np.uint32).reshape(-1, WIDTH), idf, clusters, rounds)
+        return pa.table({"lang": group.column("lang")[:1], "centroids": pa.array([centre.astype(np.float32).tobytes()]), "median": pa.array([median])})
 
-    got = counted.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, quantile double").toArrow().sort_by("lang")
+    got = counted.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, median double").toArrow().sort_by("lang")
     own = [np.frombuffer(c, dtype=np.float32).reshape(-1, WIDTH) for c in got.column("centroids").to_pylist()]
     every = np.concatenate(own)
     owner = np.repeat(np.arange(len(own)), [len(c) for c in own])
-    return Model(got.column("lang").to_pylist(), owner, every, idf, by_chance(every, idf), np.array(got.column("quantile").to_pylist()) / slack)
+    return Model(got.column("lang").to_pylist(), owner, every, idf, by_chance(every, idf), np.array(got.column("median").to_pylist()) / slack)
 
 
 def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -213,6 +213,7 @@ def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, lea
     seen = scanned.select(F.explode("seen").alias("s")).where("s.pattern is not null")
     edges = seen.select("s.pattern", "s.instance", "s.kind", (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("distinct").alias("distinct")))
+    n = edges.count()
     size = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_seeds)
     first = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
     unseen = edges.where("kind is null and distinct").select("pattern", "instance").join(first.select("instance"), "instance", "left_anti")
@@ -223,9 +224,9 @@ def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, lea
 
     scores = first
     for i in range(rounds):
-        patterns = cut(told(scores)) if i == rounds - 1 else told(scores)
+        patterns = cut(told(scores), n) if i == rounds - 1 else told(scores)
         trusted = patterns.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
-        new = cut(unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")))
+        new = cut(unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")), n)
         scores = first.unionAll(new)
     return patterns.where(F.col("score") >= least_score).select("pattern").distinct(), new.where(F.col("score") >= least_score).select("instance").distinct()
 

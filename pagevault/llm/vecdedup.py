@@ -4,14 +4,17 @@ Vectors are normalised in double precision and rotated; the rotation's coordinat
 with cosine c are at squared distance 2 - 2c, so two vectors above the threshold are, in some block, within that block's
 proportional share of the squared-distance budget. Each block is range-joined: its first coordinates are cut into cells
 of twice the block's radius, a vector is stored in its own cell and asks at every later cell that its ball reaches (the
-earlier ones ask at its own). The number of gridded coordinates follows the size of the largest label. What meets in a cell is tested against the block's budget,
-and what passes is verified exactly, on the vectors as given; a pair belongs to the first block whose budget it keeps,
-so the union of the blocks counts each pair once.
-
-Scale: equal vectors of a label are one class first. Vectors travel once, to the tasks of their cells, in the precision
-they are given in; stored vectors of a large cell are dealt to several tasks, each asked by all of that cell's askers, and
-compared in small matrices. Tasks emit a count for each vector and the links that join components within the task, never
-pairs. The list of large cells is broadcast if it has at most LARGE_CELLS rows and joined by shuffling otherwise.
+earlier ones ask at its own). The number of gridded coordinates follows the size of the largest label. Cells that are then
+very large are joined once more: what is left of the budget is spread over the other blocks, so a pair is also, in one of these,
+within its share of all the budget, and the cell is cut into cells of two blocks. What meets in a cell is tested against the
+budgets, and what passes is verified exactly, on the vectors as given; a pair belongs to the first block, and the first
+second block, whose budget it keeps, so the union of the cells counts each pair once.
+
+Scale: equal vectors of a label are one class first. Vectors travel once for each cell they are stored or ask in, in the
+precision they are given in. A large cell's stored vectors are dealt to several tasks, each asked by all of its askers; beyond
+SHARES tasks it is cut into cells of two blocks, which are large only where vectors are dense, as many near copies of each
+other are, whose links must all be counted. All are compared in small matrices. Tasks emit a count for each vector and the links that join components within the task, never
+pairs. Lists of large cells are broadcast if they have at most LARGE_CELLS rows and joined by shuffling otherwise.
 
 Defined results: null labels and vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own components; vectors of different lengths do not link; rows that share an id are told apart in
@@ -33,6 +36,8 @@ from .common import components, cut
 #: Coordinates of a block, stored vectors of a cell in one task, vectors of a cell that the grid aims at.
 BLOCK_WIDTH, STORED, AIM = 8, 1500, 1000
 LARGE_CELLS = 50_000
+#: Tasks that may share a cell of one block, each asked by all of its askers; larger ones cost less as cells of two blocks.
+SHARES = 16
 #: Room for rounding in the tests that come before the exact one.
 SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -55,51 +60,93 @@ def spans(width: int) -> list[tuple[int, int]]:
     return [(i, min(i + BLOCK_WIDTH, width)) for i in range(0, width, BLOCK_WIDTH)]
 
 
-def reached(near: np.ndarray, gap: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows, and the steps to later cells that their balls reach. A ball of half a cell's width reaches, in each coordinate,
-    the own cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
+def reached(near: np.ndarray, gap: np.ndarray, budget: float, later: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows, and the steps to other cells (to later ones only) that their balls reach. A ball of half a cell's width reaches, in
+    each coordinate, the own cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
     n, g = near.shape
     for choice in range(1, 1 << g):
         step = np.array([(choice >> i) & 1 for i in range(g)], dtype=bool)
-        later = near[:, int(step.argmax())] > 0
-        rows = np.flatnonzero(later & ((gap[:, step] ** 2).sum(axis=1) <= budget + SLACK))
+        good = (gap[:, step] ** 2).sum(axis=1) <= budget + SLACK
+        if later:
+            good &= near[:, int(step.argmax())] > 0
+        rows = np.flatnonzero(good)
         yield rows, near[rows] * step
 
 
+def places(x: np.ndarray, budget: float, role: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Rows, cells and roles in a grid of x's coordinates under a squared-distance budget. Vectors with role 0 are stored in
+    their own cell (role 0) and ask at later ones (role 1); those with role 1 ask at every cell they reach."""
+    side = 2 * np.sqrt(budget)
+    at = x / side
+    cell = np.floor(at).astype(np.int64)
+    within = at - cell
+    near, gap = np.where(within < 0.5, -1, 1), np.minimum(within, 1 - within) * side
+    for rows, c, r in [(np.arange(len(x)), cell, role), *((rows, cell[rows] + step, 1) for rows, step in reached(near, gap, budget, role == 0))]:
+        key = np.zeros(len(rows), dtype=np.int64)
+        for i in range(x.shape[1]):
+            key = key * 1_000_003 + c[:, i]
+        yield rows, key, r
+
+
+def share(budget: float, width: int, block: int, without: int | None = None) -> float:
+    """A block's part of the budget, in proportion to its coordinates, among all blocks or all but one."""
+    wide = [hi - lo for lo, hi in spans(width)]
+    return budget * wide[block] / (width - (0 if without is None else wide[without]))
+
+
+GIVEN = ["label", "width", "rep", "copies", "v"]
+PLACED = "label long, width int, rep long, copies long, v binary, block int, cell long, sub int, subcell long, role int"
+
+
+def batch_of(part: pa.RecordBatch, rows: np.ndarray, **columns: np.ndarray | int) -> pa.RecordBatch:
+    """Some rows of part, as rows of PLACED."""
+    kinds = {"block": pa.int32(), "cell": pa.int64(), "sub": pa.int32(), "subcell": pa.int64(), "role": pa.int32()}
+    take = part.take(pa.array(rows))
+    values = [pa.array(np.broadcast_to(columns[n], len(rows)), k) for n, k in kinds.items()]
+    return pa.RecordBatch.from_arrays([*(take.column(n) for n in GIVEN), *values], names=[*GIVEN, *kinds])
+
+
 def cells(rows: DataFrame, budget: float, grid: int) -> DataFrame:
     """For each class and block, where it is stored (role 0) and where it asks (role 1)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array(batch.column("width").to_pylist(), dtype=np.int64)
+            lengths = batch.column("width").to_numpy()
             for width in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == width))
                 turned = unit(part.column("v").to_pylist(), width) @ rotation(width)
                 for b, (lo, hi) in enumerate(spans(width)):
-                    share = budget * (hi - lo) / width
-                    g, side = min(grid, hi - lo), 2 * np.sqrt(share)
-                    at = turned[:, lo : lo + g] / side
-                    cell = np.floor(at).astype(np.int64)
-                    within = at - cell
-                    near, gap = np.where(within < 0.5, -1, 1), np.minimum(within, 1 - within) * side
-                    for r, c, role in [(np.arange(len(at)), cell, 0), *((r, cell[r] + step, 1) for r, step in reached(near, gap, share))]:
-                        key = np.zeros(len(r), dtype=np.int64)
-                        for i in range(g):
-                            key = key * 1_000_003 + c[:, i]
-                        take = part.take(pa.array(r))
-                        yield pa.RecordBatch.from_arrays(
-                            [*(take.column(n) for n in ("label", "width", "rep", "copies", "v")), pa.array(np.full(len(r), b, dtype=np.int32)), pa.array(key), pa.array(np.full(len(r), role, dtype=np.int32))],
-                            names=["label", "width", "rep", "copies", "v", "block", "cell", "role"],
-                        )
-
-    return rows.select("label", "width", "rep", "copies", "v").mapInArrow(run, "label long, width int, rep long, copies long, v binary, block int, cell long, role int")
+                    for some, key, role in places(turned[:, lo : lo + min(grid, hi - lo)], share(budget, width, b), 0):
+                        yield batch_of(part, some, block=b, cell=key, sub=-1, subcell=0, role=role)
+
+    return rows.select(*GIVEN).mapInArrow(run, PLACED)
+
+
+def refined(rows: DataFrame, budget: float, grid: int) -> DataFrame:
+    """Rows of PLACED in cells of one block, placed anew in cells of that block and each other one, if there is one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.stack([batch.column(c).to_numpy() for c in ("width", "block", "role")], axis=1)
+            for width, b, role in np.unique(kinds, axis=0).tolist() if len(kinds) else []:
+                part = batch.filter(pa.array((kinds == (width, b, role)).all(axis=1)))
+                cell = part.column("cell").to_numpy()
+                turned = unit(part.column("v").to_pylist(), width) @ rotation(width)
+                if len(spans(width)) == 1:
+                    yield batch_of(part, np.arange(len(cell)), block=b, cell=cell, sub=-1, subcell=0, role=role)
+                for s, (lo, hi) in enumerate(spans(width)):
+                    if s != b:
+                        for some, key, as_role in places(turned[:, lo : lo + min(grid, hi - lo)], share(budget, width, s, b), role):
+                            yield batch_of(part, some, block=b, cell=cell[some], sub=s, subcell=key, role=as_role)
+
+    return rows.select(*[x.split()[0] for x in PLACED.split(", ")]).mapInArrow(run, PLACED)
 
 
 class Cell:
     """The vectors stored in one cell, or a share of them: compared with each other, and asked in small parts."""
 
-    def __init__(self, block: int, width: int, threshold: float, reps: list[int], copies: list[int], raw: list[bytes]) -> None:
-        self.block, self.threshold, self.budget = block, threshold, 2 - 2 * threshold
+    def __init__(self, block: int, sub: int, width: int, threshold: float, reps: list[int], copies: list[int], raw: list[bytes]) -> None:
+        self.block, self.sub, self.threshold, self.budget = block, sub, threshold, 2 - 2 * threshold
         self.reps, self.copies = np.array(reps), np.array(copies)
         self.x, self.spans, self.width = unit(raw, width), spans(width), width
         self.turned = self.x @ rotation(width)
@@ -111,26 +158,28 @@ class Cell:
             x = self.up[x]
         return x
 
-    def within(self, p: np.ndarray, q: np.ndarray, b: int) -> np.ndarray:
+    def within(self, p: np.ndarray, q: np.ndarray, b: int, without: int | None = None) -> np.ndarray:
         """Whether rows of p and q keep block b's share of the budget."""
         lo, hi = self.spans[b]
         d = p[:, lo:hi] - q[:, lo:hi]
-        return (d * d).sum(axis=1) <= self.budget * (hi - lo) / self.width + SLACK
+        return (d * d).sum(axis=1) <= share(self.budget, self.width, b, without) + SLACK
 
     def ask(self, reps: np.ndarray, copies: np.ndarray, x: np.ndarray, after: int | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """How many vectors (copies counted) each asker links with here, and links that join components. Stored vectors
         count their askers. after: the askers are stored themselves, from this place on, and ask those behind them."""
         turned = x @ rotation(self.width)
-        lo, hi = self.spans[self.block]
+        b, without = (self.block, None) if self.sub < 0 else (self.sub, self.block)  # what tells most pairs apart
+        lo, hi = self.spans[b]
         p, q = turned[:, lo:hi], self.turned[:, lo:hi]
         apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
-        i, j = np.nonzero(apart <= self.budget * (hi - lo) / self.width + 2 * SLACK)
+        i, j = np.nonzero(apart <= share(self.budget, self.width, b, without) + 2 * SLACK)
         if after is not None:
             i, j = i[j > i + after], j[j > i + after]
-        good = self.within(turned[i], self.turned[j], self.block)
-        i, j = i[good], j[good]
-        for b in range(self.block):  # else an earlier block has the pair
-            good = ~self.within(turned[i], self.turned[j], b)
+        tests = [(self.block, None, True), *((e, None, False) for e in range(self.block))]  # else an earlier block has the pair
+        if self.sub >= 0:
+            tests += [(self.sub, self.block, True), *((e, self.block, False) for e in range(self.sub) if e != self.block)]
+        for e, spared, wanted in tests:
+            good = self.within(turned[i], self.turned[j], e, spared) == wanted
             i, j = i[good], j[good]
         good = np.einsum("ij,ij->i", x[i], self.x[j]) >= self.threshold
         i, j = i[good], j[good]
@@ -144,11 +193,14 @@ class Cell:
         return np.bincount(i, weights=self.copies[j], minlength=len(x)).astype(np.int64), links
 
 
+KEY = ["label", "width", "block", "cell", "sub", "subcell"]
+
+
 def asked(rows: DataFrame, threshold: float) -> DataFrame:
     """rep, n, a, b: what vectors found in a cell, and links (a, b) with rep null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rep", "n", "a", "b"]
+        names, n_key = ["rep", "n", "a", "b"], len(KEY) + 1
 
         def emitted(reps: np.ndarray, counts: np.ndarray, links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(counts)
@@ -157,7 +209,7 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(links), pa.int64())] * 2, *(pa.array(x, pa.int64()) for x in zip(*links, strict=True))], names=names)
 
         def opened(at: tuple, stored: list[tuple]) -> Iterator[pa.RecordBatch]:
-            cell = Cell(at[2], at[1], threshold, *map(list, zip(*stored, strict=True)))
+            cell = Cell(at[2], at[4], at[1], threshold, *map(list, zip(*stored, strict=True)))
             cells_held.append(cell)
             for start in range(0, len(cell.x), 256):
                 part = slice(start, start + 256)
@@ -174,18 +226,18 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
             cells_held.clear()
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("label", "width", "block", "cell", "part", "role", "rep", "copies", "v")]
+            cols = [batch.column(c).to_pylist() for c in (*KEY, "part", "role", "rep", "copies", "v")]
             i, n = 0, batch.num_rows
             while i < n:
-                now = tuple(c[i] for c in cols[:5])
+                now = tuple(c[i] for c in cols[:n_key])
                 if now != at:
                     yield from closed()
                     at = now
                 stop = i
-                while stop < n and stop < i + 256 and cols[5][stop] == cols[5][i] and tuple(c[stop] for c in cols[:5]) == now:
+                while stop < n and stop < i + 256 and cols[n_key][stop] == cols[n_key][i] and tuple(c[stop] for c in cols[:n_key]) == now:
                     stop += 1
-                reps, copies, raw = (c[i:stop] for c in cols[6:])
-                if cols[5][i] == 0:
+                reps, copies, raw = (c[i:stop] for c in cols[n_key + 1 :])
+                if cols[n_key][i] == 0:
                     stored += zip(reps, copies, raw, strict=True)
                 elif stored:
                     if not cells_held:
@@ -197,6 +249,36 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "rep long, n long, a long, b long")
 
 
+def large_cells(rows: DataFrame, most_cells: int) -> tuple[DataFrame, int, int]:
+    """Cells that store more than one task compares, with the number of tasks; how many there are, and the largest number."""
+    sizes = rows.where("role = 0").groupBy(*KEY).agg(F.ceil(F.count("*") / STORED).cast("int").alias("parts"))
+    large = cut(sizes.where("parts > 1"), most_cells)
+    n, most = large.agg(F.count("*"), F.max("parts")).first()
+    return F.broadcast(large) if n <= LARGE_CELLS else large, n, most or 0
+
+
+def dealt(packed: DataFrame, budget: float, grid: int, vectors: int) -> DataFrame:
+    """For the classes of so many vectors: rows of PLACED and the part of a cell, those of each part together, stored ones first."""
+    rows = cells(packed, budget, grid)
+    large, n, most = large_cells(rows, 10 * vectors)
+    rows = rows.join(large, KEY, "left") if n else rows.withColumn("parts", F.lit(None).cast("int"))
+    if most > SHARES:
+        fine = 1
+        while fine < BLOCK_WIDTH and most * STORED / 2.5**fine > AIM:
+            fine += 1
+        again = refined(rows.where(F.col("parts") > SHARES), budget, fine)
+        dense, n, _ = large_cells(again, 10 * vectors)
+        again = again.join(dense, KEY, "left") if n else again.withColumn("parts", F.lit(None).cast("int"))
+        rows = rows.where(F.coalesce("parts", F.lit(1)) <= SHARES).unionByName(again)
+    rows = rows.select(*KEY, "role", "rep", "copies", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
+    # a stored vector also asks in the later shares of its own cell; others ask in all
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    where = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when((F.col("role") == 0) & (p == own), 0).otherwise(1).alias("as")))
+    where = F.filter(where, lambda x: (F.col("role") == 1) | (x["part"] >= own))
+    rows = rows.select(*KEY, "rep", "copies", "v", F.explode(where).alias("at")).select(*KEY, "at.part", F.col("at.as").alias("role"), "rep", "copies", "v")
+    return rows.repartition(*KEY, "part").sortWithinPartitions(*KEY, "part", "role", "rep")
+
+
 def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id (the smallest id reachable over links), kept (it is its own)."""
     kind = "<f4" if df.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"
@@ -207,7 +289,8 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str =
     # a number for each distinct vector and label: -0.0 equals 0.0
     rows = rows.select("vec_id", "label", F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0))).alias("vector"))
     classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    classes = cut(classes.select("label", "vector", "least", "copies", F.monotonically_increasing_id().alias("rep")))
+    n = df.count()
+    classes = cut(classes.select("label", "vector", "least", "copies", F.monotonically_increasing_id().alias("rep")), 10 * n)  # long rows
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,24 +302,12 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str =
     grid = 1
     while grid < BLOCK_WIDTH and largest / 2.5**grid > AIM:
         grid += 1
-    placed = cells(packed, 2 - 2 * threshold, grid)
-    key = ["label", "width", "block", "cell"]
-    large = cut(placed.where("role = 0").groupBy(*key).agg(F.ceil(F.count("*") / STORED).cast("int").alias("parts")).where("parts > 1"))
-    if large.count() <= LARGE_CELLS:
-        large = F.broadcast(large)
-    placed = placed.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # a stored vector also asks in the later shares of its own cell; others ask in all
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when((F.col("role") == 0) & (p == own), 0).otherwise(1).alias("as")))
-    places = F.filter(places, lambda x: (F.col("role") == 1) | (x["part"] >= own))
-    placed = placed.select(*key, "rep", "copies", "v", F.explode(places).alias("at")).select(*key, "at.part", F.col("at.as").alias("role"), "rep", "copies", "v")
-    placed = placed.repartition(*key, "part").sortWithinPartitions(*key, "part", "role", "rep")
-    found = cut(asked(placed.select(*key, "part", "role", "rep", "copies", "v"), threshold))
+    found = cut(asked(dealt(packed, 2 - 2 * threshold, grid, n), threshold))
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     names = classes.select("rep", "least")
     links = found.where("a is not null").select("a", "b").distinct()
     links = links.join(names.select(F.col("rep").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("rep").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    known = cut(rows.join(classes, ["label", "vector"], "left").select("vec_id", "least", "copies", "rep"))
+    known = cut(rows.join(classes, ["label", "vector"], "left").select("vec_id", "least", "copies", "rep"), n)
     same = known.where("vec_id is not null and least is not null").groupBy("vec_id").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
     same = known.join(same, "vec_id").where("least != low").select(F.col("low").alias("a"), F.col("least").alias("b"))
     roots = components(links.where("a is not null and b is not null").unionAll(same))

@@ -125,19 +125,22 @@ def brute_vectors(rows, threshold=0.93):
     return {i: (n[i], want.top(i), want.top(i) == i) for i in n}
 
 
-@pytest.mark.parametrize("width", [3, 20, 64])
-def test_vectors_equal_brute_force(spark, monkeypatch, width):
+@pytest.mark.parametrize(("width", "shares"), [(3, 16), (20, 2), (64, 16), (3, 1), (20, 1), (64, 1)])
+def test_vectors_equal_brute_force(spark, monkeypatch, width, shares):
     rng = np.random.default_rng(width)
     base = rng.standard_normal((12, width))
     rows = [(i, (base[i % 12] + rng.standard_normal(width) * (0.02 + 0.35 * rng.random())).tolist(), int(i % 3)) for i in range(150)]
     rows += [(200 + i, base[0].tolist(), 0) for i in range(8)] + [(220, (base[0] * 1e-200).tolist(), 0), (221, (base[0] * 3).tolist(), 1)]
     nan = float("nan")
     rows += [(300, None, 0), (301, [0.0] * width, 0), (302, [nan] * width, 0), (303, [None] * width, 0), (304, base[0].tolist(), None), (305, [], 0), (306, [float("inf")] * width, 0), (307, [1.0] * (width + 1), 0)]
-    monkeypatch.setattr(vecdedup, "STORED", 20)
+    monkeypatch.setattr(vecdedup, "STORED", 5 if shares == 1 else 20)
     monkeypatch.setattr(vecdedup, "AIM", 15)
+    monkeypatch.setattr(vecdedup, "SHARES", shares)  # 1: all large cells become cells of two blocks
+    again, count = vecdedup.refined, []
+    monkeypatch.setattr(vecdedup, "refined", lambda *a: count.append(1) or again(*a))
     frame = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vecdedup.near_duplicates(frame).collect()}
-    assert got == brute_vectors(rows)
+    assert got == brute_vectors(rows) and bool(count) == (shares == 1)
 
 
 def test_vectors_of_an_empty_table(spark):

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from pagevault.llm import langid, mixing, pii, queries
 
+from cases import COLUMNS, clashing
 from test_pairs import brute_near
 from test_texts import plain_spans
 
@@ -106,3 +107,54 @@ def test_one_of_repeated_rows_stays(spark):
 
 def test_no_letters_means_undetermined():
     assert not langid.has_letter(b"12 34 !") and langid.has_letter("漢".encode()) and not langid.has_letter("٣ ́".encode())
+
+
+def stages_over(spark, docs, folder):
+    """The rows that each stage leaves, written and read again."""
+    out = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+        out.append(docs)
+    return out
+
+
+ODD = [
+    (None, None, None, None, None), (None, "some words of the text", "en", None, 3), (None, "some words of the text", "en", None, 3), (1, "of the words that one reads", "en", "a", 1),
+    (1, "of the words that one reads", "en", "a", 1), (1, "another text of the same id", None, "a", 1), (2, "", "en", "b", 0), (3, "   ", None, "b", 0), (4, "OF the words that one reads", "en", "b", 9),
+    (5, "12 34 56", "en", "a", 1), (6, "the words " * 3000, "en", "a", 1), (7, "mail me@mail.example.org the words", "en", None, 2), (8, "mail me@mail.example.org the words", "en", None, 2),
+]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = clashing(spark.createDataFrame(ODD, COLUMNS))
+    outs = stages_over(spark, docs, tmp_path)
+    assert all(sorted(o.columns) == sorted(docs.columns) for o in outs[:-1]) and all(r.z == "7" and r.block == 7 for o in outs[:-1] for r in o.collect())
+    texts = [sorted(((r.doc_id, r.text) for r in o.collect()), key=repr) for o in outs[:3]]
+    with_letters = [(r[0], r[1]) for r in ODD if any(map(str.isalpha, r[1] or ""))]
+    assert texts[0] == sorted(with_letters, key=repr)
+    # repeated rows leave one, near copies the smallest id; 8 has the text of 7, 4 that of 1 in other letters
+    assert texts[1] == sorted(set(x for x in with_letters if x[0] not in (4, 8)), key=repr)
+    assert texts[2] == sorted(((i, t.replace("me@mail.example.org", "[EMAIL]")) for i, t in texts[1]), key=repr)
+    assert all(r.n_chars == len(r.text) for r in outs[2].collect())
+    taken = collections.Counter((r.doc_id, r.text) for r in outs[3].collect())
+    assert set(taken) <= set(texts[2]) and sum(taken.values()) > 0 and max(taken.values()) <= 3
+    assert outs[4].where("piece = 0").count() == sum(taken.values())
+    lengths = outs[4].groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in lengths) <= 4096
+
+
+def test_stages_over_an_empty_table_and_without_counts(spark, tmp_path):
+    assert [o.count() for o in stages_over(spark, spark.createDataFrame([], COLUMNS), tmp_path / "none")] == [0] * 5
+    docs = spark.createDataFrame([r[:4] for r in ODD], "doc_id long, text string, lang string, source string")
+    assert [o.count() > 0 for o in stages_over(spark, docs, tmp_path / "bare")] == [True] * 5
+
+
+def test_run_leaves_only_the_last_stage(spark, fixture_dir):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, fixture_dir)
+    made = [f for f in set(os.listdir(folder)) - before if f.startswith("pipeline")]
+    assert len(made) == 1 and os.listdir(f"{folder}/{made[0]}") == ["4"]

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pagevault.llm import langid, mixing, packing, pii, quality, queries, urlfilter
@@ -270,6 +272,98 @@ def test_quality(spark):
     assert quality.score(frame.limit(0), model).count() == 0
 
 
+def test_languages_that_were_not_learned_are_rejected(spark):
+    frame = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").where("lang is not null")
+    rows = [r for r in frame.collect() if langid.has_letter((r.text or "").encode())]
+    for left_out in ("es", "fr", "de"):
+        model = langid.fit(frame.where(F.col("lang") != left_out).where(langid.remainder("doc_id", 4) != 2))
+        rejected = langid.judged([r.text.encode() for r in rows], model)[2]
+        foreign = np.array([r.lang == left_out for r in rows])
+        assert rejected[foreign].mean() > 0.9 and rejected[~foreign].mean() < 0.01, left_out
+
+
+def test_languages_equal_brute_force(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(frame)
+    texts = [r.text or "" for r in frame.limit(60).collect()] + ["a", "ÉÀ ö", "x1y", "Hello, World"]
+
+    def grams(text):
+        """Buckets of byte 2-grams and 3-grams, counted one by one."""
+        data = b"  " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + b"  "
+        padded, found, low = data + b"  ", collections.Counter(), 0xFFFFFFFF
+        for i in range(len(data)):
+            two = (padded[i] * 0x9E3779B1 + padded[i + 1] * 0x85EBCA77) & low
+            three = (two + padded[i + 2] * 0xC2B2AE3D) & low
+            for gram, salt in ((two, 0x27D4EB2F), (three, 0x165667B1)):
+                found[(((gram ^ (gram >> 15)) * salt) & low) >> 20] += 1
+        return found
+
+    langs, scores, rejected = langid.judged([t.encode() for t in texts], model)
+    for n, t in enumerate(texts):
+        if not any(map(str.isalpha, t)):
+            assert (langs[n], scores[n], rejected[n]) == ("und", 0, True)
+            continue
+        x = {b: math.log1p(c) * float(model.idf[b]) for b, c in grams(t).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        x = {b: v / size for b, v in x.items()}
+        cosines = [sum(v * float(c[b]) for b, v in x.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        chance = sum(float(c * w) for c, w in zip(model.centroids[best], model.idf, strict=True)) / float(model.idf.sum())
+        assert scores[n] == pytest.approx(cosines[best], abs=2e-3)
+        if sorted(cosines)[-1] - sorted(cosines)[-2] > 1e-3:
+            assert langs[n] == model.languages[model.owner[best]]
+        beyond, least = cosines[best] - sum(x.values()) * chance, model.least[model.owner[best]]
+        assert rejected[n] == (beyond < least) or abs(beyond - least) < 2e-3
+
+
+def brute_features(text):
+    """Buckets of words, word pairs, shapes and shape pairs, one by one."""
+    low, out = (1 << 64) - 1, []
+    m = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    shapes = []
+    for w in words:
+        for pattern, sign in ((rb"[A-Z]+", b"A"), (rb"[a-z\x80-\xff]+", b"a"), (rb"[0-9]+", b"0")):
+            w = re.sub(pattern, sign, w)
+        shapes.append(re.sub(rb"([^A-Za-z0-9])\1+", rb"\1\1", w))
+    a, b = [xxhash.xxh32_intdigest(w.lower()) for w in words], [xxhash.xxh32_intdigest(x) for x in shapes]
+    for i in range(len(words)):
+        out += [a[i] * m[0], (b[i] + (1 << 33)) * m[2]]
+        if i:
+            two, both = (a[i] * m[0] + a[i - 1] * m[1]) & low, (b[i] * m[0] + b[i - 1] * m[2] + (a[i] == a[i - 1])) & low
+            out += [(two ^ (two >> 31)) * m[1], (both ^ (both >> 29)) * m[2]]
+    return sorted((x & low) >> (64 - quality.BITS) for x in out)
+
+
+def test_quality_equals_brute_force(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(langid.remainder("doc_id", 3) != 1)
+    model = quality.fit(frame, labels)
+    texts = [(r.text or "").encode() for r in frame.limit(40).collect()] + [b"", b"a", b"a a", b"Ab!!!! 12c " * 3, ("x" * 500).encode()]
+    known = quality.Words()
+    for t in texts:
+        assert sorted(quality.features(t, known).tolist()) == brute_features(t)
+    got = [r.score for r in quality.score(documents(spark, [t.decode() for t in texts]), model).sort("doc_id").collect()]
+    for t, score in zip(texts, got, strict=True):
+        at = brute_features(t)
+        dot = model.bias + sum(quality.SCALE / len(at) * model.weights[i] for i in at)
+        assert score == pytest.approx(1 / (1 + math.exp(-dot)), abs=2e-6)
+    # the same updates, coordinate by coordinate
+    rows = [(sorted({(i * 7 + k) % 50 for k in range(5)}), i % 2) for i in range(60)]
+    fast, z, n = quality.Ftrl(), collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1 + math.sqrt(n[i])) / 0.3 + 0.02)
+    for at, y in rows:
+        x = [1 + 0.1 * i for i in range(len(at))]
+        fast.learn(np.array(at), np.array(x), y, 0.7)
+        own = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(w * v for w, v in zip(own, x, strict=True))))
+        for i, w, v in zip(at, own, x, strict=True):
+            g = 0.7 * (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w
+            n[i] += g * g
+    assert fast.weights(np.arange(50)) == pytest.approx([weight(i) for i in range(50)])
+
+
 def test_ftrl_updates_by_hand():
     model = quality.Ftrl(alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     at, x = np.array([3]), np.array([2.0])
@@ -308,6 +402,55 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in urlfilter.judge(frame.where("page_id = 14"), RULES, model, rates).collect()} == {"allow"}
 
 
+def test_url_features_and_trees_equal_brute_force(spark):
+    urls = ["", "no scheme", "http://A.example.com/en//7?x=1&&y#f#g", "https://a-b.example.net/de/81", "http://com?q?r&s", "x://ÄÖ.org/es/é%20%41#", "http://h.org/" + "p/" * 900, "http://q.info:80/1234/5?a=b#"]
+    labelled = spark.createDataFrame([(u, *plain_url(u)[:2], i % 2) for i, u in enumerate(urls * 3)], "url string, host string, path string, y int")
+    rows = labelled.limit(len(urls)).select("url", "host", "path", urlfilter.lexical(*map(F.col, ("url", "host", "path"))).alias("x"), urlfilter.suffix_buckets(F.col("host")).alias("b"), urlfilter.fold(F.col("url")).alias("fold")).collect()
+    for r in rows:
+        before, _, fragment = r.url.partition("#")
+        query = before.partition("?")[2]
+        labels = r.host.split(".")
+        want = [len(r.url), len(r.host), len(labels), max(map(len, labels)), r.host.count("-"), len([p for p in r.path.split("/") if p]), len(r.path), sum(c in "0123456789" for c in r.url) / max(1, len(r.url)), len([p for p in query.split("&") if p]), len(query), len(fragment), r.url.count("%")]
+        assert r.x == pytest.approx(want), r.url
+        assert r.b == [zlib.crc32(".".join(labels[-k:]).encode()) % urlfilter.BUCKETS for k in (1, 2)]
+    by_url = {r.url: r for r in rows}
+    rates, all_rows = urlfilter.suffix_rates(labelled), labelled.collect()
+    for out in range(urlfilter.FOLDS + 1):  # a fold's rates leave out its own urls
+        others = [r for r in all_rows if by_url[r.url].fold != out]
+        mean = sum(r.y for r in others) / max(1, len(others))
+        for r in rows:
+            for k in (0, 1):
+                same = [o.y for o in others if by_url[o.url].b[k] == r.b[k]]
+                assert rates[out, k, r.b[k]] == pytest.approx((sum(same) + 20 * mean) / (len(same) + 20))
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((300, 3)), rng.integers(0, 2, 300).astype(float)
+    model = urlfilter.boost(x, y, trees=5)
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.base
+        for f, limit, leaf in zip(model.features, model.limits, model.leaves, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > limit[node] else 1)
+            total += leaf[node - len(f)]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+    # the first split is the best of all splits between bins
+    p, h = y.mean(), y.mean() * (1 - y.mean())
+    gain = lambda left: (sum(p - y[left]) ** 2 / (h * left.sum() + 1)) + (sum(p - y[~left]) ** 2 / (h * (~left).sum() + 1))
+    limits = [(f, e) for f in range(3) for e in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1]))]
+    assert gain(x[:, model.features[0][0]] <= model.limits[0][0]) == pytest.approx(max(gain(x[:, f] <= e) for f, e in limits))
+
+
+def test_trees_judge_urls_that_they_have_not_seen(spark):
+    """Urls that rules decide, of one fold, judged by trees that learned from the other folds."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet")
+    labelled = urlfilter.labelled_by_rules(pages, RULES).withColumn("fold", urlfilter.fold(F.col("url"))).cache()
+    model, rates = urlfilter.fit(labelled.where("fold > 0").drop("fold"))
+    held = labelled.where("fold = 0").withColumn("page_id", F.monotonically_increasing_id()).cache()
+    got = {r.page_id: r.verdict for r in urlfilter.judge(held, [], model, rates).collect()}
+    right = [got[r.page_id] == ("block" if r.y else "allow") for r in held.collect()]
+    assert len(right) > 100 and np.mean(right) > 0.8
+
+
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 4))
@@ -316,11 +459,14 @@ def test_trees_learn():
     assert ((model.score(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
 
 
-def test_mixing_equals_sql_and_meets_targets(spark, duck):
+def test_mixing_equals_sql_and_meets_targets(spark, duck, monkeypatch):
     frame = queries.op6_source_mixing(spark, SF)
     want = duck.sql(mixing.oracle())
     columns = sorted(frame.columns)
-    assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(want.project(", ".join(columns)).fetchall())
+    want = sorted(want.project(", ".join(columns)).fetchall())
+    assert sorted(map(tuple, frame.select(*columns).collect())) == want
+    monkeypatch.setattr(mixing, "TICKETS_TOGETHER", 10)  # ranked in slots
+    assert sorted(map(tuple, queries.op6_source_mixing(spark, SF).select(*columns).collect())) == want
 
 
 def test_mixing_rows_and_targets(spark):
