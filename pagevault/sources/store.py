@@ -14,18 +14,32 @@ def _keys(path: Column) -> list[Column]:
     return [F.url_decode(F.regexp_replace(F.regexp_extract(path, _KEYS, n), r"\+", "%2B")).alias(k) for n, k in ((1, "patch"), (2, "locale"))]
 
 
+def _files(spark: SparkSession, root: str, names: str) -> DataFrame:
+    """path, content of the files with these names; listing the folders is most of the work, so it is done once."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(root).select("path", "content")
+
+
+def _bodies(files: DataFrame) -> DataFrame:
+    return files.select(*_keys(F.col("path")), "content")
+
+
+def _metadata(files: DataFrame) -> DataFrame:
+    own = F.col("path").endswith("/metadata.json")
+    text = F.when(own, F.decode("content", "UTF-8"))  # the condition again: filters may be taken in any order
+    return files.where(own).select(F.from_json(text, METADATA, {"mode": "FAILFAST"}).alias("m")).select("m.*")
+
+
 def read_bodies(spark: SparkSession, root: str) -> DataFrame:
     """patch, locale, content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "page.html").option("recursiveFileLookup", "true").load(root)
-    return files.select(*_keys(F.col("path")), "content")
+    return _bodies(_files(spark, root, "page.html"))
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The 12 metadata columns, with the declared types."""
-    reader = spark.read.schema(METADATA).option("multiLine", "true").option("pathGlobFilter", "metadata.json").option("recursiveFileLookup", "true")
-    return reader.json(root)
+    """The 12 metadata columns, with the declared types; a file that is no such JSON fails the query."""
+    return _metadata(_files(spark, root, "metadata.json"))
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """Metadata with each page's bytes."""
-    return read_metadata(spark, root).join(read_bodies(spark, root), ["patch", "locale"])
+    files = _files(spark, root, "{page.html,metadata.json}")
+    return _metadata(files).join(_bodies(files.where(F.col("path").endswith("/page.html"))), ["patch", "locale"])
