@@ -13,23 +13,28 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
 
 
+def _path(spark: SparkSession, folder: str):  # noqa: ANN202
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     """A new name below the shared folder; what is written there goes when the session ends, or before, by delete()."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, files = _path(spark, folder)
     files.mkdirs(path)  # only what is there can be marked
     files.deleteOnExit(path)
     return folder
 
 
 def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _path(spark, folder)
+    files.delete(path, True)
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Sets the folder for checkpoints if the session has none yet."""
+    """Sets the folder for checkpoints if the session has none yet; what is written there goes when the session ends."""
     if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or own_folder(spark, "checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        path, files = _path(spark, spark.sparkContext.getCheckpointDir())
+        files.deleteOnExit(path)
