@@ -32,6 +32,8 @@ from .common import blocks, cut
 WIDTH = 4096
 #: Clusters with fewer texts than one in so many of a language's sample are dropped.
 RARE = 50
+#: Bytes of a text that are counted at once, and of the texts of a slice.
+PART = SLICE = 1 << 20
 UNDETERMINED = "und"
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -52,18 +54,31 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def counts(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed n-grams, one row per text. Blanks around each text keep its n-grams from reaching into the next."""
-    padded = [b"  " + t.translate(_LETTERS) + b"  " for t in texts]
-    rows = np.repeat(np.arange(len(texts), dtype=np.int64) * WIDTH, [len(t) for t in padded])
-    data = np.frombuffer(b"".join([*padded, b"  "]), dtype=np.uint8).astype(np.uint32)
-    out = np.zeros(len(texts) * WIDTH, dtype=np.int64)
+def _grams(data: np.ndarray, n: int, rows: np.ndarray | int, out: np.ndarray) -> None:
+    """Adds the 2-grams and 3-grams that start at the first n bytes; rows: where each one's buckets begin."""
     two = data[:-1] * np.uint32(0x9E3779B1) + data[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] + data[2:] * np.uint32(0xC2B2AE3D)
     for gram, salt in ((two, 0x27D4EB2F), (three, 0x165667B1)):
-        gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(salt)
-        out += np.bincount(rows + (gram[: len(rows)] >> np.uint32(20)), minlength=len(out))
-    return out.reshape(len(texts), WIDTH)
+        gram = (gram[:n] ^ (gram[:n] >> np.uint32(15))) * np.uint32(salt)
+        out += np.bincount(rows + (gram >> np.uint32(20)), minlength=len(out))
+
+
+def counts(texts: list[bytes]) -> np.ndarray:
+    """Counts of hashed n-grams, one row per text. Blanks around each text keep its n-grams from reaching into the next. Long
+    texts are counted part by part."""
+    padded = [b"  " + t.translate(_LETTERS) + b"  " for t in texts]
+    out = np.zeros((len(texts), WIDTH), dtype=np.int64)
+    short = [i for i, t in enumerate(padded) if len(t) <= PART]
+    if short:
+        rows = np.repeat(np.arange(len(short), dtype=np.int64) * WIDTH, [len(padded[i]) for i in short])
+        own = np.zeros(len(short) * WIDTH, dtype=np.int64)
+        _grams(np.frombuffer(b"".join([*(padded[i] for i in short), b"  "]), dtype=np.uint8).astype(np.uint32), len(rows), rows, own)
+        out[short] = own.reshape(len(short), WIDTH)
+    for i, t in enumerate(padded):
+        for at in range(0, len(t) if len(t) > PART else 0, PART):
+            data = np.frombuffer((t + b"  ")[at : at + PART + 2], dtype=np.uint8).astype(np.uint32)
+            _grams(data, len(data) - 2, 0, out[i])
+    return out
 
 
 def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
@@ -116,7 +131,7 @@ def fit(labelled: DataFrame, *, per_language: int = 400, clusters: int = 4, roun
     rows = sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), per_language)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", SLICE):
             found = counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.astype(np.uint32).tobytes() for x in found])], names=["lang", "counts"])
 
@@ -166,7 +181,7 @@ def predict(df: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
     """One row per row of df: doc_id, lang_pred, score (the cosine), rejected."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", SLICE):
             langs, scores, rejected = judged([t or b"" for t in batch.column("text").to_pylist()], model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -178,12 +193,10 @@ def accepted_rows(df: DataFrame, model: Model, *, text_column: str = "text") ->
     """The rows of df whose text is not rejected, as they are; with nothing to learn from, those with a letter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
-                kept = ~judged(texts, model)[2] if model.languages else np.array([has_letter(t) for t in texts], dtype=bool)
-                yield part.filter(pa.array(kept))
+        for part in blocks(batches, at, SLICE):
+            texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+            kept = ~judged(texts, model)[2] if model.languages else np.array([has_letter(t) for t in texts], dtype=bool)
+            yield part.filter(pa.array(kept))
 
     at = df.columns.index(text_column)
     return df.mapInArrow(run, df.schema)

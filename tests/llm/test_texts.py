@@ -257,6 +257,15 @@ def test_nearest_centroid_by_hand(spark):
     assert (counts[0] == counts[1]).all() and counts[0].sum() == langid.counts([b"ab", b"x"])[0].sum()
 
 
+def test_long_texts_are_counted_part_by_part(monkeypatch):
+    rng = random.Random(15)
+    texts = [words(rng, n).encode() for n in (0, 1, 3, 40, 41, 300, 5000)] + ["é漢 ".encode() * 900]
+    whole = langid.counts(texts)
+    for part in (1, 7, 64, 1000):
+        monkeypatch.setattr(langid, "PART", part)
+        assert (langid.counts(texts) == whole).all(), part
+
+
 def test_quality(spark):
     frame = clashing(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
