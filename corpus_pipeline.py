@@ -1,14 +1,15 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its result is written as Parquet to
-the shared folder and read again. All but the last return the columns of documents.
+the shared folder and read again. All but the last return the columns of documents, and keep any further ones.
+
+Defined results for odd rows, unless a stage says otherwise: columns other than doc_id, text, lang and source may be missing or
+null; an empty table gives no rows; columns whose names clash with the stages' own are kept as they are.
 """
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 from pagevault.llm import langid, minhash, mixing, packing, pii
 from pagevault.llm.common import bounded, cut
 from pagevault.llm.queries import vocabulary
+from pagevault.shared import delete, own_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language's centroids come near, and those without letters; only these if no document tells
-    its language."""
+    its language.
+
+    Null and empty texts have no letters and go; null lang, source and doc_id change nothing; of repeated rows and equal texts
+    all stay or all go; very long texts are judged whole.
+    """
     bounded(spark)
     model = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return langid.accepted_rows(docs, model)
@@ -30,13 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies: similarity 0.80 or more over five-word shingles.
 
     Of rows with the same id and text, or the same text and no id, one stays. Different texts with one id are one document,
-    and all stay; rows without id are not compared with others further than that.
+    and all stay; rows without id are not compared with others further than that. Null, empty and blank texts are no near
+    copies of each other; repeated rows of them are reduced like others.
     """
     dropped = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
     rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     key = ["_id", "_text", "_text_2"]
     keyed = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64("text", F.lit(2)).alias("_text_2")]
-    repeated = cut(docs.select(*keyed).groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in key]))
+    repeated = cut(docs.select(*keyed).groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in key]), docs.count())
     if repeated.isEmpty():
         return rest
     rest = rest.select("*", *keyed)
@@ -47,18 +54,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets."""
+    """Replaces personal data by its kind in brackets, and counts the characters anew where there is a count.
+
+    Every row stays. Null texts stay null; equal texts are changed alike; very long texts are searched whole.
+    """
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes sources up to their targets; a document is there as often as it is taken."""
+    """Takes sources up to their targets; a document is there as often as it is taken.
+
+    Rows without source are a source of their own, the last; null and empty texts have no words and come as often as their
+    block is taken; rows that share an id are taken alike, and rows without id are one block of their source.
+    """
     return mixing.mixed_rows(docs, weights=(1, 2, 3), most=3)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token sequences: one row per piece."""
+    """Packs token sequences: one row per piece.
+
+    Each row is a document of its own, also if ids repeat or are null; null and empty texts are their end id alone; texts
+    above 4096 tokens, however long, are cut and nothing is lost.
+    """
     return packing.pack(docs, vocabulary(), capacity=4096, end_id=1)
 
 
@@ -75,10 +95,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Stage folders go as soon as the next stage is written, and the last when the session ends."""
+    folder = own_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            delete(spark, f"{folder}/{n - 1}")
     return docs
