@@ -4,7 +4,8 @@ A text is a TF-IDF vector of hashed byte 2-grams and 3-grams (ASCII letters lowe
 normalised to length 1. Fitting clusters a bounded sample of each language's vectors (spherical k-means); prediction
 takes the language of the centroid with the largest cosine. Junk shares buckets with any centroid, the more the longer it
 is: the cosine that a text's weight would have if it fell on buckets at random is taken off, and a text is rejected if
-what remains is below its language's limit (a fraction of what the sample shows), whatever its length.
+what remains is below its language's limit (a fraction of the sample's median), whatever its length; only for texts of a few
+words the limit is lower.
 
 Scoring is one narrow pass over whole texts in slices bounded by bytes; what it ships is the centroids, whose size
 depends on the parameters and the number of languages alone. All languages of the labels are learned, each by one task;
@@ -34,6 +35,8 @@ WIDTH = 4096
 RARE = 50
 #: Bytes of a text that are counted at once, and of the texts of a slice.
 PART = SLICE = 1 << 20
+#: Bytes of letters below which the limit falls in proportion: the cosine of a few words says little.
+FEW = 120
 UNDETERMINED = "und"
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -173,7 +176,8 @@ def judged(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, np.
         best, top, beyond = nearest_centroid(vectors([texts[i] for i in these], model.idf), model.centroids, model.chance)
         for i, b in zip(these, model.owner[best].tolist(), strict=True):
             langs[i] = model.languages[b]
-        scores[these], rejected[these] = np.round(np.clip(top, 0, 1).astype(float), 4), beyond < model.least[model.owner[best]]
+        letters = np.array([len(t) - t.count(b" ") for t in (texts[i].translate(_LETTERS) for i in these)])
+        scores[these], rejected[these] = np.round(np.clip(top, 0, 1).astype(float), 4), beyond < model.least[model.owner[best]] * np.minimum(1, letters / FEW)
     return langs, scores, rejected
 
 
