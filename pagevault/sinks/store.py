@@ -47,6 +47,14 @@ def folder(root: str, patch: str, locale: str) -> str:
     return os.path.join(root, patch, locale)
 
 
+def local_path(root: str) -> str:
+    """A root as tasks open it: a path, or an address of the scheme file."""
+    path = re.sub("^file:(?://(?=/))?", "", root).rstrip("/")
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"not a folder that tasks can write files to: {root}")
+    return path
+
+
 def stage(rows: Iterable[dict], staging: str) -> Iterator[tuple[str, str, str, str]]:
     """Writes rows of METADATA and content to a new folder below staging; yields rows of STAGED."""
     place = os.path.join(staging, uuid.uuid4().hex)
@@ -78,7 +86,7 @@ def move(place: str, root: str, patch: str, locale: str) -> None:
 def save_pages(raw: DataFrame, root: str) -> DataFrame:
     """Stores raw page records; of several for one target the last fetched stays. Returns receipts: html_path,
     metadata_path, sha256, one row for each target."""
-    spark, local = raw.sparkSession, root.removeprefix("file://").rstrip("/")
+    spark, local = raw.sparkSession, local_path(root)
     staging = os.path.join(local, _STAGING + uuid.uuid4().hex)
     order = [F.col("fetched_at"), F.col("status_code"), F.col("sha256")]
     last = last_write_wins_wide(raw.select("*", "target.patch", "target.locale"), ["patch", "locale"], order).drop("patch", "locale")

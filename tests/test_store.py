@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pagevault.operators import integrity, metadata, report_lines
 from pagevault.schemas import METADATA, RAW_PAGE
 from pagevault.sinks import read_table, save_pages, write_table
-from pagevault.sinks.store import folder, move, stage
+from pagevault.sinks.store import folder, local_path, move, stage
 from pagevault.sources import read_bodies, read_metadata, read_store
 
+from conftest import SF
 from test_records import AT, BODY, raw_row
 
 
@@ -41,6 +42,40 @@ def test_names_cannot_leave_the_root(tmp_path):
             folder(str(tmp_path), bad, "l")
 
 
+def test_roots(spark, tmp_path):
+    assert [local_path(x) for x in ("/a/b/", "file:/a/b", "file:///a/b", "a/b")] == ["/a/b", "/a/b", "/a/b", "a/b"]
+    for bad in ("s3a://a/b", "hdfs:/a"):
+        with pytest.raises(ValueError, match="not a folder"):
+            local_path(bad)
+    for n, root in enumerate((f"file:{tmp_path}/0", f"file://{tmp_path}/1")):
+        assert save_pages(spark.createDataFrame([raw_row()], RAW_PAGE), root).first().html_path == f"{root}/26.1/ko_kr/page.html"
+        assert (tmp_path / str(n) / "26.1/ko_kr/page.html").read_bytes() == BODY and read_store(spark, root).count() == 1
+
+
+def test_without_a_checkpoint_folder_the_warehouse_is_used(tmp_path):
+    """In a session of its own, run from an empty folder; nothing is left behind."""
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+from pagevault.plans import registry
+from pagevault.shared import shared_folder, use_checkpoints
+use_checkpoints(spark)
+assert shared_folder(spark).endswith('/spark-warehouse/_shared')
+assert registry.QUERIES['raw_store_roundtrip'](spark, {SF!r}).where('hash_ok').count() > 0
+assert os.listdir('spark-warehouse/_shared')
+spark.stop()
+"""
+    import subprocess
+    import sys
+
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK", "PYSPARK"))}
+    env["SPARK_CONF_DIR"] = str(tmp_path / "conf")  # no defaults
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert os.listdir(tmp_path / "spark-warehouse/_shared") == []
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     rows = spark.createDataFrame([raw_row(), raw_row(patch="..")], RAW_PAGE)
     with pytest.raises(Exception, match="not a name"):
