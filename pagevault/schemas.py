@@ -10,7 +10,7 @@ USER_AGENT = "pagevault/0.1 (raw page collector)"
 
 _s = T.StringType()
 
-#: What to fetch. Versions are text: 26.1 and 26.10 are two versions.
+#: What to fetch. Versions are text: 3.1 and 3.10 are two versions.
 TARGET = T.StructType([T.StructField(n, _s, False) for n in ("patch", "locale", "source_url")])
 
 #: One fetched page with its HTTP facts. The hash is lower-case hex over the decoded body.

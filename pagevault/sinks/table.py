@@ -18,5 +18,5 @@ def write_table(pages: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of METADATA and content. The schema is given: inferred versions would make 26.1 of 26.10."""
+    """The columns of METADATA and content. The schema is given: inferred versions would make 3.1 of 3.10."""
     return spark.read.schema(T.StructType([*METADATA.fields, T.StructField("content", T.BinaryType())])).parquet(path)

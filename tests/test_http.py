@@ -85,10 +85,10 @@ def test_timeout(base):
 
 def test_data_source(spark, base):
     spark.dataSource.register(HttpPages)
-    wanted = [{"patch": p, "locale": "l", "source_url": base + u} for p, u in (("26.1", "/ok"), ("26.10", "/moved"))]
+    wanted = [{"patch": p, "locale": "l", "source_url": base + u} for p, u in (("3.1", "/ok"), ("3.10", "/moved"))]
     rows = {r.target.patch: r for r in spark.read.format("http_pages").option("targets", json.dumps(wanted)).load().collect()}
-    assert rows["26.10"].target.source_url.endswith("/moved") and rows["26.10"].status_code == 200 and bytes(rows["26.10"].content) == BODY
-    assert rows["26.1"].fetched_at != rows["26.10"].fetched_at
+    assert rows["3.10"].target.source_url.endswith("/moved") and rows["3.10"].status_code == 200 and bytes(rows["3.10"].content) == BODY
+    assert rows["3.1"].fetched_at != rows["3.10"].fetched_at
     bad = spark.read.format("http_pages").option("targets", json.dumps([{"patch": "1", "locale": "l", "source_url": base + "/missing"}]))
     with pytest.raises(Exception, match="404"):
         bad.load().select("etag").collect()
@@ -105,9 +105,9 @@ def test_relation_of_targets(spark, base):
 
 def test_collecting_one_page_reports_it(spark, base, tmp_path, capsys, monkeypatch):
     root = str(tmp_path / "raw")
-    assert collect.main(["26.10", "ko_kr", base + "/ok", root]) == 0
+    assert collect.main(["3.10", "pt_br", base + "/ok", root]) == 0
     lines = capsys.readouterr().out.strip().splitlines()
-    assert lines == [f"HTML saved: {root}/26.10/ko_kr/page.html", f"Metadata saved: {root}/26.10/ko_kr/metadata.json", f"SHA-256: {hashlib.sha256(BODY).hexdigest()}"]
+    assert lines == [f"HTML saved: {root}/3.10/pt_br/page.html", f"Metadata saved: {root}/3.10/pt_br/metadata.json", f"SHA-256: {hashlib.sha256(BODY).hexdigest()}"]
     monkeypatch.setattr(collect, "default_root", lambda: str(tmp_path / "default"))
     assert collect.main(["1", "l", base + "/zip"]) == 0 and (tmp_path / "default/1/l/page.html").read_bytes() == BODY
     monkeypatch.undo()

@@ -12,11 +12,11 @@ from pagevault.service import create_engine
 from pagevault.sources import targets, through_table
 from pagevault.streaming import metadata_stream
 
-BODY = b"<html><body>Page 26.1</body></html>"
-AT = datetime(2026, 1, 7, 19, tzinfo=UTC)
+BODY = b"<html><body>Page 3.1</body></html>"
+AT = datetime(2025, 3, 4, 5, tzinfo=UTC)
 
 
-def raw_row(patch="26.1", locale="ko_kr", body=BODY, status=200, at=AT, etag='"test-etag"', modified=None):
+def raw_row(patch="3.1", locale="pt_br", body=BODY, status=200, at=AT, etag='"tag-7"', modified=None):
     return ((patch, locale, "https://example.test/page-26-1/"), at, status, "text/html; charset=utf-8", etag, modified, body, hashlib.sha256(body).hexdigest())
 
 
@@ -26,7 +26,7 @@ def raw(spark):
 
 
 def test_raw_pages_from_a_table(spark):
-    wanted = targets(spark, [("26.1", "ko_kr", "u1"), ("26.10", "ko_kr", "u2"), ("1", "x", "nowhere")])
+    wanted = targets(spark, [("3.1", "pt_br", "u1"), ("3.10", "pt_br", "u2"), ("1", "x", "nowhere")])
     pages = spark.createDataFrame([("u1", AT, 200, {"Content-Type": "text/html", "ETAG": "e"}, BODY), ("u2", AT, 200, {}, b"")], "url string, fetched_at timestamp, status_code int, headers map<string,string>, content binary")
     with pytest.raises(Exception, match="no answer for nowhere"):
         through_table(wanted, pages).collect()
@@ -34,16 +34,16 @@ def test_raw_pages_from_a_table(spark):
     kept = through_table(wanted, pages, missing="keep")
     assert kept.count() == 3 and [r.source_url for r in quarantined(kept).collect()] == ["nowhere"]
     got = {r.target.patch: r for r in raw_pages(successful(kept)).collect()}
-    assert set(got) == {"26.1", "26.10"}
-    assert got["26.1"].sha256 == hashlib.sha256(BODY).hexdigest() and got["26.1"].etag == "e" and got["26.1"].content_type == "text/html" and got["26.1"].last_modified is None
-    assert got["26.10"].content == b"" and got["26.10"].etag is None
+    assert set(got) == {"3.1", "3.10"}
+    assert got["3.1"].sha256 == hashlib.sha256(BODY).hexdigest() and got["3.1"].etag == "e" and got["3.1"].content_type == "text/html" and got["3.1"].last_modified is None
+    assert got["3.10"].content == b"" and got["3.10"].etag is None
 
 
 def test_metadata_has_all_keys(raw):
     assert metadata(raw).schema.names == METADATA.names
     assert [f.dataType for f in metadata(raw).schema] == [f.dataType for f in METADATA]
     r = metadata(raw).first()
-    assert (r.schema_version, r.collector_version, r.patch, r.fetched_at, r.size_bytes, r.last_modified) == (1, "0.1.0", "26.1", "2026-01-07T19:00:00+00:00", len(BODY), None)
+    assert (r.schema_version, r.collector_version, r.patch, r.fetched_at, r.size_bytes, r.last_modified) == (1, "0.1.0", "3.1", "2025-03-04T05:00:00+00:00", len(BODY), None)
 
 
 def test_json_is_sorted_and_keeps_nulls(spark):
@@ -85,9 +85,9 @@ def test_status_check_fires_under_pruning(spark):
 
 
 def test_last_write_wins(spark):
-    rows = spark.createDataFrame([("26.1", "a", 1), ("26.10", "a", 2), ("26.1", "a", 3), ("26.1", "b", 0)], "patch string, locale string, n int")
+    rows = spark.createDataFrame([("3.1", "a", 1), ("3.10", "a", 2), ("3.1", "a", 3), ("3.1", "b", 0)], "patch string, locale string, n int")
     got = {(r.patch, r.locale): r.n for r in last_write_wins(rows, ["patch", "locale"], [F.col("n")]).collect()}
-    assert got == {("26.1", "a"): 3, ("26.10", "a"): 2, ("26.1", "b"): 0}
+    assert got == {("3.1", "a"): 3, ("3.10", "a"): 2, ("3.1", "b"): 0}
     assert last_write_wins(rows.limit(0), ["patch", "locale"], [F.col("n")]).count() == 0
 
 
@@ -103,7 +103,7 @@ def test_health(spark):
 
 
 def test_projections_run_on_a_stream(spark, tmp_path):
-    spark.createDataFrame([raw_row(), raw_row(patch="26.10", status=404)], RAW_PAGE).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([raw_row(), raw_row(patch="3.10", status=404)], RAW_PAGE).write.parquet(str(tmp_path / "in"))
     query = metadata_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("pages_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert [r.patch for r in spark.table("pages_out").collect()] == ["26.1"]
+    assert [r.patch for r in spark.table("pages_out").collect()] == ["3.1"]

@@ -18,21 +18,21 @@ def test_save_writes_bytes_and_metadata(spark, tmp_path):
     raw = spark.createDataFrame([raw_row(etag='"ü\x01"')], RAW_PAGE)
     saved = save_pages(raw, str(tmp_path))
     receipts = saved.collect()
-    assert receipts[0].html_path == f"{tmp_path}/26.1/ko_kr/page.html"
+    assert receipts[0].html_path == f"{tmp_path}/3.1/pt_br/page.html"
     assert open(receipts[0].html_path, "rb").read() == BODY
     values = {k: v for k, v in metadata(raw).first().asDict().items()}
     assert open(receipts[0].metadata_path, "rb").read() == (json.dumps(values, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()
     assert [r.line for r in report_lines(saved).sort("n").collect()] == [f"HTML saved: {receipts[0].html_path}", f"Metadata saved: {receipts[0].metadata_path}", f"SHA-256: {receipts[0].sha256}"]
-    assert sorted(os.listdir(tmp_path)) == ["26.1"]
+    assert sorted(os.listdir(tmp_path)) == ["3.1"]
 
 
 def test_versions_stay_text_and_last_write_wins(spark, tmp_path):
-    rows = [raw_row(), raw_row(patch="26.10", body=b"ten"), raw_row(body=b"later", at=AT.replace(hour=20))]
+    rows = [raw_row(), raw_row(patch="3.10", body=b"ten"), raw_row(body=b"later", at=AT.replace(hour=20))]
     save_pages(spark.createDataFrame(rows, RAW_PAGE), str(tmp_path))
-    assert {(r.patch, bytes(r.content)) for r in read_bodies(spark, str(tmp_path)).collect()} == {("26.1", b"later"), ("26.10", b"ten")}
+    assert {(r.patch, bytes(r.content)) for r in read_bodies(spark, str(tmp_path)).collect()} == {("3.1", b"later"), ("3.10", b"ten")}
     save_pages(spark.createDataFrame([raw_row(body=b"again")], RAW_PAGE), str(tmp_path))
     got = {r.patch: r for r in integrity(read_store(spark, str(tmp_path))).collect()}
-    assert bytes(got["26.1"].content) == b"again" and all(r.hash_ok and r.size_ok for r in got.values())
+    assert bytes(got["3.1"].content) == b"again" and all(r.hash_ok and r.size_ok for r in got.values())
     assert read_metadata(spark, str(tmp_path)).schema.names == METADATA.names
 
 
@@ -48,8 +48,8 @@ def test_roots(spark, tmp_path):
         with pytest.raises(ValueError, match="not a folder"):
             local_path(bad)
     for n, root in enumerate((f"file:{tmp_path}/0", f"file://{tmp_path}/1")):
-        assert save_pages(spark.createDataFrame([raw_row()], RAW_PAGE), root).first().html_path == f"{root}/26.1/ko_kr/page.html"
-        assert (tmp_path / str(n) / "26.1/ko_kr/page.html").read_bytes() == BODY and read_store(spark, root).count() == 1
+        assert save_pages(spark.createDataFrame([raw_row()], RAW_PAGE), root).first().html_path == f"{root}/3.1/pt_br/page.html"
+        assert (tmp_path / str(n) / "3.1/pt_br/page.html").read_bytes() == BODY and read_store(spark, root).count() == 1
 
 
 def test_without_a_checkpoint_folder_the_warehouse_is_used(tmp_path):
@@ -115,9 +115,9 @@ def test_saving_runs_the_plan_once_and_again_over_a_store(spark, tmp_path):
 
 def test_partitioned_table(spark, tmp_path):
     at = str(tmp_path / "t")
-    write_table(metadata(spark.createDataFrame([raw_row(), raw_row(patch="26.10")], RAW_PAGE), "content"), at)
+    write_table(metadata(spark.createDataFrame([raw_row(), raw_row(patch="3.10")], RAW_PAGE), "content"), at)
     write_table(metadata(spark.createDataFrame([raw_row(body=b"new")], RAW_PAGE), "content"), at)
     got = {r.patch: bytes(r.content) for r in read_table(spark, at).collect()}
-    assert got == {"26.1": b"new", "26.10": BODY}
-    plan = read_table(spark, at).where(F.col("patch") == "26.1")._jdf.queryExecution().executedPlan().toString()
+    assert got == {"3.1": b"new", "3.10": BODY}
+    plan = read_table(spark, at).where(F.col("patch") == "3.1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(patch" in plan
