@@ -105,6 +105,13 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, sums: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to an aggregate by its own keys. The aggregate lies dealt out by them, so Spark would bring rows there and could
+    not split a hot key; joined by a further key that follows from them, both sides are shuffled, and it can."""
+    rows, sums = (x.withColumn("_split", F.xxhash64(*keys)) for x in (rows, sums))
+    return rows.join(sums, [*keys, "_split"], how).drop("_split")
+
+
 def components(edges: DataFrame, most_edges: int | None = None, most_rounds: int = 60) -> DataFrame:
     """The smallest id reachable over undirected edges.
 
@@ -117,10 +124,10 @@ def components(edges: DataFrame, most_edges: int | None = None, most_rounds: int
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = split_join(both.where("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = split_join(large, low, ["a"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(small.where("a != b").distinct(), n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
