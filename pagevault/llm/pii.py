@@ -9,7 +9,7 @@ stay at 1). Patterns that score high and hold several distinct seeds, or instanc
 no base span as `found`; unseen instances that score high are marked wherever they occur, unless they are shorter than DISTINCT.
 
 Scale: texts are read in one narrow pass in slices bounded by bytes; the graph is aggregated with partial sums and holds each
-pair once, so copies neither weigh nor crowd. Patterns are joined, not broadcast, except that redact() hands at most
+pair once, so copies neither weigh nor crowd; joins shuffle both sides, so that Spark can split a hot pattern. Patterns are joined, not broadcast, except that redact() hands at most
 PATTERNS_HELD of them, and of instances, to its workers and otherwise joins spans to texts.
 
 Defined results: null text is empty and has no spans; very long texts are searched whole, in time that grows with their length;
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, utf8
+from .common import blocks, cut, split_join, utf8
 
 #: Kinds in the order of results; what patterns find comes last.
 KINDS = ("email", "ip", "card", "phone")
@@ -226,7 +226,7 @@ def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, lea
     for i in range(rounds):
         patterns = cut(told(scores), n) if i == rounds - 1 else told(scores)
         trusted = patterns.where(F.col("score") >= least_score / 2).select("pattern", "kind", F.least("score", F.lit(0.99)).alias("p"))
-        new = cut(unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")), n)
+        new = cut(split_join(unseen, trusted, ["pattern"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")), n)
         scores = first.unionAll(new)
     return patterns.where(F.col("score") >= least_score).select("pattern").distinct(), new.where(F.col("score") >= least_score).select("instance").distinct()
 
@@ -239,7 +239,7 @@ def found(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame
     """doc_id, th, spans: sorted distinct (start, stop) of instances beside trusted patterns, and of known unseen ones."""
     seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where(F.col("s.kind").isNull() | (F.col("s.kind") == SECRET))
     seen = seen.select("doc_id", "th", "s.pattern", "s.instance", "s.start", "s.stop")
-    marked = seen.join(trusted, "pattern", "left_semi").unionByName(seen.join(known, "instance", "left_semi"))
+    marked = split_join(seen, trusted, ["pattern"], "left_semi").unionByName(split_join(seen, known, ["instance"], "left_semi"))
     marked = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return marked.select("doc_id", "th", F.array_sort("spans").alias("spans"))
 
