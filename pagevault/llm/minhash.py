@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, components, cut, grams, mix, utf8
+from .common import WordHashes, blocks, components, cut, grams, mix, split_join, utf8
 
 CHUNKS, PER_CHUNK = 8, 4
 SYMBOLS = CHUNKS * PER_CHUNK
@@ -110,7 +110,13 @@ def buckets(classes: DataFrame) -> DataFrame:
             keys.append(F.struct(F.lit(c * PER_CHUNK + i).cast("byte").alias("slot"), F.col(CHUNK_COLUMNS[c]).bitwiseAND(F.lit(mask)).alias("k")))
     rows = classes.select("rep", F.explode(F.array(*keys)).alias("at")).select("rep", "at.slot", "at.k")
     shared = rows.groupBy("slot", "k").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    return rows.join(shared.drop("members"), ["slot", "k"])
+    return split_join(rows, shared.drop("members"), ["slot", "k"])
+
+
+def joined(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """slot, k, rep and the root of each member."""
+    members = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return members.select("slot", "k", "rep", F.coalesce("root", "rep").alias("root"))
 
 
 def compressed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -209,11 +215,10 @@ def compare(rep: np.ndarray, root: list[int], size: np.ndarray, sig: np.ndarray,
 
 def rest_links(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, most_members: int) -> DataFrame:
     """Links between members of a bucket that the stars left in different components."""
-    members = members.where("rep != leader").select("slot", "k", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    members = cut(members.select("slot", "k", "rep", F.coalesce("root", "rep").alias("root")), most_members)
+    members = cut(joined(members.where("rep != leader"), roots), most_members)
     split = members.groupBy("slot", "k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     split = split.where("low != high").select("slot", "k", F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks"))
-    rows = members.join(split, ["slot", "k"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    rows = split_join(members, split, ["slot", "k"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.select("slot", "k", "rep", "root", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.when(F.col("own") == F.col("with"), -1).otherwise(F.col("own")).alias("side"))
     rows = rows.join(classes.select("rep", "n_shingles", *CHUNK_COLUMNS), "rep").join(texts, "rep")
@@ -261,7 +266,7 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 85, id_co
     n_keys = SYMBOLS * classes.count()
     members = cut(buckets(classes), n_keys)
     texts = compressed(df, id_column, text_column).join(members.select("rep").distinct(), "rep", "left_semi")
-    texts = cut(texts.dropDuplicates(["rep", "z"]), 10 * n)  # long rows
+    texts = cut(texts.dropDuplicates(["rep", "z"]), 40 * n)  # long rows
     star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     placed = signed.join(classes.select(*same, "rep"), same, "left").select("doc_id", "n_shingles", "rep")
     # rows that share an id are one document, whichever class they are in

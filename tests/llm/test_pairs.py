@@ -88,10 +88,8 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
     assert got == want
     monkeypatch.setattr(minhash, "BLOCK", 5)  # buckets in pairs of blocks
-    for stars in (3, 0):
-        monkeypatch.setattr(minhash, "MORE_STARS", stars)
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
-        assert got == want
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    assert got == want
 
 
 def test_signature_keys_lose_no_pair_within_the_distance():
