@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, minhash, mixing, packing, phrases, pii, quality, urlfilter, vecdedup
+from . import cascade, langid, lloyd, media, minhash, mixing, negatives, packing, phrases, pii, quality, urlfilter, vecdedup
 from .common import read
 
 #: A vocabulary file's name; queries take it from the public_tokenizers package.
@@ -78,6 +78,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.deduplicate(read(spark, sf_dir, "documents"), size=50)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, seed=3)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    judged = cascade.judge(documents, cascade.plan(documents), with_counts=cascade.REPORTED)
+    return judged.select("doc_id", *cascade.REPORTED, cascade.base_failed().alias("base_failed"), "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), anchors=F.col("id") % 100 == 0, positives=5, negatives=10, least_percent=30, most_percent=90, scale=256, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_private_data": op2_private_data,
@@ -89,5 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+ORACLES: dict[str, str] = {
+    "op6_source_mixing": mixing.oracle(),
+    "op11_centroid_clustering": lloyd.oracle(),
+    "op12_quality_rules": cascade.oracle(),
+    "op13_hard_negatives": negatives.oracle(),
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.oracle()}

@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_minhash_neardup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_centroid_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op12_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
@@ -125,3 +128,12 @@ def test_urls_and_mixing(spark, texts):
     assert len(got) == pages and {r.verdict for r in got.values()} <= {"allow", "block"}
     got = rows(spark, "op6_source_mixing")
     assert set(got) == set(texts) and all(r.taken <= 3 * r.size for r in got.values())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"op6_source_mixing"}))
+def test_equals_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLES[name])
+    kinds, columns = dict(got.dtypes), sorted(want.columns)
+    assert set(columns) <= set(kinds) and all(kinds[c] == k for c, k in (p.split() for p in COLUMNS[name].split(", ")))
+    mine, theirs = ([repr(tuple(r)) for r in rows] for rows in (got.select(*columns).collect(), want.select(", ".join(columns)).fetchall()))
+    assert sorted(mine) == sorted(theirs)
