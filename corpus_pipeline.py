@@ -39,18 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and all stay; rows without id are not compared with others further than that. Null, empty and blank texts are no near
     copies of each other; repeated rows of them are reduced like others.
     """
-    dropped = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    key = ["_id", "_text", "_text_2"]
-    keyed = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64("text", F.lit(2)).alias("_text_2")]
-    repeated = cut(docs.select(*keyed).groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in key]), docs.count())
-    if repeated.isEmpty():
-        return rest
-    rest = rest.select("*", *keyed)
-    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in key])
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))
-    one = rest.join(repeated, same, "left_semi").withColumn("_first", first).where("_first = 1")
-    return rest.join(repeated, same, "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
+    dropped = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # one column, so that no name clashes with those beside it
+    key = ["id", "text_1", "text_2"]
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_1"), F.xxhash64("text", F.lit(2)).alias("text_2"), row)
+    rest = rows.join(dropped, "id", "left_anti")
+    repeated = cut(rows.groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in key]), docs.count())
+    if not repeated.isEmpty():
+        same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in key])
+        told_apart = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*told_apart)))
+        one = rest.join(repeated, same, "left_semi").withColumn("first", first).where("first = 1")
+        rest = rest.join(repeated, same, "left_anti").select("row").unionAll(one.select("row"))
+    return rest.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, grams, utf8
+from .common import WordHashes, blocks, grams, in_place, utf8
 
 WINDOW = 8
 #: Bytes of a text that are cut into words or lines at once.
@@ -256,7 +256,7 @@ def kept_rows(df: DataFrame, cascade: Plan, *, text_column: str = "text") -> Dat
             good = [cascade.broken(Counts((t or "").encode(), known)) is None for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_place(df, run)
 
 
 def base_failed() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,14 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str | int, most_bytes: int
         pool.release_unused()
 
 
+def in_place(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], extra: int = 0) -> DataFrame:
+    """The rows that run makes of df's, with df's columns, whatever their names; run tells columns by place. Of the last `extra`
+    columns there are none in the result."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    kept = df.columns[: len(df.columns) - extra]
+    return plain.mapInArrow(run, plain.select(*plain.columns[: len(kept)]).schema).toDF(*kept)
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, kept for words seen before."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut
+from .common import blocks, cut, in_place
 
 #: Buckets of n-grams.
 WIDTH = 4096
@@ -203,7 +203,7 @@ def accepted_rows(df: DataFrame, model: Model, *, text_column: str = "text") ->
             yield part.filter(pa.array(kept))
 
     at = df.columns.index(text_column)
-    return df.mapInArrow(run, df.schema)
+    return in_place(df, run)
 
 
 def remainder(id_column: str, modulus: int) -> Column:

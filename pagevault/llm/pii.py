@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, split_join, utf8
+from .common import blocks, cut, in_place, split_join, utf8
 
 #: Kinds in the order of results; what patterns find comes last.
 KINDS = ("email", "ip", "card", "phone")
@@ -277,9 +277,12 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     if trusted.count() + known.count() <= PATTERNS_HELD:
         held = frozenset(r.pattern for r in trusted.collect())
         instances_held = frozenset(r.instance for r in known.collect())
-    else:  # spans come as the last column
-        extra = found(scanned, trusted, known).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_hash"), F.col("spans").alias("_pii_spans"))
-        rows = df.join(extra, df[id_column].cast("long").eqNullSafe(extra["_pii_id"]) & (F.xxhash64(utf8(text_column)) == extra["_pii_hash"]), "left").drop("_pii_id", "_pii_hash")
+    else:  # spans come as the last column, by a name that is longer than any other
+        row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+        keyed = df.select(row, F.col(id_column).cast("long").alias("id"), F.xxhash64(utf8(text_column)).alias("hash")).alias("a")
+        extra = found(scanned, trusted, known).alias("b")
+        joined = keyed.join(extra, F.col("a.id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.th")), "left")
+        rows = joined.select(*[F.col("a.row").getField(c).alias(c) for c in names], F.col("b.spans").alias("s" * (1 + max(map(len, names)))))
 
     def clean(text: str, more: list[dict] | None) -> str:
         base = base_spans(text)
@@ -294,6 +297,6 @@ def redact(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
             texts = [t if t is None else clean(t, x) for t, x in zip(batch.column(at).to_pylist(), more, strict=True)]
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
 
-    return rows.mapInArrow(run, df.schema)
+    return in_place(rows, run, extra=len(rows.columns) - len(names))

@@ -158,3 +158,25 @@ def test_run_leaves_only_the_last_stage(spark, fixture_dir):
     corpus_pipeline.run(spark, fixture_dir)
     made = [f for f in set(os.listdir(folder)) - before if f.startswith("pipeline")]
     assert len(made) == 1 and os.listdir(f"{folder}/{made[0]}") == ["4"]
+
+
+OWN = "_id long, _text string, _text_2 long, _id_r long, _text_r long, _first int, _pii_id long, _pii_hash long, _pii_spans string, id string, text_1 long, text_2 long, row string, first int, hash string, th string, spans string"
+
+
+@pytest.mark.parametrize("held", [100_000, 0])
+def test_any_further_column_is_kept(spark, tmp_path, monkeypatch, held):
+    """Columns that are named as the stages' own ones are, or as earlier ones were, also beside repeated rows; and one with a dot."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "PATTERNS_HELD", held)
+    docs = spark.createDataFrame(ODD, COLUMNS)
+    for name, kind in (part.split() for part in OWN.split(", ")):
+        docs = docs.withColumn(name, F.lit("3").cast(kind))
+    docs = docs.withColumn("a.b", F.lit(4)).withColumn("some", F.create_map(F.lit("k"), F.lit(5)))
+    outs = stages_over(spark, docs, tmp_path)
+    plain = stages_over(spark, spark.createDataFrame(ODD, COLUMNS), tmp_path / "plain")
+    for out, without in zip(outs[:-1], plain[:-1], strict=True):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r["_id"] == 3 and r["_text"] == "3" and r["row"] == "3" and r["spans"] == "3" and r["a.b"] == 4 and r["some"] == {"k": 5} for r in rows)
+        assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter((r.doc_id, r.text) for r in without.collect())
