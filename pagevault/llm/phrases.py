@@ -6,17 +6,20 @@ phrases. Neighbouring windows that choose the same phrase are a run, and a run's
 1. Confirm. Passages are told apart by their phrase's letters (64 bits) and a hash of all their words (64 bits). A passage
    whose phrase and hash occur in two documents recurs with all its windows. Passages that share the phrase but not the
    hash may still share some windows: each distinct one is cut into its windows, in the smallest document that has it, and
-   windows are compared by the same 128 bits.
-2. Compile. What recurs is dealt to the shards of documents it was confirmed for. The phrases of a shard's confirmed passages
-   become an Aho-Corasick automaton, a word being one of 256 letters.
-3. Stream. All documents run through their shard's automaton, which locates every occurrence of the phrases; where it finds
-   nothing, nothing else is computed. The passages around the occurrences are looked up among the confirmed ones, and words go
-   if the passage or window is known from a document with a smaller id.
+   windows are compared by the same 128 bits. What is confirmed names no document that holds it, only the smallest: the phrase, where
+   it lies in the passage or window, the length and hash of that, and the smallest id.
+2. Compile. A shard's automaton (Aho-Corasick, a word being one of 256 letters) holds the phrases of the confirmed passages that
+   its documents may hold, each once.
+3. Stream. All documents run through their shard's automaton. Its hits, and nothing else, tell where to look: around each hit, the
+   spans that the phrase's confirmed passages would take are hashed and compared, and the words of equal ones go if the
+   passage's smallest id is smaller than the document's.
 
 Scale: a document has about one run in 17 words. Recurring phrases are found by partial sums, and joined by shuffles whose hot
-keys Spark can split; a passage of a third of all documents is one row for each task after that. Only distinct passages whose
-phrase has several are cut into windows, and of equal windows in a task only the first leaves it unresolved. A task keeps one
-shard's automaton, whose size is bounded by the shard's text. Texts are compressed before they are dealt out.
+keys Spark can split; a passage of a third of all documents is one row for each shard after that. Only distinct passages whose
+phrase has several are cut into windows, and of equal windows in a task only the first leaves it unresolved. Patterns travel to
+the documents' shards and not documents to the patterns' ones: a text is shipped once however many passages it shares. A shard's
+text bounds its automaton, of which a task keeps one; a task takes any number of shards, and the number of tasks follows
+the cluster, not the data. Texts are compressed before they are dealt out.
 
 Defined results: null text has no words; texts below 50 words lose none; rows that share an id do not count as smaller
 than each other, and each loses what its own text repeats; rows with a null id lose nothing and take nothing from others; an
@@ -26,7 +29,8 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,13 @@ from .common import WordHashes, blocks, cut, grams, mix, utf8
 
 #: Words of a phrase: with a letter of 8 bits for each, it is one long.
 PHRASE = 8
-#: Bytes of a shard's texts, shards of a task (several, so that tasks are alike), and windows that a task holds before it
-#: sends the first of each.
-SHARD_BYTES, TASK_SHARDS, FLUSH = 1_500_000, 8, 200_000
+#: Bytes of a shard's texts, shards of a task at least (several, so that tasks are alike), and tasks for each core or shuffle
+#: partition at most.
+SHARD_BYTES, TASK_SHARDS, TASKS_EACH = 1_500_000, 8, 3
+#: Windows that a task holds before it sends the first of each, and hits that are looked at together.
+FLUSH, HITS = 200_000, 20_000
+#: Columns of what is confirmed.
+FOUND = ("p", "h", "place", "low")
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -90,6 +98,10 @@ def letters(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(56)).astype(np.uint8)
 
 
+def placed(offset: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    return (offset << 20 | length).astype(np.int32)
+
+
 class Runs:
     """A document's runs: where the phrase starts, the first window, and the end of the last one."""
 
@@ -101,6 +113,10 @@ class Runs:
         self.at = chosen[self.first]
         self.stop = np.append(self.first[1:], len(chosen)) - 1 + size if len(chosen) else self.first
 
+    def places(self) -> np.ndarray:
+        """Where the phrase lies in the passage, and the passage's length, in one number."""
+        return placed(self.at - self.first, self.stop - self.first)
+
     def phrases(self) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters(self.hashes), PHRASE)[self.at]).view("<i8").ravel()
 
@@ -128,12 +144,12 @@ def zipped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def passages(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, lists p and b: the phrase and the hash of each distinct passage of a document."""
+    """doc_id, lists p, b and place: the phrase, the hash and the place of the phrase, of each distinct passage of a document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in blocks(batches, "text"):
-            ids, ends, ps, bs = [], [0], [], []
+            ids, ends, ps, bs, places = [], [0], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hashes = known.of(text.split())
                 runs = Runs(hashes, size)
@@ -145,40 +161,41 @@ def passages(df: DataFrame, size: int, id_column: str, text_column: str) -> Data
                     ids.append(doc_id)
                     ps.append(p[new])
                     bs.append(b[new])
+                    places.append(runs.places()[order][new])
                     ends.append(ends[-1] + len(ps[-1]))
             if ids:
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (ps, bs)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "p", "b"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (ps, bs, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "p", "b", "place"])
 
     rows = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
-    return cut(rows.mapInArrow(run, "doc_id long, p array<long>, b array<long>"))
+    return cut(rows.mapInArrow(run, "doc_id long, p array<long>, b array<long>, place array<int>"))
 
 
 class Held:
     """Windows of a task until they are sent: of each, its first document without, and later ones with a smaller id."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
-    def add(self, p: np.ndarray, w: np.ndarray, doc_id: int) -> None:
-        self.parts.append((p, w, np.full(len(w), doc_id)))
+    def add(self, p: np.ndarray, w: np.ndarray, place: np.ndarray, doc_id: int) -> None:
+        self.parts.append((p, w, place, np.full(len(w), doc_id)))
         self.n += len(w)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            p, w, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            p, w, place, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             self.parts, self.n = [], 0
             order = np.lexsort((doc, w, p))
-            p, w, doc = p[order], w[order], doc[order]
+            p, w, place, doc = p[order], w[order], place[order], doc[order]
             new = np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
             low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             some = new | (doc > low) & np.concatenate([[True], doc[1:] != doc[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(w[some]), pa.array(doc[some]), pa.array(low[some], mask=new[some])], names=["p", "w", "doc_id", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(w[some]), pa.array(place[some]), pa.array(doc[some]), pa.array(low[some], mask=new[some])], names=["p", "w", "place", "doc_id", "low"])
 
 
 def windows(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """p, w, doc_id, low: the windows of the wanted passages (doc_id, list b) of documents; low if a smaller id is known."""
+    """p, w, place, doc_id, low: the windows of the wanted passages (doc_id, list b) of documents; low if a smaller id is known."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack, held = WordHashes(), zstandard.ZstdDecompressor(), Held()
@@ -189,23 +206,25 @@ def windows(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 runs = runs.take(np.isin(spans.of(runs.first, runs.stop), batch.column("b")[i].values.to_numpy()))
                 if len(runs.at):
                     start, of = runs.windows()
-                    held.add(runs.phrases()[of], spans.of(start, start + size), doc_id)
+                    held.add(runs.phrases()[of], spans.of(start, start + size), placed(runs.at[of] - start, size), doc_id)
                     if held.n >= FLUSH:
                         yield from held.flush()
         yield from held.flush()
 
-    return texts.join(wanted, "doc_id").select("doc_id", "z", "b").mapInArrow(run, "p long, w long, doc_id long, low long")
+    return texts.join(wanted, "doc_id").select("doc_id", "z", "b").mapInArrow(run, "p long, w long, place int, doc_id long, low long")
 
 
-def confirmed(df: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, p, h, low: document doc_id holds a passage or window that the smaller document low holds."""
+def confirmed(df: DataFrame, size: int, id_column: str, text_column: str, shard: Callable[[Column], Column]) -> DataFrame:
+    """shard, p, h, place, low: passages and windows (phrase, hash, place of the phrase and length) that recur, and the smallest
+    document that holds them, for each shard with documents that may hold them beside a smaller one; no row twice."""
     lists = passages(df, size, id_column, text_column)  # the texts are read once, and rows are made from it as often as needed
     n = lists.agg(F.sum(F.size("p"))).first()[0] or 0
-    every = lists.select("doc_id", F.explode(F.arrays_zip("p", "b")).alias("x")).select("doc_id", "x.p", "x.b")
+    every = lists.select("doc_id", F.explode(F.arrays_zip("p", "b", "place")).alias("x")).select("doc_id", "x.p", "x.b", "x.place")
     recurring = every.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("p")
     every = every.join(cut(recurring, n), "p")  # written, so that both sides are shuffled and a hot phrase is split
-    distinct = cut(every.groupBy("p", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), n)
-    whole = every.join(distinct.where("low < high").select("p", "b", "low"), ["p", "b"]).where("doc_id > low").select("doc_id", "p", F.col("b").alias("h"), "low")
+    distinct = cut(every.groupBy("p", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("place").alias("place")), n)
+    holding = every.select("doc_id", "p", "b").join(distinct.where("low < high").select("p", "b", "place", "low"), ["p", "b"]).where("doc_id > low")
+    whole = holding.select(shard(F.col("doc_id")), "p", F.col("b").alias("h"), "place", "low").distinct()
     several = cut(distinct.groupBy("p").count().where("count > 1").select("p"), n)
     wanted = distinct.join(several, "p", "left_semi").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("b").alias("b"))
     texts = zipped(df.where(F.col(id_column).isNotNull()), id_column, text_column)
@@ -213,50 +232,77 @@ def confirmed(df: DataFrame, size: int, id_column: str, text_column: str) -> Dat
     # what is resolved already is spread by its document, so that a hot window gathers only what isn't
     parts = parts.withColumn("at", F.when(F.col("low").isNull(), F.col("w")).otherwise(F.col("w").bitwiseXOR(F.xxhash64("doc_id"))))
     least = F.min(F.when(F.col("low").isNull(), F.col("doc_id"))).over(Window.partitionBy("p", "at"))
-    parts = parts.withColumn("low", F.coalesce("low", least)).where("doc_id > low").select("doc_id", "p", F.col("w").alias("h"), "low")
+    parts = parts.withColumn("low", F.coalesce("low", least)).where("doc_id > low").select(shard(F.col("doc_id")), "p", F.col("w").alias("h"), "place", "low")
     return whole.unionAll(parts)
 
 
 class Shard:
     """The confirmed passages of a shard, their phrases compiled into an automaton."""
 
-    def __init__(self, p: np.ndarray, h: np.ndarray, low: np.ndarray) -> None:
+    def __init__(self, p: np.ndarray, h: np.ndarray, place: np.ndarray, low: np.ndarray) -> None:
         import ahocorasick
 
-        order = np.argsort(-low, kind="stable")  # the least one stays
-        self.low = dict(zip(zip(p[order].tolist(), h[order].tolist(), strict=True), low[order].tolist(), strict=True))
+        self.phrases, number = np.unique(p, return_inverse=True)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        data = np.unique(p).astype("<i8").tobytes().decode("latin-1")
-        for i in range(0, len(data), PHRASE):
-            self.machine.add_word(data[i : i + PHRASE], 1)
+        data = self.phrases.astype("<i8").tobytes().decode("latin-1")
+        for i in range(len(self.phrases)):
+            self.machine.add_word(data[i * PHRASE : (i + 1) * PHRASE], i)
         if data:
             self.machine.make_automaton()
+        # the spans around a hit that a phrase's passages take, each once, phrase by phrase
+        spans = np.unique(number.astype(np.int64) << 40 | place)
+        self.first = np.searchsorted(spans >> 40, np.arange(len(self.phrases) + 1))
+        self.offset, self.length = spans >> 20 & 0xFFFFF, spans & 0xFFFFF
+        key = self.key(p, h)
+        order = np.lexsort((low, h, p, key))
+        p, h, low, key = p[order], h[order], low[order], key[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (h[1:] != h[:-1])]) if len(p) else np.zeros(0, dtype=bool)
+        self.p, self.h, self.low, self.keys = p[new], h[new], low[new], key[new]
+
+    @staticmethod
+    def key(p: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return mix(p.view(np.uint64)) ^ h.view(np.uint64)
+
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where phrases start, and which ones."""
+        found = self.machine.iter(letters(hashes).tobytes().decode("latin-1"))
+        while some := list(itertools.islice(found, HITS)):
+            ends, phrase = np.array(some, dtype=np.int64).T
+            yield ends - PHRASE + 1, phrase
 
     def removed(self, hashes: np.ndarray, doc_id: int, size: int) -> np.ndarray | None:
         """Which words go; None if none does."""
-        if not self.low or len(hashes) < size:
+        if not len(self.phrases) or len(hashes) < size:
             return None
-        ends = np.array([e for e, _ in self.machine.iter(letters(hashes).tobytes().decode("latin-1"))], dtype=np.int64)
-        if not len(ends):
+        spans, edge = None, None
+        for at, phrase in self.hits(hashes):
+            n = self.first[phrase + 1] - self.first[phrase]
+            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[phrase], n)
+            start = np.repeat(at, n) - self.offset[which]
+            stop, p = start + self.length[which], np.repeat(self.phrases[phrase], n)
+            inside = (start >= 0) & (stop <= len(hashes))
+            start, stop, p = start[inside], stop[inside], p[inside]
+            if spans is None:
+                spans, edge = Spans(hashes), np.zeros(len(hashes) + 1, dtype=np.int64)
+            gone = self.smaller(p, spans.of(start, stop), doc_id)
+            np.add.at(edge, start[gone], 1)
+            np.add.at(edge, stop[gone], -1)
+        if edge is None or not edge.any():
             return None
-        there = np.zeros(len(hashes), dtype=bool)
-        there[ends - PHRASE + 1] = True
-        runs = Runs(hashes, size)
-        runs, spans = runs.take(there[runs.at]), Spans(hashes)
-        p = runs.phrases()
-        whole = self.smaller(p, spans.of(runs.first, runs.stop), doc_id)
-        rest = runs.take(~whole)
-        start, of = rest.windows()
-        start = start[self.smaller(p[~whole][of], spans.of(start, start + size), doc_id)]
-        edge = np.zeros(len(hashes) + 1, dtype=np.int64)
-        for places, step in ((runs.first[whole], 1), (runs.stop[whole], -1), (start, 1), (start + size, -1)):
-            np.add.at(edge, places, step)
-        gone = np.cumsum(edge)[:-1] > 0
-        return gone if gone.any() else None
+        return np.cumsum(edge)[:-1] > 0
 
     def smaller(self, p: np.ndarray, h: np.ndarray, doc_id: int) -> np.ndarray:
-        """Whether a smaller document is known to hold it."""
-        return np.fromiter((self.low.get(x, doc_id) < doc_id for x in zip(p.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(p))
+        """Whether a span is confirmed, and from a smaller document."""
+        key = self.key(p, h)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (self.p[place] == p) & (self.h[place] == h) & (self.low[place] < doc_id)
+
+
+def tasks(df: DataFrame, shards: int) -> int:
+    """How many tasks take the shards: as many as the cluster runs in a few turns at most, whatever the number of shards."""
+    session = df.sparkSession
+    wide = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return min(-(-shards // TASK_SHARDS), TASKS_EACH * wide)
 
 
 def deduplicate(df: DataFrame, *, size: int = 50, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -277,10 +323,10 @@ def deduplicate(df: DataFrame, *, size: int = 50, id_column: str = "doc_id", tex
                     now, held, machine = shards[start], [], None
                 part = batch.slice(start, stop - start)
                 if not is_text[start]:
-                    held.append([part.column(c).to_numpy() for c in ("p", "h", "low")])
+                    held.append([part.column(c).to_numpy() for c in FOUND])
                     continue
                 if machine is None:
-                    machine = Shard(*(np.concatenate([x[i] for x in held]) if held else np.zeros(0, dtype=np.int64) for i in range(3)))
+                    machine = Shard(*(np.concatenate([x[i] for x in held]) if held else np.zeros(0, dtype=np.int64) for i in range(len(FOUND))))
                     held = []
                 for doc_id, z in zip(part.column("doc_id").to_pylist(), part.column("z").to_pylist(), strict=True):
                     words = unpack.decompress(z).split()
@@ -297,11 +343,12 @@ def deduplicate(df: DataFrame, *, size: int = 50, id_column: str = "doc_id", tex
     n = -(-(df.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 1) // SHARD_BYTES)
 
     def shard(key: Column) -> Column:
-        return F.pmod(key, F.lit(n)).cast("int").alias("shard")
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("shard")
 
-    found = confirmed(df, size, id_column, text_column).select(shard(F.xxhash64("doc_id")), F.lit(None).cast("long").alias("doc_id"), "p", "h", "low", F.lit(None).cast("binary").alias("z"))
+    nothing = {"p": "long", "h": "long", "place": "int", "low": "long"}
+    found = confirmed(df, size, id_column, text_column, shard).select("shard", F.lit(None).cast("long").alias("doc_id"), *FOUND, F.lit(None).cast("binary").alias("z"))
     texts = zipped(df, id_column, text_column)
-    nothing = F.lit(None).cast("long")
-    texts = texts.select(shard(F.when(F.col("doc_id").isNull(), F.xxhash64("z")).otherwise(F.xxhash64("doc_id"))), "doc_id", nothing.alias("p"), nothing.alias("h"), nothing.alias("low"), "z")
-    rows = found.unionAll(texts).repartition(-(-n // TASK_SHARDS), "shard").sortWithinPartitions("shard", F.col("z").isNotNull())
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("z")).otherwise(F.col("doc_id"))
+    texts = texts.select(shard(own), "doc_id", *[F.lit(None).cast(nothing[c]).alias(c) for c in FOUND], "z")
+    rows = found.unionAll(texts).repartition(tasks(df, n), "shard").sortWithinPartitions("shard", F.col("z").isNotNull())
     return rows.mapInArrow(run, schema)

@@ -210,6 +210,46 @@ def test_repeated_passages_without_ids_and_rows(spark):
     assert phrases.deduplicate(frame.limit(0)).count() == 0
 
 
+def test_only_hits_of_the_automata_remove_words(spark, monkeypatch):
+    """Where most phrases of each automaton are unheard, what stands around them stays."""
+
+    class Deaf(phrases.Shard):
+        def hits(self, hashes):
+            for at, phrase in super().hits(hashes):
+                heard = phrase % 5 == 0
+                yield at[heard], phrase[heard]
+
+    class Deafer(phrases.Shard):
+        def hits(self, hashes):
+            return iter(())
+
+    frame = documents(spark, passages())
+    whole = {r.doc_id: r.n_removed for r in phrases.deduplicate(frame).collect()}
+    monkeypatch.setattr(phrases, "Shard", Deaf)
+    some = {r.doc_id: r.n_removed for r in phrases.deduplicate(frame).collect()}
+    assert all(some[i] <= n for i, n in whole.items()) and 0 < sum(some.values()) < sum(whole.values())
+    monkeypatch.setattr(phrases, "Shard", Deafer)
+    assert not any(r.n_removed for r in phrases.deduplicate(frame).collect())
+
+
+def test_hits_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HITS", 2)
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    runs = phrases.Runs(h, 50)
+    known = phrases.Shard(runs.phrases(), phrases.Spans(h).of(runs.first, runs.stop), runs.places(), np.full(len(runs.at), 7))
+    copy = np.concatenate([rng.integers(0, 1 << 63, 40).astype(np.uint64), h, h[:20]])
+    assert known.removed(copy, 8, 50).tolist() == [False] * 40 + [True] * 300 + [False] * 20
+    assert known.removed(copy, 7, 50) is None and known.removed(copy[:49], 8, 50) is None
+
+
+def test_tasks_follow_the_cluster(spark):
+    frame = spark.range(1)
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert phrases.tasks(frame, 1) == 1
+    assert phrases.tasks(frame, 10**12 // phrases.SHARD_BYTES) == phrases.tasks(frame, 10**14 // phrases.SHARD_BYTES) == phrases.TASKS_EACH * wide
+
+
 def test_selected_phrases_are_a_function_of_the_window():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
