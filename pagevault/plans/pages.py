@@ -18,7 +18,7 @@ from pagevault.sinks import save_pages
 from pagevault.sources import read_store, through_table
 from pagevault.sources.table import KEEP, url_path
 
-from . import loopback
+from . import served
 
 CONTENT_TYPE, MODIFIED = "text/html; charset=UTF-8", "Sat, 01 Mar 2025 06:30:00 GMT"
 #: Microseconds since 1970 at which page 0 is fetched; each later page a second and a half after the one before.
@@ -35,8 +35,12 @@ def _key(n: int) -> Column:
     return F.coalesce(F.regexp_extract(url_path(F.col("url")), PATH_KEYS, n), F.lit(""))
 
 
+def keys() -> list[Column]:
+    return [_key(2).alias("patch"), _key(1).alias("locale")]
+
+
 def targets_of(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", _key(2).alias("patch"), _key(1).alias("locale"), F.col("url").alias("source_url"))
+    return pages.select("page_id", *keys(), F.col("url").alias("source_url"))
 
 
 def _fetched_at() -> Column:
@@ -202,7 +206,7 @@ QUERIES = {
     "metadata_readback": metadata_readback,
     "metadata_bytes": metadata_bytes,
     "table_transport": table_transport,
-    "http_fetch": loopback.http_fetch,
+    "http_fetch": served.http_fetch,
     "fail_fast": fail_fast,
     "status_filter": status_filter,
     "quarantine": quarantine,
@@ -225,7 +229,7 @@ ORACLES = {
     "table_transport": f"""with p as ({_METADATA}), wanted as (select patch, locale, source_url from p union all select patch, locale, source_url || '/nowhere' from p where locale = 'fr' union all select patch, locale, source_url from p where locale = 'de'),
 answers as (select * from (select *, row_number() over (partition by source_url order by page_id desc) as n from p) where n = 1)
 select w.patch, w.locale, w.source_url, a.fetched_at, a.status_code, a.etag, a.sha256 from wanted w left join answers a using (source_url)""",
-    "http_fetch": loopback.oracle(_PATCH, _LOCALE),
+    "http_fetch": served.oracle(_PATCH, _LOCALE),
     "fail_fast": "select page_id, cast(200 + page_id % 100 as integer) as status_code, url from pages",
     "status_filter": f"select * from ({_STATUS}) where status_code between 200 and 299",
     "quarantine": f"select * from ({_STATUS}) where coalesce(status_code not between 200 and 299, true)",

@@ -1,5 +1,8 @@
 """Queries by name, each with the SQL that it is compared with."""
 
-from .pages import ORACLES, QUERIES
+from . import events, pages, retrieval
+
+QUERIES = pages.QUERIES | events.QUERIES | retrieval.QUERIES
+ORACLES = pages.ORACLES | events.ORACLES | retrieval.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

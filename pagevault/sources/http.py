@@ -11,7 +11,7 @@ import http.client
 import json
 import ssl
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from urllib.parse import quote, urljoin, urlsplit
@@ -19,7 +19,7 @@ from urllib.parse import quote, urljoin, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from pagevault.schemas import RAW_PAGE, USER_AGENT
 
@@ -105,6 +105,17 @@ def page(patch: str, locale: str, source_url: str, limits: Limits) -> tuple:
     return ((patch, locale, source_url), datetime.now(UTC), answer.status, *named, answer.content, hashlib.sha256(answer.content).hexdigest())
 
 
+#: Columns of a target that filters can be pushed on, and the filters.
+_PLACES = {("target", name): i for i, name in enumerate(("patch", "locale", "source_url"))}
+_TESTS = {
+    EqualTo: str.__eq__,
+    In: lambda own, values: own in values,
+    StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith,
+    StringContains: str.__contains__,
+}
+
+
 @dataclass
 class Share(InputPartition):
     """Targets that one task fetches, one after the other."""
@@ -116,7 +127,8 @@ class HttpPages(DataSource):
     """spark.read.format("http_pages"): one raw page for each target of a list; fetch_pages() takes a relation of any size.
 
     Options: targets (JSON list of {patch, locale, source_url}), timeout, connectTimeout, userAgent, onStatus (fail, keep),
-    partitions (the most tasks; one target each by default).
+    partitions (the most tasks; one target each by default), pushFilters (true: filters on the target decide what is fetched; Spark
+    then needs spark.sql.python.filterPushdown.enabled).
     """
 
     @classmethod
@@ -127,7 +139,9 @@ class HttpPages(DataSource):
         return RAW_PAGE
 
     def reader(self, schema) -> HttpReader:  # noqa: ANN001
-        return HttpReader(dict(self.options))
+        options = dict(self.options)
+        pushes = {k.lower(): v for k, v in options.items()}.get("pushfilters", "false").lower() == "true"
+        return PushingReader(options) if pushes else HttpReader(options)
 
 
 class HttpReader(DataSourceReader):
@@ -146,6 +160,19 @@ class HttpReader(DataSourceReader):
             yield page(*target, self.limits)
 
 
+class PushingReader(HttpReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Targets that a filter on patch, locale or source_url leaves out are never fetched; other filters are applied to what was.
+        Each query takes its own load(): Spark keeps what a DataFrame's first query pushed."""
+        for f in filters:
+            place = _PLACES.get(getattr(f, "attribute", None))
+            test = _TESTS.get(type(f))
+            if place is None or test is None:
+                yield f
+            else:
+                self.targets = [t for t in self.targets if test(t[place], f.value)]
+
+
 def fetch_pages(targets: DataFrame, *, partitions: int | None = None, per_host: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Raw pages of a relation of targets (patch, locale, source_url), fetched where its rows are.
 
@@ -155,15 +182,18 @@ def fetch_pages(targets: DataFrame, *, partitions: int | None = None, per_host:
     if partitions:
         lane = F.pmod(F.xxhash64("source_url"), F.lit(per_host))
         targets = targets.repartition(partitions, F.regexp_extract("source_url", "^[a-z]+://([^/?#]*)", 1), lane)
-    flat = "patch string, locale string, source_url string, fetched_at timestamp, status_code int, content_type string, etag string, last_modified string, content binary, sha256 string"
-    kinds = [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int32(), *[pa.string()] * 3, pa.binary(), pa.string()]
-    names = [x.split()[0] for x in flat.split(", ")]
+    rows = targets.select("patch", "locale", "source_url").mapInArrow(lambda batches: fetch_batches(batches, limits), FETCHED)
+    return rows.select(F.struct("patch", "locale", "source_url").alias("target"), *[x.split()[0] for x in FETCHED.split(", ")[3:]])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = page(*target, limits)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*whole[0], *whole[1:]), kinds, strict=True)], names=names)
+FETCHED = "patch string, locale string, source_url string, fetched_at timestamp, status_code int, content_type string, etag string, last_modified string, content binary, sha256 string"
 
-    rows = targets.select("patch", "locale", "source_url").mapInArrow(run, flat)
-    return rows.select(F.struct("patch", "locale", "source_url").alias("target"), *names[3:])
+
+def fetch_batches(batches: Iterable[pa.RecordBatch], limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
+    """Rows of patch, locale, source_url to rows of FETCHED, one page at a time."""
+    kinds = [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int32(), *[pa.string()] * 3, pa.binary(), pa.string()]
+    names = [x.split()[0] for x in FETCHED.split(", ")]
+    for batch in batches:
+        for target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            whole = page(*target, limits)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*whole[0], *whole[1:]), kinds, strict=True)], names=names)

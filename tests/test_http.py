@@ -95,6 +95,32 @@ def test_data_source(spark, base):
     assert bad.option("onStatus", "keep").load().first().status_code == 404
 
 
+def test_filters_on_targets_prevent_fetches(spark, base):
+    from pyspark.sql import functions as F
+
+    spark.dataSource.register(HttpPages)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        wanted = [{"patch": str(i), "locale": "de" if i % 2 else "fr", "source_url": f"{base}/ok?{i}"} for i in range(12)]
+        source = spark.read.format("http_pages").option("targets", json.dumps(wanted)).option("pushFilters", "true")
+        cases = [
+            (F.col("target.patch") == "3", [3]),
+            (F.col("target.patch").isin("3", "4", "99"), [3, 4]),
+            ((F.col("target.locale") == "de") & F.col("target.source_url").endswith("?11"), [11]),
+            (F.col("target.patch").startswith("1") & (F.col("status_code") == 200), [1, 10, 11]),
+            (F.col("target.source_url").contains("?7") & F.col("etag").isNotNull(), [7]),
+            (F.col("target.patch") == "none", []),
+        ]
+        for condition, kept in cases:
+            Handler.seen.clear()
+            assert sorted(int(r.patch) for r in source.load().where(condition).select("target.patch").collect()) == kept
+            assert sorted(int(path.partition("?")[2]) for path, _ in Handler.seen) == kept
+        Handler.seen.clear()
+        assert source.load().where("length(target.patch) = 2").count() == 2 and len(Handler.seen) == 12  # not pushed, and still right
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_relation_of_targets(spark, base):
     wanted = targets(spark, [(str(i), "l", base + "/ok") for i in range(5)])
     rows = fetch_pages(wanted, partitions=2).collect()
