@@ -2,18 +2,17 @@
 
 Vectors are normalised in double precision and rotated; the rotation's coordinates are split into blocks. Unit vectors
 with cosine c are at squared distance 2 - 2c, so two vectors above the threshold are, in some block, within that block's
-proportional share of the squared-distance budget. Each block is range-joined: its first coordinates are cut into cells
-of twice the block's radius, a vector is stored in its own cell and asks at every later cell that its ball reaches (the
-earlier ones ask at its own). The number of gridded coordinates follows the size of the largest label. Cells that are then
-very large are joined once more: what is left of the budget is spread over the other blocks, so a pair is also, in one of these,
-within its share of all the budget, and the cell is cut into cells of two blocks. What meets in a cell is tested against the
-budgets, and what passes is verified exactly, on the vectors as given; a pair belongs to the first block, and the first
-second block, whose budget it keeps, so the union of the cells counts each pair once.
+proportional share of the squared-distance budget. Each block is range-joined: some of its coordinates are cut into cells of four
+times the block's radius, a vector is stored in its own cell and asks at every later cell that its ball reaches (the earlier ones
+ask at its own). Cells that hold very many vectors, and only these, are cut along further coordinates of the block. Within
+a cell the join goes on in memory, on a finer grid of twice the radius. What meets is tested against the block's budget, and what
+passes is verified exactly, on the vectors as given; a pair belongs to the first block whose budget it keeps, so the union of the
+cells counts each pair once.
 
 Scale: equal vectors of a label are one class first. Vectors travel once for each cell they are stored or ask in, in the
-precision they are given in. A large cell's stored vectors are dealt to several tasks, each asked by all of its askers; beyond
-SHARES tasks it is cut into cells of two blocks, which are large only where vectors are dense, as many near copies of each
-other are, whose links must all be counted. All are compared in small matrices. Tasks emit a count for each vector and the links that join components within the task, never
+precision they are given in: 8 rows a vector of a small label, some 12 to 20 of a large one, as the fine grid costs no rows. A cell that further coordinates do not
+make smaller holds many near copies of each other, whose links must all be counted: its stored vectors are dealt to several tasks,
+each asked by all of its askers. Tasks emit a count for each vector and the links that join components within the task, never
 pairs. Lists of large cells are broadcast if they have at most LARGE_CELLS rows and joined by shuffling otherwise.
 
 Defined results: null labels and vectors that are null, empty, zero or hold null or non-finite components link with
@@ -31,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, mix
 
-#: Coordinates of a block, stored vectors of a cell in one task, vectors of a cell that the grid aims at.
-BLOCK_WIDTH, STORED, AIM = 8, 1500, 1000
+#: Coordinates of a block, stored vectors of a cell in one task, vectors of a cell in memory that the fine grid aims at.
+BLOCK_WIDTH, STORED, AIM = 8, 60_000, 700
+#: Coordinates that a large cell is cut along at a time, and the width of cells that are dealt out, in diameters of a block's ball.
+FURTHER, WIDE = 2, 2
 LARGE_CELLS = 50_000
-#: Tasks that may share a cell of one block, each asked by all of its askers; larger ones cost less as cells of two blocks.
-SHARES = 16
+#: Vectors that ask together, and cells of a matrix of distances.
+ASKING, PAIRS = 2048, 1 << 20
 #: Room for rounding in the tests that come before the exact one.
 SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -61,8 +62,8 @@ def spans(width: int) -> list[tuple[int, int]]:
 
 
 def reached(near: np.ndarray, gap: np.ndarray, budget: float, later: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows, and the steps to other cells (to later ones only) that their balls reach. A ball of half a cell's width reaches, in
-    each coordinate, the own cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
+    """Rows, and the steps to other cells (to later ones only) that their balls reach. A ball of at most half a cell's width reaches,
+    in each coordinate, the own cell and at most the nearer neighbour; near is that neighbour's step, gap the distance to it."""
     n, g = near.shape
     for choice in range(1, 1 << g):
         step = np.array([(choice >> i) & 1 for i in range(g)], dtype=bool)
@@ -73,10 +74,11 @@ def reached(near: np.ndarray, gap: np.ndarray, budget: float, later: bool) -> It
         yield rows, near[rows] * step
 
 
-def places(x: np.ndarray, budget: float, role: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def places(x: np.ndarray, budget: float, role: int, wide: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Rows, cells and roles in a grid of x's coordinates under a squared-distance budget. Vectors with role 0 are stored in
-    their own cell (role 0) and ask at later ones (role 1); those with role 1 ask at every cell they reach."""
-    side = 2 * np.sqrt(budget)
+    their own cell (role 0) and ask at later ones (role 1); those with role 1 ask at every cell they reach. wide: a cell's width, in
+    diameters of the budget's ball."""
+    side = 2 * wide * np.sqrt(budget)
     at = x / side
     cell = np.floor(at).astype(np.int64)
     within = at - cell
@@ -88,19 +90,19 @@ def places(x: np.ndarray, budget: float, role: int) -> Iterator[tuple[np.ndarray
         yield rows, key, r
 
 
-def share(budget: float, width: int, block: int, without: int | None = None) -> float:
-    """A block's part of the budget, in proportion to its coordinates, among all blocks or all but one."""
-    wide = [hi - lo for lo, hi in spans(width)]
-    return budget * wide[block] / (width - (0 if without is None else wide[without]))
+def share(budget: float, width: int, block: int) -> float:
+    """A block's part of the budget, in proportion to its coordinates."""
+    lo, hi = spans(width)[block]
+    return budget * (hi - lo) / width
 
 
 GIVEN = ["label", "width", "rep", "copies", "v"]
-PLACED = "label long, width int, rep long, copies long, v binary, block int, cell long, sub int, subcell long, role int"
+PLACED = "label long, width int, rep long, copies long, v binary, block int, cell long, role int"
 
 
 def batch_of(part: pa.RecordBatch, rows: np.ndarray, **columns: np.ndarray | int) -> pa.RecordBatch:
     """Some rows of part, as rows of PLACED."""
-    kinds = {"block": pa.int32(), "cell": pa.int64(), "sub": pa.int32(), "subcell": pa.int64(), "role": pa.int32()}
+    kinds = {"block": pa.int32(), "cell": pa.int64(), "role": pa.int32()}
     take = part.take(pa.array(rows))
     values = [pa.array(np.broadcast_to(columns[n], len(rows)), k) for n, k in kinds.items()]
     return pa.RecordBatch.from_arrays([*(take.column(n) for n in GIVEN), *values], names=[*GIVEN, *kinds])
@@ -116,14 +118,14 @@ def cells(rows: DataFrame, budget: float, grid: int) -> DataFrame:
                 part = batch.filter(pa.array(lengths == width))
                 turned = unit(part.column("v").to_pylist(), width) @ rotation(width)
                 for b, (lo, hi) in enumerate(spans(width)):
-                    for some, key, role in places(turned[:, lo : lo + min(grid, hi - lo)], share(budget, width, b), 0):
-                        yield batch_of(part, some, block=b, cell=key, sub=-1, subcell=0, role=role)
+                    for some, key, role in places(turned[:, lo : lo + min(grid, hi - lo)], share(budget, width, b), 0, WIDE):
+                        yield batch_of(part, some, block=b, cell=key, role=role)
 
     return rows.select(*GIVEN).mapInArrow(run, PLACED)
 
 
-def refined(rows: DataFrame, budget: float, grid: int) -> DataFrame:
-    """Rows of PLACED in cells of one block, placed anew in cells of that block and each other one, if there is one."""
+def finer(rows: DataFrame, budget: float, grid: int) -> DataFrame:
+    """Rows of PLACED whose cells are cut along the coordinates after the first `grid`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,68 +134,90 @@ def refined(rows: DataFrame, budget: float, grid: int) -> DataFrame:
                 part = batch.filter(pa.array((kinds == (width, b, role)).all(axis=1)))
                 cell = part.column("cell").to_numpy()
                 turned = unit(part.column("v").to_pylist(), width) @ rotation(width)
-                if len(spans(width)) == 1:
-                    yield batch_of(part, np.arange(len(cell)), block=b, cell=cell, sub=-1, subcell=0, role=role)
-                for s, (lo, hi) in enumerate(spans(width)):
-                    if s != b:
-                        for some, key, as_role in places(turned[:, lo : lo + min(grid, hi - lo)], share(budget, width, s, b), role):
-                            yield batch_of(part, some, block=b, cell=cell[some], sub=s, subcell=key, role=as_role)
+                lo, hi = spans(width)[b]
+                for some, key, as_role in places(turned[:, min(lo + grid, hi) : min(lo + grid + FURTHER, hi)], share(budget, width, b), role, WIDE):
+                    yield batch_of(part, some, block=b, cell=mix((cell[some] * 31 + key).view(np.uint64)).view(np.int64), role=as_role)
 
     return rows.select(*[x.split()[0] for x in PLACED.split(", ")]).mapInArrow(run, PLACED)
 
 
 class Cell:
-    """The vectors stored in one cell, or a share of them: compared with each other, and asked in small parts."""
+    """The vectors stored in one cell, or a share of them, on a fine grid: compared with each other, and asked by others."""
 
-    def __init__(self, block: int, sub: int, width: int, threshold: float, reps: list[int], copies: list[int], raw: list[bytes]) -> None:
-        self.block, self.sub, self.threshold, self.budget = block, sub, threshold, 2 - 2 * threshold
+    def __init__(self, block: int, width: int, threshold: float, reps: list[int], copies: list[int], raw: list[bytes]) -> None:
+        self.block, self.threshold, self.budget = block, threshold, 2 - 2 * threshold
         self.reps, self.copies = np.array(reps), np.array(copies)
         self.x, self.spans, self.width = unit(raw, width), spans(width), width
         self.turned = self.x @ rotation(width)
         self.found = np.zeros(len(reps), dtype=np.int64)
         self.up: dict[int, int] = {}
+        lo, hi = self.spans[block]
+        self.grid = 0
+        while self.grid < hi - lo and len(reps) / 2.5**self.grid > AIM:
+            self.grid += 1
+        _, key, _ = next(self.placed(self.turned, 0))
+        self.order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[self.order], return_index=True)
+        self.first = np.append(first, len(key))
+
+    def placed(self, turned: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        lo, _ = self.spans[self.block]
+        return places(turned[:, lo : lo + self.grid], share(self.budget, self.width, self.block), role)
 
     def top(self, x: int) -> int:
         while x in self.up:
             x = self.up[x]
         return x
 
-    def within(self, p: np.ndarray, q: np.ndarray, b: int, without: int | None = None) -> np.ndarray:
+    def within(self, p: np.ndarray, q: np.ndarray, b: int) -> np.ndarray:
         """Whether rows of p and q keep block b's share of the budget."""
         lo, hi = self.spans[b]
         d = p[:, lo:hi] - q[:, lo:hi]
-        return (d * d).sum(axis=1) <= share(self.budget, self.width, b, without) + SLACK
+        return (d * d).sum(axis=1) <= share(self.budget, self.width, b) + SLACK
+
+    def meet(self, turned: np.ndarray, after: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Askers and stored vectors that meet in a cell of the fine grid and may keep the block's budget, each pair once."""
+        lo, hi = self.spans[self.block]
+        for rows, key, role in self.placed(turned, 1 if after is None else 0):
+            by_key = np.argsort(key, kind="stable")
+            asked, start = np.unique(key[by_key], return_index=True)
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            for n in np.flatnonzero(self.keys[at] == asked).tolist():
+                own = rows[by_key[start[n] : start[n + 1] if n + 1 < len(start) else None]]
+                held = self.order[self.first[at[n]] : self.first[at[n] + 1]]
+                step = max(1, PAIRS // len(held))
+                q = self.turned[held, lo:hi]
+                for i in range(0, len(own), step):
+                    some = own[i : i + step]
+                    p = turned[some, lo:hi]
+                    apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
+                    a, b = np.nonzero(apart <= share(self.budget, self.width, self.block) + 2 * SLACK)
+                    a, b = some[a], held[b]
+                    if role == 0:  # stored vectors in their own cell
+                        a, b = a[b > a + after], b[b > a + after]
+                    yield a, b
 
     def ask(self, reps: np.ndarray, copies: np.ndarray, x: np.ndarray, after: int | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """How many vectors (copies counted) each asker links with here, and links that join components. Stored vectors
-        count their askers. after: the askers are stored themselves, from this place on, and ask those behind them."""
-        turned = x @ rotation(self.width)
-        b, without = (self.block, None) if self.sub < 0 else (self.sub, self.block)  # what tells most pairs apart
-        lo, hi = self.spans[b]
-        p, q = turned[:, lo:hi], self.turned[:, lo:hi]
-        apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
-        i, j = np.nonzero(apart <= share(self.budget, self.width, b, without) + 2 * SLACK)
-        if after is not None:
-            i, j = i[j > i + after], j[j > i + after]
-        tests = [(self.block, None, True), *((e, None, False) for e in range(self.block))]  # else an earlier block has the pair
-        if self.sub >= 0:
-            tests += [(self.sub, self.block, True), *((e, self.block, False) for e in range(self.sub) if e != self.block)]
-        for e, spared, wanted in tests:
-            good = self.within(turned[i], self.turned[j], e, spared) == wanted
+        count their askers. after: the askers are stored themselves, from this place on."""
+        turned, counts, links = x @ rotation(self.width), np.zeros(len(x), dtype=np.int64), []
+        for i, j in self.meet(turned, after):
+            for e in range(self.block + 1):  # else an earlier block has the pair
+                good = self.within(turned[i], self.turned[j], e) == (e == self.block)
+                i, j = i[good], j[good]
+            good = np.einsum("ij,ij->i", x[i], self.x[j]) >= self.threshold
             i, j = i[good], j[good]
-        good = np.einsum("ij,ij->i", x[i], self.x[j]) >= self.threshold
-        i, j = i[good], j[good]
-        links = []
-        for a, b in zip(reps[i].tolist(), self.reps[j].tolist(), strict=True):
-            ta, tb = self.top(a), self.top(b)
-            if ta != tb:
-                self.up[max(ta, tb)] = min(ta, tb)
-                links.append((a, b))
-        self.found += np.bincount(j, weights=copies[i], minlength=len(self.x)).astype(np.int64)
-        return np.bincount(i, weights=self.copies[j], minlength=len(x)).astype(np.int64), links
+            for a, b in zip(reps[i].tolist(), self.reps[j].tolist(), strict=True):
+                ta, tb = self.top(a), self.top(b)
+                if ta != tb:
+                    self.up[max(ta, tb)] = min(ta, tb)
+                    links.append((a, b))
+            self.found += np.bincount(j, weights=copies[i], minlength=len(self.x)).astype(np.int64)
+            counts += np.bincount(i, weights=self.copies[j], minlength=len(x)).astype(np.int64)
+        return counts, links
 
 
-KEY = ["label", "width", "block", "cell", "sub", "subcell"]
+KEY = ["label", "width", "block", "cell"]
 
 
 def asked(rows: DataFrame, threshold: float) -> DataFrame:
@@ -204,15 +228,16 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
 
         def emitted(reps: np.ndarray, counts: np.ndarray, links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(counts[some]), *[pa.nulls(len(some), pa.int64())] * 2], names=names)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(counts[some]), *[pa.nulls(len(some), pa.int64())] * 2], names=names)
             if links:
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(links), pa.int64())] * 2, *(pa.array(x, pa.int64()) for x in zip(*links, strict=True))], names=names)
 
         def opened(at: tuple, stored: list[tuple]) -> Iterator[pa.RecordBatch]:
-            cell = Cell(at[2], at[4], at[1], threshold, *map(list, zip(*stored, strict=True)))
+            cell = Cell(at[2], at[1], threshold, *map(list, zip(*stored, strict=True)))
             cells_held.append(cell)
-            for start in range(0, len(cell.x), 256):
-                part = slice(start, start + 256)
+            for start in range(0, len(cell.x), ASKING):
+                part = slice(start, start + ASKING)
                 yield from emitted(cell.reps[part], *cell.ask(cell.reps[part], cell.copies[part], cell.x[part], after=start))
 
         at, stored, cells_held = None, [], []
@@ -234,7 +259,7 @@ def asked(rows: DataFrame, threshold: float) -> DataFrame:
                     yield from closed()
                     at = now
                 stop = i
-                while stop < n and stop < i + 256 and cols[n_key][stop] == cols[n_key][i] and tuple(c[stop] for c in cols[:n_key]) == now:
+                while stop < n and stop < i + ASKING and cols[n_key][stop] == cols[n_key][i] and tuple(c[stop] for c in cols[:n_key]) == now:
                     stop += 1
                 reps, copies, raw = (c[i:stop] for c in cols[n_key + 1 :])
                 if cols[n_key][i] == 0:
@@ -259,17 +284,20 @@ def large_cells(rows: DataFrame, most_cells: int) -> tuple[DataFrame, int, int]:
 
 def dealt(packed: DataFrame, budget: float, grid: int, vectors: int) -> DataFrame:
     """For the classes of so many vectors: rows of PLACED and the part of a cell, those of each part together, stored ones first."""
-    rows = cells(packed, budget, grid)
-    large, n, most = large_cells(rows, 10 * vectors)
+    rows, done = cells(packed, budget, grid), []
+    large, n, before = large_cells(rows, 10 * vectors)
+    while n and grid < BLOCK_WIDTH:
+        joined = rows.join(large, KEY, "left")
+        again = finer(joined.where("parts is not null"), budget, grid)
+        grid += FURTHER
+        large, n, most = large_cells(again, 10 * vectors)
+        done.append(joined.where("parts is null").drop("parts"))
+        rows, stuck, before = again, most > before / 2, most
+        if stuck:  # further coordinates tell these vectors hardly apart
+            break
     rows = rows.join(large, KEY, "left") if n else rows.withColumn("parts", F.lit(None).cast("int"))
-    if most > SHARES:
-        fine = 1
-        while fine < BLOCK_WIDTH and most * STORED / 2.5**fine > AIM:
-            fine += 1
-        again = refined(rows.where(F.col("parts") > SHARES), budget, fine)
-        dense, n, _ = large_cells(again, 10 * vectors)
-        again = again.join(dense, KEY, "left") if n else again.withColumn("parts", F.lit(None).cast("int"))
-        rows = rows.where(F.coalesce("parts", F.lit(1)) <= SHARES).unionByName(again)
+    for part in done:
+        rows = rows.unionByName(part.withColumn("parts", F.lit(None).cast("int")))
     rows = rows.select(*KEY, "role", "rep", "copies", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
     # a stored vector also asks in the later shares of its own cell; others ask in all
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
@@ -299,8 +327,8 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, id_column: str =
 
     packed = classes.select("label", "vector", "rep", "copies").mapInArrow(pack, "label long, width int, rep long, copies long, v binary")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    grid = 1
-    while grid < BLOCK_WIDTH and largest / 2.5**grid > AIM:
+    grid = 0
+    while grid < 3 and largest / 2**grid > STORED:
         grid += 1
     found = cut(asked(dealt(packed, 2 - 2 * threshold, grid, n), threshold))
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))

@@ -125,22 +125,37 @@ def brute_vectors(rows, threshold=0.93):
     return {i: (n[i], want.top(i), want.top(i) == i) for i in n}
 
 
-@pytest.mark.parametrize(("width", "shares"), [(3, 16), (20, 2), (64, 16), (3, 1), (20, 1), (64, 1)])
-def test_vectors_equal_brute_force(spark, monkeypatch, width, shares):
+@pytest.mark.parametrize(("width", "stored", "aim"), [(3, 20, 15), (20, 60, 5), (64, 20, 4), (3, 5, 2), (20, 5, 15), (64, 5, 3), (64, 1000, 6)])
+def test_vectors_equal_brute_force(spark, monkeypatch, width, stored, aim):
     rng = np.random.default_rng(width)
     base = rng.standard_normal((12, width))
     rows = [(i, (base[i % 12] + rng.standard_normal(width) * (0.02 + 0.35 * rng.random())).tolist(), int(i % 3)) for i in range(150)]
     rows += [(200 + i, base[0].tolist(), 0) for i in range(8)] + [(220, (base[0] * 1e-200).tolist(), 0), (221, (base[0] * 3).tolist(), 1)]
     nan = float("nan")
     rows += [(300, None, 0), (301, [0.0] * width, 0), (302, [nan] * width, 0), (303, [None] * width, 0), (304, base[0].tolist(), None), (305, [], 0), (306, [float("inf")] * width, 0), (307, [1.0] * (width + 1), 0)]
-    monkeypatch.setattr(vecdedup, "STORED", 5 if shares == 1 else 20)
-    monkeypatch.setattr(vecdedup, "AIM", 15)
-    monkeypatch.setattr(vecdedup, "SHARES", shares)  # 1: all large cells become cells of two blocks
-    again, count = vecdedup.refined, []
-    monkeypatch.setattr(vecdedup, "refined", lambda *a: count.append(1) or again(*a))
+    for name, value in (("STORED", stored), ("AIM", aim), ("ASKING", 16), ("PAIRS", 50)):
+        monkeypatch.setattr(vecdedup, name, value)
+    again, count = vecdedup.finer, []
+    monkeypatch.setattr(vecdedup, "finer", lambda *a: count.append(1) or again(*a))
     frame = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vecdedup.near_duplicates(frame).collect()}
-    assert got == brute_vectors(rows) and bool(count) == (shares == 1)
+    assert got == brute_vectors(rows) and bool(count) == (stored < 60)
+
+
+def test_pairs_meet_once_in_a_fine_grid():
+    """Vectors of one cell against all pairs, the number of fine coordinates aside."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    x[1500:] = x[:1500] + 0.05 * rng.standard_normal((1500, 16))
+    raw = [v.astype("<f8").tobytes() for v in x]
+    cell = vecdedup.Cell(0, 16, 0.93, list(range(3000)), [1] * 3000, raw)
+    assert cell.grid > 1
+    met = [(i + start, j) for start in range(0, 3000, 1000) for a, b in cell.meet(cell.turned[start : start + 1000], start) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    own = cell.turned[:, :8]
+    apart = ((own[:, None, :] - own[None, :, :]) ** 2).sum(axis=2)
+    assert len(met) == len(set(met)) and set(map(frozenset, met)) == {frozenset((i, j)) for i, j in zip(*np.nonzero(np.triu(apart <= 0.07, 1)))}
+    others = [p for a, b in cell.meet(cell.turned[:50], None) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(others) == sorted(zip(*(x.tolist() for x in np.nonzero(apart[:50] <= 0.07)), strict=True))
 
 
 def test_vectors_of_an_empty_table(spark):
