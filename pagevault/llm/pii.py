@@ -58,6 +58,7 @@ _RUN = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
 # groups of one number: after at most three letters, or without small letters; between them blanks, also in brackets
 _GROUP = re.compile(r"[A-Za-z]{0,3}[0-9][0-9/().-]*")
 _GAP = re.compile(r"[()]?[ \t\u00a0]+[()]?")
+_SIGNS = re.compile(r"\s+|\S+")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~"
 
 
@@ -111,29 +112,42 @@ def shape(instance: str) -> str:
 
 
 class Context:
-    """The words of a text, by place."""
+    """The words of a text, by place. What stands between a word and the spans behind it is read once, however many there are."""
 
     def __init__(self, text: str) -> None:
         self.text, self.starts, self.ends = text, array("q"), array("q")
         for m in _TOKEN.finditer(text):
             self.starts.append(m.start())
             self.ends.append(m.end())
+        self.last, self.before, self.at, self.blank, self.gap = (-1, -1), "", 0, False, xxhash.xxh64()
+
+    def between(self, i: int, end: int, start: int) -> None:
+        """Makes gap the state of a hash over the word i, as far as end, and the signs from there to start, with runs of blanks as one."""
+        if self.last != (i, end) or start < self.at:
+            self.last, self.before, self.at, self.blank = (i, end), self.text[self.starts[i] : end].lower(), end, False
+            self.gap = xxhash.xxh64(f"shaped\x1f{self.before}\x1f".encode())
+        for m in _SIGNS.finditer(self.text, self.at, start):
+            blank = m[0].isspace()
+            if not (blank and self.blank):
+                self.gap.update(b" " if blank else m[0].encode())
+            self.blank = blank
+        self.at = start
 
     def patterns(self, start: int, stop: int) -> list[int]:
         """Hashes of the lexical patterns around a span, of whole words; fewer when words are missing."""
         i, out = bisect.bisect_left(self.starts, start) - 1, []
         if i < 0:
             return out
-        end = min(self.ends[i], start)
-        before = self.text[self.starts[i] : end].lower()
-        gap = re.sub(r"\s+", " ", self.text[end:start])
+        self.between(i, min(self.ends[i], start), start)
         if i:
-            out.append(_hash("before", self.text[self.starts[i - 1] : self.ends[i - 1]].lower(), before))
+            out.append(_hash("before", self.text[self.starts[i - 1] : self.ends[i - 1]].lower(), self.before))
         j = bisect.bisect_left(self.starts, stop)
         after = self.text[stop : self.ends[j - 1]] if self.ends[j - 1] > stop else self.text[self.starts[j] : self.ends[j]] if j < len(self.starts) else ""
         if after:
-            out.append(_hash("around", before, after.lower()))
-        out.append(_hash("shaped", before, gap, shape(self.text[start:stop])))
+            out.append(_hash("around", self.before, after.lower()))
+        shaped = self.gap.copy()
+        shaped.update(f"\x1f{shape(self.text[start:stop])}".encode())
+        out.append(shaped.intdigest() - (1 << 63))
         return out
 
 

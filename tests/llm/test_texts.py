@@ -596,3 +596,27 @@ def test_open_bins_are_bounded_and_best():
         if len(spaces) > 4:  # the fullest closes
             spaces.remove(min(spaces))
         assert bins.open == len(spaces) <= 4 and sorted(spaces) == sorted(f for f, x in bins.by_free.items() for _ in x)
+
+
+def test_patterns_of_many_strings_behind_one_word():
+    """The gap to the last word is read once; the patterns are those of its whole text."""
+    import re
+    import time
+
+    def plain(text, start, stop):
+        words = [m.span() for m in re.finditer(r"\w+", text)]
+        own = [w for w in words if w[0] < start]
+        if not own:
+            return None
+        end = min(own[-1][1], start)
+        return pii._hash("shaped", text[own[-1][0] : end].lower(), re.sub(r"\s+", " ", text[end:start]), pii.shape(text[start:stop]))
+
+    text = "word: \t -@- \n\n -@@-\u00a0 (-@-) x1 9 -- @@ Two  @- 7@7 . " * 3
+    context = pii.Context(text)
+    spans = pii.candidates(text, [])
+    assert len(spans) > 8
+    for s, e in [*spans, spans[0], spans[5], spans[4]]:  # in any order
+        assert context.patterns(s, e)[-1] == plain(text, s, e)
+    began = time.process_time()
+    found = pii.instances("w " + "-@- " * 250_000, {k: [] for k in pii.KINDS})
+    assert len(found) >= 250_000 and time.process_time() - began < 60
