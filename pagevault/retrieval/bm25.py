@@ -11,7 +11,7 @@ kth score so far. That bound goes from shard to shard within a task; tasks' firs
 
     score = sum over the query's terms, repeated ones repeatedly, of ln(1 + (N - n + 0.5) / (n + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length / average))
 
-Scale: building shuffles every distinct term of every document once. A frequent term is one list in each shard, so no list is
+Scale: building reads the texts twice and shuffles every distinct term of every document once, in lists for each slice of documents. A frequent term is one list in each shard, so no list is
 longer than a shard. Searching shuffles k rows a query and task; queries are taken in blocks whose terms are shipped with
 the tasks, and only their terms' postings leave the index.
 
@@ -38,12 +38,15 @@ from pagevault.shared import cut
 
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words of a shard, postings of a block, queries and bytes of their texts that are searched together.
-SHARD_WORDS, BLOCK, QUERIES, QUERY_BYTES = 500_000, 128, 500, 1 << 20
+SHARD_WORDS, BLOCK, QUERIES, QUERY_BYTES = 3_000_000, 128, 500, 1 << 20
+#: Bytes of texts whose postings are put together before they are dealt out.
+SLICE = 8 << 20
 #: Index rows that are sent together.
 TOGETHER = 5000
 #: Scores are rounded to 6 digits: bounds give way by more than that.
 SLACK = 2e-6
 INDEXED = "shard int, kind int, term string, block int, bound double, n int, places binary, counts binary"
+POSTED = "shard int, kind int, term string, r binary, n binary, ids binary"
 FOUND = "query_id long, q long, doc_id long, score double"
 
 
@@ -65,22 +68,67 @@ class Index:
     b: float
 
 
-def counted(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """r (a number for each row), doc_id, length, lists terms and counts."""
+def numbered(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """r (a number for each row), doc_id, text as bytes."""
+    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
+    return rows.select(F.monotonically_increasing_id().alias("r"), "doc_id", "text")
+
+
+def lengths(df: DataFrame, text_column: str) -> tuple[int, int]:
+    """The number of documents, and of their words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = words = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                texts = batch.column("text").slice(start, 64).to_pylist()
+                n, words = n + len(texts), words + sum(len(TERM.findall(t)) for t in texts if t)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([words], pa.int64())], names=["n", "words"])
+
+    found = df.select(F.col(text_column).cast("string").cast("binary").alias("text")).mapInArrow(run, "n long, words long")
+    n, words = found.agg(F.sum("n"), F.sum("words")).first()
+    return n or 0, words or 0
+
+
+def posted(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of POSTED: of each slice of documents, their list for each shard (kind 0), and each term's postings (kind 1)."""
+
+    def made(part: pa.RecordBatch) -> pa.RecordBatch:
+        r = part.column("r").to_numpy()
+        shard = (mix(r.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        found = [Counter(terms(t)) for t in part.column("text").to_pylist()]
+        length = np.array([c.total() for c in found], dtype=np.int64)
+        out: list[tuple] = []
+        for x in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == x)
+            ids = part.column("doc_id").take(pa.array(own))
+            out.append((x, 0, None, r[own].astype("<i8").tobytes(), length[own].astype("<i8").tobytes(), np.asarray(pc.fill_null(ids, 0)).astype("<i8").tobytes() + np.asarray(ids.is_valid()).tobytes()))
+            lists: dict[bytes, tuple[list[int], list[int]]] = {}
+            for i in own.tolist():
+                number = int(r[i])
+                for word, n in found[i].items():
+                    at, counts = lists.setdefault(word, ([], []))
+                    at.append(number)
+                    counts.append(n)
+            out += [(x, 1, word.decode(), np.array(at, dtype="<i8").tobytes(), np.array(n, dtype="<i8").tobytes(), None) for word, (at, n) in lists.items()]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in POSTED.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [Counter(terms(t)) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, found)])
-                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([w for c in found for w in c], pa.binary()).cast(pa.string()))
-                counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([n for c in found for n in c.values()], pa.int32()))
-                length = pa.array([c.total() for c in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("r"), part.column("doc_id"), length, words, counts], names=["r", "doc_id", "length", "terms", "counts"])
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64))
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
+                yield made(batch.slice(start, stop - start))
+                start = stop
+
+    return rows.mapInArrow(run, POSTED)
+
 
-    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text")).withColumn("r", F.monotonically_increasing_id())
-    return cut(rows.mapInArrow(run, "r long, doc_id long, length long, terms array<string>, counts array<int>"))
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def impact(counts: np.ndarray, lengths: np.ndarray, average: float, k1: float, b: float) -> np.ndarray:
@@ -88,73 +136,61 @@ def impact(counts: np.ndarray, lengths: np.ndarray, average: float, k1: float, b
 
 
 def build(df: DataFrame, *, k1: float = 1.2, b: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> Index:
-    lists = counted(df, id_column, text_column)
-    documents, words = lists.agg(F.count("*"), F.sum("length")).first()
-    average = (words or 0) / max(1, documents)
-    shards = max(1, -(-(words or 0) // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int").alias("shard")
-    nothing = F.lit(None)
-    held = lists.select(shard, F.lit(0).alias("kind"), nothing.cast("string").alias("term"), "r", "doc_id", F.col("length").alias("n"))
-    posted = lists.select(shard, "r", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    posted = posted.select("shard", F.lit(1).alias("kind"), F.col("x.terms").alias("term"), "r", nothing.cast("long").alias("doc_id"), F.col("x.counts").cast("long").alias("n"))
+    documents, words = lengths(df, text_column)
+    average = words / max(1, documents)
+    shards = max(1, -(-words // SHARD_WORDS))
     session = df.sparkSession
     most = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    rows = held.unionAll(posted).repartition(min(shards, most), "shard").sortWithinPartitions("shard", "kind", "term", F.col("doc_id").asc_nulls_first(), "r")
+    rows = posted(numbered(df, id_column, text_column), shards).repartition(min(shards, most), "shard").sortWithinPartitions("shard", "kind", "term")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of rows of one shard and term; a list of documents comes before the postings that name them."""
-        order, place, lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order, place, length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         out: list[tuple] = []
 
-        def made(shard: int, kind: int, term: str | None, r: np.ndarray, ids: pa.Array, n: np.ndarray) -> None:
-            nonlocal order, place, lengths
-            if kind == 0:
-                place = np.argsort(r, kind="stable")
-                order, lengths = r[place], n
-                known = np.asarray(ids.is_valid())
-                out.append((shard, 0, None, 0, 0.0, len(r), np.asarray(pc.fill_null(ids, 0)).astype("<i8").tobytes() + known.tobytes(), n.astype("<i8").tobytes()))
+        def made(shard: int, kind: int, term: str | None, r: list[bytes], n: list[bytes], ids: list[bytes]) -> None:
+            nonlocal order, place, length
+            number, counts = (np.frombuffer(b"".join(x), "<i8") for x in (r, n))
+            if kind == 0:  # documents by id, null first
+                many = [len(x) // 8 for x in r]
+                own = np.concatenate([np.frombuffer(x, "<i8", m) for x, m in zip(ids, many, strict=True)])
+                known = np.concatenate([np.frombuffer(x, np.bool_, m, 8 * m) for x, m in zip(ids, many, strict=True)])
+                by_id = np.lexsort((number, own, known))
+                length = counts[by_id]
+                place = np.argsort(number[by_id], kind="stable")
+                order = number[by_id][place]
+                out.append((shard, 0, None, 0, 0.0, len(own), own[by_id].tobytes() + known[by_id].tobytes(), length.tobytes()))
                 return
-            at = place[np.searchsorted(order, r)]
+            at = place[np.searchsorted(order, number)]
             by_place = np.argsort(at, kind="stable")
-            at, n = at[by_place], n[by_place]
-            part = impact(n, lengths[at], average, k1, b)
+            at, counts = at[by_place], counts[by_place]
+            part = impact(counts, length[at], average, k1, b)
             for i, block in enumerate(range(0, len(at), BLOCK)):
                 own = slice(block, block + BLOCK)
-                out.append((shard, 1, term, i, float(part[own].max()), len(at[own]), at[own].astype("<i4").tobytes(), n[own].astype("<i4").tobytes()))
+                out.append((shard, 1, term, i, float(part[own].max()), len(at[own]), at[own].astype("<i4").tobytes(), counts[own].astype("<i4").tobytes()))
 
-        now, held_back = None, []
+        now, r, n, ids = None, [], [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "term")), strict=True))
-            r, ids, n = batch.column("r").to_numpy(), batch.column("doc_id"), batch.column("n").to_numpy()
-            start = 0
-            while start < len(keys):
-                stop = start + 1
-                while stop < len(keys) and keys[stop] == keys[start]:
-                    stop += 1
-                if keys[start] != now and held_back:
-                    made(*now, *joined(held_back))
-                    held_back = []
+            for *key, a, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if key != now:
+                    if r:
+                        made(*now, r, n, ids)
+                        r, n, ids = [], [], []
                     if len(out) >= TOGETHER:
                         yield records(out)
                         out.clear()
-                now = keys[start]
-                held_back.append((r[start:stop], ids.slice(start, stop - start), n[start:stop]))
-                start = stop
-        if held_back:
-            made(*now, *joined(held_back))
+                    now = key
+                r.append(a)
+                n.append(c)
+                ids.append(d)
+        if r:
+            made(*now, r, n, ids)
         if out:
             yield records(out)
 
     return Index(cut(rows.mapInArrow(run, INDEXED)), documents, average, k1, b)
 
 
-def joined(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    r, ids, n = zip(*parts, strict=True)
-    return np.concatenate(r), pa.concat_arrays(ids), np.concatenate(n)
-
-
 def records(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in INDEXED.split(", ")])
