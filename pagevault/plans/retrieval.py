@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagevault.retrieval import bm25
+from pagevault.retrieval import bm25, evaluation, ivfpq
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +15,60 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("query_id", "item_id")
 
 
-QUERIES = {"bm25_search": bm25_search}
-ORACLES = {"bm25_search": bm25.oracle(k=10)}
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 other rows of every embedding whose id 50 divides, among all rows."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ivfpq.search(rows, F.col("id") % 50 == 0, k=10).select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("found_id"), "score")
+
+
+def _ranked(spark: SparkSession, sf_dir: str, b: float, k: int) -> DataFrame:
+    """BM25 with much or little correction for length."""
+    index = bm25.build(spark.read.parquet(f"{sf_dir}/documents.parquet"), b=b)
+    return bm25.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=k, id_column="item_id").select("query_id", F.col("doc_id").alias("id"), "rank")
+
+
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 with and without correction for length, 20 results each, fused to the first 10."""
+    fused = evaluation.fuse([_ranked(spark, sf_dir, b, 20) for b in (0.75, 0.0)], k=10)
+    return fused.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def search_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well BM25 finds the documents that share 13 consecutive words with a benchmark item."""
+    relevant = _windows(spark, sf_dir, "benchmark", "item_id").join(_windows(spark, sf_dir, "documents", "doc_id"), ["h", "h2"])
+    relevant = relevant.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).distinct()
+    return evaluation.summary(evaluation.by_query(_ranked(spark, sf_dir, 0.75, 10), relevant, k=10))
+
+
+def _windows(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """Hashes (128 bits) of all windows of WINDOW words."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, words.alias("w")).where(F.size("w") >= WINDOW)
+    rows = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - WINDOW + 1), lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("t"))
+    return rows.select(key, F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(2)).alias("h2")).distinct()
+
+
+WINDOW = 13
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LEADS = ", ".join(f"lead(x, {i}) over o" for i in range(1, WINDOW))
+_SHARED = " ".join(
+    f"{name}w as (select {key}, k from (select {key}, lead(x, {WINDOW - 1}) over o is not null as whole, concat_ws(' ', x, {_LEADS}) as k from (select {key}, r, unnest(w) as x, generate_subscripts(w, 1) as i from (select {key}, row_number() over () as r, {_SPLIT} as w from {table})) window o as (partition by r order by i)) where whole group by all),"
+    for name, table, key in (("b", "benchmark", "item_id"), ("d", "documents", "doc_id"))
+)
+_DRAW = "cast('0x' || substr(md5(q || ':' || b), 1, 8) as bigint)"
+_WEIGHT = " + ".join(f"cast({_DRAW} >= {limit} as int)" for limit in evaluation.POISSON)
+
+QUERIES = {"bm25_search": bm25_search, "dense_search": dense_search, "rank_fusion": rank_fusion, "search_evaluation": search_evaluation}
+ORACLES = {
+    "bm25_search": bm25.oracle(k=10),
+    "rank_fusion": f"""with every as (select * from ({bm25.oracle(k=20)}) union all select * from ({bm25.oracle(k=20, b=0.0)})),
+fused as (select item_id, doc_id, round(sum(1 / (60 + rank)), 9) as score from every group by all)
+select item_id, cast(n as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as n from fused) where n <= 10""",
+    "search_evaluation": f"""with ranked as materialized ({bm25.oracle(k=10)}), {_SHARED}
+hits as (select item_id as q, doc_id, rank from (select distinct item_id, doc_id from bw join dw using (k)) left join ranked using (item_id, doc_id)),
+m as materialized (select q, coalesce(sum(1 / log2(rank + 1)), 0) / list_sum([1 / log2(i + 1) for i in range(1, least(count(*), 10) + 1)]) as ndcg, coalesce(1 / min(rank), 0) as reciprocal_rank, count(rank) / count(*) as recall from hits group by q),
+w as (select b, q, ndcg, reciprocal_rank, recall, case when b = 0 then 1 else {_WEIGHT} end as w from m, range(0, 201) as t(b)),
+means as (select b, count(*) as n, sum(w * ndcg) / nullif(sum(w), 0) as ndcg, sum(w * reciprocal_rank) / nullif(sum(w), 0) as reciprocal_rank, sum(w * recall) / nullif(sum(w), 0) as recall from w group by b),
+long as (unpivot means on ndcg, reciprocal_rank, recall into name metric value value)
+select metric, max(n) as queries, round(max(value) filter (b = 0), 6) as mean, round(quantile_cont(value, 0.025) filter (b > 0), 6) as low, round(quantile_cont(value, 0.975) filter (b > 0), 6) as high from long group by metric""",
+}

@@ -1,5 +1 @@
-"""Search over documents: an inverted index in blocks, ranked lists, their fusion and their evaluation."""
-
-from .bm25 import Index, build, search
-
-__all__ = ["Index", "build", "search"]
+"""Search over documents and vectors: an inverted index in blocks, an inverted file of quantised residuals, fusion and evaluation of rankings."""

@@ -7,7 +7,7 @@ from pagevault.plans import registry
 from conftest import SF
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_equals_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
     want = duck.sql(registry.ORACLES[name])
