@@ -1,11 +1,12 @@
 """Personal data: exact base kinds, and identifiers found by bootstrapped contextual extraction.
 
-Base spans (email, ip, card, phone) and strings that look like credentials seed the search. Every seed, and every other string
+Base spans (email, ip, card, phone) and, if wanted, strings that look like credentials seed the search; what has the form of a card or
+ip and fails its check is known not to be one. Every seed, and every other string
 that holds a digit or an @, is an instance (neighbouring groups of digits are one). Its lexical patterns are the two words
 before it; the word before with the word after; and the word before with the signs between and the instance's shape, which
-generalises most. On the graph of patterns and distinct instances, Spark alternates two scores for each kind: a pattern's is
-the smoothed mean of its instances' scores, an instance's is how surely at least one of its patterns tells the kind (seeds
-stay at 1). Patterns that score high and hold several distinct seeds, or instances as sure, mark what stands beside them and is
+generalises most. On the graph of patterns and distinct instances, Spark alternates two scores: a pattern's is the smoothed mean of its
+instances' scores, whatever kinds its seeds are of, an instance's is how surely at least one of its patterns tells an identifier (seeds
+stay at 1, refuted ones at 0). Patterns that score high and hold several distinct seeds, or instances as sure, mark what stands beside them and is
 no base span as `found`; unseen instances that score high are marked wherever they occur, unless they are shorter than DISTINCT.
 
 Scale: texts are read in one narrow pass in slices bounded by bytes; the graph is aggregated with partial sums and holds each
@@ -37,6 +38,9 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
 #: The kind of seeds that look like credentials; they are no base spans, and are marked only beside trusted patterns.
 SECRET = "secret"
+#: The kind of instances that have the form of a base kind and fail its check: known not to be one, they speak against their
+#: patterns; a pattern that is trusted all the same marks them.
+REFUTED = "refuted"
 #: Characters from which on an instance is taken for the same identifier in any context.
 DISTINCT = 5
 #: Patterns and instances that redact() keeps in its workers' memory (16 bytes each or so); more are joined.
@@ -175,18 +179,26 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return runs
 
 
-def kind_of(instance: str) -> str | None:
-    if _CREDENTIAL.fullmatch(instance) and min(len(_DIGIT.findall(instance)), len(re.findall("[A-Za-z]", instance))) >= 6:
+def refuted(instance: str) -> bool:
+    """Whether it has the form of a card or an ip without being one (base spans are taken before)."""
+    digits = _DIGIT.findall(instance)
+    return bool(_CARD.fullmatch(instance) and 13 <= len(digits) <= 19 or _IP.fullmatch(instance))
+
+
+def kind_of(instance: str, credentials: bool) -> str | None:
+    if refuted(instance):
+        return REFUTED
+    if credentials and _CREDENTIAL.fullmatch(instance) and min(len(_DIGIT.findall(instance)), len(re.findall("[A-Za-z]", instance))) >= 6:
         return SECRET
     return None
 
 
-def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int | None, int, str | None, int, int]]:
+def instances(text: str, base: dict[str, list[tuple[int, int]]], credentials: bool = True) -> list[tuple[int | None, int, str | None, int, int]]:
     """pattern, instance, kind (of seeds), start, stop; without words before it, an instance has the pattern None."""
     if "@" not in text and not _DIGIT.search(text):
         return []
     spans = [(s, e, k) for k in KINDS for s, e in base[k]]
-    spans += [(s, e, kind_of(text[s:e])) for s, e in candidates(text, sorted((s, e) for s, e, _ in spans))]
+    spans += [(s, e, kind_of(text[s:e], credentials)) for s, e in candidates(text, sorted((s, e) for s, e, _ in spans))]
     context = Context(text) if spans else None
     return [(p, _hash("instance", " ".join(text[s:e].lower().split())), k, s, e) for s, e, k in spans for p in context.patterns(s, e) or [None]]
 
@@ -203,8 +215,8 @@ def lists(rows: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
 
 
-def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of SCANNED; th is the text's hash."""
+def scan(df: DataFrame, *, credentials: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows of SCANNED; th is the text's hash. credentials: whether strings that look like these are seeds."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
@@ -214,7 +226,7 @@ def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text")
                 spans = base_spans(text)
                 counts.append([len(spans[k]) for k in KINDS])
                 base.append(listed(spans))
-                seen.append(instances(text, spans))
+                seen.append(instances(text, spans, credentials))
             columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(-1, 4).T), pa.array(base, pa.string()), lists(seen)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base", "seen"])
 
@@ -225,11 +237,12 @@ def scan(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text")
 def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, least_score: float = 0.7, least_seeds: int = 3) -> tuple[DataFrame, DataFrame]:
     """The patterns that are trusted after some rounds of scoring, and the unseen instances that are as sure."""
     seen = scanned.select(F.explode("seen").alias("s")).where("s.pattern is not null")
-    edges = seen.select("s.pattern", "s.instance", "s.kind", (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct"))
+    kind = F.when(F.col("s.kind") == REFUTED, REFUTED).when(F.col("s.kind").isNotNull(), "seed").alias("kind")
+    edges = seen.select("s.pattern", "s.instance", kind, (F.col("s.stop") - F.col("s.start") >= DISTINCT).alias("distinct"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("distinct").alias("distinct")))
     n = edges.count()
     size = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_seeds)
-    first = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
+    first = edges.where(F.col("kind") != REFUTED).groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
     unseen = edges.where("kind is null and distinct").select("pattern", "instance").join(first.select("instance"), "instance", "left_anti")
 
     def told(scores: DataFrame) -> DataFrame:
@@ -246,22 +259,22 @@ def accepted(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0, lea
 
 
 def markable(kind: str | None) -> bool:
-    return kind is None or kind == SECRET
+    return kind is None or kind in (SECRET, REFUTED)
 
 
 def found(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, th, spans: sorted distinct (start, stop) of instances beside trusted patterns, and of known unseen ones."""
-    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where(F.col("s.kind").isNull() | (F.col("s.kind") == SECRET))
+    seen = scanned.select("doc_id", "th", F.explode("seen").alias("s")).where(F.col("s.kind").isNull() | F.col("s.kind").isin(SECRET, REFUTED))
     seen = seen.select("doc_id", "th", "s.pattern", "s.instance", "s.start", "s.stop")
     marked = split_join(seen, trusted, ["pattern"], "left_semi").unionByName(split_join(seen, known, ["instance"], "left_semi"))
     marked = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return marked.select("doc_id", "th", F.array_sort("spans").alias("spans"))
 
 
-def detect(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def detect(df: DataFrame, *, credentials: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (kind:start:stop, comma-joined,
     base kinds first), n_found, n_spans (base and found)."""
-    scanned = cut(scan(df, id_column=id_column, text_column=text_column))
+    scanned = cut(scan(df, credentials=credentials, id_column=id_column, text_column=text_column))
     out = scanned.alias("a").join(found(scanned, *accepted(scanned)).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     extra = F.coalesce("b.spans", F.array().cast("array<struct<start:int,stop:int>>"))
     more = F.array_join(F.transform(extra, lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -620,3 +620,44 @@ def test_patterns_of_many_strings_behind_one_word():
     began = time.process_time()
     found = pii.instances("w " + "-@- " * 250_000, {k: [] for k in pii.KINDS})
     assert len(found) >= 250_000 and time.process_time() - began < 60
+
+
+def test_discovery_of_planted_identifiers_without_credential_seeds(spark):
+    """Handles, tickets and badges that no rule knows, in the contexts of mails and phones, among numbers that are none."""
+    rng = random.Random(12)
+    letters = "abcdefghjkmnpqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+    contexts = ["please contact {} today", "my handle is {} there", "reach out via {} or call"]
+    unseen = [lambda: f"{word()}_{rng.randrange(10, 99)}@chat", lambda: f"tk-{rng.randrange(1000, 9999)}-{word()}{rng.randrange(9)}", lambda: f"B{rng.randrange(10**5, 10**6)}{word()}"]
+    noise = ["in {} they", "the {} of", "page {} of", "about {} people"]
+
+    def card():
+        return str(rng.randrange(10**15, 10**16))
+
+    rows, planted, decoys = [], {}, {}
+    for i in range(600):
+        kind, before = i % 4, " ".join(word() for _ in range(rng.randrange(5, 30)))
+        if kind < 2:
+            what = f"{word()}{i}@mail.example.org" if kind else f"+1 (555) 010-{1000 + i}"
+            middle = rng.choice(contexts).format(what)
+        elif kind == 2:
+            what = rng.choice(unseen)()
+            middle = rng.choice(contexts).format(what)
+            planted[i] = what
+        else:
+            what = rng.choice([card, lambda: str(rng.randrange(1900, 2030)), lambda: f"{rng.randrange(100)}%"])()
+            middle = rng.choice(noise).format(what)
+            decoys[i] = what
+        rows.append((i, f"{before} {middle} {' '.join(word() for _ in range(8))}"))
+    # valid cards behind the common word too: they must not make every long number behind it an identifier
+    good = [n for n in (card() for _ in range(2000)) if pii.luhn(n)][:12]
+    rows += [(1000 + i, f"as the {n} of {word()} was") for i, n in enumerate(good)]
+    texts = dict(rows)
+    right = wrong = 0
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), credentials=False).collect():
+        for span in (x.split(":") for x in r.spans.split(",") if x.startswith(pii.FOUND)):
+            marked = texts[r.doc_id][int(span[1]) : int(span[2])]
+            right += planted.get(r.doc_id) == marked
+            wrong += planted.get(r.doc_id) != marked
+    print("precision", right / max(1, right + wrong), "recall", right / len(planted))
+    assert right / (right + wrong) >= 0.98 and right / len(planted) >= 0.9
