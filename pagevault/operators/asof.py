@@ -20,16 +20,16 @@ DAY = 86_400_000_000
 
 
 def micros(time: Column, kind: str) -> Column:
-    """Whole microseconds; a time without zone counts as UTC, whatever the session's zone is."""
+    """Whole microseconds; a time without zone counts as UTC, whatever the session's zone is. Numbers stay what they are."""
     if kind == "timestamp_ntz":
         days, part = F.unix_date(time.cast("date")), time - time.cast("date").cast("timestamp_ntz")
         seconds = F.extract(F.lit("HOUR"), time) * 3600 + F.extract(F.lit("MINUTE"), time) * 60
         return (days.cast("long") * 86_400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
-    return F.unix_micros(time) if kind == "timestamp" else time.cast("long")
+    return F.unix_micros(time) if kind == "timestamp" else time.cast("double") if kind in ("double", "float") else time.cast("long")
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, values: list[str], order: list[str] | None = None, span: int = DAY) -> DataFrame:
-    """left's columns, then right's `values`. Times are timestamps or whole numbers; span is in microseconds, or in their unit."""
+def as_of(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, values: list[str], order: list[str] | None = None, span: float = DAY) -> DataFrame:
+    """left's columns, then right's `values`. Times are timestamps or numbers; span is in microseconds, or in their unit."""
     keys = [f"k{i}" for i in range(len(by))]
     row = F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row")
     told = F.struct(*[F.col(f"`{c}`") for c in values])
@@ -44,7 +44,8 @@ def as_of(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, r
     usable = F.col("at").isNotNull()
     for k in keys:
         usable = usable & F.col(k).isNotNull()
-    bucket = ((F.col("at") - F.pmod("at", F.lit(span))) / span).cast("long")
+    numbers = all(df.schema[c].dataType.typeName() in ("double", "float") for df, c in ((left, left_time), (right, right_time)))
+    bucket = F.floor(F.col("at") / span) if numbers else ((F.col("at") - F.pmod("at", F.lit(span))) / span).cast("long")
     rows = sides[0].where(usable).unionAll(sides[1].where(usable)).withColumn("bucket", bucket)
     # right rows of one time in the order of their values, before left rows of that time
     merged = Window.partitionBy(*keys, "bucket").orderBy("at", F.desc("is_right"), "value").rowsBetween(Window.unboundedPreceding, 0)
