@@ -6,6 +6,8 @@ The table holds no HTTP facts. They are made from page_id here, as is the rule t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from pagevault.schemas import METADATA
 from pagevault.service import create_engine
 from pagevault.shared import own_folder
 from pagevault.sinks import save_pages
-from pagevault.sources import read_store, through_table
+from pagevault.sources import read_metadata_files, read_store, through_table
 from pagevault.sources.table import KEEP, url_path
 
 from . import served
@@ -25,6 +27,8 @@ CONTENT_TYPE, MODIFIED = "text/html; charset=UTF-8", "Sat, 01 Mar 2025 06:30:00
 FETCHED_FROM, FETCHED_STEP = 1_740_810_600_000_000, 1_500_000
 PATH_KEYS = "^/([a-z]{2})/([0-9]+)"
 ROOT = "data/raw/pages"
+#: Statuses that pages get in turn where they are checked.
+STATUSES = (200, 404, 204, 299, 301, 503, None)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def table_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.element_at(F.array(*map(F.lit, (200, 404, 204, 299, 301, 503, None))), (F.col("page_id") % 7 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("page_id") % len(STATUSES) + 1).cast("int"))
     return _pages(spark, sf_dir).select("page_id", status.cast("int").alias("status_code"), "url")
 
 
@@ -111,6 +115,19 @@ def fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return require_success(_pages(spark, sf_dir).select("page_id", status, "url"))
 
 
+def fail_fast_raises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check over the pages of each status: how many there are, and what it says where it fails the query."""
+    rows = _with_status(spark, sf_dir)
+    found = []
+    for r in rows.groupBy("status_code").count().collect():  # STATUSES at most
+        try:
+            passed, said = require_success(rows.where(F.col("status_code").eqNullSafe(F.lit(r.status_code)))).count(), None
+        except Exception as error:
+            passed, said = 0, re.search(r"status (\d+|null)", str(error))[0]
+        found.append((r.status_code, r["count"], passed, said))
+    return spark.createDataFrame(found, "status_code int, pages long, passed long, error string")
+
+
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return successful(_with_status(spark, sf_dir))
 
@@ -169,6 +186,13 @@ def raw_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(*METADATA.names, "hash_ok", "size_ok")
 
 
+def stored_metadata_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata files of all pages as they lie in the store, byte for byte, by hash and size."""
+    root = own_folder(spark, "pages")
+    save_pages(raw_pages(responses_of(_pages(spark, sf_dir))), root)
+    return read_metadata_files(spark, root).select("patch", "locale", digest(F.col("content")).alias("file_sha256"), size_bytes(F.col("content")).alias("file_bytes"))
+
+
 def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saves other bodies to every place, then all pages but those of one locale into the same places: the receipts of the
     second save, the lines of its report, and what the store holds then."""
@@ -196,6 +220,7 @@ _JSON = f"select page_id, cast(to_json(struct_pack({', '.join(f'{n} := {n}' for
 _LAST = "select * from (select *, row_number() over (partition by patch, locale order by page_id desc) as n from (%s)) where n = 1"
 _STATUS = "select page_id, cast([200, 404, 204, 299, 301, 503, null][page_id % 7 + 1] as integer) as status_code, url from pages"
 _CHANGED = "case when page_id % 7 = 0 then html || 'x' when page_id % 11 = 0 then translate(html, 'aeiou', 'AEIOU') else html end"
+_FILE = "'{' || chr(10) || " + " || ',' || chr(10) || ".join(f"""'  "{n}": ' || coalesce(cast(to_json({n}) as varchar), 'null')""" for n in sorted(METADATA.names)) + " || chr(10) || '}' || chr(10)"
 _BESIDE = f"'{ROOT}/' || patch || '/' || locale || "
 
 QUERIES = {
@@ -208,6 +233,7 @@ QUERIES = {
     "table_transport": table_transport,
     "http_fetch": served.http_fetch,
     "fail_fast": fail_fast,
+    "fail_fast_raises": fail_fast_raises,
     "status_filter": status_filter,
     "quarantine": quarantine,
     "output_path": output_path,
@@ -217,6 +243,7 @@ QUERIES = {
     "integrity_check": integrity_check,
     "health_status": health_status,
     "raw_store_roundtrip": raw_store_roundtrip,
+    "stored_metadata_bytes": stored_metadata_bytes,
     "store_overwrite": store_overwrite,
 }
 ORACLES = {
@@ -231,6 +258,7 @@ answers as (select * from (select *, row_number() over (partition by source_url
 select w.patch, w.locale, w.source_url, a.fetched_at, a.status_code, a.etag, a.sha256 from wanted w left join answers a using (source_url)""",
     "http_fetch": served.oracle(_PATCH, _LOCALE),
     "fail_fast": "select page_id, cast(200 + page_id % 100 as integer) as status_code, url from pages",
+    "fail_fast_raises": f"select status_code, count(*) as pages, case when status_code between 200 and 299 then count(*) else 0 end as passed, case when status_code between 200 and 299 then null else 'status ' || coalesce(cast(status_code as varchar), 'null') end as error from ({_STATUS}) group by status_code",
     "status_filter": f"select * from ({_STATUS}) where status_code between 200 and 299",
     "quarantine": f"select * from ({_STATUS}) where coalesce(status_code not between 200 and 299, true)",
     "output_path": f"select page_id, '{ROOT}/' || patch || '/' || locale || '/page.html' as html_path, '{ROOT}/' || patch || '/' || locale || '/metadata.json' as metadata_path from ({_METADATA})",
@@ -240,6 +268,7 @@ select w.patch, w.locale, w.source_url, a.fetched_at, a.status_code, a.etag, a.s
     "integrity_check": f"select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes, sha256(html) = sha256({_CHANGED}) as hash_ok, strlen(html) = strlen({_CHANGED}) as size_ok from pages",
     "health_status": "select * from (values ('live', 'ok'), ('ready', 'ok')) as t(endpoint, status)",
     "raw_store_roundtrip": f"select {', '.join(METADATA.names)}, true as hash_ok, true as size_ok from ({_LAST % _METADATA})",
+    "stored_metadata_bytes": f"select patch, locale, sha256({_FILE}) as file_sha256, cast(strlen({_FILE}) as bigint) as file_bytes from ({_LAST % _METADATA})",
     "store_overwrite": f"""select {_BESIDE}'/page.html' as html_path, case when locale != 'es' then 'HTML saved: ' || {_BESIDE}'/page.html' || chr(10) || 'Metadata saved: ' || {_BESIDE}'/metadata.json' || chr(10) || 'SHA-256: ' || sha256 end as report,
 case when locale != 'es' then sha256 else sha256('older ' || patch) end as sha256, case when locale != 'es' then size_bytes else cast(strlen('older ' || patch) as bigint) end as size_bytes, true as hash_ok, true as size_ok from ({_LAST % _METADATA})""",
 }

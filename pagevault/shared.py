@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a folder in the warehouse, which all share as well."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder in the warehouse, unless that is a folder of one machine of a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"machines of a cluster do not share {folder}: set spark.checkpoint.dir")
+    return folder.rstrip("/")
 
 
 def _path(spark: SparkSession, folder: str):  # noqa: ANN202

@@ -39,6 +39,11 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     return _metadata(_files(spark, root, "metadata.json"))
 
 
+def read_metadata_files(spark: SparkSession, root: str) -> DataFrame:
+    """patch, locale, content: the metadata files' bytes, whatever they hold."""
+    return _bodies(_files(spark, root, "metadata.json"))
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """Metadata with each page's bytes."""
     files = _files(spark, root, "{page.html,metadata.json}")

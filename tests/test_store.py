@@ -121,3 +121,19 @@ def test_partitioned_table(spark, tmp_path):
     assert got == {"3.1": b"new", "3.10": BODY}
     plan = read_table(spark, at).where(F.col("patch") == "3.1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(patch" in plan
+
+
+def test_shared_folder_of_one_machine_is_refused_on_a_cluster():
+    from pagevault.shared import shared_folder
+
+    class Session:
+        def __init__(self, master, **settings):
+            self.sparkContext, self.settings = type("Context", (), {"master": master}), settings
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, *rest: settings.get(key, *rest))})
+
+    local = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+    assert shared_folder(Session("local[4]", **local)) == "file:/tmp/warehouse/_shared"
+    assert shared_folder(Session("spark://host:7077", **local, **{"spark.checkpoint.dir": "file:/mnt/shared/"})) == "file:/mnt/shared"
+    assert shared_folder(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs://host/warehouse"})) == "hdfs://host/warehouse/_shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("yarn", **local))
