@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagevault.functions import digest, header, iso_utc, metadata_json, metadata_line, parse_metadata, size_bytes, store_path
 from pagevault.operators import integrity, last_write_wins, metadata, quarantined, raw_pages, report_lines, require_success, successful
+from pagevault.operators.markup import notes
 from pagevault.schemas import METADATA
 from pagevault.service import create_engine
 from pagevault.shared import own_folder
@@ -178,6 +179,19 @@ def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionAll(named[1])
 
 
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page's markup tells: sections, items, changes and other text."""
+    return notes(_pages(spark, sf_dir))
+
+
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page: its heading, and its list items, counted and joined."""
+    rows = notes(_pages(spark, sf_dir)).groupBy("page_id")
+    heading, item = F.col("kind") == "section", F.when(F.col("kind") == "item", F.struct("n", "text"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "|")  # a page's own items
+    return rows.agg(F.max(F.when(heading, F.col("text"))).alias("heading"), F.count_if(F.col("kind") == "item").alias("n_items"), listed.alias("items"))
+
+
 def raw_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores all pages, one folder for each target, reads them back and compares."""
     root = own_folder(spark, "pages")
@@ -221,6 +235,8 @@ _LAST = "select * from (select *, row_number() over (partition by patch, locale
 _STATUS = "select page_id, cast([200, 404, 204, 299, 301, 503, null][page_id % 7 + 1] as integer) as status_code, url from pages"
 _CHANGED = "case when page_id % 7 = 0 then html || 'x' when page_id % 11 = 0 then translate(html, 'aeiou', 'AEIOU') else html end"
 _FILE = "'{' || chr(10) || " + " || ',' || chr(10) || ".join(f"""'  "{n}": ' || coalesce(cast(to_json({n}) as varchar), 'null')""" for n in sorted(METADATA.names)) + " || chr(10) || '}' || chr(10)"
+_TEXT = "trim(regexp_replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\n\\t\\r]+', ' ', 'g'))"
+_HEADING = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
 _BESIDE = f"'{ROOT}/' || patch || '/' || locale || "
 
 QUERIES = {
@@ -242,6 +258,8 @@ QUERIES = {
     "fetched_at_iso": fetched_at_iso,
     "integrity_check": integrity_check,
     "health_status": health_status,
+    "page_notes": page_notes,
+    "page_outline": page_outline,
     "raw_store_roundtrip": raw_store_roundtrip,
     "stored_metadata_bytes": stored_metadata_bytes,
     "store_overwrite": store_overwrite,
@@ -267,6 +285,7 @@ select w.patch, w.locale, w.source_url, a.fetched_at, a.status_code, a.etag, a.s
     "fetched_at_iso": f"select event_id, {_ISO.format('ts')} as iso, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso_second, {_ISO.format('t')} as iso_instant from (select *, make_timestamp(cast(case when event_id % 4 = 0 then event_id * 86400000000 else (event_id - 500) * 61000000007 end as bigint)) as t from events)",
     "integrity_check": f"select page_id, sha256(html) as sha256, cast(strlen(html) as bigint) as size_bytes, sha256(html) = sha256({_CHANGED}) as hash_ok, strlen(html) = strlen({_CHANGED}) as size_ok from pages",
     "health_status": "select * from (values ('live', 'ok'), ('ready', 'ok')) as t(endpoint, status)",
+    "page_outline": f"select page_id, {_TEXT.format(_HEADING)} as heading, cast(len(l) as bigint) as n_items, array_to_string([{_TEXT.format('x')} for x in l], '|') as items from (select *, regexp_extract_all(html, '<li><a [^>]*>(.*?)</a></li>', 1) as l from pages)",
     "raw_store_roundtrip": f"select {', '.join(METADATA.names)}, true as hash_ok, true as size_ok from ({_LAST % _METADATA})",
     "stored_metadata_bytes": f"select patch, locale, sha256({_FILE}) as file_sha256, cast(strlen({_FILE}) as bigint) as file_bytes from ({_LAST % _METADATA})",
     "store_overwrite": f"""select {_BESIDE}'/page.html' as html_path, case when locale != 'es' then 'HTML saved: ' || {_BESIDE}'/page.html' || chr(10) || 'Metadata saved: ' || {_BESIDE}'/metadata.json' || chr(10) || 'SHA-256: ' || sha256 end as report,
