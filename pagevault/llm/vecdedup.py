@@ -10,7 +10,7 @@ passes is verified exactly, on the vectors as given; a pair belongs to the first
 cells counts each pair once.
 
 Scale: equal vectors of a label are one class first. Vectors travel once for each cell they are stored or ask in, in the
-precision they are given in: 8 rows a vector of a small label, some 12 to 20 of a large one, as the fine grid costs no rows. A cell that further coordinates do not
+precision they are given in: 8 times in a small label (64 coordinates), 22 in one of half a million, as the fine grid costs no rows. A cell that further coordinates do not
 make smaller holds many near copies of each other, whose links must all be counted: its stored vectors are dealt to several tasks,
 each asked by all of its askers. Tasks emit a count for each vector and the links that join components within the task, never
 pairs. Lists of large cells are broadcast if they have at most LARGE_CELLS rows and joined by shuffling otherwise.
