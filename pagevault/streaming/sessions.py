@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOSED = "key long, started long, ended long, events long, amount long"
 _OPEN = "started array<long>, ended array<long>, events array<long>, amount array<long>"
@@ -105,14 +106,18 @@ class Run:
 
 
 def drain(spark: SparkSession, made: DataFrame, out: str, checkpoint: str, run: Run) -> None:
-    """Processes what there is, appends the closed sessions to a folder, and stops; the next call goes on from there."""
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    """Processes what there is, appends the closed sessions to a folder, and stops; the next call goes on from there. State has at
+    most one partition a core: each is a store of its own, opened for every batch."""
+    few = min(int(spark.conf.get(PARTITIONS)), max(1, spark.sparkContext.defaultParallelism))
+    kept = {name: spark.conf.get(name) for name in (PROVIDER, PARTITIONS)}
     try:
+        spark.conf.set(PROVIDER, ROCKS)
+        spark.conf.set(PARTITIONS, str(few))
         query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+        for name, value in kept.items():
+            spark.conf.set(name, value)
     for progress in query.recentProgress:
         run.read += progress.numInputRows
         run.late += sum(x.numRowsDroppedByWatermark for x in progress.stateOperators)
