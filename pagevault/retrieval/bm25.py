@@ -38,9 +38,11 @@ from pagevault.shared import cut
 
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words of a shard, postings of a block, queries and bytes of their texts that are searched together.
-SHARD_WORDS, BLOCK, QUERIES, QUERY_BYTES = 3_000_000, 128, 500, 1 << 20
+SHARD_WORDS, BLOCK, QUERIES, QUERY_BYTES = 20_000_000, 128, 500, 1 << 20
+#: Words from which on a corpus has as many shards as there are cores.
+FEW_WORDS = 500_000
 #: Bytes of texts whose postings are put together before they are dealt out.
-SLICE = 8 << 20
+SLICE = 16 << 20
 #: Index rows that are sent together.
 TOGETHER = 5000
 #: Scores are rounded to 6 digits: bounds give way by more than that.
@@ -103,14 +105,18 @@ def posted(rows: DataFrame, shards: int) -> DataFrame:
             own = np.flatnonzero(shard == x)
             ids = part.column("doc_id").take(pa.array(own))
             out.append((x, 0, None, r[own].astype("<i8").tobytes(), length[own].astype("<i8").tobytes(), np.asarray(pc.fill_null(ids, 0)).astype("<i8").tobytes() + np.asarray(ids.is_valid()).tobytes()))
-            lists: dict[bytes, tuple[list[int], list[int]]] = {}
-            for i in own.tolist():
-                number = int(r[i])
-                for word, n in found[i].items():
-                    at, counts = lists.setdefault(word, ([], []))
-                    at.append(number)
-                    counts.append(n)
-            out += [(x, 1, word.decode(), np.array(at, dtype="<i8").tobytes(), np.array(n, dtype="<i8").tobytes(), None) for word, (at, n) in lists.items()]
+        number_of: dict[bytes, int] = {}
+        word = np.array([number_of.setdefault(w, len(number_of)) for c in found for w in c], dtype=np.int64)
+        n = np.array([x for c in found for x in c.values()], dtype="<i8")
+        doc = np.repeat(np.arange(len(found)), [len(c) for c in found])
+        order = np.lexsort((word, shard[doc]))
+        word, n, doc = word[order], n[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (shard[doc[1:]] != shard[doc[:-1]])])) if len(word) else np.zeros(0, np.int64)
+        places, counts, names = r[doc].astype("<i8").tobytes(), n.tobytes(), [w.decode() for w in number_of]
+        bounds = [*(8 * first).tolist(), 8 * len(word)]
+        for i, (at, w, x) in enumerate(zip(bounds, word[first].tolist(), shard[doc[first]].tolist())):
+            stop = bounds[i + 1]
+            out.append((x, 1, names[w], places[at:stop], counts[at:stop], None))
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in POSTED.split(", ")])
 
@@ -138,8 +144,8 @@ def impact(counts: np.ndarray, lengths: np.ndarray, average: float, k1: float, b
 def build(df: DataFrame, *, k1: float = 1.2, b: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> Index:
     documents, words = lengths(df, text_column)
     average = words / max(1, documents)
-    shards = max(1, -(-words // SHARD_WORDS))
     session = df.sparkSession
+    shards = max(1, -(-words // SHARD_WORDS), min(session.sparkContext.defaultParallelism, -(-words // FEW_WORDS)))
     most = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     rows = posted(numbered(df, id_column, text_column), shards).repartition(min(shards, most), "shard").sortWithinPartitions("shard", "kind", "term")
 
@@ -148,11 +154,12 @@ def build(df: DataFrame, *, k1: float = 1.2, b: float = 0.75, id_column: str = "
         order, place, length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         out: list[tuple] = []
 
-        def made(shard: int, kind: int, term: str | None, r: list[bytes], n: list[bytes], ids: list[bytes]) -> None:
+        def made(shard: int, words_now: list[str | None], many_r: list[list[bytes]], n: list[bytes], ids: list[bytes]) -> None:
+            """The list of a shard's documents, if the only word is None, or the postings of some words."""
             nonlocal order, place, length
-            number, counts = (np.frombuffer(b"".join(x), "<i8") for x in (r, n))
-            if kind == 0:  # documents by id, null first
-                many = [len(x) // 8 for x in r]
+            number, counts = (np.frombuffer(b"".join(x), "<i8") for x in ([y for x in many_r for y in x], n))
+            if words_now == [None]:  # documents by id, null first
+                many = [len(x) // 8 for x in many_r[0]]
                 own = np.concatenate([np.frombuffer(x, "<i8", m) for x, m in zip(ids, many, strict=True)])
                 known = np.concatenate([np.frombuffer(x, np.bool_, m, 8 * m) for x, m in zip(ids, many, strict=True)])
                 by_id = np.lexsort((number, own, known))
@@ -161,30 +168,40 @@ def build(df: DataFrame, *, k1: float = 1.2, b: float = 0.75, id_column: str = "
                 order = number[by_id][place]
                 out.append((shard, 0, None, 0, 0.0, len(own), own[by_id].tobytes() + known[by_id].tobytes(), length.tobytes()))
                 return
+            sizes = np.array([sum(map(len, x)) // 8 for x in many_r])
+            of = np.repeat(np.arange(len(sizes)), sizes)
             at = place[np.searchsorted(order, number)]
-            by_place = np.argsort(at, kind="stable")
+            by_place = np.lexsort((at, of))
             at, counts = at[by_place], counts[by_place]
-            part = impact(counts, length[at], average, k1, b)
-            for i, block in enumerate(range(0, len(at), BLOCK)):
-                own = slice(block, block + BLOCK)
-                out.append((shard, 1, term, i, float(part[own].max()), len(at[own]), at[own].astype("<i4").tobytes(), counts[own].astype("<i4").tobytes()))
-
-        now, r, n, ids = None, [], [], []
+            part, at, counts = impact(counts, length[at], average, k1, b), at.astype("<i4"), counts.astype("<i4")
+            begins = np.cumsum(sizes) - sizes
+            blocks = -(-sizes // BLOCK)
+            which = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            first = np.repeat(begins, blocks) + which * BLOCK
+            stops = np.minimum(first + BLOCK, np.repeat(begins + sizes, blocks)).tolist()
+            bounds, places, held = np.maximum.reduceat(part, first).tolist(), at.tobytes(), counts.tobytes()
+            names = np.repeat(np.arange(len(sizes)), blocks).tolist()
+            for i, a, z, w, bound in zip(which.tolist(), first.tolist(), stops, names, bounds, strict=True):
+                out.append((shard, 1, words_now[w], i, bound, z - a, places[4 * a : 4 * z], held[4 * a : 4 * z]))
+
+        now, words_now, many_r, n, ids = None, [], [], [], []
         for batch in batches:
-            for *key, a, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if key != now:
-                    if r:
-                        made(*now, r, n, ids)
-                        r, n, ids = [], [], []
+            for shard, kind, term, a, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if words_now and ((shard, kind) != now or (len(words_now) >= TOGETHER and term != words_now[-1])):
+                    made(now[0], words_now, many_r, n, ids)
+                    words_now, many_r, n, ids = [], [], [], []
                     if len(out) >= TOGETHER:
                         yield records(out)
                         out.clear()
-                    now = key
-                r.append(a)
+                now = shard, kind
+                if not words_now or term != words_now[-1]:
+                    words_now.append(term)
+                    many_r.append([])
+                many_r[-1].append(a)
                 n.append(c)
                 ids.append(d)
-        if r:
-            made(*now, r, n, ids)
+        if words_now:
+            made(now[0], words_now, many_r, n, ids)
         if out:
             yield records(out)
 
