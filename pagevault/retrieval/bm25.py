@@ -42,7 +42,7 @@ SHARD_WORDS, BLOCK, QUERIES, QUERY_BYTES = 20_000_000, 128, 500, 1 << 20
 #: Words from which on a corpus has as many shards as there are cores.
 FEW_WORDS = 500_000
 #: Bytes of texts whose postings are put together before they are dealt out.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Index rows that are sent together.
 TOGETHER = 5000
 #: Scores are rounded to 6 digits: bounds give way by more than that.
