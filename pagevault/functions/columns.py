@@ -32,17 +32,19 @@ def header(headers: Column, name: str) -> Column:
 
 
 def iso_utc(at: Column, *, instant: bool = True) -> Column:
-    """ISO 8601 text with +00:00; six digits of fraction unless it is zero.
+    """ISO 8601 text with +00:00; six digits of fraction unless it is zero. Years have four digits at least, and as many as they need.
 
     instant: the column is an instant, shown in UTC; else it has no zone and is taken as UTC. Neither depends on the
     session's zone: the text of a timestamp without zone does not, while date_format would.
     """
     if instant:
-        seconds = (F.unix_micros(at).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
-        at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    text = at.cast("timestamp_ntz").cast("string")
-    fraction = F.when(F.length(text) > 19, F.concat(F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"))).otherwise("")
-    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), fraction, F.lit("+00:00"))
+        micros, day = F.unix_micros(at), F.lit(86_400_000_000)
+        seconds = ((micros % day).cast("decimal(12,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+        at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.call_function("div", micros, day).cast("int"), F.lit(0), F.lit(0), seconds)
+    text = F.ltrim(at.cast("timestamp_ntz").cast("string"), F.lit("+"))  # years of more than four digits come with a sign
+    date, time = F.substring_index(text, " ", 1), F.substring_index(text, " ", -1)
+    fraction = F.when(F.length(time) > 8, F.concat(F.lit("."), F.rpad(F.substring(time, 10, 6), 6, "0"))).otherwise("")
+    return F.concat(date, F.lit("T"), F.substring(time, 1, 8), fraction, F.lit("+00:00"))
 
 
 def metadata_json(columns: dict[str, Column] | None = None) -> Column:

@@ -67,6 +67,15 @@ def test_iso_text_does_not_follow_the_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_iso_of_long_years(spark):
+    """Years of five and six digits, far from 1970 on both sides; a time of seconds beyond 10**12."""
+    micros = [253_402_300_799_999_999, 253_402_300_800_000_000, 9_000_000_000_000_000_000, -1, -61_000_000_007]
+    want = ["9999-12-31T23:59:59.999999+00:00", "10000-01-01T00:00:00+00:00", "287168-08-24T16:00:00+00:00", "1969-12-31T23:59:59.999999+00:00", "1969-12-31T07:03:19.999993+00:00"]
+    rows = spark.createDataFrame(list(enumerate(micros)), "i int, m long").select("i", F.timestamp_micros("m").alias("t")).orderBy("i")
+    assert [r[0] for r in rows.select(iso_utc(F.col("t"))).collect()] == want
+    assert [r[0] for r in rows.select(iso_utc(F.col("t").cast("timestamp_ntz"), instant=False)).collect()] == want
+
+
 def test_headers_whatever_their_case(spark):
     rows = spark.sql("select map('ETag', 'a', 'Set-Cookie', 'x', 'set-cookie', 'y') as h union all select map() union all select null")
     got = rows.select(header(F.col("h"), "etag").alias("e"), header(F.col("h"), "Set-Cookie").alias("c"), lower_headers(F.col("h")).alias("m")).collect()
