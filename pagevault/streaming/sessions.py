@@ -4,9 +4,9 @@ A key's rows belong to one session as long as the time from one to the next is a
 state of their key; rows extend, join or open sessions, and a timer closes a session once the watermark has passed the last
 moment at which a row could still extend it. Rows behind the watermark are late: they are dropped before they reach the state, and counted.
 
-Scale: one shuffle by key; state holds a row for each open session, not for each event; a batch's rows of a key are aggregated into
-intervals of a batch as they come, so a hot key costs one task's time, not its memory. State is in RocksDB, and a stream that
-stops goes on from its checkpoint.
+Scale: one shuffle by bucket of keys, whose state and timer its keys share, so that a batch costs a call a bucket, not a call a key; state holds a row for
+each open session, not for each event; a batch's rows of a bucket are aggregated into intervals as they come, so a hot key costs one task's time, not its
+memory. The number of buckets must stay while a stream has state. State is in RocksDB, and a stream that stops goes on from its checkpoint.
 
 Defined results: rows with a null key or time are left out; repeated rows count repeatedly; null amounts count as 0; a session that is
 still open when the stream ends is not emitted.
@@ -26,7 +26,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOSED = "key long, started long, ended long, events long, amount long"
-_OPEN = "started array<long>, ended array<long>, events array<long>, amount array<long>"
+_OPEN = "key array<long>, started array<long>, ended array<long>, events array<long>, amount array<long>"
+#: Buckets that keys are dealt to.
+BUCKETS = 512
 
 
 def intervals(started: np.ndarray, ended: np.ndarray, events: np.ndarray, amount: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
@@ -41,6 +43,21 @@ def intervals(started: np.ndarray, ended: np.ndarray, events: np.ndarray, amount
     return started[first], np.maximum.reduceat(ended, first), np.add.reduceat(events, first), np.add.reduceat(amount, first)
 
 
+def keyed_intervals(key: np.ndarray, started: np.ndarray, ended: np.ndarray, events: np.ndarray, amount: np.ndarray, gap: int) -> list[np.ndarray]:
+    """The same for each key."""
+    n = len(key)
+    if not n:
+        return [key, started, ended, events, amount]
+    order = np.lexsort((started, key))
+    key, started, ended, events, amount = (x[order] for x in (key, started, ended, events, amount))
+    other = np.concatenate([[True], key[1:] != key[:-1]])
+    ends, rank = np.unique(ended, return_inverse=True)
+    base = (np.cumsum(other) - 1) * len(ends)  # ranks of a later key are higher, so the largest so far is the key's own
+    reach = ends[np.maximum.accumulate(base + rank) - base]
+    first = np.flatnonzero(other | np.concatenate([[True], started[1:] - reach[:-1] > gap]))
+    return [key[first], started[first], np.maximum.reduceat(ended, first), np.add.reduceat(events, first), np.add.reduceat(amount, first)]
+
+
 class Sessions(StatefulProcessor):
     def __init__(self, gap: int) -> None:
         self.gap = gap
@@ -54,46 +71,51 @@ class Sessions(StatefulProcessor):
 
     def held(self) -> list[np.ndarray]:
         if not self.open.exists():
-            return [np.zeros(0, dtype=np.int64)] * 4
+            return [np.zeros(0, dtype=np.int64)] * 5
         return [np.array(c, dtype=np.int64) for c in self.open.get()]
 
-    def timer(self, ended: int) -> int:
+    def timer(self, ended: np.ndarray) -> np.ndarray:
         """The first whole millisecond after the last moment at which a row could extend a session."""
         return (ended + self.gap) // 1000 + 1
 
+    def hold(self, now: list[np.ndarray]) -> None:
+        """Keeps open sessions, and has a timer no later than the first of them closes."""
+        if not len(now[0]):
+            self.open.clear()
+            return
+        self.open.update(tuple(x.tolist() for x in now))
+        due = int(self.timer(now[2]).min())
+        if not any(t <= due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         now = self.held()
-        before = set(now[1].tolist())
         for frame in rows:
-            at = frame["at"].to_numpy(dtype=np.int64)
-            new = (at, at, np.ones(len(at), dtype=np.int64), frame["amount"].to_numpy(dtype=np.int64))
-            now = list(intervals(*(np.concatenate(x) for x in zip(now, new, strict=True)), self.gap))
-        self.open.update(tuple(x.tolist() for x in now))
-        for ended in now[1].tolist():
-            if ended not in before:
-                self.handle.registerTimer(self.timer(ended))
+            own, at, amount = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "at", "amount"))
+            new = (own, at, at, np.ones(len(at), dtype=np.int64), amount)
+            now = keyed_intervals(*(np.concatenate(x) for x in zip(now, new, strict=True)), self.gap)
+        self.hold(now)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         now = self.held()
-        over = np.array([self.timer(e) <= expiredTimerInfo.getExpiryTimeInMs() for e in now[1].tolist()], dtype=bool)
-        if over.all():
-            self.open.clear()
-        elif over.any():
-            self.open.update(tuple(x[~over].tolist() for x in now))
+        expired = int(expiredTimerInfo.getExpiryTimeInMs())
+        over = self.timer(now[2]) <= max(expired, int(timerValues.getCurrentWatermarkInMs()))
+        self.handle.deleteTimer(expired)
+        self.hold([x[~over] for x in now])
         if over.any():
-            columns = dict(zip(("started", "ended", "events", "amount"), (x[over] for x in now), strict=True))
-            yield pd.DataFrame({"key": np.full(int(over.sum()), key[0], dtype=np.int64), **columns})
+            yield pd.DataFrame(dict(zip(("key", "started", "ended", "events", "amount"), (x[over] for x in now), strict=True)))
 
 
-def sessions(stream: DataFrame, *, key: str, time: str, amount: str, gap: str, delay: str) -> DataFrame:
+def sessions(stream: DataFrame, *, key: str, time: str, amount: str, gap: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """Closed sessions of a stream: key, started and ended (microseconds since 1970), events, amount. time is a timestamp, amount a
     whole number; gap and delay are intervals such as `30 minutes`."""
     spark = stream.sparkSession
     micros = spark.sql(f"select unix_micros(timestamp_micros(0) + interval {gap}) - unix_micros(timestamp_micros(0)) as n").first().n
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("at"), F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("amount"))
     rows = rows.where("key is not null and time is not null").withWatermark("time", delay)
-    closed = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Sessions(micros), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    closed = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Sessions(micros), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
     return closed.withColumnRenamed("key", key)
 
 
