@@ -12,6 +12,7 @@ scale: see table.py.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -29,7 +30,7 @@ from pagevault.shared import delete, own_folder
 
 PAGE, META = "page.html", "metadata.json"
 _NAME = re.compile(r"(?!\.{1,2}$)[\w.+ -]{1,128}")
-_STAGING = ".staging-"
+STAGING = ".staging-"
 STAGED = "patch string, locale string, place string, sha256 string"
 RECEIPTS = "html_path string, metadata_path string, sha256 string"
 
@@ -71,11 +72,10 @@ def move(place: str, root: str, patch: str, locale: str) -> None:
     """Puts a staged page into its place; does the rest if an earlier attempt did a part."""
     source, to = folder(place, patch, locale), folder(root, patch, locale)
     os.makedirs(os.path.dirname(to), exist_ok=True)
-    if not os.path.isdir(to):
-        try:
-            os.rename(source, to)
-        except OSError:  # another attempt was first
-            pass
+    try:
+        os.rename(source, to)
+    except OSError:  # there are files, or an earlier attempt did it
+        pass
     for name in (PAGE, META):
         if os.path.exists(os.path.join(source, name)):
             os.replace(os.path.join(source, name), os.path.join(to, name))
@@ -83,11 +83,19 @@ def move(place: str, root: str, patch: str, locale: str) -> None:
             raise FileNotFoundError(f"{name} of {patch}/{locale} is neither staged nor stored")
 
 
+def tidy(place: str, patch: str, locale: str) -> None:
+    """Removes what moving a page has left empty."""
+    source = folder(place, patch, locale)
+    for at in (source, os.path.dirname(source)):
+        with contextlib.suppress(OSError):  # not empty yet, or gone
+            os.rmdir(at)
+
+
 def save_pages(raw: DataFrame, root: str) -> DataFrame:
     """Stores raw page records; of several for one target the last fetched stays. Returns receipts: html_path,
     metadata_path, sha256, one row for each target."""
     spark, local = raw.sparkSession, local_path(root)
-    staging = os.path.join(local, _STAGING + uuid.uuid4().hex)
+    staging = os.path.join(local, STAGING + uuid.uuid4().hex)
     order = [F.col("fetched_at"), F.col("status_code"), F.col("sha256")]
     last = last_write_wins_wide(raw.select("*", "target.patch", "target.locale"), ["patch", "locale"], order).drop("patch", "locale")
     names = [x.split()[0] for x in STAGED.split(", ")]
@@ -102,6 +110,7 @@ def save_pages(raw: DataFrame, root: str) -> DataFrame:
             rows = batch.to_pylist()
             for r in rows:
                 move(r["place"], local, r["patch"], r["locale"])
+                tidy(r["place"], r["patch"], r["locale"])
             paths = [[f"{root.rstrip('/')}/{r['patch']}/{r['locale']}/{name}" for r in rows] for name in (PAGE, META)]
             yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.string()) for p in paths), batch.column("sha256")], names=["html_path", "metadata_path", "sha256"])
 

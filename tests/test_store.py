@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagevault.operators import integrity, metadata, report_lines
 from pagevault.schemas import METADATA, RAW_PAGE
 from pagevault.sinks import read_table, save_pages, write_table
-from pagevault.sinks.store import folder, local_path, move, stage
+from pagevault.sinks.store import folder, local_path, move, stage, tidy
 from pagevault.sources import read_bodies, read_metadata, read_store
 
 from conftest import SF
@@ -137,3 +137,28 @@ def test_shared_folder_of_one_machine_is_refused_on_a_cluster():
     assert shared_folder(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs://host/warehouse"})) == "hdfs://host/warehouse/_shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session("yarn", **local))
+
+
+def test_tasks_list_and_read_the_store(spark, tmp_path):
+    """Every page is read once, by whichever task; no file is listed in the driver, and nothing is joined."""
+    patches = [f"{i}.{i % 7}" for i in range(60)] + ["_x", ".y", "a +b"]
+    save_pages(spark.createDataFrame([raw_row(patch=p, body=p.encode()) for p in patches], RAW_PAGE), str(tmp_path))
+    os.makedirs(tmp_path / "half" / "l")
+    (tmp_path / "half/l/page.html").write_bytes(b"no metadata")
+    (tmp_path / "file").write_bytes(b"")
+    back = read_store(spark, str(tmp_path))
+    assert sorted((r.patch, bytes(r.content).decode()) for r in back.collect()) == sorted((p, p) for p in patches)
+    assert read_metadata(spark, str(tmp_path)).count() == len(patches) and read_bodies(spark, str(tmp_path)).count() == len(patches) + 1
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_what_moving_leaves_is_removed_by_tasks(tmp_path):
+    row = {n: None for n in METADATA.names} | {"patch": "1", "locale": "l", "content": b"x"}
+    staging, root = str(tmp_path / "s"), str(tmp_path / "r")
+    place = [p for _, _, p, _ in stage([row, row | {"locale": "m"}], staging)][0]
+    for locale in "lm":
+        move(place, root, "1", locale)
+        tidy(place, "1", locale)
+    tidy(place, "1", "l")  # a repeated attempt
+    assert os.listdir(place) == [] and sorted(os.listdir(f"{root}/1")) == ["l", "m"]
