@@ -69,13 +69,16 @@ def stage(rows: Iterable[dict], staging: str) -> Iterator[tuple[str, str, str, s
 
 
 def move(place: str, root: str, patch: str, locale: str) -> None:
-    """Puts a staged page into its place; does the rest if an earlier attempt did a part."""
+    """Puts a staged page into its place; does the rest if an earlier attempt did a part. A patch without folders yet gets all that the
+    place holds of it by one rename: what goes into or out of a folder that many tasks use waits for the others."""
     source, to = folder(place, patch, locale), folder(root, patch, locale)
-    os.makedirs(os.path.dirname(to), exist_ok=True)
-    try:
-        os.rename(source, to)
-    except OSError:  # there are files, or an earlier attempt did it
-        pass
+    with contextlib.suppress(OSError):  # there are folders of the patch, or an earlier attempt did it
+        os.rename(os.path.dirname(source), os.path.dirname(to))
+    for _ in range(2):  # again if another task's folder of the patch came meanwhile
+        if os.path.isdir(source) and not os.path.isdir(to):
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            with contextlib.suppress(OSError):
+                os.rename(source, to)
     for name in (PAGE, META):
         if os.path.exists(os.path.join(source, name)):
             os.replace(os.path.join(source, name), os.path.join(to, name))

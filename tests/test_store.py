@@ -162,3 +162,40 @@ def test_what_moving_leaves_is_removed_by_tasks(tmp_path):
         tidy(place, "1", locale)
     tidy(place, "1", "l")  # a repeated attempt
     assert os.listdir(place) == [] and sorted(os.listdir(f"{root}/1")) == ["l", "m"]
+
+
+def test_a_new_patch_is_moved_by_one_rename(tmp_path, monkeypatch):
+    """All that a place holds of it, so that nothing is left to remove; beside folders that are there, a page at a time."""
+    row = {n: None for n in METADATA.names} | {"patch": "1", "locale": "l", "content": b"x"}
+    staging, root = str(tmp_path / "s"), str(tmp_path / "r")
+    os.makedirs(root)
+    first = [p for _, _, p, _ in stage([row, row | {"locale": "m"}], staging)][0]
+    made = []
+    for name in ("rename", "replace", "mkdir", "rmdir"):
+        monkeypatch.setattr(os, name, lambda *a, f=getattr(os, name), name=name, **b: (f(*a, **b), made.append(name))[0])
+    for locale in "lm":
+        move(first, root, "1", locale)
+        tidy(first, "1", locale)
+    assert made == ["rename"] and os.listdir(first) == [] and sorted(os.listdir(f"{root}/1")) == ["l", "m"]
+    second = [p for _, _, p, _ in stage([row | {"content": b"later"}, row | {"locale": "n"}], staging)][0]
+    for locale in "ln":
+        move(second, root, "1", locale)
+        tidy(second, "1", locale)
+    assert os.listdir(second) == [] and {x: open(f"{root}/1/{x}/page.html", "rb").read() for x in os.listdir(f"{root}/1")} == {"l": b"later", "m": b"x", "n": b"x"}
+
+
+def test_tasks_that_share_patches_lose_no_page(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    row = {n: None for n in METADATA.names}
+    staging, root = str(tmp_path / "s"), str(tmp_path / "r")
+    tasks = [[x[:3] for x in stage((row | {"patch": str(p), "locale": f"l{k}", "content": b"%d" % k} for p in range(40)), staging)] for k in range(8)]
+
+    def run(rows):
+        for patch, locale, place in rows:
+            move(place, root, patch, locale)
+            tidy(place, patch, locale)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(run, tasks))
+    assert {(p, x): open(f"{root}/{p}/{x}/page.html", "rb").read() for p in os.listdir(root) for x in os.listdir(f"{root}/{p}")} == {(str(p), f"l{k}"): b"%d" % k for p in range(40) for k in range(8)}
