@@ -75,13 +75,12 @@ def last_write_wins(pages: DataFrame, keys: list[str], order: list[Column]) -> D
 
 
 def last_write_wins_wide(pages: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The same for rows with bodies, or with columns that max_by cannot hold. Only keys and order are aggregated; the rows
-    that are last by order are joined to them, and of equal last rows of a key one stays."""
-    ranked = pages.withColumn("_order", F.struct(*order))
-    best = ranked.groupBy(*keys).agg(F.max("_order").alias("_order"))
-    last = ranked.join(best, [ranked[k] == best[k] for k in keys] + [ranked["_order"] == best["_order"]], "left_semi")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
-    return last.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_order")
+    """The same for rows with bodies, or with columns that max_by cannot hold; of equal last rows of a key one stays.
+
+    Rows are read once and shuffled once: the limit on the rank is applied before the shuffle too, where a task keeps one row a key.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[o.desc() for o in order]))
+    return pages.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def integrity(pages: DataFrame) -> DataFrame:

@@ -58,22 +58,27 @@ def local_path(root: str) -> str:
 
 def stage(rows: Iterable[dict], staging: str) -> Iterator[tuple[str, str, str, str]]:
     """Writes rows of METADATA and content to a new folder below staging; yields rows of STAGED."""
-    place = os.path.join(staging, uuid.uuid4().hex)
+    place, made = os.path.join(staging, uuid.uuid4().hex), set()
     for row in rows:
         at = folder(place, row["patch"], row["locale"])
-        os.makedirs(at, exist_ok=True)
+        for new in (os.path.dirname(at), at):
+            if new not in made:
+                os.mkdir(new) if made else os.makedirs(new)
+                made.add(new)
         for name, data in ((PAGE, bytes(row["content"])), (META, pretty({n: row[n] for n in METADATA.names}))):
             with open(os.path.join(at, name), "wb") as f:
                 f.write(data)
         yield row["patch"], row["locale"], place, row["sha256"]
 
 
-def move(place: str, root: str, patch: str, locale: str) -> None:
+def move(place: str, root: str, patch: str, locale: str) -> bool:
     """Puts a staged page into its place; does the rest if an earlier attempt did a part. A patch without folders yet gets all that the
-    place holds of it by one rename: what goes into or out of a folder that many tasks use waits for the others."""
+    place holds of it by one rename, and nothing else is asked of the root: what goes into, out of or through a folder that many tasks
+    use waits for the others. True if that was it, so that nothing is left to tidy."""
     source, to = folder(place, patch, locale), folder(root, patch, locale)
     with contextlib.suppress(OSError):  # there are folders of the patch, or an earlier attempt did it
         os.rename(os.path.dirname(source), os.path.dirname(to))
+        return True
     for _ in range(2):  # again if another task's folder of the patch came meanwhile
         if os.path.isdir(source) and not os.path.isdir(to):
             os.makedirs(os.path.dirname(to), exist_ok=True)
@@ -84,6 +89,7 @@ def move(place: str, root: str, patch: str, locale: str) -> None:
             os.replace(os.path.join(source, name), os.path.join(to, name))
         elif not os.path.exists(os.path.join(to, name)):
             raise FileNotFoundError(f"{name} of {patch}/{locale} is neither staged nor stored")
+    return False
 
 
 def tidy(place: str, patch: str, locale: str) -> None:
@@ -112,8 +118,8 @@ def save_pages(raw: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                move(r["place"], local, r["patch"], r["locale"])
-                tidy(r["place"], r["patch"], r["locale"])
+                if not move(r["place"], local, r["patch"], r["locale"]):
+                    tidy(r["place"], r["patch"], r["locale"])
             paths = [[f"{root.rstrip('/')}/{r['patch']}/{r['locale']}/{name}" for r in rows] for name in (PAGE, META)]
             yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.string()) for p in paths), batch.column("sha256")], names=["html_path", "metadata_path", "sha256"])
 

@@ -23,11 +23,11 @@ TASKS, TOGETHER, PAGES = 4, 8 << 20, 1000
 
 
 def names(place: str, share: int = 0, of: int = 1) -> Iterator[str]:
-    """Folders in a folder: those of a share."""
-    with os.scandir(place) as found:
+    """Folders in a folder: those of a share. Names stay bytes until they are found to be of the share, as each task goes through all."""
+    with os.scandir(os.fsencode(place)) as found:
         for x in found:
-            if zlib.crc32(os.fsencode(x.name)) % of == share and not x.name.startswith(STAGING) and x.is_dir():
-                yield x.name
+            if (of == 1 or zlib.crc32(x.name) % of == share) and not x.name.startswith(STAGING.encode()) and x.is_dir():
+                yield os.fsdecode(x.name)
 
 
 def _content(place: str) -> bytes | None:

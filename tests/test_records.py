@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagevault.functions import header, iso_utc, lower_headers, metadata_json, metadata_line
 from pagevault.operators import integrity, last_write_wins, metadata, quarantined, raw_pages, require_success, successful
+from pagevault.operators.records import last_write_wins_wide
 from pagevault.schemas import METADATA, RAW_PAGE
 from pagevault.service import create_engine
 from pagevault.sources import targets, through_table
@@ -100,6 +101,19 @@ def test_last_write_wins(spark):
     assert last_write_wins(rows.limit(0), ["patch", "locale"], [F.col("n")]).count() == 0
 
 
+def test_last_writes_with_bodies_are_read_and_shuffled_once(spark):
+    """A key with half of the rows, ties, nulls in keys and order, a column of maps; each task sends one row a key at most."""
+    rows = [(f"{i % 2 and i % 17}" if i % 50 else None, i % 9 if i % 7 else None, i % 3, {"n": str(i)}, b"%d" % i) for i in range(900)]
+    pages = spark.createDataFrame(rows, "key string, at int, status int, headers map<string,string>, content binary").repartition(4)
+    got = last_write_wins_wide(pages, ["key"], [F.col("at"), F.col("status")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("WindowGroupLimit") == 2
+    best = {k: max((-1 if a is None else a, s) for key, a, s, _, _ in rows if key == k) for k in {r[0] for r in rows}}
+    kept = got.collect()
+    assert got.columns == pages.columns and len(kept) == len(best) and {r.key: (-1 if r["at"] is None else r["at"], r.status) for r in kept} == best
+    assert all(rows[int(r.content)][0] == r.key and r.headers == {"n": r.content.decode()} for r in kept)
+
+
 def test_integrity_finds_changes(spark):
     rows = spark.createDataFrame([(BODY, hashlib.sha256(BODY).hexdigest(), len(BODY)), (BODY + b"!", hashlib.sha256(BODY).hexdigest(), len(BODY))], "content binary, sha256 string, size_bytes long")
     assert sorted((r.hash_ok, r.size_ok) for r in integrity(rows).collect()) == [(False, False), (True, True)]

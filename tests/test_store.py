@@ -199,3 +199,38 @@ def test_tasks_that_share_patches_lose_no_page(tmp_path):
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(run, tasks))
     assert {(p, x): open(f"{root}/{p}/{x}/page.html", "rb").read() for p in os.listdir(root) for x in os.listdir(f"{root}/{p}")} == {(str(p), f"l{k}"): b"%d" % k for p in range(40) for k in range(8)}
+
+
+def test_moving_a_new_patch_asks_nothing_else_of_the_root(tmp_path, monkeypatch):
+    """Tasks wait for each other at the root: no look at what is there, nothing to tidy; beside folders that are there, both."""
+    row = {n: None for n in METADATA.names} | {"patch": "1", "locale": "l", "content": b"x"}
+    staging, root = str(tmp_path / "s"), str(tmp_path / "r")
+    os.makedirs(root)
+    places = [next(stage([row], staging))[2] for _ in range(2)]
+    asked = []
+    monkeypatch.setattr(os, "stat", lambda at, *a, f=os.stat, **b: (asked.append(str(at)), f(at, *a, **b))[1])
+    assert move(places[0], root, "1", "l") is True and not [x for x in asked if x.startswith(root)]
+    assert move(places[0], root, "1", "l") is False and move(places[1], root, "1", "l") is False
+    assert sorted(os.listdir(f"{root}/1/l")) == ["metadata.json", "page.html"]
+
+
+def test_saving_fetches_once_without_a_checkpoint(spark, tmp_path):
+    fetched = spark.sparkContext.accumulator(0)
+
+    def fetch(batches):
+        for batch in batches:
+            fetched.add(batch.num_rows)
+            yield batch
+
+    raw = spark.createDataFrame([raw_row(patch=str(i % 15)) for i in range(20)], RAW_PAGE)
+    assert save_pages(raw.mapInArrow(fetch, raw.schema), str(tmp_path)).count() == 15 and fetched.value == 20
+
+
+def test_names_of_any_bytes_are_dealt_to_one_share(tmp_path):
+    from pagevault.sources.store import names
+
+    made = sorted([*map(str, range(50)), "ü", os.fsdecode(b"\xff"), "a +b"])
+    for name in (*made, ".staging-1"):
+        os.mkdir(tmp_path / name)
+    (tmp_path / "file").write_bytes(b"")
+    assert sorted(names(str(tmp_path))) == sorted(x for n in range(4) for x in names(str(tmp_path), n, 4)) == made
